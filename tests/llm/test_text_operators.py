@@ -213,7 +213,7 @@ def test_quality_rules(docs):
 
 
 def test_quality_rules_lines(spark):
-    prose = " ".join(f"Sentence number {i} says something of its own." for i in range(12))
+    prose = " ".join(f"Sentence number {i} says thing{i} of its{i} own." for i in range(12))
     rows = {
         1: prose,
         2: prose + "\nHome | About | Contact | Help | Terms\nHome",
