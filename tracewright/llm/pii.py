@@ -175,6 +175,35 @@ def disclosing(docs: DataFrame) -> DataFrame:
     return scored.select("entity", "word", pmi.alias("pmi"), ic.alias("ic")).where(F.col("pmi") >= DISCLOSURE * F.col("ic"))
 
 
+TOLD = "array<struct<entity:bigint,word:bigint>>"
+
+
+def every_span(text: str, known: list[dict] | None) -> list[Span]:
+    """Base spans, and words that disclose one of the text's own entities."""
+    base = found(text)
+    if not known:
+        return base
+    pair = {(k["entity"], k["word"]) for k in known}
+    more = {(a, b, "term") for e, _, words in contexts(text, base) for a, b, w in words if (e, hashed(bare(w))) in pair}
+    return sorted([*base, *more], key=lambda s: (s[0], (*KINDS, "term").index(s[2])))
+
+
+def disclosures_of(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """key, told: the disclosing pairs of each text (key, text) that has some."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: set[tuple[int, int, int]] = set()
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if text and (spans := found(text)):
+                    rows |= {(key, e, hashed(bare(w))) for e, _, words in contexts(text, spans) for *_, w in words}
+            columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "entity", "word"])
+
+    told = keyed.select("key", "text").mapInArrow(run, "key long, entity long, word long").distinct().join(pairs.select("entity", "word"), ["entity", "word"])
+    return told.groupBy("key").agg(F.collect_set(F.struct("entity", "word")).alias("told"))  # bounded by the text's own mentions
+
+
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosures: DataFrame | None = None) -> DataFrame:
     """doc_id, base and spans (arrays of start, end, kind), text, clean_text.
 
@@ -192,34 +221,39 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                told = part.column("told").to_pylist() if "told" in part.schema.names else [None] * part.num_rows
                 out = []
-                for doc_id, text, known in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), told, strict=True):
+                for doc_id, text, known in zip(*[part.column(c).to_pylist() for c in ("doc_id", "text", "told")], strict=True):
                     text = text or ""
-                    base = spans = found(text)
-                    if known:
-                        pair = {(k["entity"], k["word"]) for k in known}
-                        more = {(a, b, "term") for e, _, words in contexts(text, base) for a, b, w in words if (e, hashed(bare(w))) in pair}
-                        spans = sorted([*base, *more], key=lambda s: (s[0], (*KINDS, "term").index(s[2])))
-                    out.append({"doc_id": doc_id, "text": text, "base": kinds(base), "spans": kinds(spans), "clean_text": generalised(text, spans)})
+                    spans = every_span(text, known)
+                    out.append({"doc_id": doc_id, "text": text, "base": kinds([s for s in spans if s[2] in KINDS]), "spans": kinds(spans), "clean_text": generalised(text, spans)})
                 yield pa.RecordBatch.from_pylist(out, schema=ARROW)
 
     if pairs.isEmpty():
-        return own.mapInArrow(finish, schema)
+        return own.withColumn("told", F.lit(None).cast(TOLD)).mapInArrow(finish, schema)
     mine = own.withColumn("key", F.xxhash64("text"))
+    return mine.join(disclosures_of(mine, pairs), "key", "left").select("doc_id", "text", "told").mapInArrow(finish, schema)
+
+
+def rewritten(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all their columns, with doc_id and text of its clean_text; null text stays null.
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Only the words that disclose something are looked up by text; the rows themselves meet them in one join.
+    """
+    pairs = staged(disclosing(texts(docs)), "pii-pairs")
+    key = F.xxhash64("text").alias("__key")
+    told = disclosures_of(texts(docs).withColumn("key", F.xxhash64("text")), pairs) if not pairs.isEmpty() else None
+    rows = docs.select("*", key)
+    rows = rows.join(told.withColumnRenamed("key", "__key"), "__key", "left") if told is not None else rows.withColumn("told", F.lit(None).cast(TOLD))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if text and (spans := found(text)):
-                    rows += {(key, e, hashed(bare(w))) for e, _, words in contexts(text, spans) for *_, w in words}
-            columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "entity", "word"])
+            for part in slices(batch):
+                clean = [generalised(t, every_span(t, known)) if t else t for t, known in zip(part.column("text").to_pylist(), part.column("told").to_pylist(), strict=True)]
+                columns = [pa.array(clean, pa.string()) if f == "text" else part.column(f) for f in names]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    told = mine.mapInArrow(keyed, "key long, entity long, word long").distinct().join(pairs.select("entity", "word"), ["entity", "word"])
-    told = told.groupBy("key").agg(F.collect_set(F.struct("entity", "word")).alias("told"))  # bounded by the text's own mentions
-    return mine.join(told, "key", "left").select("doc_id", "text", "told").mapInArrow(finish, schema)
+    names = docs.columns
+    return rows.select(*[f"`{c}`" for c in names], "told").mapInArrow(run, docs.schema)
 
 
 SPAN = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string())]))

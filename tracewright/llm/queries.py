@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, huffman, pii, quality_rules, secrets
+from . import bpe, decontamination, huffman, near_dup, pii, quality_model, quality_rules, secrets, suffix_index, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
+QUALITY_THRESHOLD, TOXIC_THRESHOLD = 0.3, 0.5
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,10 +29,23 @@ def span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return found.select("doc_id", *[count_kind("base", k) for k in kinds], F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
 
 
+def judged(scores: DataFrame, threshold: float) -> DataFrame:
+    return scores.select("doc_id", quality_model.held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return judged(quality_model.scored(docs, quality_model.trained(docs, table(spark, sf_dir, "labels"))), QUALITY_THRESHOLD)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.cleaned(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.grouped(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(pii.sanitised(table(spark, sf_dir, "documents")), pii.KINDS)
 
@@ -50,8 +64,25 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_index.without_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return judged(toxicity.scored(docs, toxicity.trained(docs, table(spark, sf_dir, "labels"))), TOXIC_THRESHOLD)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OPERATORS = (op1_quality_model, op2_quality_rules, op3_near_duplicates, op4_pii, op5_bpe, op6_secrets, op7_token_files, op8_suffix_index, op9_toxicity, op10_decontamination)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_quality_rules, op4_pii, op5_bpe, op6_secrets, op7_token_files)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
