@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import event_queries  # noqa: F401
+from . import cohort_queries, event_queries, scoring_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 
