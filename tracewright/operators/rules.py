@@ -1,0 +1,206 @@
+"""Rules over one submission's events: each takes events (and what it compares them with) and returns flags
+(submission_id, heuristic_id, severity, confidence, session_id or path, place). Thresholds are parameters with the
+reference defaults. Range conditions always come with the session as an equal key."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from .checks import SESSION
+from .scoring import rank
+
+
+def flag(rows: DataFrame, rule: str, severity: Column, confidence: Column, *keep: str) -> DataFrame:
+    return rows.select("submission_id", F.lit(rule).alias("heuristic_id"), severity.alias("severity"), F.round(confidence, 6).alias("confidence"), *keep)
+
+
+def utf16_length(text: Column | str) -> Column:
+    """Length in UTF-16 units."""
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long")
+
+
+def paste_candidates(events: DataFrame) -> DataFrame:
+    """Pastes, and deltas of changes that a paste made, numbered within the submission before any choice of paths.
+
+    deltas: array of texts; source: 'paste' marks changes that a paste made; content: a paste's own text.
+    """
+    pastes = events.where("kind = 'paste'").select("submission_id", "session_id", "global_idx", F.lit(0).alias("ord"), "path", F.col("content").alias("text"))
+    changes = events.where("kind = 'doc.change' and source = 'paste'").select("submission_id", "session_id", "global_idx", F.posexplode("deltas").alias("ord", "text"), "path").select(pastes.columns)
+    w = W.partitionBy("submission_id").orderBy("global_idx", "ord")
+    return pastes.unionAll(changes).withColumn("nth", (F.row_number().over(w) - 1).cast("long"))
+
+
+def large_pastes(candidates: DataFrame, anomalies: DataFrame, chars: int = 200, lines: int = 10, high_chars: int = 500, high_lines: int = 30, near_ms: int = 5000) -> DataFrame:
+    """Candidates (t, n_chars, n_lines) that are long; less sure within near_ms of an anomaly of the session."""
+    a = anomalies.select(*SESSION, F.col("t").alias("ta"))
+    big = candidates.where((F.col("n_chars") >= chars) | (F.col("n_lines") >= lines))
+    near = big.join(a, list(SESSION)).where(F.abs(F.col("t") - F.col("ta")) <= near_ms).select(*SESSION, "place", F.lit(True).alias("near")).distinct()
+    j = big.join(near, [*SESSION, "place"], "left")
+    return flag(j, "large_paste", F.when((F.col("n_chars") >= high_chars) | (F.col("n_lines") >= high_lines), "high").otherwise("medium"), F.when(F.col("near"), 0.6).otherwise(0.8), "session_id", "place")
+
+
+def external_edits(changes: DataFrame, gap_ms: int = 2000, high: int = 100) -> DataFrame:
+    """External changes without explanation, runs of one session and file at most gap_ms apart as one."""
+    w = W.partitionBy(*SESSION, "path").orderBy("t", "place")
+    c = changes.withColumn("new", F.coalesce((F.col("t") - F.lag("t").over(w) > gap_ms).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    g = c.groupBy(*SESSION, "path", "run").agg(F.min("place").alias("place"), F.max("diff_size").alias("diff"), F.count(F.lit(1)).alias("edits"))
+    return flag(g, "external_edits", F.when(F.col("diff") > high, "high").otherwise("medium"), F.lit(0.7), "session_id", "path", "place", "edits")
+
+
+def between_sessions(ranges: DataFrame, ends: DataFrame, starts: DataFrame) -> DataFrame:
+    """Files whose first content in a session differs from the last in the session before, with time between them.
+
+    ranges: session_id, start_ms, stop_ms, contributor (null: unknown); ends and starts: session_id, path, sha.
+    """
+    w = W.partitionBy("submission_id").orderBy("start_ms", "session_id")
+    pairs = ranges.withColumn("next", F.lead("session_id").over(w)).withColumn("next_start", F.lead("start_ms").over(w)).withColumn("next_by", F.lead("contributor").over(w))
+    pairs = pairs.where("next is not null and next_start > stop_ms and (contributor is null or next_by is null or contributor = next_by)").select(*SESSION, "next")
+    j = pairs.join(ends.select(*SESSION, "path", F.col("sha").alias("before")), list(SESSION)).join(starts.select("submission_id", F.col("session_id").alias("next"), "path", F.col("sha").alias("after")), ["submission_id", "next", "path"])
+    return flag(j.where("before <> after"), "inter_session_external_change", F.lit("medium"), F.lit(0.7), "session_id", "next", "path")
+
+
+def low_typing(files: DataFrame, ratio: float = 3.0, high: float = 5.0) -> DataFrame:
+    """Files (typed, start_len, final_len, merged, tainted) that grew by far more than was typed."""
+    delta = F.col("final_len") - F.col("start_len") - F.col("merged")
+    f = files.where("not tainted").withColumn("delta", delta).where("delta > 0")
+    f = f.withColumn("ratio", F.when(F.col("typed") > 0, F.col("delta") / F.col("typed")))
+    f = f.where(F.col("ratio").isNull() | (F.col("ratio") >= ratio))
+    sure = F.least(F.lit(1.0), F.when(F.col("typed") == 0, F.col("delta") / 500).otherwise(F.col("typed") / 500))
+    return flag(f, "low_typing_high_output", F.when(F.col("ratio").isNull() | (F.col("ratio") >= high), "high").otherwise("medium"), sure, "path")
+
+
+def first_save_anomaly(events: DataFrame, limit_ms: int = 30000, chars: int = 500) -> DataFrame:
+    """Opens whose first later save of the file in the session comes in under limit_ms with more than chars new ones."""
+    w = W.partitionBy(*SESSION, "path").orderBy("t", "place").rowsBetween(1, W.unboundedFollowing)
+    save = F.first(F.when(F.col("kind") == "doc.save", F.struct("t", "new_chars")), True).over(w)
+    o = events.withColumn("save", save).where("kind = 'doc.open' and save is not null")
+    o = o.where((F.col("save.t") - F.col("t") < limit_ms) & (F.col("save.new_chars") > chars))
+    return flag(o, "time_to_first_save_anomaly", F.lit("high"), F.lit(0.8), "session_id", "path", "place")
+
+
+def idle_then_complete(events: DataFrame, idle_ms: int = 600000, within_ms: int = 60000) -> DataFrame:
+    """Saves that hold the final content of a file less than half of which stood before a long heartbeat gap.
+
+    events: kind, t, len and sha of the file's content, final_len, final_sha (null on heartbeats).
+    """
+    beats = events.where("kind = 'session.heartbeat'").withColumn("t0", F.lag("t").over(W.partitionBy(*SESSION).orderBy("t", "place"))).where(F.col("t") - F.col("t0") > idle_ms).select(*SESSION, "t0", F.col("t").alias("t1"))
+    saves = events.where("kind = 'doc.save' and sha = final_sha").select(*SESSION, "path", F.col("t").alias("ts"), "place", "final_len")
+    hits = beats.join(saves, list(SESSION)).where("ts between t1 and t1 + {}".format(within_ms))
+    before = events.where("path is not null and kind <> 'session.heartbeat'").select(*SESSION, "path", F.col("t").alias("tb"), F.col("len").alias("before_len"))
+    j = hits.join(before, [*SESSION, "path"]).where("tb <= t0").groupBy(*SESSION, "path", "place", "final_len").agg(F.max_by("before_len", "tb").alias("before_len"))
+    return flag(j.where("before_len < 0.5 * final_len"), "idle_then_complete", F.lit("high"), F.lit(0.8), "session_id", "path", "place")
+
+
+def no_errors(commands: DataFrame, least: int = 5) -> DataFrame:
+    """Submissions with several commands that all succeeded; an info flag instead where a terminal hid its results."""
+    g = commands.groupBy("submission_id").agg(F.count("exit_code").alias("n"), F.max("exit_code").alias("worst"), F.min("exit_code").alias("best"), F.max((~F.col("integrated")).cast("int")).alias("hidden"))
+    f = g.where(((F.col("hidden") == 1) & (F.col("n") >= 0)) | ((F.col("n") >= least) & (F.col("worst") == 0) & (F.col("best") == 0)))
+    return flag(f, "no_intermediate_errors", F.when(F.col("hidden") == 1, "info").otherwise("low"), F.when(F.col("hidden") == 1, 1.0).otherwise(0.5))
+
+
+def known_sources(pastes: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Pastes (place, sha256) that are exactly an entry (name, sha256) of the corpus: an equal join."""
+    j = pastes.join(corpus.select("name", "sha256"), "sha256")
+    return flag(j, "paste_matches_known_source", F.lit("high"), F.lit(0.95), "place", "name")
+
+
+def corpus_errors(entries: DataFrame) -> DataFrame:
+    """index, error of corpus entries (index, name, sha256, lines)."""
+    error = F.when(F.col("name").isNull() | (F.trim("name") == ""), "no_name").when(F.col("sha256").isNotNull() & ~F.col("sha256").rlike("^[0-9a-f]{64}$"), "bad_hash").when(F.col("sha256").isNull() & (F.coalesce(F.size("lines"), F.lit(0)) == 0), "empty")
+    return entries.select("index", error.alias("error")).where("error is not null")
+
+
+#: Extensions known for generated code, and name parts that suggest it.
+AI_EXTENSIONS = ("github.copilot", "github.copilot-chat", "codeium.codeium", "tabnine.tabnine-vscode", "continue.continue")
+AI_TOKENS = ("ai", "gpt", "copilot", "llm", "codeium", "tabnine")
+
+
+def ai_extensions(seen: DataFrame) -> DataFrame:
+    """First sight per session of an extension on the list, or with a telling name part."""
+    token = F.arrays_overlap(F.split(F.lower("extension"), "[._-]"), F.array(*map(F.lit, AI_TOKENS)))
+    e = seen.withColumn("sure", F.when(F.lower("extension").isin(*AI_EXTENSIONS), 0.9).when(token, 0.6)).where("sure is not null")
+    g = e.groupBy(*SESSION, "extension").agg(F.min("place").alias("place"), F.max("sure").alias("sure"))
+    return flag(g, "ai_extension_active", F.lit("medium"), F.col("sure"), "session_id", "extension", "place")
+
+
+def shell_integration_off(terminals: DataFrame) -> DataFrame:
+    return flag(terminals.where("not integrated"), "shell_integration_disabled", F.lit("info"), F.lit(1.0), "session_id", "place")
+
+
+def extension_set_changes(activated: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Extensions activated in a session whose snapshots don't hold them."""
+    new = activated.join(snapshots.select(*SESSION, "extension"), [*SESSION, "extension"], "left_anti").groupBy(*SESSION, "extension").agg(F.min("place").alias("place"))
+    return flag(new, "extension_set_changed_mid_assignment", F.lit("low"), F.lit(0.6), "session_id", "extension", "place")
+
+
+def terminal_during_external_change(events: DataFrame) -> DataFrame:
+    """External changes with a terminal open at or before them: one running minimum, no join."""
+    w = W.partitionBy(*SESSION)
+    first = F.min(F.when(F.col("kind") == "terminal.open", F.col("t"))).over(w)
+    e = events.withColumn("first", first).where("kind = 'fs.external_change' and first <= t")
+    return flag(e, "terminal_active_during_external_change", F.lit("low"), F.lit(0.5), "session_id", "place")
+
+
+def clock_jumps(skews: DataFrame, limit_ms: int = 300000, least: int = 2) -> DataFrame:
+    g = skews.groupBy(*SESSION).agg(F.max(F.abs("delta_ms")).alias("most"), F.count(F.lit(1)).alias("n"), F.max_by("delta_ms", F.struct(F.abs("delta_ms"), "delta_ms")).alias("delta_ms"))
+    g = g.where((F.col("most") > limit_ms) | (F.col("n") >= least))
+    return flag(g, "clock_jumps", F.when(F.col("most") > limit_ms, "medium").otherwise("low"), F.lit(0.6), "session_id", "delta_ms")
+
+
+def heartbeat_gaps(events: DataFrame, interval_ms: int = 30000, least_ms: int = 300000, edge_ms: int = 1000) -> DataFrame:
+    """Gaps between heartbeats with other events strictly inside and no session end between.
+
+    Counting events up to a time as running sums makes this two windows instead of range joins.
+    """
+    limit = max(least_ms, 10 * interval_ms)
+    w = W.partitionBy(*SESSION).orderBy("t").rangeBetween(W.unboundedPreceding, W.currentRow)
+    e = events.withColumn("ends", F.sum((F.col("kind") == "session.end").cast("int")).over(w))
+    b = e.where("kind = 'session.heartbeat'")
+    by_t = W.partitionBy(*SESSION).orderBy("t", "place")
+    gaps = b.withColumn("t1", F.lead("t").over(by_t)).withColumn("ends1", F.lead("ends").over(by_t)).where((F.col("t1") - F.col("t") > limit) & (F.col("ends") == F.col("ends1"))).select(*SESSION, "place", F.col("t").alias("t0"), "t1")
+    inside = gaps.join(events.where("kind <> 'session.heartbeat'").select(*SESSION, "t"), list(SESSION)).where((F.col("t") > F.col("t0") + edge_ms) & (F.col("t") < F.col("t1") - edge_ms)).select(*SESSION, "place", "t0", "t1").distinct()
+    return flag(inside, "gap_in_heartbeats", F.lit("medium"), F.lit(0.7), "session_id", "place")
+
+
+def session_overlap_flags(pairs: DataFrame) -> DataFrame:
+    """Flags of overlaps judged decided ('multi_machine') or unknown."""
+    p = pairs.where(F.col("judgement").isin("multi_machine", "unknown"))
+    decided = F.col("judgement") == "multi_machine"
+    return flag(p, "multiple_sessions_overlap", F.when(decided, "high").otherwise("low"), F.when(decided, 0.95).otherwise(0.5), "session_a", "session_b")
+
+
+def extension_hash_mismatch(observed: DataFrame, allowed: DataFrame) -> DataFrame:
+    return flag(observed.select("submission_id", "extension_hash").distinct().join(allowed, "extension_hash", "left_anti"), "extension_hash_mismatch", F.lit("high"), F.lit(0.9), "extension_hash")
+
+
+def merged_and_written(runs: DataFrame, merges: DataFrame) -> DataFrame:
+    """Characters by origin (submission_id, path, event_seq, length): from merge events, and typed after the first of them."""
+    m = merges.select("submission_id", F.col("global_idx").alias("event_seq"), F.lit(True).alias("merged"))
+    first = merges.groupBy("submission_id").agg(F.min("global_idx").alias("first"))
+    j = runs.join(m, ["submission_id", "event_seq"], "left").join(first, "submission_id", "left")
+    return j.groupBy("submission_id", "path").agg(
+        F.coalesce(F.sum(F.when(F.col("merged"), F.col("length"))), F.lit(0)).alias("merged_in"),
+        F.coalesce(F.sum(F.when(F.col("merged").isNull() & (F.col("event_seq") > F.col("first")), F.col("length"))), F.lit(0)).alias("written_after"),
+    )
+
+
+def reviewed_only(rows: DataFrame, reviewed: DataFrame, trusted: DataFrame) -> DataFrame:
+    """Rows of reviewed paths; submissions without a trusted manifest keep all rows."""
+    t = trusted.select("submission_id", F.lit(True).alias("trusted")).distinct()
+    r = reviewed.select("submission_id", "path", F.lit(True).alias("reviewed")).distinct()
+    j = rows.join(t, "submission_id", "left").join(r, ["submission_id", "path"], "left")
+    return j.where("trusted is null or reviewed").drop("trusted", "reviewed")
+
+
+def capture_gate(flags: DataFrame, policy: DataFrame, terminal_rules: list[str]) -> DataFrame:
+    """Without the terminal rules' flags where a verified policy turned the signal off."""
+    off = policy.where("verified and not terminal").select("submission_id", F.lit(True).alias("off")).distinct()
+    return flags.join(off, "submission_id", "left").where(F.col("off").isNull() | ~F.col("heuristic_id").isin(*terminal_rules)).drop("off")
+
+
+def in_order(flags: DataFrame) -> DataFrame:
+    """place_in_report: by severity, confidence, first key, id."""
+    w = W.partitionBy("submission_id").orderBy(F.desc(rank("severity")), F.desc("confidence"), "first_key", "heuristic_id")
+    return flags.withColumn("place_in_report", F.row_number().over(w).cast("long"))
