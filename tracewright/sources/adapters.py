@@ -23,6 +23,9 @@ class Tables:
     """The driver's tables of one folder, as they are and as operator inputs."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        from ..plans.staging import on_workers
+
+        on_workers(spark)
         self.spark, self.sf_dir = spark, sf_dir
 
     def raw(self, name: str) -> DataFrame:
