@@ -38,6 +38,11 @@ CACHED_PAIRS = 600_000
 NEVER = 1 << 60
 
 
+def byte_characters() -> dict[int, str]:
+    """The character that the format prints for each byte: itself, or the next free one from 256 on."""
+    return {b: chr(b) for b in PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTED)}
+
+
 class Vocabulary:
     """Tokens, merges and the automaton of one byte-level BPE file of the tokenizers library."""
 
@@ -45,8 +50,7 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
-        byte_of = {chr(b): b for b in PRINTED}
-        byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in PRINTED)}
+        byte_of = {c: b for b, c in byte_characters().items()}
         self.bytes_of = {i: bytes(byte_of[c] for c in token) for token, i in vocab.items()}
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         self.bytes_of |= {i: content.encode() for content, i in self.added.items()}
@@ -127,7 +131,8 @@ class Chunks(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, chunk: str) -> bytes:
-        found, pieces = [], self.find(self.lead + chunk)
+        # One run of plain letters is one piece.
+        found, pieces = [], [self.lead + chunk] if chunk.isalpha() and max(chunk) < "\u0300" else self.find(self.lead + chunk)
         for piece in pieces:
             ids = self.pieces.get(piece)
             if ids is None:

@@ -19,17 +19,21 @@ doc_id are ordered by their text's hash, and every one is written.
 
 from __future__ import annotations
 
+import array
 import functools
+import itertools
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ._jobs import discard, new_path, staged, texts
-from .bpe import CACHED, SPACES, slices
+from .bpe import CACHED, PIECE, SPACES, byte_characters, slices
 
 LIMIT = 20
 STEP = 512
@@ -41,37 +45,61 @@ PART = 1 << 22
 BLOCK_SCHEMA = "part int, block int, first_token long, doc_ids array<long>, n_tokens array<long>, tails array<long>, checkpoints array<long>, payload binary"
 
 
+class Remembered:
+    """Values of the strings used most lately, in two generations of at most CACHED each: when the young one is full it
+    becomes the old one. A string found in the old one joins the young one."""
+
+    def __init__(self, make) -> None:
+        self.make, self.young, self.old = make, {}, {}
+
+    def all(self, keys: list[str]) -> list[bytes]:
+        values = list(map(self.young.get, keys))
+        if None in values:
+            missing = {k for k, v in zip(keys, values, strict=True) if v is None}
+            if len(self.young) + len(missing) > CACHED:
+                self.old, self.young = self.young, {}
+            found = {k: v for k in missing if (v := self.old.get(k)) is not None}
+            found |= self.make([k for k in missing if k not in found])
+            values = [found[k] if v is None else v for k, v in zip(keys, values, strict=True)]
+            self.young |= {k: v for k, v in found.items() if len(k) < 200}
+        return values
+
+
 class LibraryEncoder:
-    """The tokenizers library on chunks, with a bounded cache; a text is cut where no piece can go across (see bpe.Chunks)."""
+    """The tokenizers library on pieces of text, with bounded memory of what it gave for them; a text is cut where no
+    piece can go across (see bpe.Chunks), and a chunk into its pieces, which the library encodes one by one anyway."""
 
     def __init__(self, path: str):
-        import regex
-
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation(), self.library.no_padding()
         self.wide = self.library.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.kind = "<u4" if self.wide else "<u2"
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.table = byte_characters()
+        self.first, self.later = Remembered(lambda chunks: self.cut_up(chunks, "")), Remembered(lambda chunks: self.cut_up(chunks, " "))
+        self.find = regex.compile(PIECE).findall
         self.odd_blank = regex.compile(rf" (?:[{SPACES}]|\Z)").search
         self.cut = regex.compile(rf" (?=[^{SPACES}])").split
 
+    def packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def cut_up(self, chunks: list[str], lead: str) -> dict[str, bytes]:
+        """Ids of chunks: the library's model on each of their pieces, in the characters that stand for bytes."""
+        model, table, kind = self.library.model.tokenize, self.table, "I" if self.wide else "H"
+        out = {}
+        for c in chunks:
+            # One run of plain letters is one piece.
+            pieces = [lead + c] if c.isalpha() and max(c) < "\u0300" else self.find(lead + c)
+            out[c] = array.array(kind, [t.id for p in pieces for t in model(p.encode().decode("latin-1").translate(table))]).tobytes()
+        return out
+
     def encode_all(self, texts_: list[str | None]) -> list[bytes]:
         cut = [self.chunks(x) if x and not any(a in x for a in self.added) else None for x in texts_]
-        for cache, lead, wanted in ((self.first, "", {c[0] for c in cut if c}), (self.later, " ", set().union(*(c[1:] for c in cut if c)))):
-            if len(cache) > CACHED:
-                cache.clear()
-            if new := list(wanted - cache.keys()):
-                for chunk, found in zip(new, self.library.encode_batch_fast([lead + x for x in new], add_special_tokens=False), strict=True):
-                    cache[chunk] = np.array(found.ids, self.kind).tobytes()
-        out = []
-        for x, c in zip(texts_, cut, strict=True):
-            if c:
-                out.append(self.first[c[0]] + b"".join(map(self.later.__getitem__, c[1:])))
-            else:
-                out.append(np.array(self.library.encode(x, add_special_tokens=False).ids, self.kind).tobytes() if x else b"")
-        return out
+        first = iter(self.first.all([c[0] for c in cut if c]))
+        later = iter(self.later.all([x for c in cut if c for x in c[1:]]))
+        return [next(first) + b"".join(itertools.islice(later, len(c) - 1)) if c else self.packed(self.library.encode(x, add_special_tokens=False).ids) if x else b"" for x, c in zip(texts_, cut, strict=True)]
 
     def chunks(self, text: str) -> list[str]:
         return self.cut(text) if self.odd_blank(text) else text.split(" ")
@@ -89,7 +117,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         coder = library_encoder(path)
         end = np.array([end_id], coder.kind).tobytes()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 2 << 20):
                 ids = [x + end for x in coder.encode_all(part.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tail"), pa.array(ids, pa.binary()), pa.array([coder.wide] * len(ids))], names=["doc_id", "tail", "ids", "wide"])
 
