@@ -186,7 +186,8 @@ def test_pack_and_unpack():
     for n in (1, 2, 511, 512, 513, 5000):
         ids = rng.zipf(1.3, n) % 5000
         lengths = huffman.code_lengths(dict(zip(*map(list, np.unique(ids, return_counts=True)), strict=True)))
-        payload, marks = huffman.pack(ids, *huffman.canonical(lengths))
+        payload, _, offsets = huffman.pack(ids, np.array([n]), *huffman.canonical(lengths))
+        marks = offsets[:: huffman.STEP]
         runs = np.full(len(marks), huffman.STEP)
         runs[-1] = n - huffman.STEP * (len(marks) - 1)
         assert (huffman.unpack(payload, marks, runs, huffman.decoding_table(lengths)) == ids).all()

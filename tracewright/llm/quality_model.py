@@ -33,6 +33,8 @@ TRAIN_DOCS = 6000
 TRAIN_PASSAGES = 32
 HIDDEN, GATE = 24, 12
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 4e-3, 1e-4
+#: Few documents are gone through more often, to so many steps.
+LEAST_STEPS = 800
 SEED = 11
 
 KINDS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", ".", ",", "!?", ":;", "|", "#*$%&<>", "\"'()[]{}", "-_/\\@+=~^`")
@@ -119,13 +121,14 @@ class Model:
             return self
         rng, at = np.random.default_rng(SEED), np.cumsum(n) - n
         mean, square, step = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
-        for epoch in range(EPOCHS):
+        epochs = max(EPOCHS, -(-LEAST_STEPS // -(-len(label) // BATCH)))
+        for epoch in range(epochs):
             order = rng.permutation(len(label))
             for i in range(0, len(order), BATCH):
                 own = order[i : i + BATCH]
                 rows = np.concatenate([np.arange(at[d], at[d] + n[d]) for d in own])
                 step += 1
-                rate = RATE * (1 - epoch / EPOCHS)
+                rate = RATE * (1 - epoch / epochs)
                 for k, g in self.gradient(x[rows], n[own], label[own]).items():
                     g = g + DECAY * self.p[k]
                     mean[k] = 0.9 * mean[k] + 0.1 * g
