@@ -146,6 +146,20 @@ class Chunks(dict):
         return ids
 
 
+class Cutter:
+    """Cuts a text into lines of chunks where no piece can go across: before a blank, and around a newline, that stand
+    alone. With white space in runs, or blanks at the end, only before blanks that something visible follows."""
+
+    def __init__(self) -> None:
+        self.runs = regex.compile(rf"[{SPACES}][{SPACES}]| \Z|\A ").search
+        self.before_blank = regex.compile(rf" (?=[^{SPACES}])").split
+
+    def __call__(self, text: str) -> list[list[str]]:
+        if self.runs(text):
+            return [self.before_blank(text)]
+        return [line.split(" ") for line in text.split("\n")]
+
+
 class Encoder:
     """Encodes whole texts as the tokenizers library does, special strings included."""
 
@@ -153,8 +167,7 @@ class Encoder:
         self.vocabulary = vocabulary
         self.pieces: dict[str, bytes] = {}
         self.first, self.later = Chunks(vocabulary, "", self.pieces), Chunks(vocabulary, " ", self.pieces)
-        self.odd_blank = regex.compile(rf" (?:[{SPACES}]|\Z)").search
-        self.cut = regex.compile(rf" (?=[^{SPACES}])").split
+        self.cut = Cutter()
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(vocabulary.added, key=len, reverse=True)) + ")") if vocabulary.added else None
 
     def encode(self, text: str) -> bytes:
@@ -169,10 +182,8 @@ class Encoder:
     def plain(self, text: str) -> bytes:
         if not text:
             return b""
-        chunks = self.cut(text) if self.odd_blank(text) else text.split(" ")
-        if chunks[0]:
-            return self.first[chunks[0]] + b"".join(map(self.later.__getitem__, chunks[1:]))
-        return b"".join(map(self.later.__getitem__, chunks[1:]))
+        later = self.later.__getitem__
+        return self.first["\n"].join([self.first[line[0]] + b"".join(map(later, line[1:])) for line in self.cut(text)])
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -203,9 +214,9 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
 
 
-def slices(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about so many bytes of its column text each, a row at least."""
-    lengths = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+def slices(batch: pa.RecordBatch, size: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about so many bytes of a column each, a row at least."""
+    lengths = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         done = lengths[at - 1] if at else 0

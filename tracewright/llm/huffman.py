@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ._jobs import discard, new_path, staged, texts
-from .bpe import CACHED, PIECE, SPACES, byte_characters, slices
+from .bpe import CACHED, PIECE, Cutter, byte_characters, slices
 
 LIMIT = 20
-STEP = 512
+STEP = 128
 #: Tokens of a block at least, but for a part's last; a block ends with a document.
 BLOCK = 1 << 17
 #: Tokens of a part, about.
@@ -79,8 +79,7 @@ class LibraryEncoder:
         self.table = byte_characters()
         self.first, self.later = Remembered(lambda chunks: self.cut_up(chunks, "")), Remembered(lambda chunks: self.cut_up(chunks, " "))
         self.find = regex.compile(PIECE).findall
-        self.odd_blank = regex.compile(rf" (?:[{SPACES}]|\Z)").search
-        self.cut = regex.compile(rf" (?=[^{SPACES}])").split
+        self.cut, self.newline = Cutter(), self.packed(self.library.encode("\n", add_special_tokens=False).ids)
 
     def packed(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
@@ -96,13 +95,18 @@ class LibraryEncoder:
         return out
 
     def encode_all(self, texts_: list[str | None]) -> list[bytes]:
-        cut = [self.chunks(x) if x and not any(a in x for a in self.added) else None for x in texts_]
-        first = iter(self.first.all([c[0] for c in cut if c]))
-        later = iter(self.later.all([x for c in cut if c for x in c[1:]]))
-        return [next(first) + b"".join(itertools.islice(later, len(c) - 1)) if c else self.packed(self.library.encode(x, add_special_tokens=False).ids) if x else b"" for x, c in zip(texts_, cut, strict=True)]
-
-    def chunks(self, text: str) -> list[str]:
-        return self.cut(text) if self.odd_blank(text) else text.split(" ")
+        """Ids of whole texts, as bytes of little-endian integers."""
+        cut = [self.cut(x) if x and not any(a in x for a in self.added) else None for x in texts_]
+        first = iter(self.first.all([line[0] for lines in cut if lines for line in lines]))
+        later = iter(self.later.all([c for lines in cut if lines for line in lines for c in line[1:]]))
+        take = itertools.islice
+        out = []
+        for x, lines in zip(texts_, cut, strict=True):
+            if lines:
+                out.append(self.newline.join([next(first) + b"".join(take(later, len(line) - 1)) for line in lines]))
+            else:
+                out.append(self.packed(self.library.encode(x, add_special_tokens=False).ids) if x else b"")
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -181,21 +185,27 @@ def canonical(lengths: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     return code, length
 
 
-def pack(ids: np.ndarray, code: np.ndarray, length: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """Bits of the codes, highest first, padded to bytes; bit offsets of every STEP-th token."""
+def pack(ids: np.ndarray, counts: np.ndarray, code: np.ndarray, length: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Bits of the codes of documents of so many ids each, highest first, each document padded to bytes; the byte at
+    which each starts, with the end; and every id's bit offset within its document."""
     n = length[ids]
-    at = np.cumsum(n) - n
-    total = int(at[-1] + n[-1]) if len(ids) else 0
+    ends = np.cumsum(n)
+    last = np.cumsum(counts)
+    bits = np.diff(np.r_[0, ends[last - 1]]) if len(counts) else np.zeros(0, np.int64)
+    bytes_ = np.r_[0, np.cumsum(bits + 7 >> 3)]
+    own = ends - n - np.repeat(np.cumsum(bits) - bits, counts)
+    at = own + 8 * np.repeat(bytes_[:-1], counts)
     word, room = at >> 6, 64 - (at & 63) - n
-    bits = code[ids]
-    low = np.where(room >= 0, bits << np.maximum(room, 0).astype(np.uint64), bits >> np.maximum(-room, 0).astype(np.uint64))
-    out = np.zeros((total + 63 >> 6) + 1, np.uint64)
+    value = code[ids]
+    over = np.flatnonzero(room < 0)
+    low = value << np.maximum(room, 0).astype(np.uint64)
+    low[over] = value[over] >> (-room[over]).astype(np.uint64)
+    out = np.zeros((int(bytes_[-1]) + 7 >> 3) + 1, np.uint64)
     if len(ids):
         starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
         out[word[starts]] = np.bitwise_or.reduceat(low, starts)
-        over = np.flatnonzero(room < 0)
-        out[word[over] + 1] |= bits[over] << (64 + room[over]).astype(np.uint64)
-    return out.astype(">u8").tobytes()[: total + 7 >> 3], at[::STEP]
+        out[word[over] + 1] |= value[over] << (64 + room[over]).astype(np.uint64)
+    return out.astype(">u8").tobytes()[: int(bytes_[-1])], bytes_, own
 
 
 def unpack(payload: bytes, checkpoints: np.ndarray, runs: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -244,14 +254,17 @@ def write(docs: DataFrame, tokenizer_path: str, to: str, end_id: int = 2) -> Non
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, length = canonical(lengths)
         for batch in batches:
-            rows = []
-            for ids, wide in zip(batch.column("ids"), batch.column("wide").to_pylist(), strict=True):
-                own = np.frombuffer(ids.as_buffer(), "<u4" if wide else "<u2")
-                rows.append((len(own), *pack(own, code, length)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("tail"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))],
-                names=["doc_id", "tail", "n_tokens", "bits", "offsets"],
-            )
+            for part in slices(batch, 4 << 20, "ids"):
+                docs = [np.frombuffer(x.as_buffer(), "<u4" if wide else "<u2") for x, wide in zip(part.column("ids"), part.column("wide").to_pylist(), strict=True)]
+                counts = np.array([len(d) for d in docs])
+                payload, at, offset = pack(np.concatenate(docs), counts, code, length)
+                bits = [payload[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                ends = np.cumsum(counts)
+                marks = [offset[e - k : e : STEP] for e, k in zip(ends.tolist(), counts.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("tail"), pa.array(counts, pa.int64()), pa.array(bits, pa.binary()), pa.array(marks, pa.list_(pa.int64()))],
+                    names=["doc_id", "tail", "n_tokens", "bits", "offsets"],
+                )
 
     bits = tokens.mapInArrow(coded, "doc_id long, tail long, n_tokens long, bits binary, offsets array<long>")
     limits = F.array(*[F.lit(b).cast("long") for b in sorted(set(bounds or []))]).cast("array<long>")
