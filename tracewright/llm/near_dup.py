@@ -7,9 +7,11 @@ fraction on the j-th place of its permutation, so draws of a later round can't b
 document stops with the first round that leaves no place empty. Two sets with similarity s agree on a place with
 probability s; at 0.85 a pair shares no band with probability 2e-8.
 
-Candidates are not paired up within a bucket. Each node is compared with the smallest node of each of its buckets, then
-components are formed; only where a bucket still holds several components are nodes of different ones compared. After
-that, any two nodes that share a bucket are in one component or have been compared on their full sets.
+Candidates are not paired up within a bucket. Every node of a bucket is joined to the bucket's smallest node, and the
+components of these joins are families: nodes that share a bucket are in one family. A family's full sets go to one task,
+which walks from node to linked node; each step compares one node with all that no walk has reached yet, so a family
+of many linked nodes costs few comparisons. A family with more than FAMILY shingles is compared by joins instead: every
+node with the smallest of each of its buckets, then nodes of one bucket that are still in different components.
 
     null or empty text    no shingles, linked with nothing, component is its own id
     null id               never linked; component null, kept
@@ -35,6 +37,8 @@ SHINGLE = 5
 PERCENT = 85
 ROWS = 4
 BANDS = 24
+#: Shingles of a family that one task compares.
+FAMILY = 4_000_000
 #: Words whose hashes a worker remembers; a full table is emptied.
 WORDS_HELD = 500_000
 
@@ -153,7 +157,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (x, y) whose full sets are similar enough. Only documents of a pair move, once for each side."""
     wanted = pairs.select(F.col("x").alias("doc_id")).unionAll(pairs.select(F.col("y").alias("doc_id"))).distinct()
-    sets = staged(full_sets(docs.join(wanted, "doc_id", "left_semi")), "near-sets")
+    sets = staged(full_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi")), "near-sets")
     both = pairs.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx")), "x")
     both = both.join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("sy")), "y")
     common = F.size(F.array_intersect("sx", "sy"))
@@ -164,19 +168,78 @@ def alike_in_size(n: str, m: str) -> F.Column:
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
-def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
-    own = texts(docs, id_col, text_col)
-    rows = staged(signed(own), "near-signed")
-    nodes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    nodes = staged(nodes, "near-nodes")
-    members = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+def walked(nodes: list[int], sets: list[np.ndarray]) -> list[int]:
+    """The smallest node that links lead to, for each node of a family."""
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    sizes = np.array([len(x) for x in sets])
+    own = np.split(token, np.cumsum(sizes)[:-1])
+    component = np.array(nodes)
+    mark = np.zeros(int(token.max()) + 1, bool)
+    open_ = np.arange(len(nodes))  # in order of node, so that each walk starts at its smallest
+    while len(open_):
+        queue, root, open_ = [int(open_[0])], nodes[open_[0]], open_[1:]
+        flat, starts = laid_out(own, sizes, open_)
+        while queue and len(open_):
+            at = queue.pop()
+            mark[own[at]] = True
+            common = np.add.reduceat(mark[flat].astype(np.int64), starts)
+            mark[own[at]] = False
+            linked = (100 * common >= PERCENT * (sizes[at] + sizes[open_] - common)) | (component[open_] == component[at])
+            if linked.any():
+                component[open_[linked]] = root
+                queue += open_[linked].tolist()
+                open_ = open_[~linked]
+                flat, starts = laid_out(own, sizes, open_)
+    return component.tolist()
+
+
+def laid_out(own: list[np.ndarray], sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(which):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([own[i] for i in which]), np.cumsum(sizes[which]) - sizes[which]
+
+
+def within_families(docs: DataFrame, families: DataFrame) -> DataFrame:
+    """node, component, of families (node, family): one text shuffle, then one of the sets."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                found = shingle_sets([words_of(x) for x in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column("family"), part.column("doc_id"), pa.array([x.tobytes() for x in found], pa.binary())], names=["family", "node", "shingles"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family, nodes, held = None, [], []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(walked(nodes, held), pa.int64())], names=["node", "component"])
+
+        for batch in batches:
+            for f, node, raw in zip(*[batch.column(c).to_pylist() for c in ("family", "node", "shingles")], strict=True):
+                if f != family and nodes:
+                    yield out()
+                    nodes, held = [], []
+                if raw:
+                    family = f
+                    nodes.append(node)
+                    held.append(np.frombuffer(raw, U))
+        if nodes:
+            yield out()
+
+    # A sort-merge join at every size: the table of families grows with the documents.
+    own = docs.join(families.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id").select("family", "doc_id", "text")
+    rows = own.mapInArrow(sets, "family long, node long, shingles binary")
+    linked = rows.repartition("family").sortWithinPartitions("family", "node").mapInArrow(walk, "node long, component long")
+    return linked.groupBy("node").agg(F.min("component").alias("component"))  # a node of several texts comes once
+
+
+def by_joins(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """node, component, of nodes whose families are too large for a task (members: node, n, bucket)."""
     hubs = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")).where("hub.node < last")
     near = members.join(hubs, "bucket").select(F.col("node").alias("x"), F.col("hub.node").alias("y"), "n", F.col("hub.n").alias("m"))
     pairs = staged(near.where(F.col("x") != F.col("y")).where(alike_in_size("n", "m")).select("x", "y").distinct(), "near-pairs")
-    links = verified(pairs, own)
+    links = verified(pairs, docs)
     found = staged(components(links.select(F.col("x").alias("src"), F.col("y").alias("dst"))), "near-components")
-
     placed = members.join(found.withColumnRenamed("component", "c"), "node", "left").select("bucket", "node", "n", F.coalesce("c", "node").alias("c"))
     mixed_buckets = placed.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("bucket")
     open_ = staged(placed.join(mixed_buckets, "bucket", "left_semi"), "near-open")
@@ -184,10 +247,28 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     right = open_.select("bucket", F.col("node").alias("y"), F.col("n").alias("m"), F.col("c").alias("cy"))
     rest = left.join(right, "bucket").where("cx < cy").where(alike_in_size("n", "m")).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
     rest = staged(rest.join(pairs, ["x", "y"], "left_anti"), "near-pairs")
-    if not rest.isEmpty():
-        more = verified(rest, own)
-        edges = found.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionAll(more.select(F.col("x").alias("src"), F.col("y").alias("dst")))
-        found = staged(components(edges), "near-components")
+    more = verified(rest, docs)
+    edges = found.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionAll(more.select(F.col("x").alias("src"), F.col("y").alias("dst")))
+    return components(edges)
+
+
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", family: int = FAMILY) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept."""
+    own = texts(docs, id_col, text_col)
+    rows = staged(signed(own), "near-signed")
+    nodes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = staged(nodes, "near-nodes")
+    members = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    hubs = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("bucket", "hub")
+    joins = members.join(hubs, "bucket").where("node <> hub").select(F.col("node").alias("src"), F.col("hub").alias("dst")).distinct()
+    families = staged(components(joins).withColumnRenamed("component", "family"), "near-families")
+    weight = nodes.groupBy("node").agg(F.sum("n").alias("n")).join(families, "node").groupBy("family").agg(F.sum("n").alias("total"))
+    large = staged(weight.where(F.col("total") > family).select("family"), "near-large")
+    found = within_families(own, families.join(large, "family", "left_anti").select("node", "family"))
+    if not large.isEmpty():
+        mine = families.join(large, "family", "left_semi").select("node")
+        found = found.unionAll(by_joins(own, members.join(mine, "node", "left_semi")))
+    found = staged(found, "near-components")
 
     named = nodes.select("key", "node").join(found, "node", "left").select("key", F.coalesce("component", "node").alias("c"))
     out = rows.select("doc_id", "key", "n_shingles").join(named, "key", "left")
@@ -198,7 +279,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document stands for its group; rows repeated under one id stay."""
-    kept = grouped(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = grouped(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct().hint("merge")
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 
