@@ -122,3 +122,50 @@ def internal_moves(pastes: DataFrame, own: DataFrame, share: float = 0.95) -> Da
     j = j.withColumn("run", _longest_run("lines", "own_lines")).where(F.col("run") >= share * F.size("lines"))
     g = j.groupBy("submission_id", "place").agg(F.bool_or("live").alias("live"), F.max("run").alias("run"))
     return g.select("submission_id", "place", F.when(F.col("live"), "copy").otherwise("cut").alias("move"), "run")
+
+
+def segments(events: DataFrame) -> DataFrame:
+    """Stretches of a file's edits in one session between observed commits: entry and exit commit, first and last seq."""
+    w = W.partitionBy(*SESSION).orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    e = git_ends(events).withColumn("segment", F.sum((F.col("kind") == "git.event").cast("int")).over(w))
+    edits = e.where("path is not null and kind <> 'git.event'")
+    return edits.groupBy(*SESSION, "path", "segment").agg(F.min("entry").alias("entry"), F.min("exit").alias("exit"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+
+
+def segment_order(segs: DataFrame, commits: DataFrame) -> DataFrame:
+    """Pairs (submission_id, path, before, after) of a file's segments, by session or by the commits between them."""
+    name = F.struct("session_id", "segment")
+    a = segs.select("submission_id", "path", name.alias("before"), F.col("exit").alias("x"))
+    b = segs.select("submission_id", "path", name.alias("after"), F.col("entry").alias("n"))
+    j = a.join(b, ["submission_id", "path"]).where("before <> after")
+    j = j.join(commits.select(F.col("node").alias("n"), F.col("ancestor").alias("x"), F.lit(True).alias("linked")), ["n", "x"], "left")
+    same = F.col("before.session_id") == F.col("after.session_id")
+    return j.where((same & (F.col("before.segment") < F.col("after.segment"))) | (~same & (F.coalesce("linked", F.lit(False)) | F.coalesce(F.col("x") == F.col("n"), F.lit(False))))).select("submission_id", "path", "before", "after")
+
+
+def segmented_state(events: DataFrame, commits: DataFrame) -> DataFrame:
+    """Per file: determinate if one segment follows all others, concurrent with its branches if several have no
+    successor and all saw commits, else unknown; and each segment's place for a replay in that order."""
+    segs = segments(events)
+    order = segment_order(segs, commits)
+    named = segs.withColumn("name", F.struct("session_id", "segment"))
+    ahead = order.groupBy("submission_id", "path", F.col("after").alias("name")).agg(F.count(F.lit(1)).alias("before"))
+    behind = order.select("submission_id", "path", F.col("before").alias("name"), F.lit(True).alias("followed")).distinct()
+    j = named.join(ahead, ["submission_id", "path", "name"], "left").join(behind, ["submission_id", "path", "name"], "left")
+    w = W.partitionBy("submission_id", "path")
+    j = j.withColumn("branches", F.count_if(F.col("followed").isNull()).over(w)).withColumn("segments", F.count(F.lit(1)).over(w))
+    blind = F.max((F.coalesce("entry", "exit").isNull() & F.col("followed").isNull()).cast("int")).over(w)
+    most = F.max(F.coalesce("before", F.lit(0))).over(w)
+    state = F.when((F.col("branches") == 1) & (most == F.col("segments") - 1), "determinate").when(blind == 1, "unknown").otherwise("concurrent")
+    place = F.row_number().over(w.orderBy(F.coalesce("before", F.lit(0)), "session_id", "segment"))
+    return j.select("submission_id", "path", "session_id", "segment", state.alias("state"), F.col("branches").alias("branches"), place.cast("long").alias("place"))
+
+
+def seal_problems(seals: DataFrame) -> DataFrame:
+    """problem of single seals (session_id, manifest text, signature), the first that applies."""
+    id_ = F.get_json_object("manifest", "$.session_id")
+    problem = (
+        F.when(F.col("manifest").isNull(), "missing_manifest").when(F.expr("try_parse_json(manifest)").isNull(), "bad_json")
+        .when(id_.isNull() | F.get_json_object("manifest", "$.slog_sha256").isNull(), "bad_shape").when(id_ != F.col("session_id"), "id_mismatch").when(F.col("signature").isNull(), "missing_signature")
+    )
+    return seals.withColumn("problem", problem).where("problem is not null").select("submission_id", "session_id", "problem")

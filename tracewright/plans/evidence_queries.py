@@ -79,3 +79,21 @@ def e06(t):
 def e20(t):
     p = t.pastes().select("submission_id", F.col("global_idx").alias("place"), "content")
     return op.internal_moves(p, p.withColumn("live", F.col("place") % 2 == 0))
+
+
+@query("c16_segmented_replay")
+def c16(t):
+    e = t.events().withColumn("submission_id", F.floor(F.col("submission_id") / 5)).withColumn("sha", F.when(F.col("kind") == "git.event", F.col("size") % 60 + 1))
+    return op.segmented_state(e, closure(t))
+
+
+@query(
+    "d18_seal_lint",
+    f"""{EV}, s as (select distinct submission_id, session_id from ev), p as (select *, case when submission_id % 7 = 0 then 'missing_manifest' when submission_id % 7 = 1 then 'bad_json' when submission_id % 7 = 2 then 'bad_shape' when submission_id % 7 = 3 then 'id_mismatch' when submission_id % 7 = 4 then 'missing_signature' end as problem from s) select * from p where problem is not null""",
+)
+def d18_lint(t):
+    s = F.col("submission_id") % 7
+    named = F.when(s == 3, "other").otherwise(F.col("session_id"))
+    text = F.when(s == 1, "{broken").when(s == 2, F.to_json(F.struct("session_id"))).when(s != 0, F.to_json(F.struct(named.alias("session_id"), F.lit("x").alias("slog_sha256"))))
+    seals = t.events().select("submission_id", "session_id").distinct().withColumn("manifest", text).withColumn("signature", F.when(s != 4, "sig"))
+    return op.seal_problems(seals)
