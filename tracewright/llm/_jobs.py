@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import os
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import discard, new_path, staged
+from ..plans.staging import discard, new_path, on_workers, staged
 
 __all__ = ["discard", "new_path", "on_workers", "staged", "texts"]
 
-REPO = str(Path(__file__).resolve().parents[2])
-
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that the operators read, so that further columns of any name do no harm."""
     on_workers(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-
-
-def on_workers(spark: SparkSession) -> None:
-    """Python workers find this package even if the driver put it on its own path only."""
-    known = spark.sparkContext.environment
-    if REPO not in known.get("PYTHONPATH", "").split(os.pathsep):
-        known["PYTHONPATH"] = os.pathsep.join(x for x in (REPO, known.get("PYTHONPATH", "")) if x)

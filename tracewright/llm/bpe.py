@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -33,8 +34,8 @@ PIECE = r" ?\p{L}++| ?\p{N}++|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]++|\s+(?!\S)
 SPACES = "\t-\r \x85\xa0  -     　"
 
 #: Entries of a worker's caches; a full cache is emptied. Bounds memory only, never results.
-CACHED = 400_000
-CACHED_PAIRS = 600_000
+CACHED = 150_000
+CACHED_PAIRS = 250_000
 NEVER = 1 << 60
 
 
@@ -148,16 +149,14 @@ class Chunks(dict):
 
 class Cutter:
     """Cuts a text into lines of chunks where no piece can go across: before a blank, and around a newline, that stand
-    alone. With white space in runs, or blanks at the end, only before blanks that something visible follows."""
+    alone. If other white space, or runs of it, are in the text, only before blanks that something visible follows."""
 
     def __init__(self) -> None:
-        self.runs = regex.compile(rf"[{SPACES}][{SPACES}]| \Z|\A ").search
         self.before_blank = regex.compile(rf" (?=[^{SPACES}])").split
 
     def __call__(self, text: str) -> list[list[str]]:
-        if self.runs(text):
-            return [self.before_blank(text)]
-        return [line.split(" ") for line in text.split("\n")]
+        lines = [line.split(" ") for line in text.split("\n")]
+        return lines if list(chain.from_iterable(lines)) == text.split() else [self.before_blank(text)]
 
 
 class Encoder:

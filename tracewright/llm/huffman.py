@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import array
 import functools
-import itertools
 import os
 from collections.abc import Iterator
 
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ._jobs import discard, new_path, staged, texts
-from .bpe import CACHED, PIECE, Cutter, byte_characters, slices
+from .bpe import PIECE, Cutter, byte_characters, slices
 
 LIMIT = 20
 STEP = 128
@@ -42,27 +41,29 @@ BLOCK = 1 << 17
 #: Tokens of a part, about.
 PART = 1 << 22
 
+#: Strings of each generation that a worker remembers; bounds memory only.
+REMEMBERED = 400_000
+
 BLOCK_SCHEMA = "part int, block int, first_token long, doc_ids array<long>, n_tokens array<long>, tails array<long>, checkpoints array<long>, payload binary"
 
 
-class Remembered:
-    """Values of the strings used most lately, in two generations of at most CACHED each: when the young one is full it
-    becomes the old one. A string found in the old one joins the young one."""
+class Remembered(dict):
+    """What ``make`` gave for strings used lately, in two generations: ``turned`` makes a full young one the old one, and a
+    string found in the old one joins the young one."""
+
+    def __init__(self, make, old: dict | None = None) -> None:
+        self.make, self.old = make, old or {}
 
-    def __init__(self, make) -> None:
-        self.make, self.young, self.old = make, {}, {}
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) < 200:
+            self[key] = value
+        return value
 
-    def all(self, keys: list[str]) -> list[bytes]:
-        values = list(map(self.young.get, keys))
-        if None in values:
-            missing = {k for k, v in zip(keys, values, strict=True) if v is None}
-            if len(self.young) + len(missing) > CACHED:
-                self.old, self.young = self.young, {}
-            found = {k: v for k in missing if (v := self.old.get(k)) is not None}
-            found |= self.make([k for k in missing if k not in found])
-            values = [found[k] if v is None else v for k, v in zip(keys, values, strict=True)]
-            self.young |= {k: v for k, v in found.items() if len(k) < 200}
-        return values
+    def turned(self) -> Remembered:
+        return Remembered(self.make, dict(self)) if len(self) > REMEMBERED else self
 
 
 class LibraryEncoder:
@@ -77,36 +78,32 @@ class LibraryEncoder:
         self.kind = "<u4" if self.wide else "<u2"
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.table = byte_characters()
-        self.first, self.later = Remembered(lambda chunks: self.cut_up(chunks, "")), Remembered(lambda chunks: self.cut_up(chunks, " "))
+        self.first, self.later = Remembered(lambda chunk: self.cut_up("", chunk)), Remembered(lambda chunk: self.cut_up(" ", chunk))
         self.find = regex.compile(PIECE).findall
         self.cut, self.newline = Cutter(), self.packed(self.library.encode("\n", add_special_tokens=False).ids)
 
     def packed(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    def cut_up(self, chunks: list[str], lead: str) -> dict[str, bytes]:
-        """Ids of chunks: the library's model on each of their pieces, in the characters that stand for bytes."""
-        model, table, kind = self.library.model.tokenize, self.table, "I" if self.wide else "H"
-        out = {}
-        for c in chunks:
-            # One run of plain letters is one piece.
-            pieces = [lead + c] if c.isalpha() and max(c) < "\u0300" else self.find(lead + c)
-            out[c] = array.array(kind, [t.id for p in pieces for t in model(p.encode().decode("latin-1").translate(table))]).tobytes()
-        return out
+    def cut_up(self, lead: str, chunk: str) -> bytes:
+        """Ids of a chunk: the library's model on each of its pieces, in the characters that stand for bytes."""
+        model, table = self.library.model.tokenize, self.table
+        # One run of plain letters is one piece.
+        pieces = [lead + chunk] if chunk.isalpha() and max(chunk) < "\u0300" else self.find(lead + chunk)
+        return array.array("I" if self.wide else "H", [t.id for p in pieces for t in model(p.encode().decode("latin-1").translate(table))]).tobytes()
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a whole text, as bytes of little-endian integers."""
+        if not text:
+            return b""
+        if any(a in text for a in self.added):
+            return self.packed(self.library.encode(text, add_special_tokens=False).ids)
+        first, later = self.first, self.later.__getitem__
+        return self.newline.join([first[line[0]] + b"".join(map(later, line[1:])) for line in self.cut(text)])
 
     def encode_all(self, texts_: list[str | None]) -> list[bytes]:
-        """Ids of whole texts, as bytes of little-endian integers."""
-        cut = [self.cut(x) if x and not any(a in x for a in self.added) else None for x in texts_]
-        first = iter(self.first.all([line[0] for lines in cut if lines for line in lines]))
-        later = iter(self.later.all([c for lines in cut if lines for line in lines for c in line[1:]]))
-        take = itertools.islice
-        out = []
-        for x, lines in zip(texts_, cut, strict=True):
-            if lines:
-                out.append(self.newline.join([next(first) + b"".join(take(later, len(line) - 1)) for line in lines]))
-            else:
-                out.append(self.packed(self.library.encode(x, add_special_tokens=False).ids) if x else b"")
-        return out
+        self.first, self.later = self.first.turned(), self.later.turned()
+        return [self.encode(x) for x in texts_]
 
 
 @functools.lru_cache(maxsize=2)

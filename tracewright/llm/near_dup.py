@@ -40,7 +40,7 @@ BANDS = 24
 #: Shingles of a family that one task compares.
 FAMILY = 4_000_000
 #: Words whose hashes a worker remembers; a full table is emptied.
-WORDS_HELD = 500_000
+WORDS_HELD = 200_000
 
 U = np.uint64
 GOLDEN = U(0x9E3779B97F4A7C15)

@@ -36,6 +36,8 @@ EPOCHS, BATCH, RATE, DECAY = 12, 64, 4e-3, 1e-4
 #: Few documents are gone through more often, to so many steps.
 LEAST_STEPS = 800
 SEED = 11
+#: Bytes of text encoded at once.
+SLICE = 1 << 20
 
 KINDS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", ".", ",", "!?", ":;", "|", "#*$%&<>", "\"'()[]{}", "-_/\\@+=~^`")
 N = 16
@@ -79,8 +81,9 @@ def encoded(texts_: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     if len(flat) > 1:
         same = passage[1:] == passage[:-1]
         counts = np.bincount((passage[:-1] * N * N + flat[:-1] * N + flat[1:])[same], minlength=len(counts))
-    shares = counts.reshape(-1, N * N) / np.maximum(1, counts.reshape(-1, N * N).sum(1, keepdims=True))
-    figures = np.array([whole_figures(t or "") for t in texts_])
+    counts = counts.astype(np.float32).reshape(-1, N * N)
+    shares = counts / np.maximum(1, counts.sum(1, keepdims=True))
+    figures = np.array([whole_figures(t or "") for t in texts_], np.float32)
     return np.concatenate([np.sqrt(shares), np.repeat(figures, n, 0)], 1).astype(np.float32), n
 
 
@@ -171,7 +174,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE):
                 x, n = encoded(part.column("text").to_pylist())
                 at = np.cumsum(n) - n
                 weight = model.forward(x, n)["a"]
@@ -188,7 +191,7 @@ def accepted(docs: DataFrame, model: Model, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE):
                 yield part.filter(pa.array(model.score(*encoded(part.column("text").to_pylist())) >= least))
 
     return docs.mapInArrow(run, docs.schema)
