@@ -128,6 +128,37 @@ def test_secrets_structure(spark):
     assert got == {1: ["der"], 2: [], 3: ["jwt"], 4: [], 5: ["der", "hex"], 6: ["pem"], 7: []}
 
 
+def lines(run, width=64, sep="\n"):
+    return sep.join(run[i : i + width] for i in range(0, len(run), width))
+
+
+def test_secrets_assigned_headed_and_wrapped():
+    """Keys after '=', under RFC 1421 headers, and over several lines without BEGIN and END."""
+    key = der(0x30, der(2, b"\0"), der(2, bytes(range(1, 129))), der(2, b"\1\0\1"))
+    run = b64encode(key).decode()
+    field = lambda x: struct.pack(">I", len(x)) + x
+    ssh = b64encode(b"openssh-key-v1\0" + field(b"aes256-ctr") + field(b"bcrypt") + field(bytes(24)) + struct.pack(">I", 1) + field(bytes(51)) + field(bytes(160))).decode()
+    found = lambda text: [(text[a:b], kind) for a, b, kind in secrets.confirmed(text)]
+    for text in (f"PRIVATE_KEY={run} end", f"see ?key={run}&x=1", f"a==\n{run}", f"x={run}"):
+        assert found(text) == [(run, "der")], text
+    head, tail = "-----BEGIN RSA PRIVATE KEY-----\n", "\n-----END RSA PRIVATE KEY-----"
+    sealed = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n" + lines(b64encode(bytes(range(160))).decode())
+    for body in (sealed, sealed.replace("\n", "\r\n"), sealed.replace(",ENC", ",\n ENC"), f"Comment: mine\n\n{lines(run)}"):
+        text = f"k: {head}{body}{tail} end"
+        assert found(text) == [(text[3:-4], "pem")], text
+    for body in (sealed.replace("ENCRYPTED", "MIC-ONLY"), sealed[:-8], sealed.replace("DEK-Info", "Other")):
+        assert found(head + body + tail) == []
+    for whole, kind in ((run, "der"), (ssh, "openssh")):
+        for sep in ("\n", "\r\n", "\n    "):
+            for width in (64, 76):
+                for before, after in (("", ""), ("PRIVATE_KEY=", "\nThanks for reading"), ("my privatekey\n", "\nThanks")):
+                    text = before + lines(whole, width, sep) + after
+                    assert found(text) == [(lines(whole, width, sep), kind)], text
+        two = lines(whole) + "\n" + lines(whole)
+        assert found(two) == [(lines(whole), kind)] * 2
+    assert found(lines(run)[:-8] + "\nand more") == [] and found("MIIEabcdefgh\n" * 500) == []
+
+
 def test_bpe_equals_library(docs):
     library = Tokenizer.from_file(PATH)
     rows = bpe.encode_and_decode(docs, PATH).collect()

@@ -6,7 +6,11 @@ reported only if what they hold parses:
     der     an ASN.1 SEQUENCE whose nested lengths fill it exactly, and which starts with an INTEGER or a SEQUENCE
     openssh the marker of the OpenSSH key format, then length-prefixed fields within the data
     jwt     three segments joined by dots, the first a JSON object with "alg", the second a JSON object
-    pem     a run between BEGIN and END lines of a key whose base64 body is der or openssh
+    pem     a run between BEGIN and END lines of a key whose base64 body is der or openssh; under RFC 1421 headers that say
+            it is encrypted, a body of whole cipher blocks for the vector that DEK-Info names
+
+A der or openssh key without BEGIN and END may be wrapped: lines are joined as far as the length it states, which has to
+fall on the end of a line.
 
 Null text counts as empty and gives no spans. Every input row gives a row; extra columns are not read.
 """
@@ -18,6 +22,7 @@ import binascii
 import json
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,8 +44,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 #: A run of 24 or more is found whole: what starts earlier in a shorter run can't reach 24.
 HEX = re.compile(r"[0-9a-f]{24,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]*+")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY[A-Z0-9 ]*)-----([A-Za-z0-9+/=\s]*+)-----END \1-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}+={0,2}")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY[A-Z0-9 ]*)-----")
+PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s]*+")
+DEK = re.compile(r"([A-Z0-9-]+),((?:[0-9A-Fa-f]{2}){8,16})")
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}")
+#: Runs that follow each other line by line; the header of a key fits in the first 8 characters.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{8,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++")
+RUN = re.compile(r"[A-Za-z0-9+/_-]++")
+PADDING = re.compile(r"={0,2}")
+STARTS = ("M", "b3BlbnNzaC1")  # a SEQUENCE (0x30) or the marker, once decoded
 HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}+(?![0-9A-Fa-f])")
 
 Span = tuple[int, int, str]
@@ -87,6 +99,22 @@ def is_openssh(data: bytes) -> bool:
     return True
 
 
+def openssh_length(data: bytes) -> int:
+    """Bytes of the OpenSSH key that starts here: cipher, derivation, options, public keys and the private part; 0 if cut."""
+    at = len(b"openssh-key-v1\0")
+
+    def field(at: int) -> int:
+        return at + 4 + int.from_bytes(data[at : at + 4])
+
+    for _ in range(3):
+        at = field(at)
+    keys, at = int.from_bytes(data[at : at + 4]), at + 4
+    while keys and at < len(data):
+        keys, at = keys - 1, field(at)
+    at = field(at)
+    return at if not keys and at <= len(data) else 0
+
+
 def decoded(run: str) -> bytes:
     body = re.sub(r"\s+", "", run).rstrip("=").replace("-", "+").replace("_", "/")
     try:
@@ -107,6 +135,50 @@ def key_kind(data: bytes) -> str:
     return "der" if is_der_key(data) else "openssh" if is_openssh(data) else ""
 
 
+def is_pem(body: str) -> bool:
+    """What stands between BEGIN and END: RFC 1421 headers up to a blank line, if any, then base64."""
+    lines = [x.strip() for x in body.strip().split("\n")]
+    headers: dict[str, str] = {}
+    if ":" in lines[0]:
+        end = lines.index("") if "" in lines else next((i for i, x in enumerate(lines) if ":" not in x), len(lines))
+        name = ""
+        for line in lines[:end]:
+            if ":" in line:
+                name, line = (x.strip() for x in line.split(":", 1))
+            headers[name.lower()] = headers.get(name.lower(), "") + line
+        lines = lines[end:]
+    run = "".join(lines)
+    data = decoded(run) if PEM_BODY.fullmatch(run) else b""
+    if "ENCRYPTED" not in headers.get("proc-type", ""):
+        return bool(key_kind(data))
+    dek = DEK.fullmatch(headers.get("dek-info", ""))
+    return bool(dek and data) and (not dek[1].endswith("CBC") or len(data) % (len(dek[2]) // 2) == 0)
+
+
+def wrapped_keys(text: str) -> Iterator[tuple[int, int, str]]:
+    """Keys over several lines, as far as the length that their first bytes state."""
+    for block in WRAPPED.finditer(text):
+        runs = [m.span() for m in RUN.finditer(text, *block.span())]
+        if not any(text.startswith(STARTS, a) for a, _ in runs):
+            continue
+        body = "".join(text[a:b] for a, b in runs)
+        starts = list(accumulate((b - a for a, b in runs), initial=0))
+        ends = {n: b for n, (_, b) in zip(starts[1:], runs, strict=True)}
+        free = 0
+        for at, (a, b) in zip(starts, runs, strict=False):
+            if at < free or not text.startswith(STARTS, a):
+                continue
+            if text[a] == "M":
+                outer = der_length(decoded(body[at : at + 8]), 1)
+                size = sum(outer) if outer else 0
+            else:
+                size = openssh_length(decoded(body[at : len(body) - ((len(body) - at) % 4 == 1)]))
+            stop = at + -(-4 * size // 3)
+            if size and stop in ends and ends[stop] > b and (kind := key_kind(decoded(body[at:stop]))):
+                free, end = stop, ends[stop]
+                yield a, end + len(PADDING.match(text, end)[0]), kind
+
+
 def base_spans(text: str) -> list[Span]:
     low = text.lower()
     spans: list[Span] = []
@@ -132,10 +204,15 @@ def confirmed(text: str) -> list[Span]:
             add(*m.span(), "jwt" if is_object(head, "alg") and is_object(body) else "")
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
-            add(*m.span(), "pem" if key_kind(decoded(m.group(2))) else "")
+            stop, end = text.find("-----", m.end()), f"-----END {m.group(1)}-----"
+            if stop >= 0 and text.startswith(end, stop):
+                add(m.start(), stop + len(end), "pem" if is_pem(text[m.end() : stop]) else "")
+    if "\n" in text:
+        for a, b, kind in wrapped_keys(text):
+            add(a, b, kind)
     for m in BASE64.finditer(text):
         run = m.group()
-        if run.startswith(("M", "b3BlbnNzaC1")):  # a SEQUENCE (0x30) or the marker, once decoded
+        if run.startswith(STARTS):
             add(*m.span(), key_kind(decoded(run)))
     for m in HEX_ANY.finditer(text):
         if m.group()[:2] == "30" or m.group()[:8].lower() == "6f70656e":
