@@ -99,6 +99,23 @@ def test_pii_words_that_disclose(spark):
     assert got[0]["clean_text"] == "note 0 from  at [EMAIL] about item0 today"
 
 
+def test_pii_copies_hide_no_word(spark):
+    """A copied text counts once in all counts, within contexts and outside; text without personal data counts too."""
+    far = " ".join(f"far{i}" for i in range(8))
+    rows = [(i, f"note {i} from zorblax at zo@x.example.com about item{i} today, {far} and zorblax once more") for i in range(3)]
+    rows += [(10 + i, rows[0][1]) for i in range(1000)]
+    rows += [(2000 + i, f"note {i} from someone at p{i}@x.example.com about item{i} today") for i in range(60)]
+    rows += [(3000 + i, f"sun {i} on plinthy at so@x.example.com over it{i} now") for i in range(3)]
+    rows += [(4000 + i, f"a plinthy line {i} of its own\n" * 50) for i in range(40)]
+    pairs = {(r["entity"], r["word"]): r for r in pii.disclosing(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    entity = {name: pii.entity(name, (0, len(name), "email")) for name in ("zo@x.example.com", "so@x.example.com")}
+    assert (entity["zo@x.example.com"], pii.hashed("zorblax")) in pairs
+    assert (entity["so@x.example.com"], pii.hashed("plinthy")) not in pairs and (entity["so@x.example.com"], pii.hashed("sun")) in pairs
+    # 3 + 3 + 60 contexts; windows outside: one tail, 40 lines. zorblax stands in 3 contexts and in the tail's window.
+    r = pairs[entity["zo@x.example.com"], pii.hashed("zorblax")]
+    assert r["pmi"] == pytest.approx(np.log(107 / 4)) and r["ic"] == pytest.approx(np.log(107 / 3))
+
+
 def test_secrets_base(docs):
     rows = secrets.scanned(docs).join(docs.select("doc_id", "text").distinct(), "doc_id").select("text", pii.digest(F.col("base")).alias("d")).collect()
     assert len(rows) == len(TEXTS)

@@ -2,15 +2,17 @@
 
 Four kinds are found by pattern (email, ip, card, phone). Then, as in C-sanitisation, a word discloses an entity if
 seeing the word tells nearly as much as seeing the entity itself. Over the corpus, a context is the words within WINDOW
-words of an entity; equal contexts (copies of a text) count once. With n contexts in all, n_c holding entity c, n_w the
-number of places where word w stands in any document, and n_wc the contexts of c that hold w:
+words of an entity; what stands outside all contexts is cut, line by line, into windows of 2 * WINDOW words. Equal
+contexts of an entity, and equal windows, count once (copies of a text). With n contexts and windows in all, n_c of them
+contexts of entity c, n_w contexts and windows that hold word w, and n_wc contexts of c that hold w:
 
     information of c     IC(c)     = log(n / n_c)
     disclosure by w      PMI(w, c) = log(n_wc / n_c) - log(n_w / n)   at most IC(c)
     w is removed near c  if n_wc >= SUPPORT and PMI(w, c) >= DISCLOSURE * IC(c)
 
 A removed word becomes the span kind ``term`` in the contexts of that entity; ``generalised`` replaces each span by its
-kind. All counts cover the whole corpus: n_w is counted in the documents themselves, not in the contexts only.
+kind. All counts cover the whole corpus, text without personal data too, in that one unit. A word over the largest n_w
+that any of its pairs allows is out, so a task passes on no more windows of it than decide that.
 
 Null text counts as empty and gives no spans. Every input row gives a row. Extra columns are not read.
 """
@@ -18,9 +20,10 @@ Null text counts as empty and gives no spans. Every input row gives a row. Extra
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -43,8 +46,10 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = ".,;:!?\"'()[]{}<>|*#$%&"
-#: The context's own words for an entity count in at most so many entries of a task's table before they are passed on.
+#: Entries of a task's tables before they are passed on.
 HELD = 200_000
+#: Words are looked up by their hash modulo this, whatever the number of words asked for.
+SLOTS = 1 << 18
 
 Span = tuple[int, int, str]
 
@@ -137,42 +142,99 @@ def mentions(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "entity long, context long, words array<long>")
 
 
-def places(docs: DataFrame) -> DataFrame:
-    """word (hash), n: places of each word in all documents; a task adds up what it can hold before it passes rows on."""
+def background(text: str) -> Iterator[list[str]]:
+    """The words outside all contexts and spans, in windows that start anew with each line."""
+    if spans := found(text):
+        ranges = [s[:2] for s in spans] + [w[:2] for *_, words in contexts(text, spans) for w in words]
+        out, done = [], 0
+        for a, b in sorted(ranges):
+            out.append(text[done : max(a, done)])
+            done = max(done, b)
+        text = " ".join([*out, text[done:]])
+    for line in text.split("\n"):
+        words = WORD.findall(line)
+        for i in range(0, len(words), 2 * WINDOW):
+            yield words[i : i + 2 * WINDOW]
+
+
+def windows(docs: DataFrame) -> DataFrame:
+    """window (hash): the windows of all texts, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw: Counter[str] = Counter()
+        held: set[int] = set()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                raw.update(text.split() if text else ())
-                if len(raw) > HELD:
-                    yield rows(raw)
-                    raw.clear()
-        yield rows(raw)
+                held.update(hashed("\n".join(words)) for words in background(text or ""))
+                if len(held) > HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64())], names=["window"])
+                    held.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64())], names=["window"])
+
+    return docs.select("text").mapInArrow(run, "window long").distinct()
+
 
-    def rows(raw: Counter[str]) -> pa.RecordBatch:
-        total: Counter[str] = Counter()
-        for word, n in raw.items():
-            total[bare(word)] += n
-        return pa.RecordBatch.from_arrays([pa.array(map(hashed, total), pa.int64()), pa.array(total.values(), pa.int64())], names=["word", "n"])
+def windows_with(docs: DataFrame, most: np.ndarray) -> DataFrame:
+    """word, window (hashes): the windows of words whose slot in ``most`` is not negative, one more than it says at least if there are more."""
 
-    return docs.select("text").mapInArrow(run, "word long, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int | None] = {}
+        held: defaultdict[int, set[int]] = defaultdict(set)
+        size = 0
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                for words in background(text or ""):
+                    mine = set()
+                    for raw in words:
+                        if raw not in known:
+                            word = hashed(bare(raw))
+                            known[raw] = word if most[word % SLOTS] >= 0 else None
+                        if known[raw] is not None:
+                            mine.add(known[raw])
+                    if mine:
+                        window = hashed("\n".join(words))
+                        for word in mine:
+                            if len(held[word]) <= most[word % SLOTS] and window not in held[word]:
+                                held[word].add(window)
+                                size += 1
+                if size > HELD:
+                    yield rows(held)
+                    held.clear()
+                    size = 0
+                if len(known) > HELD:
+                    known.clear()
+        yield rows(held)
+
+    def rows(held: dict[int, set[int]]) -> pa.RecordBatch:
+        word = np.repeat(np.array(list(held), np.int64), [len(x) for x in held.values()])
+        return pa.RecordBatch.from_arrays([pa.array(word), pa.array([w for x in held.values() for w in x], pa.int64())], names=["word", "window"])
+
+    return docs.select("text").mapInArrow(run, "word long, window long").distinct()
 
 
 def disclosing(docs: DataFrame) -> DataFrame:
-    """entity, word, pmi, ic: pairs over the threshold. Only words with enough common contexts are counted in the corpus."""
+    """entity, word, pmi, ic: pairs over the threshold. Only words that their contexts alone don't rule out are counted in the corpus."""
     seen = staged(mentions(docs).groupBy("entity", "context").agg(F.first("words").alias("words")), "pii-contexts")
-    totals = seen.agg(F.count(F.lit(1)).alias("n_all"))
     entities = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    pairs = seen.select("entity", F.explode("words").alias("word")).groupBy("entity", "word").agg(F.count(F.lit(1)).alias("n_wc")).where(F.col("n_wc") >= SUPPORT)
-    pairs = staged(pairs, "pii-pairs")
+    held = seen.select("entity", F.explode("words").alias("word"))
+    pairs = staged(held.groupBy("entity", "word").agg(F.count(F.lit(1)).alias("n_wc")).where(F.col("n_wc") >= SUPPORT), "pii-pairs")
+    none = pairs.select("entity", "word", F.lit(0.0).alias("pmi"), F.lit(0.0).alias("ic")).limit(0)
     if pairs.isEmpty():
-        return pairs.select("entity", "word", F.lit(0.0).alias("pmi"), F.lit(0.0).alias("ic"))
-    words = places(docs).join(pairs.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.sum("n").alias("n_w"))
-    ic = F.log(F.col("n_all") / F.col("n_c"))
-    pmi = F.least(F.log(F.col("n_wc") / F.col("n_c")) - F.log(F.col("n_w") / F.col("n_all")), ic)
-    scored = pairs.join(words, "word").join(entities, "entity").crossJoin(F.broadcast(totals))  # totals is one row
-    return scored.select("entity", "word", pmi.alias("pmi"), ic.alias("ic")).where(F.col("pmi") >= DISCLOSURE * F.col("ic"))
+        return none
+    n = F.lit(seen.count() + windows(docs).count())
+    near = held.join(pairs.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n_near"))
+    # The threshold, solved for n_w and rounded up, less the contexts.
+    most = F.ceil(F.col("n_wc") * F.pow(n / F.col("n_c"), F.lit(1 - DISCLOSURE))) - F.col("n_near")
+    open_ = staged(pairs.join(near, "word").join(entities, "entity").withColumn("most", most).where(F.col("most") >= 0), "pii-open")
+    slots = np.full(SLOTS, -1, np.int64)
+    for r in open_.groupBy(F.pmod("word", F.lit(SLOTS)).alias("slot")).agg(F.max("most").alias("most")).collect():
+        slots[r["slot"]] = r["most"]
+    if (slots < 0).all():
+        return none
+    far = windows_with(docs, slots).join(open_.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n_far"))
+    n_w = F.col("n_near") + F.coalesce("n_far", F.lit(0))
+    ic = F.log(n / F.col("n_c"))
+    pmi = F.least(F.log(F.col("n_wc") / F.col("n_c")) - F.log(n_w / n), ic)
+    return open_.join(far, "word", "left").select("entity", "word", pmi.alias("pmi"), ic.alias("ic")).where(F.col("pmi") >= DISCLOSURE * F.col("ic"))
 
 
 TOLD = "array<struct<entity:bigint,word:bigint>>"
