@@ -151,6 +151,16 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_texts_under_one_id(spark):
+    """Every text of an item id is looked for, and texts without an id too."""
+    items = [(1, prose(40, 970)), (1, prose(40, 971)), (None, prose(40, 972)), (None, prose(40, 973)), (2, prose(40, 974)), (2, None), (3, prose(40, 974))]
+    docs = [(10 + i, f"{prose(30, 980 + i)} {t} {prose(30, 990 + i)}") for i, (_, t) in enumerate(items[:5])] + [(20, prose(90, 999))]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items + items[:1], "item_id long, text string")
+    found = sorted(((r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, items).collect()), key=str)
+    assert found == [(10, 1), (11, 1), (12, None), (13, None), (14, 2), (14, 3)]
+    assert [r["doc_id"] for r in decontamination.decontaminated(docs, items).collect()] == [20]
+
+
 def test_wand_equals_full_bm25():
     """Every (passage, segment) pair at or above the threshold is found."""
     texts = {i: prose(30, 2000 + i) for i in range(300)}

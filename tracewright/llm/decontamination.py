@@ -14,7 +14,8 @@ For each text and item found, the shares of the 5-word shingles of the question
 sentence, or its second half) that stand in the whole text are measured; together they have to reach OVERLAP.
 
 Test items are taken in passes of about WORDS_A_PASS words each, as many passes as they need. Null or empty texts and
-items match nothing. Rows repeated under one id are looked at one by one; results are distinct.
+items match nothing. Different texts under one item id, or under none, are items of their own: each one found gives a
+row with that id. Rows repeated under one id are looked at one by one; results are distinct.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def shingles(words: list[str]) -> list[tuple[str, ...]]:
 
 
 def postings(items: DataFrame) -> DataFrame:
-    """item_id, segment, size, term, tf, df, mean_size, n: the index as rows, with counts over all items."""
+    """item_id (a key of id and text), segment, size, term, tf, df, mean_size, n: the index as rows, with counts over all items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,9 +81,9 @@ def postings(items: DataFrame) -> DataFrame:
                     own = words[at : at + SEGMENT]
                     rows += [(item, at // SEGMENT, len(own), w, own.count(w)) for w in dict.fromkeys(own)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32()), strict=True)], names=["item_id", "segment", "size", "term", "tf"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32()), strict=True)], names=["item_id", "segment", "size", "term", "tf"])
 
-    rows = staged(items.mapInArrow(run, "item_id long, segment int, size int, term string, tf int"), "decontamination-index")
+    rows = staged(items.mapInArrow(run, "item_id string, segment int, size int, term string, tf int"), "decontamination-index")
     df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     sizes = rows.select("item_id", "segment", "size").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean_size"))
     return rows.join(df, "term").crossJoin(F.broadcast(sizes))  # sizes is one row
@@ -91,7 +92,8 @@ def postings(items: DataFrame) -> DataFrame:
 class Index:
     """One pass's segments: impacts by term, block maxima, and what verification needs."""
 
-    def __init__(self, rows: list, item_texts: dict[int, str]):
+    def __init__(self, rows: list, item_texts: dict, item_ids: dict | None = None):
+        self.item_ids = item_ids or {i: i for i in item_texts}
         self.parts = {i: tuple(shingles(p) for p in question_and_answer(t or "")) for i, t in item_texts.items()}
         by_segment = defaultdict(dict)
         for r in rows:
@@ -223,21 +225,22 @@ def matches(texts_: list[str | None], index: Index, ids: TermIds) -> list[list[t
             sets[d] |= {tuple(words[i : i + k]) for k in short for i in range(len(words) - k + 1)}
         q, a = (sum(x in sets[d] for x in part) for part in (question, answer))
         if q + a >= OVERLAP * (len(question) + len(answer)):
-            out[d].append((item, score, q / max(1, len(question)), a / max(1, len(answer))))
+            out[d].append((index.item_ids[item], score, q / max(1, len(question)), a / max(1, len(answer))))
     return out
 
 
 def passes(items: DataFrame) -> Iterator[Index]:
     """The index of one bounded share of the items after another."""
     on_workers(items.sparkSession)
-    own = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    own = own.groupBy("item_id").agg(F.max("text").alias("text"))
+    own = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    own = own.select(F.sha2(F.concat(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.lit(" "), "text"), 256).alias("item_id"), F.col("item_id").alias("id"), "text")
     words = own.agg(F.sum(F.length("text") - F.length(F.regexp_replace("text", r"\s+", "")) + 1)).head()[0] or 0
     n = max(1, -(-int(words) // WORDS_A_PASS))
     rows = staged(postings(own), "decontamination-postings") if words else None
     for i in range(n if words else 0):
         mine = F.pmod(F.xxhash64("item_id"), F.lit(n)) == i
-        yield Index(rows.where(mine).collect(), {r["item_id"]: r["text"] for r in own.where(mine).collect()})
+        held = own.where(mine).collect()
+        yield Index(rows.where(mine).collect(), {r["item_id"]: r["text"] for r in held}, {r["item_id"]: r["id"] for r in held})
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
