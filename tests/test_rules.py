@@ -159,3 +159,11 @@ def test_path_roles_and_lint(spark):
     r = spark.createDataFrame([(1, "track", "src/"), (1, "ignore", "src/gen/"), (1, "attachments", "*.pdf")], "submission_id long, list string, entry string")
     got = {x["path"]: x["role"] for x in contents.path_roles(paths, r).collect()}
     assert got == {"src/a.py": "reviewed", "src/gen/x": "ignored", "doc.pdf": "attachment", ".provenance/s": "excluded", "other": "unscoped"}
+
+
+def test_ordering_defects_of_long_loops(spark):
+    """Every session that reaches itself is cyclic, whatever the loop's length; one that only leads into a loop is not."""
+    loops = {n: [(n, f"s{i}", f"s{(i + 1) % n}") for i in range(n)] for n in (1, 2, 3, 4, 7)}
+    rows = [r for loop in loops.values() for r in loop] + [(3, "into", "s0"), (3, "first", None), (3, "lost", "nobody"), (3, "far", "s6"), (9, "a", "b"), (9, "b", "c"), (9, "c", None)]
+    got = {(r["submission_id"], r["session_id"]): r["defect"] for r in lineage.ordering_defects(spark.createDataFrame(rows, "submission_id long, session_id string, prev_session_id string")).collect()}
+    assert got == {(n, s): "cyclic" for loop in loops.values() for n, s, _ in loop} | {(3, "lost"): "dangling", (3, "far"): "foreign"}

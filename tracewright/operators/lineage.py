@@ -57,12 +57,14 @@ def presentation_order(nodes: DataFrame, closure: DataFrame) -> DataFrame:
 
 
 def ordering_defects(sessions: DataFrame) -> DataFrame:
-    """Links to a previous session that is another submission's (foreign), nobody's (dangling), or leads back (cyclic)."""
+    """Links to a previous session that is another submission's (foreign), nobody's (dangling), or leads back over any number of sessions (cyclic)."""
     own = sessions.select("submission_id", F.col("session_id").alias("prev_session_id"), F.lit(True).alias("own"))
     any_ = sessions.groupBy(F.col("session_id").alias("prev_session_id")).agg(F.lit(True).alias("known"))
-    back = sessions.select("submission_id", F.col("session_id").alias("prev_session_id"), F.col("prev_session_id").alias("back"))
-    j = sessions.where("prev_session_id is not null").join(own, ["submission_id", "prev_session_id"], "left").join(any_, "prev_session_id", "left").join(back, ["submission_id", "prev_session_id"], "left")
-    defect = F.when((F.col("back") == F.col("session_id")) | (F.col("prev_session_id") == F.col("session_id")), "cyclic").when(F.col("known").isNull(), "dangling").when(F.col("own").isNull(), "foreign")
+    node = lambda c: F.struct("submission_id", F.col(c).alias("session_id"))
+    links = sessions.where("prev_session_id is not null").join(own, ["submission_id", "prev_session_id"], "left").join(any_, "prev_session_id", "left")
+    loops = ancestors(links.where("own").select(node("session_id").alias("node"), node("prev_session_id").alias("parent"))).where("node = ancestor")
+    j = links.join(loops.select("node.*", F.lit(True).alias("looped")), ["submission_id", "session_id"], "left")
+    defect = F.when(F.col("looped"), "cyclic").when(F.col("known").isNull(), "dangling").when(F.col("own").isNull(), "foreign")
     return j.select("submission_id", "session_id", defect.alias("defect")).where("defect is not null")
 
 
