@@ -15,8 +15,7 @@ from __future__ import annotations
 
 import functools
 import json
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -27,14 +26,13 @@ from pyspark.sql import DataFrame
 
 from ._jobs import texts
 
-#: What the byte-level format prints as itself, and its pattern for pieces (alternatives that never
-#: start alike are free in their order; runs are taken whole).
+#: What the byte-level format prints as itself, its pattern for pieces, and the white space of that pattern.
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-PIECE = r" ?\p{L}++| ?\p{N}++|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
-SPACES = "\t-\r \x85\xa0  -     　"
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
-#: Entries of a worker's caches; a full cache is emptied. Bounds memory only, never results.
-CACHED = 150_000
+#: Units of each generation that a worker remembers, and pairs; a full table of pairs is emptied. Bounds memory only.
+REMEMBERED = 150_000
 CACHED_PAIRS = 250_000
 NEVER = 1 << 60
 
@@ -120,43 +118,95 @@ class Fits(dict):
         return fit
 
 
-class Chunks(dict):
-    """Ids, as bytes of little-endian 32-bit integers, of chunks of text that follow ``lead``.
-
-    A text may be cut before every blank that a visible character follows: no piece has a blank inside after something
-    visible, and a run of white space gives its last blank to what follows. So a chunk's ids don't depend on the rest.
-    """
-
-    def __init__(self, vocabulary: Vocabulary, lead: str, pieces: dict):
-        self.lead, self.pieces, self.find = lead, pieces, regex.compile(PIECE).findall
-        self.vocabulary = vocabulary
-
-    def __missing__(self, chunk: str) -> bytes:
-        # One run of plain letters is one piece.
-        found, pieces = [], [self.lead + chunk] if chunk.isalpha() and max(chunk) < "\u0300" else self.find(self.lead + chunk)
-        for piece in pieces:
-            ids = self.pieces.get(piece)
+def white(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text are white space."""
+    short, long_ = ({c.encode() for c in SPACES if (len(c.encode()) > 1) == more} for more in (False, True))
+    table = np.zeros(256, bool)
+    table[[c[0] for c in short]] = True
+    found = table[data]
+    leads = np.zeros(256, bool)
+    leads[[c[0] for c in long_]] = True
+    for at in np.flatnonzero(leads[data]).tolist() if leads[data].any() else ():
+        for size in (2, 3):
+            if data[at : at + size].tobytes() in long_:
+                found[at : at + size] = True
+    return found
+
+
+def letters() -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[[*range(65, 91), *range(97, 123)]] = True
+    return table
+
+
+def units(texts_: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The units of all texts, and how many each has. A unit's ids don't depend on the rest, since no piece goes across its
+    ends: a text is cut where white space begins, after a newline that stands alone, and where a letter (of ASCII or
+    Latin-1) is before another sign of ASCII."""
+    sizes = np.array([len(t) for t in texts_], np.int64)
+    joined = b"".join(texts_)
+    data = np.frombuffer(joined, np.uint8)
+    space, letter = white(data), LETTERS[data]
+    sign = ~(letter | space) & (data < 128)
+    cut = space.copy()
+    cut[1:] &= ~space[:-1]
+    cut[1:] |= letter[:-1] & sign[1:]
+    cut[2:] |= (data[:-2] == 0xC3) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7) & sign[2:]
+    cut[2:] |= (data[1:-1] == 10) & ~(space[2:] | space[:-2])
+    first = np.cumsum(sizes) - sizes
+    cut[first[sizes > 0]] = True
+    at = np.flatnonzero(cut)
+    array = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.r_[at, len(data)].astype(np.int32)), pa.py_buffer(joined)])
+    return array, np.searchsorted(at, first + sizes) - np.searchsorted(at, first)
+
+
+LETTERS = letters()
+
+
+class Remembered:
+    """What ``make`` gave for units used lately, in two generations: a full young one becomes the old one."""
+
+    def __init__(self, make: Callable[[list[bytes]], list[bytes]], most: int = REMEMBERED) -> None:
+        self.make, self.most = make, most
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def __call__(self, asked: list[bytes]) -> list[bytes]:
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        out = list(map(young.get, asked))
+        open_ = []
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            ids = old.get(asked[i])
             if ids is None:
-                ids = np.array(self.vocabulary.encode_piece(piece.encode().decode("latin-1")), "<u4").tobytes()
-                if len(pieces) > 1 and len(piece) < 200:
-                    self.pieces[piece] = ids
-            found.append(ids)
-        ids = b"".join(found)
-        if len(chunk) < 200:
-            self[chunk] = ids
-        return ids
-
-
-class Cutter:
-    """Cuts a text into lines of chunks where no piece can go across: before a blank, and around a newline, that stand
-    alone. If other white space, or runs of it, are in the text, only before blanks that something visible follows."""
-
-    def __init__(self) -> None:
-        self.before_blank = regex.compile(rf" (?=[^{SPACES}])").split
-
-    def __call__(self, text: str) -> list[list[str]]:
-        lines = [line.split(" ") for line in text.split("\n")]
-        return lines if list(chain.from_iterable(lines)) == text.split() else [self.before_blank(text)]
+                open_.append(i)
+            else:
+                out[i] = young[asked[i]] = ids
+        if open_:
+            for i, ids in zip(open_, self.make([asked[i] for i in open_]), strict=True):
+                out[i] = ids
+                if len(asked[i]) < 200:
+                    young[asked[i]] = ids
+        return out
+
+    def get(self, unit: bytes) -> bytes | None:
+        return self.young.get(unit) or self.old.get(unit)
+
+
+def by_units(texts_: list[bytes], known: Remembered, kind: str) -> list[np.ndarray]:
+    """Ids of every text; each distinct unit is asked for once."""
+    array, counts = units(texts_)
+    coded = array.dictionary_encode()
+    found = known(coded.dictionary.to_pylist())
+    flat = np.frombuffer(b"".join(found), kind)
+    sizes = np.fromiter(map(len, found), np.int32, len(found)) // flat.itemsize
+    which = coded.indices.to_numpy()
+    n = sizes[which]
+    ends = np.cumsum(n, dtype=np.int64)
+    place = np.repeat((np.cumsum(sizes, dtype=np.int64) - sizes)[which] - (ends - n), n)
+    place += np.arange(len(place))
+    return np.split(flat[place], np.r_[0, ends][np.cumsum(counts)][:-1]) if len(texts_) else []
 
 
 class Encoder:
@@ -164,28 +214,40 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.pieces: dict[str, bytes] = {}
-        self.first, self.later = Chunks(vocabulary, "", self.pieces), Chunks(vocabulary, " ", self.pieces)
-        self.cut = Cutter()
+        self.find = regex.compile(PIECE).findall
+        self.known = Remembered(self.made)
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(vocabulary.added, key=len, reverse=True)) + ")") if vocabulary.added else None
 
-    def encode(self, text: str) -> bytes:
-        for cache in (self.first, self.later, self.pieces):
-            if len(cache) > CACHED:
-                cache.clear()
-        added = self.vocabulary.added
-        if any(x in text for x in added):
-            return b"".join(np.array([added[x]], "<u4").tobytes() if x in added else self.plain(x) for x in self.special.split(text))
-        return self.plain(text)
+    def made(self, asked: list[bytes]) -> list[bytes]:
+        return [b"".join(map(self.piece, found)) if len(found := self.find(u.decode())) > 1 else self.piece(found[0]) for u in asked]
 
-    def plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        later = self.later.__getitem__
-        return self.first["\n"].join([self.first[line[0]] + b"".join(map(later, line[1:])) for line in self.cut(text)])
+    def piece(self, piece: str) -> bytes:
+        raw = piece.encode()
+        ids = self.known.get(raw)
+        if ids is None:
+            ids = np.array(self.vocabulary.encode_piece(raw.decode("latin-1")), "<u4").tobytes()
+            if len(raw) < 200:
+                self.known.young[raw] = ids
+        return ids
 
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.vocabulary.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+    def encode_all(self, texts_: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; a text with special strings is several texts and those strings' ids."""
+        added, parts, owner = self.vocabulary.added, [], []
+        for i, text in enumerate(texts_):
+            own = self.special.split(text) if text and any(x in text for x in added) else [text or ""]
+            parts += own
+            owner += [i] * len(own)
+        plain = iter(by_units([p.encode() for p in parts if p not in added], self.known, "<u4"))
+        ids = [np.array([added[p]], "<u4") if p in added else next(plain) for p in parts]
+        if len(parts) == len(texts_):
+            return ids
+        out: list[list[np.ndarray]] = [[] for _ in texts_]
+        for i, x in zip(owner, ids, strict=True):
+            out[i].append(x)
+        return [np.concatenate(x) for x in out]
+
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=2)
@@ -204,9 +266,9 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         coder = encoder(path)
         for batch in batches:
             for part in slices(batch):
-                ids = [coder.encode(x or "") for x in part.column("text").to_pylist()]
+                ids = coder.encode_all(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([coder.decode(x) for x in ids], pa.string())],
+                    [part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([coder.decode(x) for x in ids], pa.string())],
                     names=["doc_id", "n_tokens", "ids", "decoded"],
                 )
 

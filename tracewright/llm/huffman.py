@@ -19,8 +19,8 @@ doc_id are ordered by their text's hash, and every one is written.
 
 from __future__ import annotations
 
-import array
 import functools
+import json
 import os
 from collections.abc import Iterator
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ._jobs import discard, new_path, staged, texts
-from .bpe import PIECE, Cutter, byte_characters, slices
+from .bpe import SPACES, Remembered, by_units, slices
 
 LIMIT = 20
 STEP = 128
@@ -41,69 +41,62 @@ BLOCK = 1 << 17
 #: Tokens of a part, about.
 PART = 1 << 22
 
-#: Strings of each generation that a worker remembers; bounds memory only.
-REMEMBERED = 400_000
+#: Units of each generation that a worker remembers, and units that the library takes at once; they bound memory only.
+REMEMBERED = 300_000
+AT_ONCE = 20_000
+#: First bytes of white space, of one byte and of more.
+BLANK, LEADS = ({c.encode()[0] for c in SPACES if (len(c.encode()) > 1) == more} for more in (False, True))
 
 BLOCK_SCHEMA = "part int, block int, first_token long, doc_ids array<long>, n_tokens array<long>, tails array<long>, checkpoints array<long>, payload binary"
 
 
-class Remembered(dict):
-    """What ``make`` gave for strings used lately, in two generations: ``turned`` makes a full young one the old one, and a
-    string found in the old one joins the young one."""
-
-    def __init__(self, make, old: dict | None = None) -> None:
-        self.make, self.old = make, old or {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) < 200:
-            self[key] = value
-        return value
-
-    def turned(self) -> Remembered:
-        return Remembered(self.make, dict(self)) if len(self) > REMEMBERED else self
-
-
 class LibraryEncoder:
-    """The tokenizers library on pieces of text, with bounded memory of what it gave for them; a text is cut where no
-    piece can go across (see bpe.Chunks), and a chunk into its pieces, which the library encodes one by one anyway."""
+    """The tokenizers library with bounded memory of what it gave for units of text (see bpe.units): distinct units that are
+    not known go through it many at once, a newline between them. A file whose texts aren't cut by the byte-level pattern
+    alone gets whole texts through the library, and so do texts with special strings."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation(), self.library.no_padding()
-        self.wide = self.library.get_vocab_size(with_added_tokens=True) > 1 << 16
-        self.kind = "<u4" if self.wide else "<u2"
+        self.kind = "<u4" if self.library.get_vocab_size(with_added_tokens=True) > 1 << 16 else "<u2"
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.table = byte_characters()
-        self.first, self.later = Remembered(lambda chunk: self.cut_up("", chunk)), Remembered(lambda chunk: self.cut_up(" ", chunk))
-        self.find = regex.compile(PIECE).findall
-        self.cut, self.newline = Cutter(), self.packed(self.library.encode("\n", add_special_tokens=False).ids)
-
-    def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def cut_up(self, lead: str, chunk: str) -> bytes:
-        """Ids of a chunk: the library's model on each of its pieces, in the characters that stand for bytes."""
-        model, table = self.library.model.tokenize, self.table
-        # One run of plain letters is one piece.
-        pieces = [lead + chunk] if chunk.isalpha() and max(chunk) < "\u0300" else self.find(lead + chunk)
-        return array.array("I" if self.wide else "H", [t.id for p in pieces for t in model(p.encode().decode("latin-1").translate(table))]).tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text, as bytes of little-endian integers."""
-        if not text:
-            return b""
-        if any(a in text for a in self.added):
-            return self.packed(self.library.encode(text, add_special_tokens=False).ids)
-        first, later = self.first, self.later.__getitem__
-        return self.newline.join([first[line[0]] + b"".join(map(later, line[1:])) for line in self.cut(text)])
-
-    def encode_all(self, texts_: list[str | None]) -> list[bytes]:
-        self.first, self.later = self.first.turned(), self.later.turned()
-        return [self.encode(x) for x in texts_]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        cut = spec.get("pre_tokenizer") or {}
+        self.by_units = spec.get("normalizer") is None and (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex", True)) == ("ByteLevel", False, True)
+        self.newline = self.whole("\n") if self.by_units else b""
+        self.plain = regex.compile(f" ?[^{SPACES}]+").fullmatch
+        self.known = Remembered(self.made, REMEMBERED)
+
+    def whole(self, text: str | None) -> np.ndarray:
+        return np.array(self.library.encode(text or "", add_special_tokens=False).ids, self.kind)
+
+    def simple(self, unit: bytes) -> bool:
+        """One blank at most, then visible characters."""
+        lead = unit[0] == 32
+        if len(unit) == lead or unit[lead] in BLANK:
+            return False
+        return unit[lead] not in LEADS or self.plain(unit.decode()) is not None
+
+    def made(self, asked: list[bytes]) -> list[bytes]:
+        """Ids of units: simple ones together, since a newline between two is a piece of its own."""
+        together = {i for i, unit in enumerate(asked) if self.simple(unit)} if len(self.newline) == 1 else set()
+        out = [b"" if i in together else self.whole(unit.decode()).tobytes() for i, unit in enumerate(asked)]
+        order = sorted(together)
+        for at in range(0, len(order), AT_ONCE):
+            mine = order[at : at + AT_ONCE]
+            ids = np.array(self.library.encode_batch_fast([b"\n".join([asked[i] for i in mine]).decode()], add_special_tokens=False)[0].ids, self.kind)
+            raw, size = ids.tobytes(), ids.itemsize
+            ends = (np.flatnonzero(ids == self.newline[0]) * size).tolist()
+            for i, a, b in zip(mine, [0, *[e + size for e in ends]], [*ends, len(raw)], strict=True):
+                out[i] = raw[a:b]
+        return out
+
+    def encode_all(self, texts_: list[str | None]) -> list[np.ndarray]:
+        whole = {i: self.whole(t) for i, t in enumerate(texts_) if not self.by_units or (t and any(a in t for a in self.added))}
+        found = by_units([b"" if i in whole else (t or "").encode() for i, t in enumerate(texts_)], self.known, self.kind)
+        return [whole.get(i, ids) for i, ids in enumerate(found)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -118,9 +111,9 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         coder = library_encoder(path)
         end = np.array([end_id], coder.kind).tobytes()
         for batch in batches:
-            for part in slices(batch, 2 << 20):
-                ids = [x + end for x in coder.encode_all(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tail"), pa.array(ids, pa.binary()), pa.array([coder.wide] * len(ids))], names=["doc_id", "tail", "ids", "wide"])
+            for part in slices(batch):
+                ids = [x.tobytes() + end for x in coder.encode_all(part.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tail"), pa.array(ids, pa.binary()), pa.array([coder.kind == "<u4"] * len(ids))], names=["doc_id", "tail", "ids", "wide"])
 
     return texts(docs).select("doc_id", F.xxhash64("text").alias("tail"), "text").mapInArrow(run, "doc_id long, tail long, ids binary, wide boolean")
 
