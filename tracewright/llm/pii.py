@@ -14,7 +14,8 @@ A removed word becomes the span kind ``term`` in the contexts of that entity; ``
 kind. All counts cover the whole corpus, text without personal data too, in that one unit. A word over the largest n_w
 that any of its pairs allows is out, so a task passes on no more windows of it than decide that.
 
-Null text counts as empty and gives no spans. Every input row gives a row. Extra columns are not read.
+Null text counts as empty and gives no spans. Every input row gives a row, repeated ids too. Extra columns are not read.
+A task holds a few megabytes of texts, or one very long text, at a time.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ._jobs import discard, staged, texts
 from .bpe import slices
@@ -112,13 +114,21 @@ def bare(word: str) -> str:
     return word.strip(EDGES).lower()
 
 
+def words_before(text: str, end: int) -> list[tuple[int, int, str]]:
+    """The last WINDOW words of text[:end] with their places; a stretch that may begin inside one of them is read wider."""
+    width = 16 * WINDOW
+    while True:
+        start = max(0, end - width)
+        words = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text, start, end)]
+        if start == 0 or len(words) > WINDOW:
+            return words[-WINDOW:]
+        width *= 4
+
+
 def contexts(text: str, spans: list[Span]) -> Iterator[tuple[int, int, list[tuple[int, int, str]]]]:
     """For each span its entity, a hash of its context and the words of the context with their places."""
     for span in spans:
-        around: list[tuple[int, int, str]] = []
-        left = text[max(0, span[0] - 40 * WINDOW) : span[0]]
-        shift = span[0] - len(left)
-        around += [(shift + m.start(), shift + m.end(), m.group()) for m in list(WORD.finditer(left))[-WINDOW:]]
+        around = words_before(text, span[0])
         for k, m in enumerate(WORD.finditer(text, span[1])):
             if k == WINDOW:
                 break
@@ -131,9 +141,9 @@ def mentions(docs: DataFrame) -> DataFrame:
     """entity, context, words (array of hashes): one row for each span, no more than 2 * WINDOW words each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch)):
             rows = []
-            for text in batch.column("text").to_pylist():
+            for text in part.column("text").to_pylist():
                 if text and (spans := found(text)):
                     rows += [(e, c, sorted({hashed(bare(w)) for *_, w in words})) for e, c, words in contexts(text, spans)]
             columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
@@ -162,8 +172,8 @@ def windows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: set[int] = set()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
+        for part in (part for batch in batches for part in slices(batch)):
+            for text in part.column("text").to_pylist():
                 held.update(hashed("\n".join(words)) for words in background(text or ""))
                 if len(held) > HELD:
                     yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64())], names=["window"])
@@ -180,8 +190,8 @@ def windows_with(docs: DataFrame, most: np.ndarray) -> DataFrame:
         known: dict[str, int | None] = {}
         held: defaultdict[int, set[int]] = defaultdict(set)
         size = 0
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
+        for part in (part for batch in batches for part in slices(batch)):
+            for text in part.column("text").to_pylist():
                 for words in background(text or ""):
                     mine = set()
                     for raw in words:
@@ -217,10 +227,7 @@ def disclosing(docs: DataFrame) -> DataFrame:
     entities = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
     held = seen.select("entity", F.explode("words").alias("word"))
     pairs = staged(held.groupBy("entity", "word").agg(F.count(F.lit(1)).alias("n_wc")).where(F.col("n_wc") >= SUPPORT), "pii-pairs")
-    none = pairs.select("entity", "word", F.lit(0.0).alias("pmi"), F.lit(0.0).alias("ic")).limit(0)
-    if pairs.isEmpty():
-        return none
-    n = F.lit(seen.count() + windows(docs).count())
+    n = F.lit(max(1, seen.count() + windows(docs).count()))
     near = held.join(pairs.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n_near"))
     # The threshold, solved for n_w and rounded up, less the contexts.
     most = F.ceil(F.col("n_wc") * F.pow(n / F.col("n_c"), F.lit(1 - DISCLOSURE))) - F.col("n_near")
@@ -228,8 +235,6 @@ def disclosing(docs: DataFrame) -> DataFrame:
     slots = np.full(SLOTS, -1, np.int64)
     for r in open_.groupBy(F.pmod("word", F.lit(SLOTS)).alias("slot")).agg(F.max("most").alias("most")).collect():
         slots[r["slot"]] = r["most"]
-    if (slots < 0).all():
-        return none
     far = windows_with(docs, slots).join(open_.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n_far"))
     n_w = F.col("n_near") + F.coalesce("n_far", F.lit(0))
     ic = F.log(n / F.col("n_c"))
@@ -237,7 +242,7 @@ def disclosing(docs: DataFrame) -> DataFrame:
     return open_.join(far, "word", "left").select("entity", "word", pmi.alias("pmi"), ic.alias("ic")).where(F.col("pmi") >= DISCLOSURE * F.col("ic"))
 
 
-TOLD = "array<struct<entity:bigint,word:bigint>>"
+TOLD = ArrayType(StructType([StructField("entity", LongType()), StructField("word", LongType())]))
 
 
 def every_span(text: str, known: list[dict] | None) -> list[Span]:
@@ -250,28 +255,41 @@ def every_span(text: str, known: list[dict] | None) -> list[Span]:
     return sorted([*base, *more], key=lambda s: (s[0], (*KINDS, "term").index(s[2])))
 
 
-def disclosures_of(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """key, told: the disclosing pairs of each text (key, text) that has some."""
+def pair_slot(entity: int, word: int) -> int:
+    return (entity * 31 + word) % SLOTS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: set[tuple[int, int, int]] = set()
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if text and (spans := found(text)):
-                    rows |= {(key, e, hashed(bare(w))) for e, _, words in contexts(text, spans) for *_, w in words}
-            columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "entity", "word"])
 
-    told = keyed.select("key", "text").mapInArrow(run, "key long, entity long, word long").distinct().join(pairs.select("entity", "word"), ["entity", "word"])
-    return told.groupBy("key").agg(F.collect_set(F.struct("entity", "word")).alias("told"))  # bounded by the text's own mentions
+def told_rows(rows: DataFrame, pairs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows, with TOLD: the disclosing pairs among the text's own mentions, null if there are none.
 
+    A bitmap of SLOTS bits of the pairs goes to every task. Only texts with a mention that it holds move, keyed by text, and
+    what those mentions are; all others stay where they are. So it is with any number of pairs.
+    """
+    entity, word = F.col("entity").cast("decimal(38,0)"), F.col("word").cast("decimal(38,0)")
+    held = np.zeros(SLOTS, bool)
+    held[[r["slot"] for r in pairs.select(F.pmod(entity * 31 + word, F.lit(SLOTS)).cast("int").alias("slot")).distinct().collect()]] = True  # SLOTS rows at most
+
+    def mentioned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for batch in batches for part in slices(batch, column=text_col)):
+            out: list[list[dict] | None] = []
+            for text in part.column(text_col).to_pylist():
+                spans = found(text) if text else []
+                own = {(e, hashed(bare(w))) for e, _, words in contexts(text, spans) for *_, w in words} if spans else ()
+                own = sorted(p for p in own if held[pair_slot(*p)])
+                out.append([{"entity": e, "word": w} for e, w in own] or None)
+            yield part.append_column("__told", pa.array(out, TOLD_ARROW))
+
+    own = rows.mapInArrow(mentioned, StructType([*rows.schema.fields, StructField("__told", TOLD)]))
+    key = F.xxhash64(text_col).alias("__key")
+    moved = own.where("__told is not null").select("*", key)
+    asked = moved.select("__key", F.explode("__told").alias("m")).select("__key", "m.entity", "m.word").distinct()
+    told = asked.join(pairs.select("entity", "word"), ["entity", "word"]).groupBy("__key").agg(F.collect_set(F.struct("entity", "word")).alias("__answer"))  # bounded by the text's own mentions
+    answered = moved.join(told, "__key", "left").select(*rows.columns, F.col("__answer").alias("__told"))
+    return own.where("__told is null").unionAll(answered)
 
-def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosures: DataFrame | None = None) -> DataFrame:
-    """doc_id, base and spans (arrays of start, end, kind), text, clean_text.
 
-    The disclosing pairs are joined to the mentions, not sent to all tasks: documents without an entity never move, and
-    those with one move once, keyed by their text.
-    """
+def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosures: DataFrame | None = None) -> DataFrame:
+    """doc_id, base and spans (arrays of start, end, kind), text, clean_text."""
     own = texts(docs, id_col, text_col)
     pairs = staged(disclosing(own) if disclosures is None else disclosures, "pii-pairs")
     span = "array<struct<start:int,stop:int,kind:string>>"
@@ -281,43 +299,32 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
         return [{"start": a, "stop": b, "kind": k} for a, b, k in spans]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                out = []
-                for doc_id, text, known in zip(*[part.column(c).to_pylist() for c in ("doc_id", "text", "told")], strict=True):
-                    text = text or ""
-                    spans = every_span(text, known)
-                    out.append({"doc_id": doc_id, "text": text, "base": kinds([s for s in spans if s[2] in KINDS]), "spans": kinds(spans), "clean_text": generalised(text, spans)})
-                yield pa.RecordBatch.from_pylist(out, schema=ARROW)
+        for part in (part for batch in batches for part in slices(batch)):
+            out = []
+            for doc_id, text, known in zip(*[part.column(c).to_pylist() for c in ("doc_id", "text", "__told")], strict=True):
+                text = text or ""
+                spans = every_span(text, known)
+                out.append({"doc_id": doc_id, "text": text, "base": kinds([s for s in spans if s[2] in KINDS]), "spans": kinds(spans), "clean_text": generalised(text, spans)})
+            yield pa.RecordBatch.from_pylist(out, schema=ARROW)
 
-    if pairs.isEmpty():
-        return own.withColumn("told", F.lit(None).cast(TOLD)).mapInArrow(finish, schema)
-    mine = own.withColumn("key", F.xxhash64("text"))
-    return mine.join(disclosures_of(mine, pairs), "key", "left").select("doc_id", "text", "told").mapInArrow(finish, schema)
+    return told_rows(own, pairs).mapInArrow(finish, schema)
 
 
 def rewritten(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all their columns, with doc_id and text of its clean_text; null text stays null.
-
-    Only the words that disclose something are looked up by text; the rows themselves meet them in one join.
-    """
+    """The rows of ``docs``, all their columns, with doc_id and text of its clean_text; null text stays null."""
     pairs = staged(disclosing(texts(docs)), "pii-pairs")
-    key = F.xxhash64("text").alias("__key")
-    told = disclosures_of(texts(docs).withColumn("key", F.xxhash64("text")), pairs) if not pairs.isEmpty() else None
-    rows = docs.select("*", key)
-    rows = rows.join(told.withColumnRenamed("key", "__key"), "__key", "left") if told is not None else rows.withColumn("told", F.lit(None).cast(TOLD))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                clean = [generalised(t, every_span(t, known)) if t else t for t, known in zip(part.column("text").to_pylist(), part.column("told").to_pylist(), strict=True)]
-                columns = [pa.array(clean, pa.string()) if f == "text" else part.column(f) for f in names]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        for part in (part for batch in batches for part in slices(batch)):
+            clean = [generalised(t, every_span(t, known)) if t else t for t, known in zip(part.column("text").to_pylist(), part.column("__told").to_pylist(), strict=True)]
+            columns = [pa.array(clean, pa.string()) if f == "text" else part.column(f) for f in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = docs.columns
-    return rows.select(*[f"`{c}`" for c in names], "told").mapInArrow(run, docs.schema)
+    return told_rows(docs, pairs).mapInArrow(run, docs.schema)
 
 
+TOLD_ARROW = pa.list_(pa.struct([("entity", pa.int64()), ("word", pa.int64())]))
 SPAN = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string())]))
 ARROW = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("base", SPAN), ("spans", SPAN), ("clean_text", pa.string())])
 
