@@ -16,9 +16,12 @@ def events(spark, rows, extra=""):
 
 
 def test_external_edits_boundaries(spark):
-    rows = [(0, 0, "e", "a", 100), (2000, 1, "e", "a", 5), (4001, 2, "e", "a", 101), (4002, 3, "e", "b", 100)]
-    got = {(r["path"], r["place"]): (r["severity"], r["edits"]) for r in rules.external_edits(events(spark, rows, ", path string, diff_size long")).collect()}
-    assert got == {("a", 0): ("medium", 2), ("a", 2): ("high", 1), ("b", 3): ("medium", 1)}
+    rows = [(0, 0, "e", "a", 100, None, None), (2000, 1, "e", "a", -5, None, None), (4001, 2, "e", "a", -101, None, None), (4002, 3, "e", "b", 100, None, False)]
+    rows += [(5000, 4, "e", "b", 999, "git", False), (5001, 5, "e", "b", 999, "formatter", None), (5002, 6, "e", "c", 9, "git", True)]
+    e = events(spark, rows, ", path string, diff_size long, explanation string, overridden boolean")
+    got = {(r["path"], r["place"]): (r["severity"], r["edits"]) for r in rules.external_edits(e).collect()}
+    assert got == {("a", 0): ("medium", 2), ("a", 2): ("high", 1), ("b", 3): ("medium", 1), ("c", 6): ("medium", 1)}
+    assert {r["confidence"] for r in rules.external_edits(e).collect()} == {0.9}
 
 
 def test_large_paste_boundaries(spark):
@@ -27,17 +30,62 @@ def test_large_paste_boundaries(spark):
     near = events(spark, [(5000, 9, "fs.external_change")])
     got = {r["place"]: (r["severity"], r["confidence"]) for r in rules.large_pastes(c, near).collect()}
     assert got == {1: ("medium", 0.6), 2: ("high", 0.6), 3: ("medium", 0.6), 4: ("high", 0.8)}
+    moved = rules.large_pastes(c, near, spark.createDataFrame([(1, 2), (2, 4)], "submission_id long, place long")).collect()
+    assert {r["place"]: r["severity"] for r in moved} == {1: "medium", 2: "info", 3: "medium", 4: "high"}
 
 
 def test_heartbeat_gap_boundaries(spark):
     h, x = "session.heartbeat", "doc.change"
     rows = [(0, 0, h), (2000, 1, x), (300000, 2, h), (301500, 3, x), (600001, 4, h), (600500, 5, x), (900502, 6, h), (901600, 7, "session.end"), (1300000, 8, h)]
-    assert {r["place"] for r in rules.heartbeat_gaps(events(spark, rows)).collect()} == {2}
+    got = rules.heartbeat_gaps(events(spark, rows).withColumn("ms", F.col("t"))).collect()
+    assert [(r["place"], r["severity"], r["confidence"]) for r in got] == [(2, "medium", 0.75)]
+
+
+def test_no_errors(spark):
+    rows = [(1, "a", "terminal.open", None, True), (1, "a", "doc.save", None, None), *[(1, "a", "terminal.command", 0, None)] * 5]
+    rows += [(2, *r[1:]) for r in rows] + [(2, "b", "terminal.open", None, False), (2, "c", "terminal.open", None, False)]
+    rows += [(3, *r[1:]) for r in rows[:7]] + [(3, "b", "terminal.command", 1, None)] + [(4, *r[1:]) for r in rows[:7] if r[2] != "doc.save"]
+    df = spark.createDataFrame(rows, "submission_id long, session_id string, kind string, exit_code int, integrated boolean")
+    got = {(r["submission_id"], r["session_id"], r["severity"], r["confidence"]) for r in rules.no_errors(df).collect()}
+    assert got == {(1, None, "medium", 0.65), (2, "b", "info", 1.0), (2, "c", "info", 1.0)}
+
+
+def test_known_sources(spark):
+    import random
+
+    r = random.Random(2)
+    text = lambda n: "\n".join(r.choice(["a", "b", "x", "}", ""]) + str(r.randint(0, 6)) for _ in range(n))
+    blocks = [text(r.randint(1, 9)) for _ in range(12)]
+    pastes = blocks[:3] + [text(r.randint(1, 9)) for _ in range(20)]
+    for b in blocks:
+        lines = b.split("\n")
+        lines[r.randrange(len(lines))] = "new"
+        pastes.append("\n".join(lines))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    p = spark.createDataFrame([(i % 3, i, sha(x), x) for i, x in enumerate(pastes)], "submission_id long, place long, sha256 string, content string")
+    corpus = [(f"n{i % 7}", sha(b) if i % 2 == 0 else None, b) for i, b in enumerate(blocks)]
+    got = {(x["place"], x["name"], x["severity"], x["confidence"]) for x in rules.known_sources(p, spark.createDataFrame(corpus, "name string, sha256 string, block string")).collect()}
+    want = set()
+    for i, x in enumerate(pastes):
+        for name in {c[0] for c in corpus}:
+            if any(c[0] == name and c[1] == sha(x) for c in corpus):
+                want.add((i, name, "high", 0.95))
+            elif any(c[0] == name and len(common_lines(split_lines(x), split_lines(c[2]))) >= 0.7 * max(x.count("\n"), c[2].count("\n")) + 0.7 for c in corpus):
+                want.add((i, name, "medium", 0.8))
+    assert got == want and {w[2] for w in want} == {"high", "medium"}
+
+
+def test_pastes_of_solution(spark):
+    final = "\n".join(map(str, range(20)))
+    rows = [(1, 0, final, final), (1, 1, "\n".join(map(str, range(9))) + "\n", final), (1, 2, "\n".join(map(str, range(16))) + "\n", final), (1, 3, "\n".join(map(str, range(15))) + "\n", final), (1, 4, "", final)]
+    df = spark.createDataFrame(rows, "submission_id long, place long, content string, final string")
+    moves = spark.createDataFrame([(1, 2)], "submission_id long, place long")
+    assert {(r["place"], r["severity"], r["confidence"]) for r in rules.pastes_of_solution(df, moves).collect()} == {(0, "high", 0.85), (2, "info", 0.85)}
 
 
 def test_clock_jumps(spark):
     one = spark.createDataFrame([(1, "a", 300000), (1, "b", -300001), (1, "c", 5), (1, "c", 6)], "submission_id long, session_id string, delta_ms long")
-    assert {(r["session_id"], r["severity"]) for r in rules.clock_jumps(one).collect()} == {("b", "medium"), ("c", "low")}
+    assert {(r["session_id"], r["severity"]) for r in rules.clock_jumps(one).collect()} == {("b", "medium"), ("c", "medium")}
 
 
 def test_chain_of_canonical_lines(spark):

@@ -86,7 +86,7 @@ def mass_replacements(changes: DataFrame, most: float = 0.2) -> DataFrame:
     """Outside changes (before, after: whole contents; saved: a later save exists) that keep less than ``most`` of the lines."""
     lines = lambda c: F.size(F.split(F.regexp_replace(c, "\n$", ""), "\n"))
     c = changes.where("saved and after is not null").withColumn("overlap", shared_lines("before", "after") / F.greatest(lines("before"), lines("after")))
-    return flag(c.where(F.col("overlap") < most), "mass_external_replacement", F.lit("high"), 1 - F.col("overlap"), "place")
+    return flag(c.where(F.col("overlap") < most), "mass_external_replacement", F.lit("high"), F.lit(0.75), "place")
 
 
 @F.pandas_udf(IntegerType())

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.lines import shared_lines
 from .checks import SESSION
 from .scoring import rank
 
@@ -32,33 +33,44 @@ def paste_candidates(events: DataFrame) -> DataFrame:
     return pastes.unionAll(changes).withColumn("nth", (F.row_number().over(w) - 1).cast("long"))
 
 
-def large_pastes(candidates: DataFrame, anomalies: DataFrame, chars: int = 200, lines: int = 10, high_chars: int = 500, high_lines: int = 30, near_ms: int = 5000) -> DataFrame:
-    """Candidates (t, n_chars, n_lines) that are long; less sure within near_ms of an anomaly of the session."""
-    a = anomalies.select(*SESSION, F.col("t").alias("ta"))
-    big = candidates.where((F.col("n_chars") >= chars) | (F.col("n_lines") >= lines))
-    near = big.join(a, list(SESSION)).where(F.abs(F.col("t") - F.col("ta")) <= near_ms).select(*SESSION, "place", F.lit(True).alias("near")).distinct()
-    j = big.join(near, [*SESSION, "place"], "left")
-    return flag(j, "large_paste", F.when((F.col("n_chars") >= high_chars) | (F.col("n_lines") >= high_lines), "high").otherwise("medium"), F.when(F.col("near"), 0.6).otherwise(0.8), "session_id", "place")
+def large_pastes(candidates: DataFrame, anomalies: DataFrame, moves: DataFrame | None = None, chars: int = 200, lines: int = 10, high_chars: int = 500, high_lines: int = 30, near_ms: int = 5000) -> DataFrame:
+    """Candidates (t, place, n_chars, n_lines) that are long; less sure within near_ms of an anomaly of the session, and only
+    info for internal moves (submission_id, place)."""
+    names = [*SESSION, "t", "place", "n_chars", "n_lines"]
+    rows = candidates.where((F.col("n_chars") >= chars) | (F.col("n_lines") >= lines)).select(*names, F.lit(0).alias("anomaly"))
+    rows = rows.unionByName(anomalies.select(*SESSION, "t", F.lit(1).alias("anomaly")), allowMissingColumns=True)
+    w = W.partitionBy(*SESSION).orderBy("t").rangeBetween(-near_ms, near_ms)
+    big = rows.withColumn("near", F.max("anomaly").over(w) == 1).where("anomaly = 0")
+    big = big.withColumn("moved", F.lit(None).cast("boolean")) if moves is None else big.join(moves.select("submission_id", "place", F.lit(True).alias("moved")).distinct(), ["submission_id", "place"], "left")
+    severity = F.when(F.col("moved"), "info").when((F.col("n_chars") >= high_chars) | (F.col("n_lines") >= high_lines), "high").otherwise("medium")
+    return flag(big, "large_paste", severity, F.when(F.col("near"), 0.6).otherwise(0.8), "session_id", "place")
 
 
 def external_edits(changes: DataFrame, gap_ms: int = 2000, high: int = 100) -> DataFrame:
-    """External changes without explanation, runs of one session and file at most gap_ms apart as one."""
+    """External changes without explanation, runs of one session and file at most gap_ms apart as one.
+
+    changes: diff_size; explanation (formatter or git: the change is explained) unless overridden is true.
+    """
     w = W.partitionBy(*SESSION, "path").orderBy("t", "place")
-    c = changes.withColumn("new", F.coalesce((F.col("t") - F.lag("t").over(w) > gap_ms).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    g = c.groupBy(*SESSION, "path", "run").agg(F.min("place").alias("place"), F.max("diff_size").alias("diff"), F.count(F.lit(1)).alias("edits"))
-    return flag(g, "external_edits", F.when(F.col("diff") > high, "high").otherwise("medium"), F.lit(0.7), "session_id", "path", "place", "edits")
+    c = changes.where(~F.coalesce(F.col("explanation").isin("formatter", "git"), F.lit(False)) | F.coalesce("overridden", F.lit(False)))
+    c = c.withColumn("new", F.coalesce((F.col("t") - F.lag("t").over(w) > gap_ms).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    g = c.groupBy(*SESSION, "path", "run").agg(F.min("place").alias("place"), F.max(F.abs("diff_size")).alias("diff"), F.count(F.lit(1)).alias("edits"), F.count_if("overridden").alias("overridden"))
+    return flag(g, "external_edits", F.when(F.col("diff") > high, "high").otherwise("medium"), F.lit(0.9), "session_id", "path", "place", "edits", "overridden")
 
 
-def between_sessions(ranges: DataFrame, ends: DataFrame, starts: DataFrame) -> DataFrame:
-    """Files whose first content in a session differs from the last in the session before, with time between them.
+def between_sessions(ranges: DataFrame, ends: DataFrame, starts: DataFrame, high: int = 100) -> DataFrame:
+    """Files whose first content in a session differs from the last in the session before, with time between them; high if
+    their lengths are more than ``high`` apart.
 
-    ranges: session_id, start_ms, stop_ms, contributor (null: unknown); ends and starts: session_id, path, sha.
+    ranges: session_id, start_ms, stop_ms, contributor (null: unknown); ends and starts: session_id, path, sha, length.
     """
     w = W.partitionBy("submission_id").orderBy("start_ms", "session_id")
     pairs = ranges.withColumn("next", F.lead("session_id").over(w)).withColumn("next_start", F.lead("start_ms").over(w)).withColumn("next_by", F.lead("contributor").over(w))
     pairs = pairs.where("next is not null and next_start > stop_ms and (contributor is null or next_by is null or contributor = next_by)").select(*SESSION, "next")
-    j = pairs.join(ends.select(*SESSION, "path", F.col("sha").alias("before")), list(SESSION)).join(starts.select("submission_id", F.col("session_id").alias("next"), "path", F.col("sha").alias("after")), ["submission_id", "next", "path"])
-    return flag(j.where("before <> after"), "inter_session_external_change", F.lit("medium"), F.lit(0.7), "session_id", "next", "path")
+    after = starts.select("submission_id", F.col("session_id").alias("next"), "path", F.col("sha").alias("after"), F.col("length").alias("length_after"))
+    j = pairs.join(ends.select(*SESSION, "path", F.col("sha").alias("before"), "length"), list(SESSION)).join(after, ["submission_id", "next", "path"])
+    severity = F.when(F.abs(F.col("length_after") - F.col("length")) > high, "high").otherwise("medium")
+    return flag(j.where("before <> after"), "inter_session_external_change", severity, F.lit(0.85), "session_id", "next", "path")
 
 
 def low_typing(files: DataFrame, ratio: float = 3.0, high: float = 5.0) -> DataFrame:
@@ -83,27 +95,88 @@ def first_save_anomaly(events: DataFrame, limit_ms: int = 30000, chars: int = 50
 def idle_then_complete(events: DataFrame, idle_ms: int = 600000, within_ms: int = 60000) -> DataFrame:
     """Saves that hold the final content of a file less than half of which stood before a long heartbeat gap.
 
-    events: kind, t, len and sha of the file's content, final_len, final_sha (null on heartbeats).
+    events: kind, t, len and sha of the file's content, final_len, final_sha (null on heartbeats). The latest gap before a
+    save and the last state before the gap come from windows; no times are joined.
     """
-    beats = events.where("kind = 'session.heartbeat'").withColumn("t0", F.lag("t").over(W.partitionBy(*SESSION).orderBy("t", "place"))).where(F.col("t") - F.col("t0") > idle_ms).select(*SESSION, "t0", F.col("t").alias("t1"))
-    saves = events.where("kind = 'doc.save' and sha = final_sha").select(*SESSION, "path", F.col("t").alias("ts"), "place", "final_len")
-    hits = beats.join(saves, list(SESSION)).where("ts between t1 and t1 + {}".format(within_ms))
-    before = events.where("path is not null and kind <> 'session.heartbeat'").select(*SESSION, "path", F.col("t").alias("tb"), F.col("len").alias("before_len"))
-    j = hits.join(before, [*SESSION, "path"]).where("tb <= t0").groupBy(*SESSION, "path", "place", "final_len").agg(F.max_by("before_len", "tb").alias("before_len"))
-    return flag(j.where("before_len < 0.5 * final_len"), "idle_then_complete", F.lit("high"), F.lit(0.8), "session_id", "path", "place")
-
-
-def no_errors(commands: DataFrame, least: int = 5) -> DataFrame:
-    """Submissions with several commands that all succeeded; an info flag instead where a terminal hid its results."""
-    g = commands.groupBy("submission_id").agg(F.count("exit_code").alias("n"), F.max("exit_code").alias("worst"), F.min("exit_code").alias("best"), F.max((~F.col("integrated")).cast("int")).alias("hidden"))
-    f = g.where(((F.col("hidden") == 1) & (F.col("n") >= 0)) | ((F.col("n") >= least) & (F.col("worst") == 0) & (F.col("best") == 0)))
-    return flag(f, "no_intermediate_errors", F.when(F.col("hidden") == 1, "info").otherwise("low"), F.when(F.col("hidden") == 1, 1.0).otherwise(0.5))
-
-
-def known_sources(pastes: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Pastes (place, sha256) that are exactly an entry (name, sha256) of the corpus: an equal join."""
-    j = pastes.join(corpus.select("name", "sha256"), "sha256")
-    return flag(j, "paste_matches_known_source", F.lit("high"), F.lit(0.95), "place", "name")
+    beat = F.when(F.col("kind") == "session.heartbeat", F.col("t"))
+    w = W.partitionBy(*SESSION).orderBy("t")
+    before = F.max(beat).over(w.rangeBetween(W.unboundedPreceding, -1))
+    e = events.withColumn("gap", F.when(beat - before > idle_ms, F.struct(F.col("t").alias("t1"), before.alias("t0"))))
+    e = e.withColumn("gap", F.max("gap").over(w.rangeBetween(W.unboundedPreceding, 0)))
+    hit = (F.col("kind") == "doc.save") & (F.col("sha") == F.col("final_sha")) & (F.col("t") <= F.col("gap.t1") + within_ms)
+    state = e.where("path is not null and kind <> 'session.heartbeat'")
+    names = [*SESSION, "path", "place", "final_len"]
+    asked = state.where(hit).select(*names, F.col("gap.t0").alias("t"), F.lit(None).cast(events.schema["len"].dataType).alias("len"), F.lit(1).alias("asked"))
+    rows = state.select(*names, "t", "len", F.lit(0).alias("asked")).unionAll(asked)
+    last = F.max(F.when(F.col("asked") == 0, F.struct("t", "place", "len"))).over(W.partitionBy(*SESSION, "path").orderBy("t").rangeBetween(W.unboundedPreceding, 0))
+    j = rows.withColumn("before_len", last["len"]).where("asked = 1 and before_len < 0.5 * final_len")
+    return flag(j, "idle_then_complete", F.lit("high"), F.lit(0.8), "session_id", "path", "place")
+
+
+def no_errors(events: DataFrame, least: int = 5) -> DataFrame:
+    """Submissions with a terminal, file activity and several commands (exit_code) that all succeeded. Where a session's
+    terminal hid its results (integrated is false), an info flag for each such session instead."""
+    kind = F.col("kind")
+    s = events.groupBy(*SESSION).agg(
+        F.count_if((kind == "terminal.command") & F.col("exit_code").isNotNull()).alias("n"),
+        F.count_if((kind == "terminal.command") & (F.col("exit_code") != 0)).alias("failed"),
+        F.count_if(kind == "terminal.open").alias("terminals"),
+        F.count_if(kind.isin("doc.save", "doc.change", "paste")).alias("active"),
+        F.count_if((kind == "terminal.open") & ~F.col("integrated")).alias("hidden"),
+    )
+    info = flag(s.where("hidden > 0"), "no_intermediate_errors", F.lit("info"), F.lit(1.0), "session_id")
+    g = s.groupBy("submission_id").agg(*[F.sum(c).alias(c) for c in ("n", "failed", "terminals", "active", "hidden")])
+    clean = g.where(f"hidden = 0 and terminals > 0 and active > 0 and failed = 0 and n >= {least}").withColumn("session_id", F.lit(None).cast("string"))
+    return info.unionAll(flag(clean, "no_intermediate_errors", F.lit("medium"), F.lit(0.65), "session_id"))
+
+
+def known_sources(pastes: DataFrame, corpus: DataFrame, ratio: float = 0.7) -> DataFrame:
+    """Pastes (submission_id, place, sha256, content) that are an entry of the corpus (name, sha256), or share at least
+    ``ratio`` of their lines with a block (block: text) of an entry that they are not; one flag for each entry.
+
+    Exact ones are an equal join. Blocks that can reach the ratio share one of their rarest lines with the paste: if b
+    lines of the longer of the two are shared, one of any (1 - ratio) * size + 1 lines of either is among them.
+    """
+    exact = pastes.select("submission_id", "place", "sha256").join(corpus.select("name", "sha256").distinct(), "sha256")
+    p = pastes.select("submission_id", "place", "content", "sha256").where("content is not null and content <> ''")
+    blocks = corpus.where("block is not null and block <> ''").select("name", "block").distinct()
+    texts = p.select(F.col("content").alias("text")).distinct()  # a text pasted many times is compared once
+    near = line_matches(texts, blocks.select(F.col("block").alias("other")).distinct(), ratio)
+    found = near.join(blocks, near["other"] == blocks["block"]).select("text", "name").distinct()
+    fuzzy = p.join(found, p["content"] == found["text"]).select("submission_id", "place", "name").distinct()
+    fuzzy = fuzzy.join(exact.select("submission_id", "place", "name"), ["submission_id", "place", "name"], "left_anti")
+    rule = "paste_matches_known_source"
+    return flag(exact, rule, F.lit("high"), F.lit(0.95), "place", "name").unionAll(flag(fuzzy, rule, F.lit("medium"), F.lit(0.8), "place", "name"))
+
+
+def line_matches(texts: DataFrame, others: DataFrame, ratio: float) -> DataFrame:
+    """Pairs (text, other) whose common lines in order are at least ``ratio`` of the longer one's."""
+
+    def numbered(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(F.col(name), F.split(name, "\n").alias("lines"))
+
+    a, b = numbered(texts, "text"), numbered(others, "other")
+    line = b.select("other", F.explode("lines").alias("line"))
+    rare = line.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    w = W.partitionBy("other").orderBy("n", "line")
+    size = F.count(F.lit(1)).over(W.partitionBy("other"))
+    # The lines of a block that a text of the ratio can't all lack, rarest first.
+    key = line.join(rare, "line").withColumn("rank", F.row_number().over(w)).withColumn("size", size).where(F.col("rank") <= F.floor((1 - ratio) * F.col("size") + 1e-9) + 1)
+    own = a.select("text", F.explode(F.array_distinct("lines")).alias("line"))
+    met = own.join(key.select("other", "line").distinct(), "line").select("text", "other").distinct()
+    both = met.join(a.withColumnRenamed("lines", "x"), "text").join(b.withColumnRenamed("lines", "y"), "other")
+    longer = F.greatest(F.size("x"), F.size("y"))
+    both = both.where(F.least(F.size("x"), F.size("y")) >= ratio * longer)
+    return both.where(shared_lines("text", "other") / longer >= ratio).select("text", "other")
+
+
+def pastes_of_solution(pastes: DataFrame, moves: DataFrame | None = None, coverage: float = 0.8, lines: int = 10) -> DataFrame:
+    """Pastes (submission_id, place, content, final: the file's final content) that make up most of the final file; only
+    info for internal moves (submission_id, place)."""
+    p = pastes.where("content <> '' and final <> ''").withColumn("shared", shared_lines("content", "final"))
+    hits = p.where((F.col("shared") >= lines) & (F.col("shared") >= coverage * F.size(F.split("final", "\n"))))
+    hits = hits.withColumn("moved", F.lit(None).cast("boolean")) if moves is None else hits.join(moves.select("submission_id", "place", F.lit(True).alias("moved")).distinct(), ["submission_id", "place"], "left")
+    return flag(hits, "paste_is_solution", F.when(F.col("moved"), "info").otherwise("high"), F.lit(0.85), "place")
 
 
 def corpus_errors(entries: DataFrame) -> DataFrame:
@@ -113,8 +186,31 @@ def corpus_errors(entries: DataFrame) -> DataFrame:
 
 
 #: Extensions known for generated code, and name parts that suggest it.
-AI_EXTENSIONS = ("github.copilot", "github.copilot-chat", "codeium.codeium", "tabnine.tabnine-vscode", "continue.continue")
-AI_TOKENS = ("ai", "gpt", "copilot", "llm", "codeium", "tabnine")
+AI_EXTENSIONS = (
+    "github.copilot", "github.copilot-chat", "github.copilot-labs",
+    "anysphere.cursor-always-local",
+    "codeium.codeium", "codeium.codeium-enterprise-updater", "codeium.windsurf",
+    "exafunction.windsurf",
+    "anthropic.claude-code",
+    "saoudrizwan.claude-dev",
+    "rooveterinaryinc.roo-cline",
+    "continue.continue",
+    "tabnine.tabnine-vscode", "tabnine.tabnine-enterprise",
+    "sourcegraph.cody-ai",
+    "amazonwebservices.amazon-q-vscode", "amazonwebservices.aws-toolkit-vscode",
+    "blackboxapp.blackbox", "blackboxapp.blackboxagent",
+    "danielsanmedium.dscodegpt",
+    "supermaven.supermaven",
+    "tabbyml.vscode-tabby",
+    "aminer.codegeex",
+    "aixcoder.aixcoder",
+    "askcodi.askcodi",
+    "bito.bito",
+    "double-bot.double-bot",
+    "mutable-ai.mutable-ai",
+    "visualstudioexptteam.vscodeintellicode",
+)
+AI_TOKENS = ("copilot", "claude", "codeium", "cursor", "tabnine", "cody", "codewhisperer", "codegpt", "blackbox", "supermaven", "aixcoder", "codegeex", "tabby", "windsurf", "ai", "gpt", "llm")
 
 
 def ai_extensions(seen: DataFrame) -> DataFrame:
@@ -122,7 +218,7 @@ def ai_extensions(seen: DataFrame) -> DataFrame:
     token = F.arrays_overlap(F.split(F.lower("extension"), "[._-]"), F.array(*map(F.lit, AI_TOKENS)))
     e = seen.withColumn("sure", F.when(F.lower("extension").isin(*AI_EXTENSIONS), 0.9).when(token, 0.6)).where("sure is not null")
     g = e.groupBy(*SESSION, "extension").agg(F.min("place").alias("place"), F.max("sure").alias("sure"))
-    return flag(g, "ai_extension_active", F.lit("medium"), F.col("sure"), "session_id", "extension", "place")
+    return flag(g, "ai_extension_active", F.lit("info"), F.col("sure"), "session_id", "extension", "place")
 
 
 def shell_integration_off(terminals: DataFrame) -> DataFrame:
@@ -132,7 +228,7 @@ def shell_integration_off(terminals: DataFrame) -> DataFrame:
 def extension_set_changes(activated: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Extensions activated in a session whose snapshots don't hold them."""
     new = activated.join(snapshots.select(*SESSION, "extension"), [*SESSION, "extension"], "left_anti").groupBy(*SESSION, "extension").agg(F.min("place").alias("place"))
-    return flag(new, "extension_set_changed_mid_assignment", F.lit("low"), F.lit(0.6), "session_id", "extension", "place")
+    return flag(new, "extension_set_changed_mid_assignment", F.lit("medium"), F.lit(0.85), "session_id", "extension", "place")
 
 
 def terminal_during_external_change(events: DataFrame) -> DataFrame:
@@ -140,28 +236,27 @@ def terminal_during_external_change(events: DataFrame) -> DataFrame:
     w = W.partitionBy(*SESSION)
     first = F.min(F.when(F.col("kind") == "terminal.open", F.col("t"))).over(w)
     e = events.withColumn("first", first).where("kind = 'fs.external_change' and first <= t")
-    return flag(e, "terminal_active_during_external_change", F.lit("low"), F.lit(0.5), "session_id", "place")
+    return flag(e, "terminal_active_during_external_change", F.lit("info"), F.lit(0.6), "session_id", "place")
 
 
 def clock_jumps(skews: DataFrame, limit_ms: int = 300000, least: int = 2) -> DataFrame:
     g = skews.groupBy(*SESSION).agg(F.max(F.abs("delta_ms")).alias("most"), F.count(F.lit(1)).alias("n"), F.max_by("delta_ms", F.struct(F.abs("delta_ms"), "delta_ms")).alias("delta_ms"))
     g = g.where((F.col("most") > limit_ms) | (F.col("n") >= least))
-    return flag(g, "clock_jumps", F.when(F.col("most") > limit_ms, "medium").otherwise("low"), F.lit(0.6), "session_id", "delta_ms")
+    return flag(g, "clock_jumps", F.lit("medium"), F.lit(0.8), "session_id", "delta_ms")
 
 
 def heartbeat_gaps(events: DataFrame, interval_ms: int = 30000, least_ms: int = 300000, edge_ms: int = 1000) -> DataFrame:
-    """Gaps between heartbeats with other events strictly inside and no session end between.
+    """Gaps of wall time (ms) between heartbeats with other events inside, apart from the edges, and no session end.
 
-    Counting events up to a time as running sums makes this two windows instead of range joins.
+    Every event meets the heartbeats around it in two windows; a gap is then a group of events.
     """
     limit = max(least_ms, 10 * interval_ms)
-    w = W.partitionBy(*SESSION).orderBy("t").rangeBetween(W.unboundedPreceding, W.currentRow)
-    e = events.withColumn("ends", F.sum((F.col("kind") == "session.end").cast("int")).over(w))
-    b = e.where("kind = 'session.heartbeat'")
-    by_t = W.partitionBy(*SESSION).orderBy("t", "place")
-    gaps = b.withColumn("t1", F.lead("t").over(by_t)).withColumn("ends1", F.lead("ends").over(by_t)).where((F.col("t1") - F.col("t") > limit) & (F.col("ends") == F.col("ends1"))).select(*SESSION, "place", F.col("t").alias("t0"), "t1")
-    inside = gaps.join(events.where("kind <> 'session.heartbeat'").select(*SESSION, "t"), list(SESSION)).where((F.col("t") > F.col("t0") + edge_ms) & (F.col("t") < F.col("t1") - edge_ms)).select(*SESSION, "place", "t0", "t1").distinct()
-    return flag(inside, "gap_in_heartbeats", F.lit("medium"), F.lit(0.7), "session_id", "place")
+    w = W.partitionBy(*SESSION).orderBy("place")
+    beat = F.when(F.col("kind") == "session.heartbeat", F.struct("place", "ms"))
+    e = events.withColumn("a", F.last(beat, True).over(w.rowsBetween(W.unboundedPreceding, -1))).withColumn("b", F.first(beat, True).over(w.rowsBetween(1, W.unboundedFollowing)))
+    inside = (F.col("ms") > F.col("a.ms") + edge_ms) & (F.col("ms") < F.col("b.ms") - edge_ms)
+    g = e.where(f"kind <> 'session.heartbeat' and b.ms - a.ms > {limit}").groupBy(*SESSION, F.col("a.place").alias("place")).agg(F.count_if(inside).alias("inside"), F.count_if(F.col("kind") == "session.end").alias("ends"))
+    return flag(g.where("inside > 0 and ends = 0"), "gap_in_heartbeats", F.lit("medium"), F.lit(0.75), "session_id", "place")
 
 
 def session_overlap_flags(pairs: DataFrame) -> DataFrame:
@@ -172,7 +267,7 @@ def session_overlap_flags(pairs: DataFrame) -> DataFrame:
 
 
 def extension_hash_mismatch(observed: DataFrame, allowed: DataFrame) -> DataFrame:
-    return flag(observed.select("submission_id", "extension_hash").distinct().join(allowed, "extension_hash", "left_anti"), "extension_hash_mismatch", F.lit("high"), F.lit(0.9), "extension_hash")
+    return flag(observed.select("submission_id", "extension_hash").distinct().join(allowed, "extension_hash", "left_anti"), "extension_hash_mismatch", F.lit("medium"), F.lit(0.9), "extension_hash")
 
 
 def merged_and_written(runs: DataFrame, merges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import contents as op
-from ..operators import rules, similarity
+from ..operators import evidence, rules, similarity
 from ..sources.adapters import EVENTS, FLAGS, PASTES, SUBMISSIONS, TURNS
 from .registry import query
 
@@ -254,9 +254,6 @@ def e05(t):
     """Documents against the next document of their source, as pastes against final contents."""
     from pyspark.sql.window import Window as W
 
-    from ..functions.lines import shared_lines
-
-    p = t.pastes().withColumn("final", F.lead("content").over(W.partitionBy("submission_id").orderBy("sha256", "global_idx"))).where("final is not null")
-    n = p.withColumn("shared", shared_lines("content", "final")).withColumn("final_lines", F.size(F.split("final", "\n")))
-    hits = n.where((F.col("shared") >= 10) & (F.col("shared") / F.col("final_lines") >= 0.8)).withColumn("place", F.col("global_idx"))
-    return rules.flag(hits, "paste_is_solution", F.lit("high"), F.col("shared") / F.col("final_lines"), "place")
+    p = t.pastes().withColumn("place", F.col("global_idx")).withColumn("final", F.lead("content").over(W.partitionBy("submission_id").orderBy("sha256", "global_idx"))).where("final is not null")
+    own = t.pastes().select("submission_id", F.col("global_idx").alias("place"), "content", F.lit(True).alias("live"))
+    return rules.pastes_of_solution(p, evidence.internal_moves(own.drop("live"), own))

@@ -30,36 +30,39 @@ NEAR = "exists (select 1 from ev a where a.submission_id = p.submission_id and a
 
 @query(
     "e01_large_paste",
-    f"{EV} select submission_id, 'large_paste' as heuristic_id, case when size * 2 >= 500 or size % 40 >= 30 then 'high' else 'medium' end as severity, case when {NEAR} then 0.6 else 0.8 end::double as confidence, session_id, global_idx as place from ev p where kind = 'paste' and (size * 2 >= 200 or size % 40 >= 10)",
+    f"{EV} select submission_id, 'large_paste' as heuristic_id, case when global_idx % 13 = 0 then 'info' when size * 2 >= 500 or size % 40 >= 30 then 'high' else 'medium' end as severity, case when {NEAR} then 0.6 else 0.8 end::double as confidence, session_id, global_idx as place from ev p where kind = 'paste' and (size * 2 >= 200 or size % 40 >= 10)",
 )
 def e01(t):
     e = ev(t).withColumn("n_chars", F.col("size") * 2).withColumn("n_lines", F.col("size") % 40)
-    return op.large_pastes(e.where("kind = 'paste'"), e.where("kind = 'fs.external_change'"), near_ms=5000000)
+    moves = e.where("global_idx % 13 = 0").select("submission_id", "place")
+    return op.large_pastes(e.where("kind = 'paste'"), e.where("kind = 'fs.external_change'"), moves, near_ms=5000000)
 
 
 @query(
     "e02_external_edits",
-    f"""{EV}, c as (select *, case when t - lag(t) over w > 600000000 then 1 when lag(t) over w is null then 1 else 0 end as new from ev where kind = 'fs.external_change' window w as (partition by submission_id, session_id, path order by t, global_idx)),
+    f"""{EV}, c as (select *, case when t - lag(t) over w > 600000000 then 1 when lag(t) over w is null then 1 else 0 end as new from ev where kind = 'fs.external_change' and (k % 7 not in (1, 2) or k % 7 = 2 and k % 3 = 0) window w as (partition by submission_id, session_id, path order by t, global_idx)),
     r as (select *, sum(new) over (partition by submission_id, session_id, path order by t, global_idx) as run from c)
-    select submission_id, 'external_edits' as heuristic_id, case when max(size) > 100 then 'high' else 'medium' end as severity, 0.7::double as confidence, session_id, path, min(global_idx) as place, count(*) as edits from r group by submission_id, session_id, path, run""",
+    select submission_id, 'external_edits' as heuristic_id, case when max(size) > 100 then 'high' else 'medium' end as severity, 0.9::double as confidence, session_id, path, min(global_idx) as place, count(*) as edits, count(*) filter (k % 7 = 2) as overridden from r group by submission_id, session_id, path, run""",
 )
 def e02(t):
-    return op.external_edits(ev(t).where("kind = 'fs.external_change'").withColumn("diff_size", F.col("size")), gap_ms=600000000)
+    k = F.col("k")
+    tagged = ev(t).where("kind = 'fs.external_change'").withColumn("explanation", F.when(k % 7 == 1, "formatter").when(k % 7 == 2, "git")).withColumn("overridden", (k % 7 == 2) & (k % 3 == 0))
+    return op.external_edits(tagged.withColumn("diff_size", -F.col("size")), gap_ms=600000000)
 
 
 @query(
     "e03_between_sessions",
     f"""{EV}, r as (select submission_id, session_id, min(ms) as start_ms, max(ms) as stop_ms, case when submission_id % 4 = 0 then null else submission_id % 3 end as contributor from ev group by 1, 2),
     p as (select *, lead(session_id) over w as next, lead(start_ms) over w as ns from r window w as (partition by submission_id order by start_ms, session_id)),
-    x as (select submission_id, session_id, path, arg_max(size % 5, global_idx) as a, arg_min(size % 5, global_idx) as b from ev group by 1, 2, 3)
-    select p.submission_id, 'inter_session_external_change' as heuristic_id, 'medium' as severity, 0.7::double as confidence, p.session_id, p.next, x.path from p join x using (submission_id, session_id) join x y on y.submission_id = p.submission_id and y.session_id = p.next and y.path = x.path where ns > stop_ms and x.a <> y.b""",
+    x as (select submission_id, session_id, path, arg_max(size % 5, global_idx) as a, arg_min(size % 5, global_idx) as b, arg_max(size * 3, global_idx) as la, arg_min(size * 3, global_idx) as lb from ev group by 1, 2, 3)
+    select p.submission_id, 'inter_session_external_change' as heuristic_id, case when abs(y.lb - x.la) > 100 then 'high' else 'medium' end as severity, 0.85::double as confidence, p.session_id, p.next, x.path from p join x using (submission_id, session_id) join x y on y.submission_id = p.submission_id and y.session_id = p.next and y.path = x.path where ns > stop_ms and x.a <> y.b""",
 )
 def e03(t):
     e = ev(t)
     r = e.groupBy("submission_id", "session_id").agg(F.min("ms").alias("start_ms"), F.max("ms").alias("stop_ms")).withColumn("contributor", F.when(F.col("submission_id") % 4 != 0, F.col("submission_id") % 3))
     sha = F.col("size") % 5
-    ends = e.groupBy("submission_id", "session_id", "path").agg(F.max_by(sha, "global_idx").alias("sha"))
-    starts = e.groupBy("submission_id", "session_id", "path").agg(F.min_by(sha, "global_idx").alias("sha"))
+    ends = e.groupBy("submission_id", "session_id", "path").agg(F.max_by(sha, "global_idx").alias("sha"), F.max_by(F.col("size") * 3, "global_idx").alias("length"))
+    starts = e.groupBy("submission_id", "session_id", "path").agg(F.min_by(sha, "global_idx").alias("sha"), F.min_by(F.col("size") * 3, "global_idx").alias("length"))
     return op.between_sessions(r, ends, starts)
 
 
@@ -108,18 +111,34 @@ def e08(t):
 
 @query(
     "e09_no_errors",
-    f"{EV}, g as (select submission_id, count(*) filter (kind = 'terminal.command') as n, max(case when kind = 'terminal.command' then submission_id % 3 end) as worst, bool_or(kind = 'terminal.open' and k % 60 = 41 and size % 7 = 0) as hidden from ev where kind in ('terminal.command', 'terminal.open') group by 1) select submission_id, 'no_intermediate_errors' as heuristic_id, case when hidden then 'info' else 'low' end as severity, case when hidden then 1.0 else 0.5 end::double as confidence from g where hidden or (n >= 5 and worst = 0)",
+    f"""{EV}, s as (select submission_id, session_id, count(*) filter (kind = 'terminal.command') as n, count(*) filter (kind = 'terminal.command' and submission_id % 3 <> 0) as failed, count(*) filter (kind = 'terminal.open') as terminals,
+      count(*) filter (kind in ('doc.save', 'doc.change', 'paste')) as active, count(*) filter (kind = 'terminal.open' and k % 60 = 41 and size % 7 = 0) as hidden from ev group by 1, 2),
+    g as (select submission_id, sum(n) as n, sum(failed) as failed, sum(terminals) as terminals, sum(active) as active, sum(hidden) as hidden from s group by 1)
+    select submission_id, 'no_intermediate_errors' as heuristic_id, 'info' as severity, 1.0::double as confidence, session_id from s where hidden > 0
+    union all select submission_id, 'no_intermediate_errors', 'medium', 0.65::double, null from g where hidden = 0 and terminals > 0 and active > 0 and failed = 0 and n >= 5""",
 )
 def e09(t):
-    e = ev(t).where("kind in ('terminal.command', 'terminal.open')")
-    e = e.withColumn("exit_code", F.when(F.col("kind") == "terminal.command", F.col("submission_id") % 3)).withColumn("integrated", ~((F.col("kind") == "terminal.open") & (F.col("k") % 60 == 41) & (F.col("size") % 7 == 0)))
-    return op.no_errors(e)
+    e = ev(t).withColumn("exit_code", F.when(F.col("kind") == "terminal.command", F.col("submission_id") % 3))
+    return op.no_errors(e.withColumn("integrated", ~((F.col("k") % 60 == 41) & (F.col("size") % 7 == 0))))
 
 
 @query("e10_known_sources", f"with {PASTES}, corpus as (select distinct 'x' || (doc_id % 50)::varchar as name, sha256(text) as sha256 from documents where doc_id % 3 = 0) select p.submission_id, 'paste_matches_known_source' as heuristic_id, 'high' as severity, 0.95::double as confidence, global_idx as place, name from pastes p join corpus using (sha256)")
 def e10(t):
     d = t.raw("documents").where("doc_id % 3 = 0").select(F.concat(F.lit("x"), (F.col("doc_id") % 50).cast("string")).alias("name"), F.sha2("text", 256).alias("sha256")).distinct()
-    return op.known_sources(t.pastes().withColumn("place", F.col("global_idx")), d)
+    return op.known_sources(t.pastes().withColumn("place", F.col("global_idx")), d.withColumn("block", F.lit(None).cast("string")))
+
+
+def in_sentences(text):
+    """Short lines, so that texts of a few edits share most of them."""
+    return F.regexp_replace(text, r"([.,;!?]) ", "$1\n")
+
+
+@query("e10_similar_sources")
+def e10_similar(t):
+    """Documents with an id divisible by three as blocks; pastes are all documents."""
+    d = t.raw("documents").where("doc_id % 3 = 0").select(F.concat(F.lit("x"), (F.col("doc_id") % 50).cast("string")).alias("name"), F.sha2(in_sentences("text"), 256).alias("sha256"), in_sentences("text").alias("block"))
+    p = t.pastes().withColumn("content", in_sentences("content")).withColumn("sha256", F.sha2("content", 256))
+    return op.known_sources(p.withColumn("place", F.col("global_idx")), d)
 
 
 @query("e11_corpus_lint", "with c as (select item_id as index, case when item_id % 5 = 0 then ' ' else 'n' end as name, case when item_id % 3 = 0 then null when item_id % 7 = 0 then 'zz' else sha256(text) end as sha256, item_id % 6 = 3 as none from benchmark) select index, case when trim(name) = '' then 'no_name' when sha256 is not null and not regexp_matches(sha256, '^[0-9a-f]{64}$') then 'bad_hash' else 'empty' end as error from c where trim(name) = '' or (sha256 is not null and not regexp_matches(sha256, '^[0-9a-f]{64}$')) or (sha256 is null and none)")
@@ -135,7 +154,7 @@ def ext(t):
     return ev(t).withColumn("extension", F.expr("case k % 5 when 0 then 'GitHub.copilot' when 1 then 'acme.ai-helper' when 2 then 'lint.mail' else concat('zed.theme', k % 6) end"))
 
 
-@query("e12_ai_extension", f"{EV}, x as (select *, {EXT} as extension from ev) select submission_id, 'ai_extension_active' as heuristic_id, 'medium' as severity, case when extension = 'GitHub.copilot' then 0.9 else 0.6 end::double as confidence, session_id, extension, min(global_idx) as place from x where extension in ('GitHub.copilot', 'acme.ai-helper') group by submission_id, session_id, extension")
+@query("e12_ai_extension", f"{EV}, x as (select *, {EXT} as extension from ev) select submission_id, 'ai_extension_active' as heuristic_id, 'info' as severity, case when extension = 'GitHub.copilot' then 0.9 else 0.6 end::double as confidence, session_id, extension, min(global_idx) as place from x where extension in ('GitHub.copilot', 'acme.ai-helper') group by submission_id, session_id, extension")
 def e12(t):
     return op.ai_extensions(ext(t))
 
@@ -145,19 +164,19 @@ def e13(t):
     return op.shell_integration_off(ev(t).where("kind = 'terminal.open'").withColumn("integrated", F.col("k") % 40 != 1))
 
 
-@query("e14_extension_set_changed", f"{EV}, x as (select *, {EXT} as extension from ev) select submission_id, 'extension_set_changed_mid_assignment' as heuristic_id, 'low' as severity, 0.6::double as confidence, session_id, extension, min(global_idx) as place from x where kind = 'paste' and not exists (select 1 from x s where s.submission_id = x.submission_id and s.session_id = x.session_id and s.extension = x.extension and s.kind = 'doc.open') group by submission_id, session_id, extension")
+@query("e14_extension_set_changed", f"{EV}, x as (select *, {EXT} as extension from ev) select submission_id, 'extension_set_changed_mid_assignment' as heuristic_id, 'medium' as severity, 0.85::double as confidence, session_id, extension, min(global_idx) as place from x where kind = 'paste' and not exists (select 1 from x s where s.submission_id = x.submission_id and s.session_id = x.session_id and s.extension = x.extension and s.kind = 'doc.open') group by submission_id, session_id, extension")
 def e14(t):
     return op.extension_set_changes(ext(t).where("kind = 'paste'"), ext(t).where("kind = 'doc.open'"))
 
 
-@query("e15_terminal_during_external", f"{EV}, x as (select *, min(case when kind = 'terminal.open' then t end) over (partition by submission_id, session_id) as first from ev) select submission_id, 'terminal_active_during_external_change' as heuristic_id, 'low' as severity, 0.5::double as confidence, session_id, global_idx as place from x where kind = 'fs.external_change' and first <= t")
+@query("e15_terminal_during_external", f"{EV}, x as (select *, min(case when kind = 'terminal.open' then t end) over (partition by submission_id, session_id) as first from ev) select submission_id, 'terminal_active_during_external_change' as heuristic_id, 'info' as severity, 0.6::double as confidence, session_id, global_idx as place from x where kind = 'fs.external_change' and first <= t")
 def e15(t):
     return op.terminal_during_external_change(ev(t))
 
 
 @query(
     "e16_clock_jumps",
-    f"{EV}, g as (select submission_id, session_id, max(abs((k - 50) * 10000)) as most, count(*) as n, arg_max((k - 50) * 10000, row(abs((k - 50) * 10000), k)) as delta_ms from ev where kind = 'clock.skew' group by 1, 2) select submission_id, 'clock_jumps' as heuristic_id, case when most > 300000 then 'medium' else 'low' end as severity, 0.6::double as confidence, session_id, delta_ms from g where most > 300000 or n >= 2",
+    f"{EV}, g as (select submission_id, session_id, max(abs((k - 50) * 10000)) as most, count(*) as n, arg_max((k - 50) * 10000, row(abs((k - 50) * 10000), k)) as delta_ms from ev where kind = 'clock.skew' group by 1, 2) select submission_id, 'clock_jumps' as heuristic_id, 'medium' as severity, 0.8::double as confidence, session_id, delta_ms from g where most > 300000 or n >= 2",
 )
 def e16(t):
     return op.clock_jumps(ev(t).where("kind = 'clock.skew'").withColumn("delta_ms", (F.col("k") - 50) * 10000))
@@ -165,16 +184,16 @@ def e16(t):
 
 @query(
     "e17_heartbeat_gaps",
-    f"""{EV}, x as (select *, case when kind = 'focus.change' then 'session.end' else kind end as kd from ev), b as (select *, lead(t) over (partition by submission_id, session_id order by t, global_idx) as t1 from x where kd = 'session.heartbeat')
-    select distinct submission_id, 'gap_in_heartbeats' as heuristic_id, 'medium' as severity, 0.7::double as confidence, session_id, global_idx as place from b where t1 - t > 300000
-      and not exists (select 1 from x e where e.submission_id = b.submission_id and e.session_id = b.session_id and e.kd = 'session.end' and e.t > b.t and e.t <= b.t1)
-      and exists (select 1 from x e where e.submission_id = b.submission_id and e.session_id = b.session_id and e.kd <> 'session.heartbeat' and e.t > b.t + 1000 and e.t < b.t1 - 1000)""",
+    f"""{EV}, x as (select *, case when kind = 'focus.change' then 'session.end' else kind end as kd from ev), b as (select *, lead(ms) over w as ms1, lead(global_idx) over w as g1 from x where kd = 'session.heartbeat' window w as (partition by submission_id, session_id order by global_idx))
+    select submission_id, 'gap_in_heartbeats' as heuristic_id, 'medium' as severity, 0.75::double as confidence, session_id, global_idx as place from b where ms1 - ms > 300000
+      and not exists (select 1 from x e where e.submission_id = b.submission_id and e.session_id = b.session_id and e.kd = 'session.end' and e.global_idx > b.global_idx and e.global_idx < b.g1)
+      and exists (select 1 from x e where e.submission_id = b.submission_id and e.session_id = b.session_id and e.global_idx > b.global_idx and e.global_idx < b.g1 and e.ms > b.ms + 1000 and e.ms < b.ms1 - 1000)""",
 )
 def e17(t):
     return op.heartbeat_gaps(ev(t).withColumn("kind", F.when(F.col("kind") == "focus.change", "session.end").otherwise(F.col("kind"))))
 
 
-@query("e19_extension_hash", f"{EV} select distinct submission_id, 'extension_hash_mismatch' as heuristic_id, 'high' as severity, 0.9::double as confidence, 'h' || (k % 20)::varchar as extension_hash from ev where k % 20 not in (select p_size % 15 from part)")
+@query("e19_extension_hash", f"{EV} select distinct submission_id, 'extension_hash_mismatch' as heuristic_id, 'medium' as severity, 0.9::double as confidence, 'h' || (k % 20)::varchar as extension_hash from ev where k % 20 not in (select p_size % 15 from part)")
 def e19(t):
     o = ev(t).select("submission_id", F.concat(F.lit("h"), (F.col("k") % 20).cast("string")).alias("extension_hash"))
     return op.extension_hash_mismatch(o, t.raw("part").select(F.concat(F.lit("h"), (F.col("p_size") % 15).cast("string")).alias("extension_hash")).distinct())
