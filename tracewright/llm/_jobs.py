@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import discard, new_path, on_workers, staged
+from ..plans.staging import delete, discard, new_path, on_workers, staged
 
-__all__ = ["discard", "new_path", "on_workers", "staged", "texts"]
+__all__ = ["delete", "discard", "new_path", "on_workers", "staged", "texts"]
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,43 +1,60 @@
-"""Removal of long repeated byte strings with a logarithmic family of sparse suffix arrays.
-
-A string of LENGTH bytes is represented by its anchor: the place inside it where the hash of GRAM bytes is smallest. Equal
-strings have equal anchor hashes, so a suffix array needs only one entry for each stretch of strings with one anchor
-(about one in 185 bytes), ordered by the anchor's hash, then by a hash of all strings of the stretch. Batches of texts
-come one after another. Each gets its suffix array, which is scanned in one merge against every level of the family, and
-against itself, for anchors that stand more than once; then it enters level 0, and two arrays on one level are merged
-into the next, so a level holds 2**i batches and an entry is written again at most log2(batches) times.
-
-Only stretches with a shared anchor can hold a repeated string: one that another stretch has, or that stands twice in the
-stretch itself, as in text with a short period. If all strings of the stretch are equal to those of
-another, they are repeated. If not, the stretch's bytes go to the others of its anchor and every string of LENGTH bytes is
-compared by its hash; an anchor with more than GROUP different stretches is compared by rows of string hashes instead,
-so that no task has to hold it.
-
-Texts that occur more than once take part once, by the row with the smallest id; all their strings are repeated. Null text counts as empty: nothing to
-remove. Every input row gives a row. Rows with equal text, whatever their ids, count as different places.
+"""Removal of long repeated byte strings with a logarithmic family of suffix arrays.
+
+Every string of LENGTH bytes has an anchor: the leftmost of its GRAM-byte strings with the smallest hash. Equal strings
+have their anchors at equal places, so an array needs only the suffixes that start at an anchor, about one in 185; the
+strings with one anchor are its stretch. A suffix is held by its first GRAM bytes, which all strings of its stretch share.
+
+Texts come in batches of SLOT_BYTES for each task slot of the session. A batch gets its suffix array: anchored suffixes
+dealt to buckets and in order of bytes. It is merge-scanned against itself and against every level of the family for
+suffixes that more than one place has (sort-merge joins of tables with the same buckets: nothing moves), then enters level
+0. FAN arrays of one level are merged into one of the next, so an array on level i holds FAN**i batches and an entry is
+written again at most log(batches) times, to the base FAN.
+
+Stretches of one suffix are then looked at byte by byte: those that are equal as a whole are repeated, known by a 128-bit
+digest; the others' bytes go to one task, which sorts all their strings of LENGTH bytes by doubling ranks, a suffix array
+in which equal neighbours (a common prefix of LENGTH) are repeated. A suffix whose stretches hold more than GROUP_BYTES
+is split: its strings become rows, counted by digest, so that no task has to hold them.
+
+    null or short text    nothing to remove
+    texts that stand more than once   all their bytes are repeated; their other strings take part once
+    very long texts       are cut into overlapping chunks for the array, so a task holds a text and a chunk's tables
+    repeated ids          every input row gives a row; equal text in two rows is in two places
 """
 
 from __future__ import annotations
 
 import functools
+import uuid
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._jobs import discard, staged, texts
+from ._jobs import delete, discard, new_path, staged, texts
+from .bpe import slices
 from .near_dup import GOLDEN, U, mixed
 
 LENGTH = 400
 GRAM = 32
-BATCHES = 4
-GROUP = 20_000
-#: Bytes of stretches that a task compares at once.
-HELD = 8 << 20
-
-ENTRIES = "key long, stretch long, text_key binary, start int, n int, tied boolean"
+#: Bytes of text of a batch for each task slot of the session.
+SLOT_BYTES = 32 << 20
+#: Arrays of a level that are merged.
+FAN = 4
+#: Bytes of one suffix's different stretches that a task compares.
+GROUP_BYTES = 2 << 20
+#: Bytes of stretches of several suffixes that a task compares at once.
+HELD = 1 << 20
+#: Bytes of text whose anchors are searched at once.
+CHUNK = 1 << 20
+#: Texts that a task remembers to have seen.
+SEEN = 200_000
+
+ENTRIES = "suffix binary, digest binary, text_key binary, start int, n int"
+SPANS = "text_key binary, start int, stop int"
 
 
 @functools.lru_cache(maxsize=1)
@@ -45,29 +62,6 @@ def byte_values() -> np.ndarray:
     return mixed(np.arange(1, 257, dtype=U) * GOLDEN) | U(1)
 
 
-def window_hashes(data: np.ndarray, *lengths: int) -> list[np.ndarray]:
-    """Hash of every string of each length; longer ones are put together from strings of powers of two."""
-    power, factor, have = 1, U(0xD1342543DE82EF95), byte_values()[data]
-    parts: list[list[tuple[np.ndarray, int]]] = [[] for _ in lengths]
-    most = max(lengths)
-    with np.errstate(over="ignore"):
-        while power <= most:
-            for out, length in zip(parts, lengths, strict=True):
-                if length & power:
-                    out.append((have, power))
-            have = have[:-power] * factor + have[power:] if len(have) > power else have[:0]
-            factor, power = factor * factor, power * 2
-        found = []
-        for out, length in zip(parts, lengths, strict=True):
-            n = max(0, len(data) - length + 1)
-            total, at = np.zeros(n, U), 0
-            for piece, size in out:
-                total = mixed(total ^ piece[at : at + n]) if len(out) > 1 else mixed(piece[:n])
-                at += size
-            found.append(total)
-    return found
-
-
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` neighbours: of the end of one block and the start of the next."""
     n = len(x)
@@ -79,83 +73,189 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def suffix_array(docs: DataFrame) -> DataFrame:
-    """ENTRIES of texts (text_key, text): stretches of strings with one anchor hash, ``n`` strings from byte ``start``."""
+def anchors(data: np.ndarray) -> np.ndarray:
+    """The anchor's place for every string of LENGTH bytes."""
+    have, factor, size = byte_values()[data], U(0xD1342543DE82EF95), 1
+    with np.errstate(over="ignore"):
+        while size < GRAM:
+            have = have[:-size] * factor + have[size:]
+            factor, size = factor * factor, 2 * size
+    # Upper half of the hash, then the place: the leftmost of equals is the smallest.
+    placed = (mixed(have) & U(0xFFFFFFFF << 32)) | np.arange(len(have), dtype=U)
+    return (sliding_min(placed, LENGTH - GRAM + 1) & U(0xFFFFFFFF)).astype(np.int64)
+
+
+def stretches(pieces: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All pieces one after another; where each begins; and for each stretch its piece, first string, number of strings
+    and anchor (places in all pieces)."""
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    base, strings = np.cumsum(sizes) - sizes, np.maximum(sizes - LENGTH + 1, 0)
+    data = b"".join(pieces)
+    if not strings.sum():
+        return data, base, *[np.zeros(0, np.int64)] * 4
+    piece = np.repeat(np.arange(len(pieces)), strings)
+    string = np.arange(len(piece)) - np.repeat(np.cumsum(strings) - strings, strings) + base[piece]
+    anchor = anchors(np.frombuffer(data, np.uint8))[string]
+    first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+    return data, base, piece[first], string[first], np.diff(np.r_[first, len(anchor)]), anchor[first]
+
+
+def entries_and_spans(keys: list[bytes], offsets: list[int], pieces: list[bytes]) -> pa.RecordBatch:
+    """ENTRIES of pieces of texts. A stretch that stands more than once among them gives one entry, and spans (rows without
+    suffix) for all its places, so that what many texts share is a row for each task and not for each text."""
+    data, base, piece, start, n, anchor = stretches(pieces)
+    digest = [xxhash.xxh3_128_digest(data[a : a + k + LENGTH - 1]) for a, k in zip(start.tolist(), n.tolist(), strict=True)]
+    count = Counter(digest)
+    place = start - base[piece] + np.array(offsets, np.int64)[piece]
+    last = {d: i for i, d in enumerate(digest)}
+    own = np.array(sorted(last.values()), np.int64)
+    again = np.flatnonzero([count[d] > 1 for d in digest]) if len(last) < len(digest) else own[:0]
+    suffix: list[bytes | None] = [data[a : a + GRAM] for a in anchor[own].tolist()]
+    rows = [(piece[own], place[own], n[own])]
+    if len(again):
+        p, a, b = piece[again], place[again], (place + n)[again]
+        new = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (a[1:] != b[:-1])])
+        rows.append((p[new], a[new], np.r_[b[new[1:] - 1], b[-1:]] - a[new]))
+        suffix += [None] * len(new)
+    which, at, strings = (np.concatenate(x) for x in zip(*rows, strict=True))
+    digests = [digest[i] for i in own.tolist()] + [None] * (len(which) - len(own))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(suffix, pa.binary()), pa.array(digests, pa.binary()), pa.array([keys[i] for i in which.tolist()], pa.binary()), pa.array(at.astype(np.int32)), pa.array(strings.astype(np.int32))],
+        names=["suffix", "digest", "text_key", "start", "n"],
+    )
+
+
+def suffixes(docs: DataFrame) -> DataFrame:
+    """ENTRIES of texts (text_key, text), and spans of strings already known to be repeated (suffix is null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                data = np.frombuffer(text.encode(), np.uint8) if text else b""
-                if len(data) < LENGTH:
-                    continue
-                grams, strings = window_hashes(data, GRAM, LENGTH)
-                least = sliding_min(grams, LENGTH - GRAM + 1)
-                start = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-                n = np.diff(np.r_[start, len(least)])
-                inside = np.arange(len(strings), dtype=U) - np.repeat(start, n).astype(U)
-                with np.errstate(over="ignore"):
-                    whole = np.add.reduceat(mixed(strings + inside * GOLDEN), start)
-                width = LENGTH - GRAM
-                tied = np.array([np.count_nonzero(grams[a : a + k + width] == v) > 1 for a, k, v in zip(start.tolist(), n.tolist(), least[start], strict=True)])
-                for column, values in zip(out, (least[start].view(np.int64), whole.view(np.int64), np.full(len(start), i), start, n, tied), strict=True):
-                    column.append(values)
-            if out[0]:
-                key, stretch, at, start, n, tied = map(np.concatenate, out)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(stretch), batch.column("text_key").take(pa.array(at)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(tied)], names=["key", "stretch", "text_key", "start", "n", "tied"])
+            for part in slices(batch, CHUNK):
+                keys, offsets, pieces = [], [], []
+                for key, text in zip(part.column("text_key").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    if key in seen:
+                        continue
+                    if len(seen) > SEEN:
+                        seen.clear()
+                    seen.add(key)
+                    data = (text or "").encode()
+                    for at in range(0, len(data) - LENGTH + 1, CHUNK):
+                        keys.append(key), offsets.append(at), pieces.append(data[at : at + CHUNK + LENGTH - 1])
+                        if at:
+                            yield entries_and_spans(keys, offsets, pieces)
+                            keys, offsets, pieces = [], [], []
+                if pieces:
+                    yield entries_and_spans(keys, offsets, pieces)
 
     return docs.select("text_key", "text").mapInArrow(run, ENTRIES)
 
 
-def sorted_array(entries: DataFrame, label: str) -> DataFrame:
-    """Entries dealt by key and in order of (key, stretch), as a table."""
-    return staged(entries.repartition("key").sortWithinPartitions("key", "stretch"), label)
+class SuffixArray:
+    """Rows in buckets of their suffix, in order of bytes; a table of the session over files in the shared folder."""
+
+    def __init__(self, rows: DataFrame, buckets: int, label: str) -> None:
+        self.spark, self.name, self.path = rows.sparkSession, f"{label}_{uuid.uuid4().hex}", new_path(rows.sparkSession, label)
+        order = [c for c in ("suffix", "digest") if c in rows.columns]
+        dealt = rows.repartition(buckets, "suffix").distinct()  # copies of a text meet here
+        dealt.write.bucketBy(buckets, "suffix").sortBy(*order).option("path", self.path).saveAsTable(self.name)
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"drop table {self.name}")
+        delete(self.spark, self.path)
 
 
 class Family:
-    """Levels of suffix arrays, and the keys found more than once so far."""
+    """Levels of suffix arrays, fewer than ``fan`` on each, and the suffixes found more than once so far."""
 
-    def __init__(self) -> None:
-        self.levels: dict[int, DataFrame] = {}
+    def __init__(self, buckets: int, fan: int = FAN) -> None:
+        self.buckets, self.fan = buckets, fan
+        self.levels: defaultdict[int, list[SuffixArray]] = defaultdict(list)
         self.shared: list[DataFrame] = []
 
-    def add(self, new: DataFrame) -> None:
-        """Scans a batch's array against itself and every level, then merges equal levels."""
-        hits = new.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("tied").alias("tied")).where("c > 1 or tied").select("key")
-        keys = new.select("key").distinct()
-        for level in self.levels.values():
-            hits = hits.unionAll(level.select("key").join(keys, "key", "left_semi"))
-        self.shared.append(staged(hits.distinct(), "suffix-shared"))
+    def arrays(self) -> list[SuffixArray]:
+        return [array for level in self.levels.values() for array in level]
+
+    def add(self, rows: DataFrame) -> None:
+        """Scans a batch's array against itself and all of the family, then merges full levels."""
+        new = SuffixArray(rows, self.buckets, "suffix_batch")
+        hits = new.rows().groupBy("suffix").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("suffix")
+        for array in self.arrays():
+            hits = hits.unionAll(array.rows().select("suffix").join(new.rows().select("suffix").hint("merge"), "suffix", "left_semi").distinct())
+        self.shared.append(staged(hits, "suffix-shared"))
+        self.levels[0].append(new)
         at = 0
-        while at in self.levels:
-            old = self.levels.pop(at)
-            both = sorted_array(old.unionAll(new), "suffix-level")
-            discard(old), discard(new)
-            new, at = both, at + 1
-        self.levels[at] = new
+        while len(self.levels[at]) == self.fan:
+            full = self.levels.pop(at)
+            at += 1
+            self.levels[at].append(SuffixArray(functools.reduce(DataFrame.unionAll, [array.rows() for array in full]), self.buckets, "suffix_level"))
+            for array in full:
+                array.drop()
 
     def candidates(self) -> DataFrame:
-        """All entries whose key stands more than once."""
-        entries = functools.reduce(DataFrame.unionAll, self.levels.values())
-        keys = functools.reduce(DataFrame.unionAll, self.shared).distinct()
-        return entries.join(keys, "key", "left_semi")
+        """All entries whose suffix stands more than once, as a table."""
+        keys = SuffixArray(functools.reduce(DataFrame.unionAll, self.shared), self.buckets, "suffix_keys")
+        found = [array.rows().join(keys.rows().hint("merge"), "suffix", "left_semi") for array in self.arrays()]
+        out = staged(functools.reduce(DataFrame.unionAll, found), "suffix-candidates")
+        for array in (keys, *self.arrays()):
+            array.drop()
+        discard(*self.shared)
+        return out
+
+
+WANTED = "key long, text_key binary, start int, alone boolean, bytes binary"
 
 
 def bytes_of(wanted: DataFrame, docs: DataFrame, one: DataFrame) -> DataFrame:
-    """key, text_key, start, alone, bytes of the wanted stretches; a text's own stretches go to one row that holds it."""
-    lists = wanted.groupBy("text_key").agg(F.collect_list(F.struct("key", "start", "n", "alone")).alias("wanted"))
+    """WANTED: the bytes of stretches (key, alone, text_key, start, n), read from one row of each text."""
+    lists = wanted.groupBy("text_key").agg(F.collect_list(F.struct("key", "start", "n", "alone")).alias("wanted"))  # at most the text's own stretches
     lists = lists.join(one, "text_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for text_key, text, want in zip(*[batch.column(c).to_pylist() for c in ("text_key", "text", "wanted")], strict=True):
-                data = text.encode()
-                rows += [(w["key"], text_key, w["start"], w["alone"], data[w["start"] : w["start"] + w["n"] + LENGTH - 1]) for w in want]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=["key", "text_key", "start", "alone", "bytes"])
-
-    return docs.join(lists, (docs["text_key"] == lists["text_key"]) & docs["doc_id"].eqNullSafe(lists["one"])).select(docs["text_key"], "text", "wanted").mapInArrow(run, "key long, text_key binary, start int, alone boolean, bytes binary")
+            for part in slices(batch, CHUNK):
+                out, key = [], []
+                own = part.column("wanted").flatten()
+                columns = [own.field(f) for f in ("key", "start", "alone")]
+                sizes = np.diff(part.column("wanted").offsets.to_numpy())
+                starts, stops = own.field("start").to_numpy(), own.field("start").to_numpy() + own.field("n").to_numpy() + LENGTH - 1
+                at = 0
+                for text_key, text, k in zip(part.column("text_key").to_pylist(), part.column("text").to_pylist(), sizes.tolist(), strict=True):
+                    data = text.encode()
+                    out += [data[a:b] for a, b in zip(starts[at : at + k].tolist(), stops[at : at + k].tolist(), strict=True)]
+                    key += [text_key] * k
+                    at += k
+                yield pa.RecordBatch.from_arrays([columns[0], pa.array(key, pa.binary()), columns[1], columns[2], pa.array(out, pa.binary())], names=[c.split()[0] for c in WANTED.split(", ")])
+
+    joined = docs.join(lists, (docs["text_key"] == lists["text_key"]) & docs["doc_id"].eqNullSafe(lists["one"]))
+    return joined.select(docs["text_key"], "text", "wanted").mapInArrow(run, WANTED)
+
+
+def ranks(data: np.ndarray, strings: np.ndarray) -> np.ndarray:
+    """Rank of each string of LENGTH bytes (by where it starts) in their order of bytes; equal strings have equal ranks."""
+
+    def ranked(x: np.ndarray) -> np.ndarray:
+        return np.unique(x, return_inverse=True)[1]
+
+    word = data.astype(U)
+    for k in (1, 2, 4):
+        word = (word[:-k] << U(8 * k)) | word[k:]
+    size, rank, total, done = 8, ranked(word), None, 0
+    parts = {}
+    while True:
+        if LENGTH & size:
+            parts[size] = rank
+        if 2 * size > LENGTH:
+            break
+        rank = ranked(rank[:-size] * len(rank) + rank[size:])
+        size *= 2
+    for size in sorted(parts, reverse=True):
+        piece = parts[size][strings + done]
+        total, done = piece if total is None else ranked(total * len(data) + piece), done + size
+    return total
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,29 +264,29 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated spans among stretches in order of key; a key's stretches are looked at together."""
+    """SPANS of repeated strings among stretches in order of key; a key's stretches are looked at together."""
 
     def look(rows: list[tuple]) -> pa.RecordBatch:
-        hashes = [mixed(window_hashes(np.frombuffer(r[4], np.uint8), LENGTH)[0] ^ U(r[0] & (1 << 64) - 1)) for r in rows]
-        ends = np.cumsum([len(h) for h in hashes])
-        _, which, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-        repeated = count[which] > 1
-        out: list[tuple] = []
-        for r, h, end in zip(rows, hashes, ends, strict=True):
-            if r[3]:
-                out += [(r[1], r[2] + int(a), r[2] + int(b) + LENGTH - 1) for a, b in zip(*runs(repeated[end - len(h) : end]), strict=True)]
+        sizes = np.array([len(r[4]) for r in rows])
+        n = sizes - LENGTH + 1
+        first = np.cumsum(n) - n
+        strings = np.arange(n.sum()) + np.repeat(np.cumsum(sizes) - sizes - first, n)
+        rank = ranks(np.frombuffer(b"".join(r[4] for r in rows), np.uint8), strings)
+        repeated = np.bincount(rank)[rank] > 1
+        out = [(r[1], r[2] + int(a), r[2] + int(b) + LENGTH - 1) for r, at, k in zip(rows, first.tolist(), n.tolist(), strict=True) if r[3] for a, b in zip(*runs(repeated[at : at + k]), strict=True)]
         columns = list(zip(*out, strict=True)) if out else [[]] * 3
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["text_key", "start", "stop"])
 
     held: list[tuple] = []
     size = 0
     for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("key", "text_key", "start", "alone", "bytes")], strict=True):
-            if size > HELD and row[0] != held[-1][0]:
-                yield look(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[4])
+        for part in slices(batch, HELD, "bytes"):
+            for row in zip(*[part.column(c).to_pylist() for c in ("key", "text_key", "start", "alone", "bytes")], strict=True):
+                if size > HELD and row[0] != held[-1][0]:
+                    yield look(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[4])
     if held:
         yield look(held)
 
@@ -194,64 +294,82 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each string of a stretch."""
     for batch in batches:
-        for key, text_key, start, alone, data in zip(*[batch.column(c).to_pylist() for c in ("key", "text_key", "start", "alone", "bytes")], strict=True):
-            h = mixed(window_hashes(np.frombuffer(data, np.uint8), LENGTH)[0] ^ U(key & (1 << 64) - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([text_key] * len(h), pa.binary()), pa.array(np.arange(start, start + len(h), dtype=np.int32)), pa.array([alone] * len(h))], names=["string", "text_key", "start", "alone"])
-
-
-def repeated_spans(docs: DataFrame, one: DataFrame, batches: int = BATCHES, group: int = GROUP) -> DataFrame:
-    """text_key, start, stop (bytes): spans of repeated strings in the different texts of docs (doc_id, text_key, text)."""
-    entries = suffix_array(docs).dropDuplicates(["text_key", "start"]).withColumn("batch", F.pmod(F.xxhash64("text_key"), F.lit(batches)))
-    entries = staged(entries, "suffix-entries")
-    family = Family()
+        for part in slices(batch, HELD >> 5, "bytes"):
+            names = ("text_key", "start", "alone", "bytes")
+            rows = [(xxhash.xxh3_128_digest(data[i : i + LENGTH]), key, start + i, alone) for key, start, alone, data in zip(*[part.column(c).to_pylist() for c in names], strict=True) for i in range(len(data) - LENGTH + 1)]
+            kinds = (pa.binary(), pa.binary(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["string", "text_key", "start", "alone"])
+
+
+def batches_of(n_bytes: int, spark: SparkSession, slot_bytes: int) -> int:
+    """Batches of as much text as all task slots take at once."""
+    return max(1, -(-n_bytes // (slot_bytes * spark.sparkContext.defaultParallelism)))
+
+
+def repeated_spans(docs: DataFrame, one: DataFrame, n_bytes: int, slot_bytes: int = SLOT_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """SPANS of repeated strings in the different texts of docs (doc_id, text_key, text), of n_bytes together."""
+    spark = docs.sparkSession
+    batches = batches_of(n_bytes, spark, slot_bytes)
+    batch = F.when(F.col("suffix").isNotNull(), F.pmod(F.xxhash64("text_key"), F.lit(batches))).otherwise(-1).cast("int").alias("batch")
+    path = new_path(spark, "suffix-entries")
+    suffixes(docs).select("*", batch).write.partitionBy("batch").parquet(path)
+    entries = spark.read.schema(f"{ENTRIES}, batch int").parquet(path)
+    family = Family(int(spark.conf.get("spark.sql.shuffle.partitions")))
     for i in range(batches):
-        family.add(sorted_array(entries.where(F.col("batch") == i).drop("batch"), "suffix-batch"))
-    shared = staged(family.candidates(), "suffix-candidates")
-    for table in (entries, *family.levels.values()):
-        discard(table)
-
-    kinds = shared.groupBy("key", "stretch").agg(F.count(F.lit(1)).alias("c"), F.max("tied").alias("tied"), F.min(F.struct("text_key", "start", "n")).alias("first"))
-    kinds = staged(kinds, "suffix-kinds")
-    whole = shared.join(kinds.where("c > 1").select("key", "stretch"), ["key", "stretch"], "left_semi")
-    whole = whole.select("text_key", "start", (F.col("start") + F.col("n") + LENGTH - 1).alias("stop"))
-    open_keys = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("c").alias("least"), F.max("tied").alias("tied")).where("(kinds > 1 or tied) and least = 1").select("key", "kinds")
-    wanted = kinds.join(open_keys, "key").select("key", "kinds", (F.col("c") == 1).alias("alone"), "first.text_key", "first.start", "first.n")
-    wanted = staged(wanted, "suffix-wanted")
-    small, large = wanted.where(F.col("kinds") <= group), wanted.where(F.col("kinds") > group)
-    spans = bytes_of(small, docs, one).repartition("key").sortWithinPartitions("key").mapInArrow(compared, "text_key binary, start int, stop int").unionAll(whole)
+        family.add(entries.where(F.col("batch") == i).drop("batch"))
+    shared = family.candidates()
+    stop = (F.col("start") + F.col("n") + LENGTH - 1).alias("stop")
+    known = staged(entries.where("batch = -1").select("text_key", "start", stop), "suffix-known")
+    delete(spark, path)
+
+    kinds = shared.groupBy("digest").agg(F.count(F.lit(1)).alias("c"), F.first("suffix").alias("suffix"), F.min(F.struct("text_key", "start", "n")).alias("first"))
+    kinds = staged(kinds.select("digest", "c", F.xxhash64("suffix").alias("key"), "first.*"), "suffix-kinds")
+    whole = shared.join(kinds.where("c > 1").select("digest").hint("merge"), "digest", "left_semi").select("text_key", "start", stop)
+    open_ = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("c").alias("least"), F.sum(F.col("n") + LENGTH - 1).alias("bytes")).where("kinds > 1 and least = 1").select("key", "bytes")
+    wanted = staged(kinds.join(open_.hint("merge"), "key").select("key", "bytes", (F.col("c") == 1).alias("alone"), "text_key", "start", "n"), "suffix-wanted")
+    small, large = wanted.where(F.col("bytes") <= group_bytes), wanted.where(F.col("bytes") > group_bytes)
+    spans = bytes_of(small, docs, one).repartition("key").sortWithinPartitions("key").mapInArrow(compared, SPANS).unionAll(whole).unionAll(known)
     if not large.isEmpty():
-        strings = staged(bytes_of(large, docs, one).mapInArrow(string_rows, "string long, text_key binary, start int, alone boolean"), "suffix-strings")
+        strings = staged(bytes_of(large, docs, one).mapInArrow(string_rows, "string binary, text_key binary, start int, alone boolean"), "suffix-strings")
         often = strings.groupBy("string").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("string")
-        found = strings.where("alone").join(often, "string", "left_semi")
+        found = strings.where("alone").join(often.hint("merge"), "string", "left_semi")
         spans = spans.unionAll(found.select("text_key", "start", (F.col("start") + LENGTH).alias("stop")))
     return spans
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, group: int = GROUP) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary: the rest, which may cut characters)."""
-    keyed = texts(docs, id_col, text_col).withColumn("text_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    long_ = keyed.where(F.octet_length("text") >= LENGTH)
-    copies = long_.groupBy("text_key").agg(F.count(F.lit(1)).alias("c"), F.first(F.octet_length("text")).alias("n"), F.min("doc_id").alias("one"))
-    copies = staged(copies, "suffix-texts")
-    spans = repeated_spans(long_, copies.select("text_key", "one"), batches, group)
-    spans = spans.unionAll(copies.where("c > 1").select("text_key", F.lit(0).alias("start"), F.col("n").cast("int").alias("stop")))
-    lists = staged(spans.groupBy("text_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "suffix-spans")
-
-    def cut(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_:
+def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, n_bytes, n_removed, n_spans, kept of texts and their spans."""
+    for batch in batches:
+        for part in slices(batch):
             rows = []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                data, kept, removed, n = (text or "").encode(), [], 0, 0
-                stop = -1
-                for s in sorted((x["start"], x["stop"]) for x in found or ()):
-                    if s[0] > stop:
-                        kept.append(data[max(stop, 0) : s[0]])
+            for text, found in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
+                data, kept, removed, n, stop = (text or "").encode(), [], 0, 0, -1
+                for a, b in sorted((x["start"], x["stop"]) for x in found or ()):
+                    if a > stop:
+                        kept.append(data[max(stop, 0) : a])
                         n += 1
-                    removed += max(0, s[1] - max(s[0], stop))
-                    stop = max(stop, s[1])
+                    removed += max(0, b - max(a, stop))
+                    stop = max(stop, b)
                 kept.append(data[max(stop, 0) :])
                 rows.append((len(data), removed, n, b"".join(kept)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            columns = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return keyed.join(lists, "text_key", "left").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slot_bytes: int = SLOT_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary: the rest, which may cut characters).
+
+    Texts below LENGTH bytes never move.
+    """
+    own = texts(docs, id_col, text_col)
+    is_long = F.octet_length(F.coalesce("text", F.lit(""))) >= LENGTH
+    long_ = own.where(is_long).withColumn("text_key", F.unhex(F.md5("text")))
+    copies = long_.groupBy("text_key").agg(F.count(F.lit(1)).alias("c"), F.first(F.octet_length("text")).alias("n"), F.min("doc_id").alias("one"))
+    copies = staged(copies, "suffix-texts")
+    n_bytes = copies.agg(F.sum("n").cast("long")).head()[0] or 0
+    spans = repeated_spans(long_, copies.select("text_key", "one"), n_bytes, slot_bytes, group_bytes)
+    spans = spans.unionAll(copies.where("c > 1").select("text_key", F.lit(0).alias("start"), F.col("n").cast("int").alias("stop")))
+    lists = staged(spans.groupBy("text_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "suffix-spans")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    short = own.where(~is_long).select("doc_id", "text", F.lit(None).cast(lists.schema["spans"].dataType).alias("spans"))
+    return long_.join(lists.hint("merge"), "text_key", "left").select("doc_id", "text", "spans").mapInArrow(cut, schema).unionAll(short.mapInArrow(cut, schema))
