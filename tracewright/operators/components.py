@@ -20,16 +20,18 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     nodes = ends.where("a = b").select("a").distinct()
     now = staged(ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     while True:
+        # Written tables on both sides of a join: the optimizer then splits the edges of a star's centre among tasks.
         least = now.select("a", "b").unionAll(now.select("b", "a")).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = staged(least, label)
         # Larger neighbours of x: the edges in which x is the smaller end.
-        up = now.join(least.withColumnRenamed("a", "b"), "b").select("a", F.col("m").alias("b"))
-        up = up.where("a <> b").distinct()
-        low = up.groupBy("a").agg(F.min("b").alias("m"))
-        down = up.join(low, "a").select(F.col("b").alias("x"), "m").where("x <> m").unionAll(low.select(F.col("a").alias("x"), "m")).distinct()
+        up = now.join(least.withColumnRenamed("a", "b").hint("merge"), "b").select("a", F.col("m").alias("b"))
+        up = staged(up.where("a <> b").distinct(), label)
+        low = staged(up.groupBy("a").agg(F.min("b").alias("m")), label)
+        down = up.join(low.hint("merge"), "a").select(F.col("b").alias("x"), "m").where("x <> m").unionAll(low.select(F.col("a").alias("x"), "m")).distinct()
         after = staged(down.select(F.col("x").alias("a"), F.col("m").alias("b")), label)
         print_of = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
         same = now.agg(*print_of).head() == after.agg(*print_of).head()
-        discard(now)
+        discard(now, least, up, low)
         now = after
         if same:
             break
