@@ -62,6 +62,10 @@ def components(rows):
         for b in range(a):
             if rows[a][0] is not None and rows[b][0] is not None and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
                 parent[find(a)] = find(b)
+    holder = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None and sets[i]:
+            parent[find(holder.setdefault(d, i))] = find(i)
     least = defaultdict(lambda: 1 << 60)
     for i, (d, _) in enumerate(rows):
         if d is not None:
@@ -77,6 +81,20 @@ def test_near_duplicates(docs, rows, family):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got if r["doc_id"] is not None)
 
 
+@pytest.mark.parametrize("family", [near_dup.FAMILY, 0])
+def test_an_id_on_two_texts(spark, family):
+    """The id links their groups, but a text of each group stays, however large families are compared."""
+    a, b = prose(200, 60), prose(200, 61)
+    rows = [(1, a), (2, edited(a, 90, 1)), (2, b), (3, edited(b, 90, 2)), (4, ""), (4, None), (5, "same"), (5, "same"), (6, "same"), (None, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dup.grouped(docs, family=family).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == components(rows)
+    assert {r["component_id"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
+    if family:
+        left = Counter((r["doc_id"], r["text"]) for r in near_dup.deduplicated(docs).collect())
+        assert left == Counter([(1, a), (2, b), (4, ""), (4, None), (5, "same"), (5, "same"), (None, b)])
+
+
 def test_signatures_estimate_similarity():
     """Without bias, and for small sets with less spread than independent hashes would have."""
     rng = np.random.default_rng(1)
@@ -94,34 +112,56 @@ def repeats(rows, n=400):
     count = Counter()
     for _, t in rows:
         b = (t or "").encode()
-        count.update(b[i : i + n] for i in range(len(b) - n + 1))
+        count.update(hash(b[i : i + n]) for i in range(len(b) - n + 1))
     out = []
     for d, t in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))
         for i in range(len(b) - n + 1):
-            if count[b[i : i + n]] > 1:
+            if count[hash(b[i : i + n])] > 1:
                 gone[i : i + n] = b"\1" * n
         spans = sum(gone[i] and not (i and gone[i - 1]) for i in range(len(b)))
         out.append((d, len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone, strict=True) if not g)))
     return Counter(out)
 
 
-@pytest.mark.parametrize("group", [suffix_index.GROUP, 0])
-def test_repeated_strings(docs, rows, group):
-    """Compared in tasks, and by rows of string hashes for anchors over the limit."""
-    got = suffix_index.without_repeats(docs, group=group).collect()
+@pytest.mark.parametrize(("slot_bytes", "group_bytes"), [(suffix_index.SLOT_BYTES, suffix_index.GROUP_BYTES), (1 << 11, suffix_index.GROUP_BYTES), (suffix_index.SLOT_BYTES, 0)])
+def test_repeated_strings(docs, rows, slot_bytes, group_bytes):
+    """One batch and several, compared in tasks and by rows of strings."""
+    got = suffix_index.without_repeats(docs, slot_bytes=slot_bytes, group_bytes=group_bytes).collect()
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == repeats(rows)
 
 
+def test_repeated_strings_in_a_very_long_text(spark):
+    """A text of several chunks, with strings of its own and of a short text again beyond them."""
+    own = prose(220_000, 40)
+    assert len(own) > suffix_index.CHUNK
+    rows = [(1, own + " " + own[1000:1900] + " " + prose(50, 41)), (2, prose(80, 42) + own[-700:] + prose(80, 43)), (3, "z" * 2000)]
+    got = suffix_index.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == repeats(rows)
+
+
+def test_ranks_are_the_order_of_bytes():
+    r = random.Random(8)
+    data = bytes(r.choice(b"ab") for _ in range(700)) * 2
+    strings = np.arange(0, len(data) - suffix_index.LENGTH + 1, 3)
+    rank = suffix_index.ranks(np.frombuffer(data, np.uint8), strings)
+    whole = [data[i : i + suffix_index.LENGTH] for i in strings]
+    order = {s: i for i, s in enumerate(sorted(set(whole)))}
+    assert rank.tolist() == [order[s] for s in whole]
+
+
 def test_family_levels_are_geometric(spark):
     keyed = spark.createDataFrame([(bytes([i] * 16), prose(120, i)) for i in range(12)], "text_key binary, text string")
-    entries = suffix_index.suffix_array(keyed)
-    family = suffix_index.Family()
+    entries = suffix_index.suffixes(keyed)
+    family = suffix_index.Family(4, fan=2)
     for i in range(5):
-        family.add(suffix_index.sorted_array(entries.where(f"pmod(xxhash64(text_key), 5) = {i}"), "t"))
-    assert sorted(family.levels) == [0, 2]
-    assert sum(level.count() for level in family.levels.values()) == entries.count()
+        family.add(entries.where(f"pmod(xxhash64(text_key), 5) = {i}"))
+    assert {at: len(level) for at, level in family.levels.items() if level} == {0: 1, 2: 1}
+    tables = [array.rows() for array in family.arrays()]
+    assert sum(t.count() for t in tables) == entries.count()
+    plan = tables[0].select("suffix").join(tables[1].select("suffix").hint("merge"), "suffix", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
 ITEMS = [(1, "What is the capital of the land of " + prose(12, 901) + "? It is " + prose(9, 902) + "."), (2, prose(30, 903)), (3, None), (4, ""), (5, prose(150, 904)), (6, "tiny item")]
@@ -130,6 +170,8 @@ ITEMS = [(1, "What is the capital of the land of " + prose(12, 901) + "? It is "
 def test_decontamination(spark):
     held = [(i, prose(30, 910 + i) + " " + (t or "").upper() + " " + prose(200, 930 + i)) for i, t in ITEMS]
     near = [(11, prose(20, 960) + " " + edited(ITEMS[4][1], 40, 3)), (12, prose(20, 961) + " " + edited(ITEMS[4][1], 6, 4)), (13, ITEMS[1][1][:40] + prose(60, 962)), (14, ""), (15, None), (16, prose(3000, 963) + " " + ITEMS[1][1])]
+    question, answer = ITEMS[0][1].split("? ")
+    near += [(17, prose(30, 964) + " " + question + "? " + prose(60, 965)), (18, prose(30, 966) + " " + answer), (19, prose(30, 967) + f" {question}? {prose(70, 968)} {answer}"), (20, prose(90_000, 969) + " " + ITEMS[1][1])]
     docs = spark.createDataFrame(held + near, "doc_id long, text string").selectExpr("*", "'x' as item_id")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
 
@@ -140,15 +182,18 @@ def test_decontamination(spark):
             for i, q in ITEMS:
                 parts = [decontamination.shingles(p) for p in decontamination.question_and_answer(q or "")]
                 every = [s for p in parts for s in p]
-                if every and sum(any(tuple(w[k : k + len(s)]) == s for k in range(len(w))) for s in every) >= 0.8 * len(every):
+                shares = [sum(any(tuple(w[k : k + len(s)]) == s for k in range(len(w))) for s in p) for p in parts]
+                if every and all(n >= 0.8 * len(p) for n, p in zip(shares, parts, strict=True)):
                     out.add((d, i))
         return out
 
     got = decontamination.contaminated(docs, items)
-    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == brute() >= {(1, 1), (2, 2), (5, 5), (11, 5), (16, 2)}
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == brute() >= {(1, 1), (2, 2), (5, 5), (11, 5), (16, 2), (20, 2)}
+    assert not {(17, 1), (18, 1)} & brute()
     left = {r["doc_id"] for r in decontamination.decontaminated(docs, items).collect()}
     assert left == {d for d, _ in held + near} - {d for d, _ in brute()}
     assert decontamination.contaminated(docs, items.limit(0)).count() == 0
+    assert decontamination.contaminated(docs.limit(0), items).count() == 0 and decontamination.decontaminated(docs.limit(0), items).count() == 0
 
 
 def test_decontamination_texts_under_one_id(spark):
@@ -229,19 +274,72 @@ def test_toxicity(spark):
     assert toxicity.scored(docs, toxicity.trained(docs, labels.limit(0))).where("score > 0").count() == 0
 
 
-def test_nearest_is_exact():
-    rng = np.random.default_rng(3)
-    e = toxicity.Examples([])
-    v = rng.random((500, 20)) * (rng.random((500, 20)) < 0.3)
-    v[:, 0] += 1e-3
-    e.vector = v / np.linalg.norm(v, axis=1, keepdims=True)
-    e.block_max = np.array([e.vector[i : i + toxicity.BLOCK].max(0) for i in range(0, 500, toxicity.BLOCK)])
-    q = e.vector[::7]
-    sim, at = e.nearest(q, 9)
-    full = np.round(q @ e.vector.T, 12)
-    for i in range(len(q)):
-        best = sorted(range(500), key=lambda j: (-full[i, j], j))[:9]
-        assert at[i].tolist() == best
+def test_toxicity_equals_brute_force():
+    """Weights, neighbours, votes and scores worked out one pair at a time."""
+    r = random.Random(6)
+    rude = ["grubber", "zorplin", "zorplash", "mudwit"]
+    rows = []
+    for i in range(260):
+        words = [r.choice(VOCABULARY) for _ in range(r.randint(3, 60))]
+        if i % 4 == 0:
+            words += r.sample(rude, r.randint(1, 2))
+        rows.append({"doc_id": i, "text": " ".join(words) if i % 50 else "", "label": int(i % 4 == 0)})
+    e = toxicity.Examples(rows)
+    rows = toxicity.without_copies(rows)
+    bags = [Counter(f for w in x["text"].split() for f in toxicity.forms(toxicity.bare(w))) for x in rows]
+    n, n1 = len(rows), sum(x["label"] for x in rows)
+    df, df1 = Counter(t for b in bags for t in b), Counter(t for b, x in zip(bags, rows, strict=True) if x["label"] for t in b)
+
+    def strength(t):
+        k, a = df[t], df1[t]
+        chi = n * (a * n - k * n1) ** 2 / (k * (n - k) * n1 * (n - n1)) if a * n > k * n1 else 0
+        if chi < toxicity.SIGNIFICANT and t.startswith(toxicity.STEM):
+            return None
+        return (toxicity.FLOOR + (math.sqrt(chi / n) if chi >= toxicity.SIGNIFICANT else 0)) * (math.log((1 + n) / (1 + k)) + 1)
+
+    def vector(bag):
+        v = {t: (1 + math.log(c)) * strength(t) for t, c in bag.items() if t in df and strength(t) is not None}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    vectors = {x["doc_id"]: vector(b) for x, b in zip(rows, bags, strict=True)}
+    label = {x["doc_id"]: x["label"] for x in rows}
+    places = {d: i for i, d in enumerate(e.ids.tolist())}
+    assert set(places) == {d for d, v in vectors.items() if v} and set(e.term) == {t for v in vectors.values() for t in v}
+    cosine = lambda v, w: sum(x * w.get(t, 0) for t, x in v.items())
+
+    def vote(v, own=None):
+        near = sorted(((-round(cosine(v, vectors[d]), 12), i) for d, i in places.items() if d != own))[: toxicity.K]
+        weight = [s * s for s, _ in near]
+        return sum(w * label[e.ids[i]] for w, (_, i) in zip(weight, near, strict=True)) / sum(weight), [int(e.ids[i]) for _, i in near[:3]]
+
+    votes = np.array([vote(vectors[d], d)[0] for d in e.ids.tolist()])
+    order = np.argsort(votes, kind="stable")
+    xs, ys = e.curve
+    assert (np.diff(xs) > 0).all() and (np.diff(ys) > 0).all() and votes[order[0]] <= xs[0] + 1e-9
+    for i in range(60):
+        bag = Counter(f for w in [r.choice(VOCABULARY) for _ in range(30)] + r.sample(rude, i % 3) + ["unknownword"] for f in toxicity.forms(w))
+        terms, tf = (np.array(x) for x in zip(*sorted((e.term[t], c) for t, c in bag.items() if t in e.term), strict=True))
+        score, near = e.judge(terms, tf.astype(float))
+        want, evidence = vote(vector(bag))
+        assert abs(score - np.clip(np.interp(want, xs, ys), 0, 1)) < 1e-6 and near == evidence
+
+
+def test_scores_of_odd_tables(spark):
+    """Repeated rows and ids, ties, clashing columns, null, empty and very long texts, and no rows at all."""
+    docs, labels = labelled(spark, 120, lambda i: prose(20, i) + " zorplin grubber! " + prose(12, i + 1))
+    odd = [(3, docs.where("doc_id = 3").head()["text"]), (3, "other text of three"), (None, None), (500, prose(150_000, 1) + " grubber"), (501, "7 7 7"), (502, "7 7 7")]
+    wide = docs.unionAll(spark.createDataFrame(odd, "doc_id long, text string")).selectExpr("*", "1 as label", "'x' as score", "'y' as evidence").repartition(5)
+    for module, column, train in ((toxicity, "toxic", lambda d, x: toxicity.trained(d, x)), (quality_model, "quality", lambda d, x: quality_model.trained(d, x))):
+        model = train(wide, labels.unionAll(labels))
+        got = module.scored(wide, model).select("doc_id", "score").collect()
+        assert len(got) == 128 and all(0 <= g["score"] <= 1 for g in got), column
+        again = module.scored(wide, train(wide, labels)).select("doc_id", "score").collect()
+        assert sorted(got, key=str) == sorted(again, key=str)
+        same = [g["score"] for g in got if g["doc_id"] in (501, 502)]
+        assert same[0] == same[1]
+        none = wide.limit(0)
+        assert module.scored(none, model).count() == 0 and module.scored(none, train(none, labels)).count() == 0
 
 
 def test_empty_tables(spark):

@@ -1,7 +1,7 @@
 """Near-duplicate groups by SuperMinHash signatures, banding, exact verification and union-find grouping.
 
 Words are runs of visible ASCII-blank-separated characters, A-Z lower-cased; a document's set is its distinct 5-word
-shingles, or its whole sequence if it has fewer words. Texts of one word sequence are one node. A signature has
+shingles, or its whole sequence if it has fewer words. A node is a word sequence, whatever rows hold it. A signature has
 BANDS * ROWS places. SuperMinHash deals each element a random permutation of the places: its j-th draw puts j plus a
 fraction on the j-th place of its permutation, so draws of a later round can't beat those of an earlier one, and a
 document stops with the first round that leaves no place empty. Two sets with similarity s agree on a place with
@@ -15,7 +15,9 @@ node with the smallest of each of its buckets, then nodes of one bucket that are
 
     null or empty text    no shingles, linked with nothing, component is its own id
     null id               never linked; component null, kept
-    an id on several rows each row goes by its own text
+    an id on several rows each row goes by its own text; the texts of one id are reached from each other, which counts for
+                          component_id but makes no near-duplicates: ``deduplicated`` keeps a row of every group of texts
+    very long texts       a task holds a few megabytes of texts, or one longer text with 8 bytes for each of its words
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ._jobs import staged, texts
+from ._jobs import discard, staged, texts
 from .bpe import slices
 
 SHINGLE = 5
@@ -124,40 +126,48 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the word sequence), n_shingles, bands (null without shingles)."""
+    """doc_id, tail (a hash of the text that tells rows of one id apart), key (of the word sequence), n_shingles, bands (null
+    without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                words = [words_of(x) for x in part.column("text").to_pylist()]
-                keys = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
-                sets = shingle_sets(words)
-                sizes = np.array([len(s) for s in sets], np.int64)
-                bands = band_keys(signatures(sets))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes), pa.array([b if n else None for b, n in zip(bands, sizes, strict=True)], pa.list_(pa.int64()))],
-                    names=["doc_id", "key", "n_shingles", "bands"],
-                )
+        for part in (part for batch in batches for part in slices(batch)):
+            words = [words_of(x) for x in part.column("text").to_pylist()]
+            keys = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
+            sets = shingle_sets(words)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            bands = band_keys(signatures(sets))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("tail"), pa.array(keys, pa.binary()), pa.array(sizes), pa.array([b if n else None for b, n in zip(bands, sizes, strict=True)], pa.list_(pa.int64()))],
+                names=["doc_id", "tail", "key", "n_shingles", "bands"],
+            )
+
+    return tailed(docs).mapInArrow(run, "doc_id long, tail long, key binary, n_shingles long, bands array<long>")
+
+
+def tailed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("tail"), "text")
+
 
-    return docs.mapInArrow(run, "doc_id long, key binary, n_shingles long, bands array<long>")
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of nodes wanted (doc_id, tail and more columns); a sort-merge join at every size."""
+    return tailed(docs).join(wanted.hint("merge"), ["doc_id", "tail"])
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
     """node, shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                sets = shingle_sets([words_of(x) for x in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+        for part in (part for batch in batches for part in slices(batch)):
+            sets = shingle_sets([words_of(x) for x in part.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return docs.mapInArrow(run, "node long, shingles array<long>")
+    return docs.select("node", "text").mapInArrow(run, "node binary, shingles array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (x, y) whose full sets are similar enough. Only documents of a pair move, once for each side."""
-    wanted = pairs.select(F.col("x").alias("doc_id")).unionAll(pairs.select(F.col("y").alias("doc_id"))).distinct()
-    sets = staged(full_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi")), "near-sets")
+    wanted = pairs.select(F.col("x").alias("node")).unionAll(pairs.select(F.col("y").alias("node"))).distinct()
+    sets = staged(full_sets(texts_of(docs, nodes.join(wanted, "node", "left_semi").select("node", "first.*"))), "near-sets")
     both = pairs.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx")), "x")
     both = both.join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("sy")), "y")
     common = F.size(F.array_intersect("sx", "sy"))
@@ -168,29 +178,29 @@ def alike_in_size(n: str, m: str) -> F.Column:
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
-def walked(nodes: list[int], sets: list[np.ndarray]) -> list[int]:
+def walked(nodes: list[bytes], sets: list[np.ndarray]) -> list[bytes]:
     """The smallest node that links lead to, for each node of a family."""
     token = np.unique(np.concatenate(sets), return_inverse=True)[1]
     sizes = np.array([len(x) for x in sets])
     own = np.split(token, np.cumsum(sizes)[:-1])
-    component = np.array(nodes)
+    component = np.arange(len(nodes))
     mark = np.zeros(int(token.max()) + 1, bool)
     open_ = np.arange(len(nodes))  # in order of node, so that each walk starts at its smallest
     while len(open_):
-        queue, root, open_ = [int(open_[0])], nodes[open_[0]], open_[1:]
+        queue, root, open_ = [int(open_[0])], int(open_[0]), open_[1:]
         flat, starts = laid_out(own, sizes, open_)
         while queue and len(open_):
             at = queue.pop()
             mark[own[at]] = True
             common = np.add.reduceat(mark[flat].astype(np.int64), starts)
             mark[own[at]] = False
-            linked = (100 * common >= PERCENT * (sizes[at] + sizes[open_] - common)) | (component[open_] == component[at])
+            linked = 100 * common >= PERCENT * (sizes[at] + sizes[open_] - common)
             if linked.any():
                 component[open_[linked]] = root
                 queue += open_[linked].tolist()
                 open_ = open_[~linked]
                 flat, starts = laid_out(own, sizes, open_)
-    return component.tolist()
+    return [nodes[i] for i in component]
 
 
 def laid_out(own: list[np.ndarray], sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,45 +210,41 @@ def laid_out(own: list[np.ndarray], sizes: np.ndarray, which: np.ndarray) -> tup
 
 
 def within_families(docs: DataFrame, families: DataFrame) -> DataFrame:
-    """node, component, of families (node, family): one text shuffle, then one of the sets."""
+    """node, component, of families (node, family, doc_id, tail): one text shuffle, then one of the sets."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                found = shingle_sets([words_of(x) for x in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("family"), part.column("doc_id"), pa.array([x.tobytes() for x in found], pa.binary())], names=["family", "node", "shingles"])
+        for part in (part for batch in batches for part in slices(batch)):
+            found = shingle_sets([words_of(x) for x in part.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column("family"), part.column("node"), pa.array([x.tobytes() for x in found], pa.binary())], names=["family", "node", "shingles"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, nodes, held = None, [], []
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(walked(nodes, held), pa.int64())], names=["node", "component"])
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(walked(nodes, held), pa.binary())], names=["node", "component"])
 
         for batch in batches:
             for f, node, raw in zip(*[batch.column(c).to_pylist() for c in ("family", "node", "shingles")], strict=True):
                 if f != family and nodes:
                     yield out()
                     nodes, held = [], []
-                if raw:
+                if not nodes or node != nodes[-1]:  # a row that stands twice has its node once
                     family = f
                     nodes.append(node)
                     held.append(np.frombuffer(raw, U))
         if nodes:
             yield out()
 
-    # A sort-merge join at every size: the table of families grows with the documents.
-    own = docs.join(families.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id").select("family", "doc_id", "text")
-    rows = own.mapInArrow(sets, "family long, node long, shingles binary")
-    linked = rows.repartition("family").sortWithinPartitions("family", "node").mapInArrow(walk, "node long, component long")
-    return linked.groupBy("node").agg(F.min("component").alias("component"))  # a node of several texts comes once
+    rows = texts_of(docs, families).select("family", "node", "text").mapInArrow(sets, "family binary, node binary, shingles binary")
+    return rows.repartition("family").sortWithinPartitions("family", "node").mapInArrow(walk, "node binary, component binary")
 
 
-def by_joins(docs: DataFrame, members: DataFrame) -> DataFrame:
+def by_joins(docs: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, component, of nodes whose families are too large for a task (members: node, n, bucket)."""
     hubs = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")).where("hub.node < last")
     near = members.join(hubs, "bucket").select(F.col("node").alias("x"), F.col("hub.node").alias("y"), "n", F.col("hub.n").alias("m"))
     pairs = staged(near.where(F.col("x") != F.col("y")).where(alike_in_size("n", "m")).select("x", "y").distinct(), "near-pairs")
-    links = verified(pairs, docs)
+    links = verified(pairs, docs, nodes)
     found = staged(components(links.select(F.col("x").alias("src"), F.col("y").alias("dst"))), "near-components")
     placed = members.join(found.withColumnRenamed("component", "c"), "node", "left").select("bucket", "node", "n", F.coalesce("c", "node").alias("c"))
     mixed_buckets = placed.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("bucket")
@@ -247,39 +253,51 @@ def by_joins(docs: DataFrame, members: DataFrame) -> DataFrame:
     right = open_.select("bucket", F.col("node").alias("y"), F.col("n").alias("m"), F.col("c").alias("cy"))
     rest = left.join(right, "bucket").where("cx < cy").where(alike_in_size("n", "m")).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
     rest = staged(rest.join(pairs, ["x", "y"], "left_anti"), "near-pairs")
-    more = verified(rest, docs)
+    more = verified(rest, docs, nodes)
     edges = found.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionAll(more.select(F.col("x").alias("src"), F.col("y").alias("dst")))
     return components(edges)
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", family: int = FAMILY) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
+    """doc_id, n_shingles, component_id, kept, tail, stands (the row, or one of several with its id and text, that stands for
+    its group of texts)."""
     own = texts(docs, id_col, text_col)
     rows = staged(signed(own), "near-signed")
-    nodes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    nodes = staged(nodes, "near-nodes")
+    nodes = rows.where("n_shingles > 0 and doc_id is not null").groupBy(F.col("key").alias("node"))
+    nodes = staged(nodes.agg(F.min(F.struct("doc_id", "tail")).alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "near-nodes")
     members = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     hubs = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("bucket", "hub")
     joins = members.join(hubs, "bucket").where("node <> hub").select(F.col("node").alias("src"), F.col("hub").alias("dst")).distinct()
     families = staged(components(joins).withColumnRenamed("component", "family"), "near-families")
-    weight = nodes.groupBy("node").agg(F.sum("n").alias("n")).join(families, "node").groupBy("family").agg(F.sum("n").alias("total"))
+    weight = nodes.select("node", "n").join(families, "node").groupBy("family").agg(F.sum("n").alias("total"))
     large = staged(weight.where(F.col("total") > family).select("family"), "near-large")
-    found = within_families(own, families.join(large, "family", "left_anti").select("node", "family"))
+    small = families.join(large, "family", "left_anti").join(nodes.select("node", "first"), "node").select("node", "family", "first.*")
+    found = within_families(own, small)
     if not large.isEmpty():
         mine = families.join(large, "family", "left_semi").select("node")
-        found = found.unionAll(by_joins(own, members.join(mine, "node", "left_semi")))
+        found = found.unionAll(by_joins(own, members.join(mine, "node", "left_semi"), nodes))
     found = staged(found, "near-components")
 
-    named = nodes.select("key", "node").join(found, "node", "left").select("key", F.coalesce("component", "node").alias("c"))
-    out = rows.select("doc_id", "key", "n_shingles").join(named, "key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = nodes.select("node").join(found, "node", "left").select(F.col("node").alias("key"), F.coalesce("component", "node").alias("c"))
+    known = rows.select("doc_id", "tail", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key"), "n_shingles")
+    placed = staged(known.join(named, "key", "left").drop("key"), "near-placed")
+    # The texts of one id reach each other.
+    several = placed.where("c is not null and doc_id is not null").groupBy("doc_id").agg(F.min("c").alias("dst"), F.max("c").alias("last")).where("dst < last").select("doc_id", "dst")
+    edges = placed.join(several, "doc_id").where("c <> dst").select(F.col("c").alias("src"), "dst")
+    over = staged(components(edges), "near-over")
+    groups = placed.where("c is not null").groupBy("c").agg(F.min(F.struct("doc_id", "tail")).alias("first"))
+    groups = staged(groups.join(over.withColumnRenamed("node", "c"), "c", "left").select("c", "first", F.coalesce("component", "c").alias("component")), "near-groups")
+    least = groups.groupBy("component").agg(F.min("first.doc_id").alias("component_id"))
+    out = placed.join(staged(groups.join(least, "component").select("c", "first", "component_id"), "near-named"), "c", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    stands = F.coalesce(F.struct("doc_id", "tail") == F.col("first"), F.lit(True))
+    discard(nodes, families, large, found, over, groups)
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), "tail", stands.alias("stands"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "tail", "stands")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its group; rows repeated under one id stay."""
-    kept = grouped(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct().hint("merge")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-
-
+    """The rows of ``docs`` that stand for their group of texts; rows repeated with id and text stay together."""
+    kept = grouped(docs).where("stands").select(F.col("doc_id").alias("__id"), F.col("tail").alias("__tail")).distinct().hint("merge")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__tail"))
+    return docs.join(kept, same, "left_semi")

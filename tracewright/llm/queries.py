@@ -43,7 +43,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.grouped(table(spark, sf_dir, "documents"))
+    return near_dup.grouped(table(spark, sf_dir, "documents")).drop("tail", "stands")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
