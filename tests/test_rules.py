@@ -203,10 +203,10 @@ def test_scores_without_flags(spark):
 
 
 def test_path_roles_and_lint(spark):
-    paths = spark.createDataFrame([(1, p) for p in ("src/a.py", "src/gen/x", "doc.pdf", ".provenance/s", "other")], "submission_id long, path string")
+    paths = spark.createDataFrame([(1, p) for p in ("src/a.py", "src/gen/x", "doc.pdf", ".recording/s", "other")], "submission_id long, path string")
     r = spark.createDataFrame([(1, "track", "src/"), (1, "ignore", "src/gen/"), (1, "attachments", "*.pdf")], "submission_id long, list string, entry string")
-    got = {x["path"]: x["role"] for x in contents.path_roles(paths, r).collect()}
-    assert got == {"src/a.py": "reviewed", "src/gen/x": "ignored", "doc.pdf": "attachment", ".provenance/s": "excluded", "other": "unscoped"}
+    got = {x["path"]: x["role"] for x in contents.path_roles(paths, r, ".recording/").collect()}
+    assert got == {"src/a.py": "reviewed", "src/gen/x": "ignored", "doc.pdf": "attachment", ".recording/s": "excluded", "other": "unscoped"}
 
 
 def test_ordering_defects_of_long_loops(spark):

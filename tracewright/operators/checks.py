@@ -80,15 +80,19 @@ def save_hashes(states: DataFrame, history: int = 32) -> DataFrame:
     return s.where("kind = 'doc.save'").select(*SESSION, "path", "seq", verdict.alias("verdict"))
 
 
-def submitted_verdicts(manifest: DataFrame, observed: DataFrame, broken: DataFrame) -> DataFrame:
-    """Verdict of each submitted file against its last recorded hash."""
+def submitted_verdicts(manifest: DataFrame, observed: DataFrame, broken: DataFrame, concurrent: DataFrame) -> DataFrame:
+    """Verdict of each submitted file (role, status, provisional: recorded before the manifest was trusted) against its last
+    recorded hash, or against all last states of a file of ``concurrent`` (submission_id, path, states: their hashes)."""
     last = observed.groupBy("submission_id", "path").agg(F.max_by("sha256", "global_idx").alias("recorded"))
     m = manifest.join(last, ["submission_id", "path"], "left").join(broken.select("submission_id", F.lit(True).alias("broken")).distinct(), "submission_id", "left")
+    m = m.join(concurrent.select("submission_id", "path", "states"), ["submission_id", "path"], "left")
     verdict = (
         F.when(F.col("role") == "attachment", "attachment")
         .when(F.col("status") == "missing", "missing")
+        .when(F.col("provisional"), "unknown_provisional")
         .when(F.col("broken"), "unknown_chain")
         .when(F.col("recorded").isNull(), "unknown_no_record")
+        .when(F.col("states").isNotNull(), F.when(F.array_contains("states", F.col("submitted_sha256")), "match_concurrent").otherwise("unknown_concurrent"))
         .when(F.col("recorded") == F.col("submitted_sha256"), "match")
         .otherwise("mismatch")
     )
@@ -151,10 +155,25 @@ def report(checks: DataFrame) -> DataFrame:
     return g.select("submission_id", F.when(F.col("most") == 2, "fail").when(F.col("most") == 1, "warn").otherwise("pass").alias("overall"), F.array_join(F.transform("failed", lambda x: x["c"]), ", ").alias("detail"))
 
 
-def integrity_flags(checks: DataFrame, severity: dict[str, str]) -> DataFrame:
-    """A flag for each failing check that has a severity."""
-    rule = checks.sparkSession.createDataFrame(sorted(severity.items()), "check_id string, severity string")
-    return checks.where("status = 'fail'").join(F.broadcast(rule), "check_id").select("submission_id", F.concat(F.lit("integrity_"), "check_id").alias("heuristic_id"), "severity")  # a row for each check
+#: Rule and severity of the checks whose failure is a flag; confidence is 1.
+INTEGRITY = {
+    "manifest_sig": ("manifest_sig_invalid", "high"),
+    "session_binding": ("session_binding_invalid", "high"),
+    "chain_integrity": ("chain_broken", "high"),
+    "monotonic_t": ("monotonic_t_regression", "medium"),
+    "monotonic_wall": ("monotonic_wall_regression", "medium"),
+    "submitted_code_match": ("submitted_code_match", "high"),
+    "log_bytes_match": ("log_bytes_match", "high"),
+    "checkpoint_chain_valid": ("checkpoint_chain_valid", "high"),
+    "manifest_downgrade": ("manifest_downgrade", "high"),
+}
+
+
+def integrity_flags(checks: DataFrame) -> DataFrame:
+    """A flag for each failing check of INTEGRITY; a check's own override_severity and override_confidence come first."""
+    rule = checks.sparkSession.createDataFrame([(k, *v) for k, v in INTEGRITY.items()], "check_id string, heuristic_id string, severity string")
+    j = checks.where("status = 'fail'").join(F.broadcast(rule), "check_id")  # a row for each check
+    return j.select("submission_id", "heuristic_id", F.coalesce("override_severity", "severity").alias("severity"), F.coalesce("override_confidence", F.lit(1.0)).alias("confidence"))
 
 
 def seal_reconciliation(seals: DataFrame, sessions: DataFrame, classic: DataFrame) -> DataFrame:

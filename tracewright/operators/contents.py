@@ -225,7 +225,7 @@ def entry_matches(path: Column, entry: Column) -> Column:
     return (path == entry) | (F.endswith(entry, F.lit("/")) & F.startswith(path, entry)) | (F.startswith(entry, F.lit("*")) & F.endswith(path, F.substring(entry, 2, 10_000)))
 
 
-def path_roles(paths: DataFrame, rules: DataFrame, excluded_prefix: str = ".provenance/") -> DataFrame:
+def path_roles(paths: DataFrame, rules: DataFrame, excluded_prefix: str) -> DataFrame:
     """role of each path: excluded, ignored, attachment, reviewed or unscoped, the first that applies.
 
     Rules (list, entry) of a submission's manifest are few; they meet the paths by submission.

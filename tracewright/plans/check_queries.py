@@ -84,20 +84,22 @@ def d06(t):
 
 
 MANIFEST = f"""{BREAKS}, obs as (select submission_id, path, arg_max(sha256(path || size::varchar), event_id) as recorded, arg_max(size, event_id) as last_size from lines where kind in ('doc.change', 'paste', 'doc.open') group by 1, 2),
-manifest as (select distinct submission_id, path, case when path = 'f3.py' then 'attachment' else 'reviewed' end as role, case when submission_id % 17 = 0 and path = 'f1.py' then 'missing' else 'present' end as status from lines)"""
+manifest as (select distinct submission_id, path, case when path = 'f3.py' then 'attachment' else 'reviewed' end as role, case when submission_id % 17 = 0 and path = 'f1.py' then 'missing' else 'present' end as status, submission_id % 11 = 5 as provisional from lines),
+fork as (select submission_id, path, arg_max(size, event_id) as s1, arg_min(size, event_id) as s2 from lines where submission_id % 9 = 4 and kind in ('doc.change', 'paste', 'doc.open') group by 1, 2),
+verdicts as (select m.submission_id, m.path, role, status, case when role = 'attachment' then 'attachment' when status = 'missing' then 'missing' when provisional then 'unknown_provisional' when exists (select 1 from breaks b where b.submission_id = m.submission_id and b.reason in ('hash', 'prev_link')) then 'unknown_chain' when recorded is null then 'unknown_no_record'
+      when s1 is not null then case when m.submission_id % 3 = 0 or s1 = 1 or s2 = 1 then 'match_concurrent' else 'unknown_concurrent' end when m.submission_id % 3 = 0 or last_size = 1 then 'match' else 'mismatch' end as verdict from manifest m left join obs using (submission_id, path) left join fork using (submission_id, path))"""
 
 
 @query(
     "d07_submitted_files",
-    f"""{MANIFEST}, m as (select m.*, recorded, sha256(m.path || (case when m.submission_id % 3 = 0 then last_size else 1 end)::varchar) as submitted, exists (select 1 from breaks b where b.submission_id = m.submission_id and b.reason in ('hash', 'prev_link')) as broken from manifest m left join obs using (submission_id, path))
-    select submission_id, path, case when role = 'attachment' then 'attachment' when status = 'missing' then 'missing' when broken then 'unknown_chain' when recorded is null then 'unknown_no_record' when recorded = submitted then 'match' else 'mismatch' end as verdict from m""",
+    f"{MANIFEST} select submission_id, path, verdict from verdicts",
 )
 def d07(t):
     return op.submitted_verdicts(*submitted(t))
 
 
 def submitted(t):
-    """manifest, observed and broken of the submitted files."""
+    """manifest, observed, broken and concurrent of the submitted files."""
     ls = lines(t)
     observed = ls.where("kind in ('doc.change', 'paste', 'doc.open')").select("submission_id", "path", F.sha2(F.concat("path", F.col("size").cast("string")), 256).alias("sha256"), F.col("event_id").alias("global_idx"), "size")
     last = observed.groupBy("submission_id", "path").agg(F.max_by("size", "global_idx").alias("last_size"))
@@ -106,13 +108,16 @@ def submitted(t):
     m = m.select(
         "submission_id", "path", F.when(F.col("path") == "f3.py", "attachment").otherwise("reviewed").alias("role"),
         F.when((F.col("submission_id") % 17 == 0) & (F.col("path") == "f1.py"), "missing").otherwise("present").alias("status"), F.sha2(F.concat("path", size.cast("string")), 256).alias("submitted_sha256"),
+        (F.col("submission_id") % 11 == 5).alias("provisional"),
     )
-    return m, observed, op.first_break(ls).where("reason in ('hash', 'prev_link')")
+    ends = F.array_distinct(F.array(F.max_by("sha256", "global_idx"), F.min_by("sha256", "global_idx"))).alias("states")
+    return m, observed, op.first_break(ls).where("reason in ('hash', 'prev_link')"), observed.where("submission_id % 9 = 4").groupBy("submission_id", "path").agg(ends)
 
 
-@query("i17_submitted_file_list", f"{MANIFEST} select submission_id, path, role, status from manifest where submission_id in (3, 7, 17)")
+@query("i17_submitted_file_list", f"{MANIFEST} select * from verdicts")
 def i17(t):
-    return submitted(t)[0].where("submission_id in (3, 7, 17)").select("submission_id", "path", "role", "status")
+    parts = submitted(t)
+    return parts[0].select("submission_id", "path", "role", "status").join(op.submitted_verdicts(*parts), ["submission_id", "path"])
 
 
 @query(
@@ -209,14 +214,22 @@ def d16(t):
     return op.report(check_rows(t)).where("overall = 'fail'").select("submission_id", "detail")
 
 
-@query("i16_stored_validation", f"with {CHECKS} select submission_id, check_id, status from checks where submission_id in (5, 6, 7, 8)")
+@query("i16_stored_validation", f"with {CHECKS} select submission_id, check_id, status from checks")
 def i16(t):
-    return check_rows(t).where("submission_id in (5, 6, 7, 8)")
+    return check_rows(t)
 
 
-@query("d17_integrity_flags", f"with {CHECKS} select submission_id, 'integrity_' || check_id as heuristic_id, case check_id when 'chain' then 'high' when 'seq' then 'medium' else 'low' end as severity from checks where status = 'fail' and check_id in ('chain', 'seq', 'log_bytes')")
+@query(
+    "d17_integrity_flags",
+    """with c as (select l_orderkey as submission_id, ['manifest_sig', 'session_binding', 'chain_integrity', 'monotonic_t', 'monotonic_wall', 'submitted_code_match', 'log_bytes_match', 'checkpoint_chain_valid', 'manifest_downgrade', 'seq_contiguity'][l_partkey % 10 + 1] as check_id, l_suppkey % 3 = 0 as failed, l_linenumber % 4 = 0 as weaker from lineitem)
+    select submission_id, case check_id when 'manifest_sig' then 'manifest_sig_invalid' when 'session_binding' then 'session_binding_invalid' when 'chain_integrity' then 'chain_broken' when 'monotonic_t' then 'monotonic_t_regression' when 'monotonic_wall' then 'monotonic_wall_regression' else check_id end as heuristic_id,
+      case when weaker then 'low' when check_id in ('monotonic_t', 'monotonic_wall') then 'medium' else 'high' end as severity, case when weaker then 0.4 else 1.0 end::double as confidence from c where failed and check_id <> 'seq_contiguity'""",
+)
 def d17(t):
-    return op.integrity_flags(check_rows(t), {"chain": "high", "seq": "medium", "log_bytes": "low"})
+    ids = F.array(*[F.lit(x) for x in ("manifest_sig", "session_binding", "chain_integrity", "monotonic_t", "monotonic_wall", "submitted_code_match", "log_bytes_match", "checkpoint_chain_valid", "manifest_downgrade", "seq_contiguity")])
+    weaker = F.col("l_linenumber") % 4 == 0
+    c = t.raw("lineitem").select(F.col("l_orderkey").alias("submission_id"), F.get(ids, F.col("l_partkey") % 10).alias("check_id"), F.when(F.col("l_suppkey") % 3 == 0, "fail").otherwise("pass").alias("status"), F.when(weaker, "low").alias("override_severity"), F.when(weaker, 0.4).alias("override_confidence"))
+    return op.integrity_flags(c)
 
 
 @query(

@@ -35,7 +35,7 @@ def c02(t):
 
 
 
-@query("c03_provenance_runs", f"{OPENED}, n as (select submission_id, seq, length(text) as len from kept where text <> '') select submission_id, seq as event_seq, (coalesce(sum(len) over (partition by submission_id order by seq rows between unbounded preceding and 1 preceding), 0))::int as \"offset\", len::int as length from n")
+@query("c03_origin_runs", f"{OPENED}, n as (select submission_id, seq, length(text) as len from kept where text <> '') select submission_id, seq as event_seq, (coalesce(sum(len) over (partition by submission_id order by seq rows between unbounded preceding and 1 preceding), 0))::int as \"offset\", len::int as length from n")
 def c03(t):
     s = op.replay(edits(t))
     return op.run_table(s, t.events()).select("submission_id", "event_seq", "offset", "length")
@@ -126,25 +126,25 @@ def c14(t):
     return op.stats_rollup(stats(t), t.events())
 
 
-PATHS = "paths as (select distinct page_id % 5 as submission_id, case when page_id % 17 = 0 then '.provenance/x' else regexp_replace(url, '^https?://[^/]*/', '') end as path from pages)"
+PATHS = "paths as (select distinct page_id % 5 as submission_id, case when page_id % 17 = 0 then '.recording/x' else regexp_replace(url, '^https?://[^/]*/', '') end as path from pages)"
 RULES = [("track", "en/"), ("track", "fr/12"), ("ignore", "*x=f"), ("ignore", "de/"), ("attachments", "*ref=x"), ("attachments", "es/")]
 
 
 def paths(t):
     p = F.col("page_id")
-    return t.raw("pages").select((p % 5).alias("submission_id"), F.when(p % 17 == 0, ".provenance/x").otherwise(F.regexp_replace("url", "^https?://[^/]*/", "")).alias("path")).distinct()
+    return t.raw("pages").select((p % 5).alias("submission_id"), F.when(p % 17 == 0, ".recording/x").otherwise(F.regexp_replace("url", "^https?://[^/]*/", "")).alias("path")).distinct()
 
 
 @query(
     "c17_path_roles",
-    f"""with {PATHS}, r(list, entry) as (values {", ".join(map(str, RULES))}), m as (select submission_id, path, min(case when path like '.provenance/%' then 1 when path = entry or (entry like '%/' and starts_with(path, entry)) or (entry like '*%' and ends_with(path, entry[2:])) then case list when 'ignore' then 2 when 'attachments' then 3 else 4 end end) as f from paths, r where submission_id <> 4 group by 1, 2 union all select submission_id, path, case when path like '.provenance/%' then 1 end from paths where submission_id = 4)
+    f"""with {PATHS}, r(list, entry) as (values {", ".join(map(str, RULES))}), m as (select submission_id, path, min(case when path like '.recording/%' then 1 when path = entry or (entry like '%/' and starts_with(path, entry)) or (entry like '*%' and ends_with(path, entry[2:])) then case list when 'ignore' then 2 when 'attachments' then 3 else 4 end end) as f from paths, r where submission_id <> 4 group by 1, 2 union all select submission_id, path, case when path like '.recording/%' then 1 end from paths where submission_id = 4)
     select submission_id, path, case f when 1 then 'excluded' when 2 then 'ignored' when 3 then 'attachment' when 4 then 'reviewed' else 'unscoped' end as role from m""",
 )
 def c17(t):
     p = paths(t)
     listed = p.where("submission_id <> 4").select("submission_id").distinct()
     rows = F.array(*[F.struct(F.lit(a).alias("list"), F.lit(b).alias("entry")) for a, b in RULES])
-    return op.path_roles(p, listed.select("submission_id", F.inline(rows)))
+    return op.path_roles(p, listed.select("submission_id", F.inline(rows)), ".recording/")
 
 
 @query(

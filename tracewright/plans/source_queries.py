@@ -89,19 +89,19 @@ def a07(t):
     return op.submitters(t.raw("orders").select(F.col("o_orderkey").alias("submission_id"), F.array(one, two).alias("submitters"))).select("submission_id", "sid")
 
 
-LISTING = "files as (select page_id % 10 as submission_id, case page_id % 6 when 0 then 'a/.provenance/s' || page_id::varchar when 1 then 'a/b/f' || page_id::varchar when 2 then 'c/d/g' || page_id::varchar when 3 then 'c/d/.provenance/x' || page_id::varchar when 4 then 'node_modules/' || page_id::varchar else 'top' || page_id::varchar end as path from pages)"
+LISTING = "files as (select page_id % 10 as submission_id, case page_id % 6 when 0 then 'a/.recording/s' || page_id::varchar when 1 then 'a/b/f' || page_id::varchar when 2 then 'c/d/g' || page_id::varchar when 3 then 'c/d/.recording/x' || page_id::varchar when 4 then 'node_modules/' || page_id::varchar else 'top' || page_id::varchar end as path from pages)"
 
 
 def listing(t):
     p = F.col("page_id")
     n = p.cast("string")
-    path = F.when(p % 6 == 0, F.concat(F.lit("a/.provenance/s"), n)).when(p % 6 == 1, F.concat(F.lit("a/b/f"), n)).when(p % 6 == 2, F.concat(F.lit("c/d/g"), n)).when(p % 6 == 3, F.concat(F.lit("c/d/.provenance/x"), n)).when(p % 6 == 4, F.concat(F.lit("node_modules/"), n)).otherwise(F.concat(F.lit("top"), n))
+    path = F.when(p % 6 == 0, F.concat(F.lit("a/.recording/s"), n)).when(p % 6 == 1, F.concat(F.lit("a/b/f"), n)).when(p % 6 == 2, F.concat(F.lit("c/d/g"), n)).when(p % 6 == 3, F.concat(F.lit("c/d/.recording/x"), n)).when(p % 6 == 4, F.concat(F.lit("node_modules/"), n)).otherwise(F.concat(F.lit("top"), n))
     return t.raw("pages").select((p % 10).alias("submission_id"), path.alias("path"))
 
 
-@query("a08_recording_scopes", f"with {LISTING}, s as (select distinct submission_id, case when path like 'a/.p%' then 'a/' else 'c/d/' end as scope from files where path like '%.provenance/%') select f.submission_id, f.path, max(s.scope) as scope from files f left join s on s.submission_id = f.submission_id and starts_with(f.path, s.scope) where f.path not like 'node_modules/%' group by 1, 2")
+@query("a08_recording_scopes", f"with {LISTING}, s as (select distinct submission_id, case when path like 'a/.r%' then 'a/' else 'c/d/' end as scope from files where path like '%.recording/%') select f.submission_id, f.path, max(s.scope) as scope from files f left join s on s.submission_id = f.submission_id and starts_with(f.path, s.scope) where f.path not like 'node_modules/%' group by 1, 2")
 def a08(t):
-    return op.recording_scopes(listing(t))
+    return op.recording_scopes(listing(t), ".recording/")
 
 
 @query("a09_selected_entries", f"with {LISTING}, e as (select submission_id, path, case when starts_with(path, 'c/d/') then path[5:] else path end as name from files union all select submission_id, path[5:], path[5:] from files where path like 'c/d/g%5' union all select submission_id, path || '.slog', path || '.slog' from files where path like 'top%') select submission_id, name, max(case when path like 'c/d/%' then path else ' ' || path end) as path from e where (submission_id, name) in (select submission_id, path[5:] from files where path like 'c/d/g%') or name like '%.slog' group by 1, 2".replace("max(case when path like 'c/d/%' then path else ' ' || path end) as path", "ltrim(max(case when path like 'c/d/%' then path else ' ' || path end)) as path"))
@@ -120,9 +120,10 @@ def a11(t):
 
 @query(
     "a12_findings",
-    f"""{SCORED}, f as (select submission_id, severity || ' ' || heuristic_id as text, row_number() over (partition by submission_id order by rk desc, confidence desc, line, part, supp) as place from scored)
-    select id as submission_id, '1 validation' as section, 1 as place, 'report: ' || validation_status as text from subs where id % 50 = 0 union all select submission_id, '2 flags', place, text from f where submission_id % 50 = 0
-    union all select submission_id, '3 cross flags', part, severity from flags where submission_id % 50 = 0 and part % 7 = 0""",
+    f"""{SCORED}, {EVENTS}, f as (select submission_id, severity || ' ' || heuristic_id as text, row_number() over (partition by submission_id order by rk desc, confidence desc, line, part, supp) as place from scored)
+    select id as submission_id, '1 validation' as section, 1 as place, 'report: ' || validation_status as text from subs union all select submission_id, '2 flags', place, text from f
+    union all select submission_id, '3 cross flags', part, severity from flags where part % 7 = 0
+    union all select distinct ev.submission_id, '4 events', global_idx, kind from ev join scored s on s.submission_id = ev.submission_id and s.supp % 40 = ev.global_idx""",
 )
 def a12(t):
     from pyspark.sql.window import Window as W
@@ -130,10 +131,9 @@ def a12(t):
     from ..operators.scoring import rank
 
     w = W.partitionBy("submission_id").orderBy(F.desc(rank("severity")), F.desc("confidence"), "line", "part", "supp")
-    mine = F.col("submission_id") % 50 == 0
-    checks = t.submissions().select(F.col("id").alias("submission_id"), F.lit("report").alias("check_id"), F.col("validation_status").alias("status"), F.lit(1).alias("place")).where(mine)
-    cross = t.flags().where(mine & (F.col("part") % 7 == 0)).select("submission_id", F.col("part").alias("flag_id"), "severity")
-    return op.findings(checks, scored(t).where(mine).withColumn("place", F.row_number().over(w)), cross)
+    checks = t.submissions().select(F.col("id").alias("submission_id"), F.lit("report").alias("check_id"), F.col("validation_status").alias("status"), F.lit(1).alias("place"))
+    cross = t.flags().where(F.col("part") % 7 == 0).select("submission_id", F.col("part").alias("flag_id"), "severity")
+    return op.findings(checks, scored(t).withColumn("place", F.row_number().over(w)).withColumn("supporting", F.col("supp") % 40), cross, t.events())
 
 
 @query("a13_replaced_flags", f"with {FLAGS} select submission_id, line, part, severity from flags where submission_id % 10 <> 0 union all select submission_id, line, part, 'info' from flags where submission_id % 10 = 0 and line = 1")

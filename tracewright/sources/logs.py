@@ -3,6 +3,8 @@ fit is returned as rejects, with its place."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -95,13 +97,12 @@ def submitters(metadata: DataFrame) -> DataFrame:
 
 
 JUNK = r"(^|/)(__MACOSX|\.git|node_modules)/|(^|/)\.DS_Store$"
-MARK = ".provenance/"
 
 
-def recording_scopes(listing: DataFrame) -> DataFrame:
-    """submission_id, path, scope: the deepest folder above a file that holds a .provenance folder; null without one."""
+def recording_scopes(listing: DataFrame, mark: str) -> DataFrame:
+    """submission_id, path, scope: the deepest folder above a file that holds a folder ``mark`` (with a slash); null without one."""
     f = listing.where(~F.col("path").rlike(JUNK))
-    own = f.where(F.contains("path", F.lit(MARK))).select("submission_id", F.regexp_extract("path", r"^(.*?)\.provenance/", 1).alias("scope")).where("scope = '' or scope like '%/'").distinct()
+    own = f.where(F.contains("path", F.lit(mark))).select("submission_id", F.regexp_extract("path", rf"^(.*?){re.escape(mark)}", 1).alias("scope")).where("scope = '' or scope like '%/'").distinct()
     # A file's folders, each an equal key: no scope is compared with files it can't own.
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))))
@@ -131,10 +132,12 @@ def write_export(rows: DataFrame, columns: list[str], order: list[str], path: st
     exported(rows, columns, order).coalesce(1).write.csv(path, header=True)
 
 
-def findings(checks: DataFrame, flags: DataFrame, cross: DataFrame) -> DataFrame:
-    """One table of a report's sections: submission_id, section, place, text."""
+def findings(checks: DataFrame, flags: DataFrame, cross: DataFrame, events: DataFrame) -> DataFrame:
+    """One table of a report's sections: submission_id, section, place, text; last the events (global_idx, kind) that flags
+    refer to (supporting: an event's global_idx), each once."""
+    referred = flags.select("submission_id", F.col("supporting").alias("global_idx")).distinct().join(events.select("submission_id", "global_idx", "kind"), ["submission_id", "global_idx"])
     part = lambda df, nr, place, text: df.select("submission_id", F.lit(nr).alias("section"), place.cast("long").alias("place"), text.alias("text"))
-    return part(checks, "1 validation", F.col("place"), F.concat_ws(": ", "check_id", "status")).unionAll(part(flags, "2 flags", F.col("place"), F.concat_ws(" ", "severity", "heuristic_id"))).unionAll(part(cross, "3 cross flags", F.col("flag_id"), F.col("severity")))
+    return part(checks, "1 validation", F.col("place"), F.concat_ws(": ", "check_id", "status")).unionAll(part(flags, "2 flags", F.col("place"), F.concat_ws(" ", "severity", "heuristic_id"))).unionAll(part(cross, "3 cross flags", F.col("flag_id"), F.col("severity"))).unionAll(part(referred, "4 events", F.col("global_idx"), F.col("kind")))
 
 
 def replaced(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

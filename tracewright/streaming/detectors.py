@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import scoring
-from ..sources.logs import replaced
 
 LATE = "10 minutes"
 EVENT = "submission_id long, session_id string, seq long, t long, ms long, kind string, k int, path string, size long, wall_ts timestamp"
@@ -51,12 +50,13 @@ def flag_counters(flags: DataFrame, window: str = "10 minutes", slide: str = "5
 
 
 class PerKey(StatefulProcessor):
-    """One value per key, a struct of ``state_schema``; rows of a batch are taken in order of seq."""
+    """One value per key, a struct of ``state_schema``; rows of a batch are taken in order of seq. A key without rows for
+    kept_ms of processing time is forgotten, so that state doesn't grow with all sessions there ever were."""
 
-    state_schema = ""
+    state_schema, kept_ms = "", None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", self.state_schema)
+        self.state = handle.getValueState("state", self.state_schema, self.kept_ms) if self.kept_ms else handle.getValueState("state", self.state_schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = self.state.get() if self.state.exists() else None
@@ -165,25 +165,29 @@ class FileObservation(PerKey):
         return now, [(key[0], key[1], int(r.seq), change)]
 
 
-def stateful(events: DataFrame, processor: PerKey, schema: str, *keys: str) -> DataFrame:
+def stateful(events: DataFrame, processor: PerKey, schema: str, *keys: str, kept_ms: int | None = None) -> DataFrame:
+    """A stream that goes on gives kept_ms; one that ends with its input can't, since forgetting needs a clock that goes on."""
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return events.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "none")
-
-
-def write_flags(batch: DataFrame, path: str, config: DataFrame) -> None:
-    """A micro-batch's flags, scored, replace those of their submissions at the path."""
-    spark = batch.sparkSession
-    scored = scoring.scored_flags(batch, config)
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        scored.write.parquet(path)
-        return
-    replaced(old, scored, ["submission_id"]).write.mode("overwrite").parquet(path + "-next")
-    spark.read.parquet(path + "-next").write.mode("overwrite").parquet(path)
+    processor.kept_ms = kept_ms
+    return events.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "processingTime" if kept_ms else "none")
+
+
+#: What makes a live flag one: a later micro-batch's row of the same key is the one that counts.
+LIVE_KEY = ["submission_id", "session_id", "seq", "heuristic_id"]
+
+
+def write_flags(batch: DataFrame, path: str, config: DataFrame, batch_id: int) -> None:
+    """A micro-batch's flags, scored, in a folder of their own: writing it again after a failure changes nothing, and no
+    earlier flag is touched."""
+    scoring.scored_flags(batch, config).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def live_flags(spark: SparkSession, path: str) -> DataFrame:
+    """Every live flag once, as its latest micro-batch has it."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in (*LIVE_KEY, "batch")]
+    return rows.groupBy(*LIVE_KEY).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*LIVE_KEY, "v.*")
 
 
 def drained(stream: DataFrame, checkpoint: str, name: str, mode: str = "append") -> DataFrame:
