@@ -11,11 +11,14 @@ that reach the threshold are opened, and their segments, if essential words alon
 score. So all passages at or above the threshold are found.
 
 For each text and item found, the shares of the 5-word shingles of the question and of the answer (the item's last
-sentence, or its second half) that stand in the whole text are measured; together they have to reach OVERLAP.
+sentence, or its second half) that stand in the whole text are measured; each of the two has to reach OVERLAP. An item of
+one word is all question.
 
 Test items are taken in passes of about WORDS_A_PASS words each, as many passes as they need. Null or empty texts and
 items match nothing. Different texts under one item id, or under none, are items of their own: each one found gives a
-row with that id. Rows repeated under one id are looked at one by one; results are distinct.
+row with that id. Rows repeated under one id are looked at one by one; results are distinct. A very long text is one
+task's row: its words and the sets of shingles of matched texts are held at once. No passes, no rows: an empty table of
+documents or items gives an empty result.
 """
 
 from __future__ import annotations
@@ -224,7 +227,7 @@ def matches(texts_: list[str | None], index: Index, ids: TermIds) -> list[list[t
             words = words_of(texts_[d])
             sets[d] |= {tuple(words[i : i + k]) for k in short for i in range(len(words) - k + 1)}
         q, a = (sum(x in sets[d] for x in part) for part in (question, answer))
-        if q + a >= OVERLAP * (len(question) + len(answer)):
+        if q >= OVERLAP * len(question) and a >= OVERLAP * len(answer):
             out[d].append((index.item_ids[item], score, q / max(1, len(question)), a / max(1, len(answer))))
     return out
 
