@@ -1,18 +1,19 @@
 """Quality by attention-based multiple-instance learning.
 
-A document is a bag of passages of PASSAGE bytes. A passage is encoded by how often each kind of character follows each
-other kind, with a few figures of the document (length, distinct words, words said twice in a row, lines said again).
+A document is a bag of passages of PASSAGE bytes. A passage is encoded by itself alone: how often each kind of character
+follows each other kind, and figures of its words (how many, how long, how many different, said twice in a row).
 A hidden layer gives the representation h of every passage; gated attention weighs the passages of a document,
 
     a = softmax over the passages of  w . (tanh(V h) * sigmoid(U h))
 
 and the score is sigmoid(c . sum(a h) + d), learned from document labels only by gradient descent through the whole.
 
-Fitted on at most TRAIN_DOCS labelled documents, those first by a hash of their id, and at most TRAIN_PASSAGES evenly
-spaced passages of each; scoring reads every passage of every document. Labels, lang, source and doc_id are no inputs.
+Fitted on at most TRAIN_DOCS labelled documents, those first by a hash of their id; fitting and scoring read every passage
+of a document. Labels, lang, source and doc_id are no inputs.
 
 Null and empty texts are a bag of one empty passage and get the score the model gives it. Without both kinds of labels
-to learn from every score is the share of label 1, or 0.5. Every input row gives a row.
+to learn from every score is the share of label 1, or 0.5. Every input row gives a row, repeated ids too; of several texts
+under one labelled id the least one is learned from. A very long text is one bag: a task holds its passages, 2 KB each.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ from .bpe import slices
 
 PASSAGE = 512
 TRAIN_DOCS = 6000
-TRAIN_PASSAGES = 32
 HIDDEN, GATE = 24, 12
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 4e-3, 1e-4
 #: Few documents are gone through more often, to so many steps.
@@ -41,7 +41,9 @@ SLICE = 1 << 20
 
 KINDS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", ".", ",", "!?", ":;", "|", "#*$%&<>", "\"'()[]{}", "-_/\\@+=~^`")
 N = 16
-FEATURES = N * N + 6
+FEATURES = N * N + 4
+#: Bytes of encoded documents that fitting keeps; those beyond are encoded anew when they are looked at.
+KEPT = 256 << 20
 
 
 def kinds() -> np.ndarray:
@@ -55,17 +57,10 @@ def kinds() -> np.ndarray:
 TABLE = kinds()
 
 
-def whole_figures(text: str) -> list[float]:
-    words, lines = text.split(), text.split("\n")
+def figures(passage: bytes) -> tuple[float, float, float, float]:
+    words = passage.split()
     n = max(1, len(words))
-    return [
-        np.log1p(len(words)) / 8,
-        len(set(words)) / n,
-        sum(map(eq, words, words[1:])) / n,
-        1 - len(set(lines)) / len(lines),
-        len(text) / n / 16,
-        np.log1p(len(text) / len(lines)) / 8,
-    ]
+    return np.log1p(len(words)) / 8, len(set(words)) / n, sum(map(eq, words, words[1:])) / n, len(passage) / n / 16
 
 
 def encoded(texts_: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +78,8 @@ def encoded(texts_: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         counts = np.bincount((passage[:-1] * N * N + flat[:-1] * N + flat[1:])[same], minlength=len(counts))
     counts = counts.astype(np.float32).reshape(-1, N * N)
     shares = counts / np.maximum(1, counts.sum(1, keepdims=True))
-    figures = np.array([whole_figures(t or "") for t in texts_], np.float32)
-    return np.concatenate([np.sqrt(shares), np.repeat(figures, n, 0)], 1).astype(np.float32), n
+    own = np.array([figures(d[at : at + PASSAGE]) for d in data for at in range(0, max(1, len(d)), PASSAGE)], np.float32)
+    return np.concatenate([np.sqrt(shares), own], 1).astype(np.float32), n
 
 
 class Model:
@@ -118,21 +113,37 @@ class Model:
         de = dh * (1 - f["h"] ** 2)
         return {"E": x.T @ de, "e": de.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "w": (f["t"] * f["s"]).T @ dg, "c": f["z"].T @ out, "d": out.sum(keepdims=True)}
 
-    def fit(self, x: np.ndarray, n: np.ndarray, label: np.ndarray) -> Model:
+    def fit(self, texts_: list[str | None], label: np.ndarray) -> Model:
         if len(label) == 0 or label.min() == label.max():
             self.constant = float(label.mean()) if len(label) else 0.5
             return self
-        rng, at = np.random.default_rng(SEED), np.cumsum(n) - n
+        kept: dict[int, np.ndarray] = {}
+        size = 0
+
+        def bags(which: np.ndarray) -> list[np.ndarray]:
+            nonlocal size
+            new = [d for d in which.tolist() if d not in kept]
+            found: dict[int, np.ndarray] = {}
+            if new:
+                x, n = encoded([texts_[d] for d in new])
+                found = dict(zip(new, np.split(x, np.cumsum(n)[:-1]), strict=True))
+            for d, bag in found.items():
+                if size < KEPT:
+                    kept[d] = bag.copy()
+                    size += bag.nbytes
+            return [kept[d] if d in kept else found[d] for d in which.tolist()]
+
+        rng = np.random.default_rng(SEED)
         mean, square, step = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
         epochs = max(EPOCHS, -(-LEAST_STEPS // -(-len(label) // BATCH)))
         for epoch in range(epochs):
             order = rng.permutation(len(label))
             for i in range(0, len(order), BATCH):
                 own = order[i : i + BATCH]
-                rows = np.concatenate([np.arange(at[d], at[d] + n[d]) for d in own])
+                mine = bags(own)
                 step += 1
                 rate = RATE * (1 - epoch / epochs)
-                for k, g in self.gradient(x[rows], n[own], label[own]).items():
+                for k, g in self.gradient(np.concatenate(mine), np.array([len(x) for x in mine]), label[own]).items():
                     g = g + DECAY * self.p[k]
                     mean[k] = 0.9 * mean[k] + 0.1 * g
                     square[k] = 0.999 * square[k] + 0.001 * g * g
@@ -149,7 +160,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("label is not null and doc_id is not null")
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return own.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label").dropDuplicates(["doc_id"]).collect()  # known is bounded by most
+    # known is bounded by most; of several texts under one id the least one counts.
+    return own.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
 
 
 def held_out() -> F.Column:
@@ -158,15 +170,7 @@ def held_out() -> F.Column:
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
     rows = sorted(labelled_sample(docs, labels, "quality", TRAIN_DOCS), key=lambda r: r["doc_id"])
-    bags, sizes = [], []
-    for i in range(0, len(rows), 256):
-        x, n = encoded([r["text"] for r in rows[i : i + 256]])
-        for start, k in zip((np.cumsum(n) - n).tolist(), n.tolist(), strict=True):
-            pick = np.unique(np.linspace(start, start + k - 1, min(k, TRAIN_PASSAGES)).round().astype(int))
-            bags.append(x[pick])
-            sizes.append(len(pick))
-    label = np.array([r["label"] for r in rows], np.float32)
-    return Model().fit(np.concatenate(bags) if bags else np.zeros((0, FEATURES), np.float32), np.array(sizes, int), label)
+    return Model().fit([r["text"] for r in rows], np.array([r["label"] for r in rows], np.float32))
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
