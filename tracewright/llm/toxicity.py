@@ -1,23 +1,28 @@
 """Toxicity by votes of the nearest labelled examples.
 
-Examples and documents are TF-IDF vectors over at most TERMS terms: words and word beginnings, those whose presence among
-the examples depends most on the label (by chi-square). No term begins another, so a word stands for one at most, and an
-inflected word for its stem. Similarity is the exact cosine. Examples lie in blocks of BLOCK, with the largest weight of each
-(term, block) in the inverted index: the product of a document's weights with these bounds a block's best similarity,
-and blocks that can't reach the K-th nearest so far aren't opened. The nearest K vote with their similarity squared.
-A vote becomes a score by the share of toxic examples among those with a like vote when each example is left out of its
-own vote (pooled so that scores rise with votes). Documents without any of the words get the share among such examples.
-
-The examples are at most EXAMPLES labelled documents, first by a hash of their id. Labels, lang, source and doc_id are no
-inputs of a score. Null and empty texts hold none of the words. Without both labels to learn from, every score is the
-share of label 1, or 0. Every input row gives a row.
+Examples and documents are TF-IDF vectors over all terms of the examples: every word, and beginnings of words that depend on
+the label by chi-square (an inflected word then meets its stem). A term's weight is (1 + log tf) * idf * strength; strength
+is FLOOR, plus the correlation of the term with label 1 among the examples where that is significant. So no word is left
+out, and words that tell the label decide who is near. Similarity is the exact cosine.
+
+The examples stand in an inverted index with blocks of BLOCK of them: each term's postings, and the largest weight of each
+(term, block). A document's weights with these maxima bound every block; the FIRST most promising blocks are opened, then
+all that may still hold one of the K nearest, so that the K found are the K nearest. They vote with their similarity
+squared. A vote becomes a score by the share of toxic examples among those with a like vote when each example is left out
+of its own vote (pooled so that scores rise with votes).
+
+The examples are at most EXAMPLES labelled documents, first by a hash of their id, near copies once. Labels, lang, source
+and doc_id are no inputs of a score. Null and empty texts, and texts without any word of the examples, get the share among
+such examples, or else among all. Without both labels to learn from every score is the share of label 1, or 0. Every
+input row gives a row, repeated ids too; ties go to the earlier example. A very long text costs what its different words
+have postings; it is held whole.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,20 +31,20 @@ from pyspark.sql import DataFrame
 
 from ._jobs import texts
 from .bpe import slices
+from .decontamination import spread
 from .quality_model import labelled_sample
 
-EXAMPLES = 8000
-TERMS = 64
-#: A term stands in so many toxic examples at least, and in so large a share of them.
-LEAST_EXAMPLES = 5
-LEAST_SHARE = 0.01
-LEAST_CHI = 24.0
+EXAMPLES = 4000
+#: Strength of a term that says nothing of the label, and chi-square from which a term says something (one in a thousand).
+FLOOR = 0.01
+SIGNIFICANT = 10.83
+#: Beginnings of words that can be terms.
+STEMS = (4, 5, 6)
+STEM = "^"
 BLOCK = 64
+FIRST = 4
 K = 15
 BINS = 24
-#: Lengths of word beginnings that can be terms; they are marked by STEM.
-STEMS = range(3, 9)
-STEM = "^"
 WORDS_HELD = 400_000
 
 EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
@@ -51,18 +56,8 @@ def bare(word: str) -> str:
 
 
 def forms(word: str) -> list[str]:
-    """What a word may stand for: itself and its beginnings, the longest first."""
-    return [word, *(STEM + word[:k] for k in reversed(STEMS) if k < len(word))]
-
-
-def apart(ranked: list[str], most: int) -> list[str]:
-    """The first ``most`` terms of which none begins another."""
-    chosen: list[str] = []
-    for t in ranked:
-        own = t.removeprefix(STEM)
-        if len(chosen) < most and not any(own.startswith(c.removeprefix(STEM)) or c.removeprefix(STEM).startswith(own) for c in chosen):
-            chosen.append(t)
-    return chosen
+    """What a word may stand for: itself and its beginnings."""
+    return [word, *(STEM + word[:k] for k in STEMS if k < len(word))] if word else []
 
 
 def sketch(words: list[str]) -> int:
@@ -84,116 +79,144 @@ class Examples:
     def __init__(self, rows: list):
         rows = without_copies(rows)
         label = np.array([r["label"] for r in rows], float)
-        words = [Counter(map(bare, (r["text"] or "").split())) for r in rows]
         self.base = float(label.mean()) if len(label) else 0.0
         self.term: dict[str, int] = {}
+        self.label = label[:0]
         if not len(label) or label.min() == label.max():
             return
+        every = FormIds()
+        counts = [np.unique(every.of(r["text"]), return_counts=True) for r in rows]
         n, n1 = len(label), label.sum()
-        have, have1 = Counter(), Counter()
-        for w, y in zip(words, label, strict=True):
-            own = {f for word in w if word for f in forms(word)}
-            have.update(own)
-            if y:
-                have1.update(own)
-        chi = {}
-        for t, k in have.items():
-            a = have1[t]
-            if k < n and a >= max(LEAST_EXAMPLES, LEAST_SHARE * n1) and a * n > k * n1:
-                chi[t] = n * (a * n - k * n1) ** 2 / (k * (n - k) * n1 * (n - n1))
-        # Of equals the whole word, then the longest beginning: the narrowest that explains as much.
-        best = apart(sorted((t for t in chi if chi[t] >= LEAST_CHI), key=lambda t: (-chi[t], t.startswith(STEM), -len(t), t)), TERMS)
-        self.term = {t: i for i, t in enumerate(sorted(best))}
-        self.idf = np.array([np.log((1 + n) / (1 + have[t])) + 1 for t in sorted(best)])
-        vectors = self.vectors(*self.counted(words))
-        some = vectors.any(1)
-        self.base = float(label[~some].mean()) if (~some).any() else self.base
-        order = np.flatnonzero(some)
-        order = order[np.lexsort((order, vectors[order].argmax(1)))]  # like examples share a block
-        self.vector, self.label, self.ids = vectors[order], label[order], np.array([r["doc_id"] for r in rows])[order]
-        self.block_max = np.array([self.vector[i : i + BLOCK].max(0) for i in range(0, len(order), BLOCK)]) if len(order) else np.zeros((0, len(best)))
-        if len(order):
-            self.calibrate()
-
-    def counted(self, words: list[Counter]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-        rows = [(i, t, k) for i, w in enumerate(words) for word, k in w.items() if (t := self.term_of(word)) >= 0]
-        row, term, count = np.array(rows, int).reshape(-1, 3).T
-        return len(words), row, term, count
-
-    def term_of(self, word: str) -> int:
-        return next((self.term[f] for f in forms(word) if f in self.term), -1)
-
-    def vectors(self, n: int, row: np.ndarray, term: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Unit vectors of (1 + log tf) * idf; zero without a word of the index."""
-        v = np.zeros((n, len(self.term)))
-        np.add.at(v, (row, term), count)
-        v = np.where(v > 0, 1 + np.log(np.maximum(v, 1)), 0) * self.idf
-        return v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-12)
-
-    def nearest(self, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        names = every.names()
+        owner = np.repeat(label, [len(t) for t, _ in counts])
+        seen = np.concatenate([t for t, _ in counts])
+        k, a = np.bincount(seen, minlength=len(names)).astype(float), np.bincount(seen, owner, len(names))
+        above = a * n - k * n1
+        chi = np.where((above > 0) & (k < n), n * above**2 / np.maximum(k * (n - k) * n1 * (n - n1), 1), 0.0)
+        keep = np.flatnonzero((chi >= SIGNIFICANT) | np.array([not t.startswith(STEM) for t in names], bool))
+        strength = (FLOOR + np.where(chi >= SIGNIFICANT, np.sqrt(chi / n), 0.0)) * (np.log((1 + n) / (1 + k)) + 1)
+        self.term = {names[i]: at for at, i in enumerate(keep.tolist())}
+        self.strength = strength[keep]
+        place = np.full(len(names), -1)
+        place[keep] = np.arange(len(keep))
+
+        vectors = [self.vector(place[t][place[t] >= 0], c[place[t] >= 0].astype(float)) for t, c in counts]
+        some = np.flatnonzero([len(t) > 0 for t, _ in vectors])
+        none = np.setdiff1d(np.arange(n), some)
+        self.base = float(label[none].mean()) if len(none) else self.base
+        heaviest = np.array([t[np.argmax(w)] for t, w in (vectors[i] for i in some)], np.int64)
+        some = some[np.lexsort((some, heaviest))]  # like examples share a block
+        self.label, self.ids = label[some], np.array([rows[i]["doc_id"] for i in some])
+        if len(some):
+            self.indexed([vectors[i] for i in some])
+            self.calibrate([vectors[i] for i in some])
+
+    def vector(self, terms: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and unit weights."""
+        weight = (1 + np.log(tf)) * self.strength[terms]
+        return terms, weight / max(float(np.sqrt((weight * weight).sum())), 1e-12)
+
+    def indexed(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Postings by (term, example); entries by (term, block) with their largest weight and where their postings begin."""
+        example = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        term = np.concatenate([t for t, _ in vectors])
+        order = np.lexsort((example, term))
+        term, self.example, self.weight = term[order], example[order], np.concatenate([w for _, w in vectors])[order]
+        block = self.example // BLOCK
+        new = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])])
+        self.block, self.most = block[new], np.maximum.reduceat(self.weight, new)
+        self.postings = np.r_[new, len(term)]
+        self.entries = np.searchsorted(term[new], np.arange(len(self.term) + 1))
+        self.lists = self.postings[self.entries]
+        self.blocks = -(-len(vectors) // BLOCK)
+
+    def nearest(self, terms: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Similarities and places of the k nearest examples, in falling order; ties go to the earlier place."""
-        sim, at = np.full((len(v), k), -1.0), np.full((len(v), k), -1)
-        bound = v @ self.block_max.T
-        for step in range(bound.shape[1]):
-            # Each document opens its most promising block first.
-            block = np.argsort(-bound, 1, kind="stable")[:, step] if step == 0 else None
-            todo = [(b, np.flatnonzero(block == b)) for b in np.unique(block)] if step == 0 else [(b, np.flatnonzero((bound[:, b] >= sim[:, -1] - 1e-12) & (first != b))) for b in range(bound.shape[1])]
-            for b, rows in todo:
-                if len(rows):
-                    own = np.arange(b * BLOCK, min((b + 1) * BLOCK, len(self.vector)))
-                    both = np.concatenate([sim[rows], np.round(v[rows] @ self.vector[own].T, 12)], 1)
-                    places = np.concatenate([at[rows], np.broadcast_to(own, (len(rows), len(own)))], 1)
-                    pick = np.lexsort((places, -both), 1)[:, :k]
-                    sim[rows], at[rows] = np.take_along_axis(both, pick, 1), np.take_along_axis(places, pick, 1)
-            if step == 0:
-                first = block
+        row, entry = spread(self.entries, terms)
+        share = weight[row]
+        bound = np.bincount(self.block[entry], share * self.most[entry], self.blocks)
+        similar = np.full(len(self.label), -1.0)
+        opened = np.zeros(self.blocks, bool)
+        for wanted in (np.argsort(-bound, kind="stable")[:FIRST], None):
+            if wanted is None:
+                least = np.partition(similar, -k)[-k]
+                wanted = np.flatnonzero(~opened & (bound >= least - 1e-9))
+            now = np.zeros(self.blocks, bool)
+            now[wanted] = True
+            opened |= now
+            mine = now[self.block[entry]]
+            if 2 * np.count_nonzero(mine) > len(mine):  # whole lists are read faster than parts of most
+                first, last = self.lists[terms], self.lists[terms + 1]
+                lists = [slice(a, b) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                example, own = np.concatenate([self.example[x] for x in lists]), np.concatenate([self.weight[x] for x in lists])
+                found = np.bincount(example, np.repeat(weight, last - first) * own, len(self.label))
             else:
-                break
-        return sim, at
-
-    def votes(self, sim: np.ndarray, at: np.ndarray) -> np.ndarray:
-        weight = np.maximum(sim, 0) ** 2
-        return (weight * self.label[at]).sum(1) / np.maximum(weight.sum(1), 1e-12)
-
-    def calibrate(self) -> None:
+                which, at = spread(self.postings, entry[mine])
+                found = np.bincount(self.example[at], share[mine][which] * self.weight[at], len(self.label))
+            inside = now[np.arange(len(self.label)) // BLOCK]
+            similar[inside] = np.round(found[inside], 12)
+        least = np.partition(similar, -k)[-k]
+        place = np.flatnonzero(similar >= least)
+        place = place[np.lexsort((place, -similar[place]))][:k]
+        return similar[place], place
+
+    def vote(self, similar: np.ndarray, place: np.ndarray) -> float:
+        weight = np.maximum(similar, 0) ** 2
+        return float((weight * self.label[place]).sum() / max(weight.sum(), 1e-12))
+
+    def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Shares by vote, made to rise: neighbouring bins that fall are pooled."""
-        sim, at = self.nearest(self.vector, K + 1)
-        own = at == np.arange(len(at))[:, None]
-        own[~own.any(1), -1] = True
-        keep = ~own
-        vote = self.votes(sim[keep].reshape(len(at), K), at[keep].reshape(len(at), K))
+        votes = []
+        for i, (terms, weight) in enumerate(vectors):
+            similar, place = self.nearest(terms, weight, min(K + 1, len(vectors)))
+            others = place != i
+            votes.append(self.vote(similar[others][:K], place[others][:K]))
+        vote = np.array(votes)
         order = np.argsort(vote, kind="stable")
-        pools = [[vote[c].mean(), self.label[c].sum() + self.label.mean(), len(c) + 1.0] for c in np.array_split(order, min(BINS, len(order)))]
         merged: list[list[float]] = []
-        for x, hits, n in pools:
-            merged.append([x * n, hits, n])
+        starts = np.linspace(0, len(order), min(BINS, len(order)), endpoint=False).astype(int)
+        ordered = vote[order]
+        for own in np.split(order, np.unique(np.searchsorted(ordered, ordered[starts]))[1:]):  # like votes stay together
+            merged.append([vote[own].sum(), self.label[own].sum() + self.label.mean(), len(own) + 1.0, len(own)])
             while len(merged) > 1 and merged[-2][1] / merged[-2][2] >= merged[-1][1] / merged[-1][2]:
                 last = merged.pop()
                 merged[-1] = [a + b for a, b in zip(merged[-1], last, strict=True)]
-        self.curve = np.array([m[0] / m[2] for m in merged]), np.array([m[1] / m[2] for m in merged])
+        self.curve = np.array([m[0] / m[3] for m in merged]), np.array([m[1] / m[2] for m in merged])
+
+    def judge(self, terms: np.ndarray, tf: np.ndarray) -> tuple[float, list[int]]:
+        """Score, and the nearest examples' ids as evidence, of a document's counted terms."""
+        if not len(terms) or not len(self.label):
+            return self.base, []
+        similar, place = self.nearest(*self.vector(terms, tf), min(K, len(self.label)))
+        return float(np.clip(np.interp(self.vote(similar, place), *self.curve), 0, 1)), self.ids[place[:3]].tolist()
 
-    def judge(self, n: int, row: np.ndarray, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, list]:
-        """Scores, and the nearest examples' ids as evidence, of n documents from their counts of index words."""
-        score, evidence = np.full(n, self.base), [[] for _ in range(n)]
-        if not self.term or not len(row) or not len(self.label):
-            return score, evidence
-        some, place = np.unique(row, return_inverse=True)
-        sim, at = self.nearest(self.vectors(len(some), place, term, count), min(K, len(self.label)))
-        score[some] = np.clip(np.interp(self.votes(sim, at), *self.curve), 0, 1)
-        for i, near in zip(some.tolist(), self.ids[at[:, :3]].tolist(), strict=True):
-            evidence[i] = near
-        return score, evidence
 
+class WordTerms(dict):
+    """Terms of a raw word."""
 
-class WordIds(dict):
-    """Term of a raw word, or -1."""
+    def __init__(self, term: dict[str, int]):
+        self.term = term
 
-    def __init__(self, examples: Examples):
-        self.examples = examples
+    def __missing__(self, raw: str) -> tuple[int, ...]:
+        self[raw] = found = tuple(self.term[f] for f in forms(bare(raw)) if f in self.term)
+        return found
 
-    def __missing__(self, raw: str) -> int:
-        self[raw] = i = self.examples.term_of(bare(raw))
-        return i
+    def of(self, text: str | None) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(map(self.__getitem__, (text or "").split())), np.int64)
+
+
+class FormIds(WordTerms):
+    """All forms of a raw word, numbered as they come."""
+
+    def __init__(self) -> None:
+        super().__init__({})
+
+    def __missing__(self, raw: str) -> tuple[int, ...]:
+        self[raw] = found = tuple(self.term.setdefault(f, len(self.term)) for f in forms(bare(raw)))
+        return found
+
+    def names(self) -> list[str]:
+        return list(self.term)
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Examples:
@@ -204,21 +227,16 @@ def scored(docs: DataFrame, examples: Examples, id_col: str = "doc_id", text_col
     """doc_id, score, evidence (ids of the three nearest examples; empty without a word of the index)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(examples)
+        known = WordTerms(examples.term)
         for batch in batches:
             for part in slices(batch):
-                if len(ids) > WORDS_HELD:
-                    ids.clear()
-                rows, terms = [], []
-                for i, text in enumerate(part.column("text").to_pylist()):
-                    found = np.fromiter(map(ids.__getitem__, (text or "").split()), np.int64)
-                    found = found[found >= 0]
-                    rows.append(np.full(len(found), i))
-                    terms.append(found)
-                row, term = np.concatenate(rows), np.concatenate(terms)
-                score, evidence = examples.judge(part.num_rows, row, term, np.ones(len(row)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score), pa.array(evidence, pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
+                if len(known) > WORDS_HELD:
+                    known.clear()
+                score, evidence = [], []
+                for text in part.column("text").to_pylist():
+                    terms, tf = np.unique(known.of(text), return_counts=True)
+                    one, near = examples.judge(terms, tf.astype(float))
+                    score.append(one), evidence.append(near)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, evidence array<long>")
-
-
