@@ -107,10 +107,14 @@ def test_log_round_trip_and_torn_tail(spark, tmp_path):
     good = [json.dumps({"data": {}, "hash": z, "kind": "k", "prev_hash": z, "seq": i, "t": 1.0, "wall": "w"}) for i in range(3)]
     (tmp_path / "a.slog").write_text("\n".join(good) + "\n{\"torn")
     (tmp_path / "b.slog").write_text(good[0] + "\nbroken\n" + good[1] + "\n")
-    ok, rejects, torn = logs.read_log(spark, str(tmp_path))
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "a.slog").write_text(good[0] + "\n")
+    ok, rejects, torn = logs.read_log(spark, f"{tmp_path}/*.slog")
     assert ok.count() == 5
-    assert [(r["file"], r["line_no"]) for r in rejects.collect()] == [("b.slog", 2)]
-    assert [(r["file"], r["line_no"]) for r in torn.collect()] == [("a.slog", 4)]
+    assert [(r["file"].rsplit("/")[-1], r["line_no"]) for r in rejects.collect()] == [("b.slog", 2)]
+    assert [(r["file"].rsplit("/")[-1], r["line_no"]) for r in torn.collect()] == [("a.slog", 4)]
+    both = logs.read_log(spark, f"{tmp_path}/*.slog,{tmp_path}/other".split(",")[0]), logs.read_log(spark, f"{tmp_path}/other")
+    assert [x[0].count() for x in both] == [5, 1] and logs.read_log(spark, f"{tmp_path}/{{a.slog,other/a.slog}}")[0].select("file").distinct().count() == 2
 
 
 @pytest.mark.parametrize(("a", "b", "n"), [("", "", 0), ("a\nb\n", "a\nb", 1), ("a\nb\nc\n", "b\nc\na\n", 2), ("x\n" * 5, "x\n" * 3, 3)])

@@ -57,13 +57,23 @@ def timeline(events: DataFrame, kinds: set[str], files: set[str], sessions: set[
     return events.where(F.col("t").between(*t)) if t else events
 
 
+def at_cursors(rows: DataFrame, asked: DataFrame, keys: list[str], *values: str) -> DataFrame:
+    """For each row of ``asked`` (keys, at) the values of the latest of ``rows`` (keys, at, values) at or before it, null
+    without one. Both go through one window; no place is joined with another."""
+    own = rows.select(*keys, "at", F.struct("at", *values).alias("v"))
+    both = own.unionAll(asked.select(*keys, "at", F.lit(None).cast(own.schema["v"].dataType).alias("v")))
+    last = F.max("v").over(W.partitionBy(*keys).orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow))
+    return both.withColumn("last", last).where("v is null").select(*keys, "at", *[F.col(f"last.{c}").alias(c) for c in values])
+
+
 def seek(events: DataFrame, targets: DataFrame) -> DataFrame:
     """For each (submission_id, target): the last event at or before it, outcome and distance in ms."""
-    e = events.join(targets, "submission_id").groupBy("submission_id", "target").agg(
-        F.max(F.when(F.col("ms") <= F.col("target"), F.col("global_idx"))).alias("at"), F.min("ms").alias("first"), F.max("ms").alias("last"), F.max(F.when(F.col("ms") <= F.col("target"), F.col("ms"))).alias("at_ms"),
-    )
-    outcome = F.when(F.col("at").isNull(), "before_start").when(F.col("target") > F.col("last"), "after_end").otherwise("inside")
-    return e.select("submission_id", "target", F.coalesce("at", F.lit(0)).alias("global_idx"), outcome.alias("outcome"), F.abs(F.col("target") - F.coalesce("at_ms", "first")).alias("gap_ms"))
+    rows = events.select("submission_id", F.col("ms").alias("at"), "ms", "global_idx")
+    found = at_cursors(rows.withColumn("global_idx", F.max("global_idx").over(W.partitionBy("submission_id").orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow))), targets.select("submission_id", F.col("target").alias("at")), ["submission_id"], "ms", "global_idx")
+    ends = events.groupBy("submission_id").agg(F.min("ms").alias("first"), F.max("ms").alias("last"))
+    e = found.join(ends, "submission_id").withColumnRenamed("at", "target")
+    outcome = F.when(F.col("global_idx").isNull(), "before_start").when(F.col("target") > F.col("last"), "after_end").otherwise("inside")
+    return e.select("submission_id", "target", F.coalesce("global_idx", F.lit(0)).alias("global_idx"), outcome.alias("outcome"), F.abs(F.col("target") - F.coalesce("ms", "first")).alias("gap_ms"))
 
 
 def clock(events: DataFrame) -> DataFrame:
@@ -119,11 +129,14 @@ def file_recency(events: DataFrame, cursors: DataFrame) -> DataFrame:
     """For each (submission_id, cursor) and file touched up to it: age in the cursor's session, or sessions ago."""
     first = events.groupBy("submission_id", "session_id").agg(F.min("global_idx").alias("starts"))
     rank = first.withColumn("nth", F.dense_rank().over(W.partitionBy("submission_id").orderBy("starts"))).select("submission_id", "session_id", "nth")
-    e = events.join(rank, ["submission_id", "session_id"]).join(cursors, "submission_id").where("global_idx <= cursor")
-    here = e.groupBy("submission_id", "cursor").agg(F.max_by("nth", "global_idx").alias("now_nth"), F.max_by("ms", "global_idx").alias("now_ms"))
-    files = e.where(event_file().isNotNull()).groupBy("submission_id", "cursor", "path").agg(F.max_by("nth", "global_idx").alias("nth"), F.max_by("ms", "global_idx").alias("ms"))
-    j = files.join(here, ["submission_id", "cursor"])
-    return j.select("submission_id", "cursor", "path", F.when(F.col("nth") == F.col("now_nth"), F.col("now_ms") - F.col("ms")).alias("age_ms"), (F.col("now_nth") - F.col("nth")).cast("long").alias("sessions_ago"))
+    e = events.join(rank, ["submission_id", "session_id"]).withColumn("at", F.col("global_idx"))
+    asked = cursors.select("submission_id", F.col("cursor").alias("at")).distinct()
+    here = at_cursors(e, asked, ["submission_id"], "nth", "ms").select("submission_id", "at", F.col("nth").alias("now_nth"), F.col("ms").alias("now_ms"))
+    touched = e.where(event_file().isNotNull())
+    each = asked.join(touched.select("submission_id", "path").distinct(), "submission_id")
+    files = at_cursors(touched, each, ["submission_id", "path"], "nth", "ms").where("nth is not null")
+    j = files.join(here, ["submission_id", "at"])
+    return j.select("submission_id", F.col("at").alias("cursor"), "path", F.when(F.col("nth") == F.col("now_nth"), F.col("now_ms") - F.col("ms")).alias("age_ms"), (F.col("now_nth") - F.col("nth")).cast("long").alias("sessions_ago"))
 
 
 def active_file_changes(events: DataFrame) -> DataFrame:
@@ -135,8 +148,9 @@ def active_file_changes(events: DataFrame) -> DataFrame:
 
 def active_file_at(changes: DataFrame, cursors: DataFrame) -> DataFrame:
     """The active file of each contributor at (submission_id, cursor)."""
-    j = changes.join(cursors, "submission_id").where("global_idx <= cursor")
-    return j.groupBy("submission_id", "cursor", "contributor").agg(F.max_by("file", "global_idx").alias("file"))
+    asked = cursors.select("submission_id", F.col("cursor").alias("at")).distinct().join(changes.select("submission_id", "contributor").distinct(), "submission_id")
+    found = at_cursors(changes.withColumn("at", F.col("global_idx")), asked, ["submission_id", "contributor"], "file")
+    return found.where("file is not null").select("submission_id", F.col("at").alias("cursor"), "contributor", "file")
 
 
 def current_external_change(events: DataFrame) -> DataFrame:
@@ -195,8 +209,10 @@ def order_breaks(ranked: DataFrame) -> DataFrame:
 
 def cursor_position(events: DataFrame, cursors: DataFrame) -> DataFrame:
     """The latest selection of each file at (submission_id, cursor)."""
-    j = events.where("kind = 'selection.change'").join(cursors, "submission_id").where("global_idx <= cursor")
-    return j.groupBy("submission_id", "cursor", "path").agg(F.max_by("range", "global_idx").alias("range"))
+    e = events.where("kind = 'selection.change'").withColumn("at", F.col("global_idx"))
+    asked = cursors.select("submission_id", F.col("cursor").alias("at")).distinct().join(e.select("submission_id", "path").distinct(), "submission_id")
+    found = at_cursors(e.withColumn("held", F.struct("range")), asked, ["submission_id", "path"], "held")
+    return found.where("held is not null").select("submission_id", F.col("at").alias("cursor"), "path", "held.range")
 
 
 def lanes(active: DataFrame, n: int, verdicts: DataFrame | None = None) -> DataFrame:

@@ -25,20 +25,23 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
         .when(F.col("e.kind").isNull() | F.col("e.wall").isNull(), "missing_field")
         .when(~F.coalesce(F.col("e.hash"), F.lit("")).rlike(HEX) | ~F.coalesce(F.col("e.prev_hash"), F.lit("")).rlike(HEX), "bad_hash")
     )
-    return e.select("file", "line_no", "line", "e.*", "data", error.alias("error"))
+    kept = [c for c in lines.columns if c not in ("file", "line_no", "line")]
+    return e.select("file", "line_no", "line", "e.*", "data", error.alias("error"), *kept)
 
 
 def whole_files(files: DataFrame) -> DataFrame:
     """Lines of files (file, text), numbered from 1. Only an unterminated last line may be torn: it is marked."""
-    s = files.select("file", F.posexplode(F.split("text", "\n")).alias("i", "line"), F.size(F.split("text", "\n")).alias("n"))
+    split = files.select("file", F.split("text", "\n").alias("lines"))
+    s = split.select("file", F.size("lines").alias("n"), F.posexplode("lines").alias("i", "line"))
     last = F.col("i") == F.col("n") - 1
     return s.where(~(last & (F.col("line") == ""))).select("file", (F.col("i") + 1).cast("long").alias("line_no"), "line", last.alias("unterminated"))
 
 
 def read_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """events, rejects and torn tails of the NDJSON files under a path."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
-    p = parsed_lines(whole_files(files).select("file", "line_no", "line")).join(whole_files(files).select("file", "line_no", "unterminated"), ["file", "line_no"])
+    """events, rejects and torn tails of the NDJSON files under a path; ``file`` is the whole path, since logs of several
+    submissions have one name. A log is a session's, a few megabytes: a row holds it until its lines are cut."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    p = parsed_lines(whole_files(files))
     return p.where("error is null").drop("error", "unterminated"), p.where("error is not null and not unterminated"), p.where("error is not null and unterminated").select("file", "line_no", "line")
 
 
