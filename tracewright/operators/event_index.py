@@ -98,9 +98,10 @@ def flagged_seams(seam_rows: DataFrame, flag_events: DataFrame) -> DataFrame:
     return seam_rows.join(f, ["submission_id", "to_session"]).where("flag_idx >= global_idx").select("submission_id", "global_idx", "to_session").distinct()
 
 
-def jump_marks(events: DataFrame) -> DataFrame:
-    """What a player can jump to, as 0/1 columns."""
+def jump_marks(events: DataFrame, flagged: DataFrame) -> DataFrame:
+    """What a player can jump to, as 0/1 columns; flagged: (submission_id, global_idx) of events that flags refer to."""
     w = ordered()
+    events = events.join(flagged.select("submission_id", "global_idx", F.lit(1).alias("flag")).distinct(), ["submission_id", "global_idx"], "left")
     file = F.last(event_file(), True).over(w.rowsBetween(W.unboundedPreceding, -1))
     return events.select(
         "submission_id", "global_idx",
@@ -108,21 +109,22 @@ def jump_marks(events: DataFrame) -> DataFrame:
         (F.col("kind") == "fs.external_change").cast("int").alias("external"),
         F.coalesce((event_file() != file).cast("int"), F.lit(0)).alias("file_switch"),
         F.coalesce((F.lag("session_id").over(w) != F.col("session_id")).cast("int"), F.lit(0)).alias("seam"),
+        F.coalesce("flag", F.lit(0)).alias("flagged"),
     )
 
 
-MARKS = ("paste", "external", "file_switch", "seam")
+MARKS = ("paste", "external", "file_switch", "seam", "flagged")
 
 
-def next_marks(events: DataFrame) -> DataFrame:
+def next_marks(events: DataFrame, flagged: DataFrame) -> DataFrame:
     """For every event as a cursor, the next place of each mark after it."""
     after = ordered().rowsBetween(1, W.unboundedFollowing)
-    return jump_marks(events).select("submission_id", "global_idx", *[F.first(F.when(F.col(m) == 1, F.col("global_idx")), True).over(after).alias(f"next_{m}") for m in MARKS])
+    return jump_marks(events, flagged).select("submission_id", "global_idx", *[F.first(F.when(F.col(m) == 1, F.col("global_idx")), True).over(after).alias(f"next_{m}") for m in MARKS])
 
 
-def remaining_marks(events: DataFrame) -> DataFrame:
+def remaining_marks(events: DataFrame, flagged: DataFrame) -> DataFrame:
     after = ordered().rowsBetween(1, W.unboundedFollowing)
-    return jump_marks(events).select("submission_id", "global_idx", *[F.coalesce(F.sum(m).over(after), F.lit(0)).cast("long").alias(f"left_{m}") for m in MARKS])
+    return jump_marks(events, flagged).select("submission_id", "global_idx", *[F.coalesce(F.sum(m).over(after), F.lit(0)).cast("long").alias(f"left_{m}") for m in MARKS])
 
 
 def file_recency(events: DataFrame, cursors: DataFrame) -> DataFrame:
@@ -161,13 +163,18 @@ def current_external_change(events: DataFrame) -> DataFrame:
 
 
 def activity_runs(events: DataFrame) -> DataFrame:
-    """Runs of one contributor, split where more than IDLE_MS passes: start, stop, events, and the idle time before."""
+    """Runs of one contributor, split where more than IDLE_MS passes: start, stop, events, and the time before; and the idle
+    runs between them (no contributor, no events), under the number of the run that ends them."""
     w = ordered()
     new = (F.lag("contributor").over(w).isNull()) | (F.lag("contributor").over(w) != F.col("contributor")) | (F.col("ms") - F.lag("ms").over(w) > IDLE_MS)
     e = events.withColumn("gap", F.col("ms") - F.lag("ms").over(w)).withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return e.groupBy("submission_id", F.col("run").cast("long").alias("run")).agg(
-        F.min("contributor").alias("contributor"), F.min("ms").alias("start_ms"), F.max("ms").alias("stop_ms"), F.count(F.lit(1)).alias("events"), F.coalesce(F.min_by("gap", "global_idx"), F.lit(0)).alias("gap_before_ms"),
+    runs = e.groupBy("submission_id", F.col("run").cast("long").alias("run")).agg(
+        F.min("contributor").alias("contributor"), F.min("ms").alias("start_ms"), F.max("ms").alias("stop_ms"), F.count(F.lit(1)).alias("events"), F.coalesce(F.min_by("gap", "global_idx"), F.lit(0)).alias("gap_before_ms"), F.min_by("ms", "global_idx").alias("first_ms"),
     )
+    none = F.lit(None).cast(runs.schema["contributor"].dataType)
+    own = F.struct(F.lit(False).alias("idle"), F.col("contributor"), F.col("start_ms"), F.col("stop_ms"), F.col("events"), F.col("gap_before_ms"))
+    idle = F.struct(F.lit(True).alias("idle"), none.alias("contributor"), (F.col("first_ms") - F.col("gap_before_ms")).alias("start_ms"), F.col("first_ms").alias("stop_ms"), F.lit(0).cast("long").alias("events"), F.lit(0).cast("long").alias("gap_before_ms"))
+    return runs.select("submission_id", "run", F.explode(F.when(F.col("gap_before_ms") > IDLE_MS, F.array(own, idle)).otherwise(F.array(own))).alias("r")).select("submission_id", "run", "r.*")
 
 
 def overlaps(envelopes: DataFrame) -> DataFrame:

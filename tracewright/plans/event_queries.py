@@ -107,18 +107,18 @@ def b11(t):
 MARKS = f"""{EV}, m0 as (select *, {FILE} as file, lag(session_id) over (partition by submission_id order by global_idx) as before from ev),
 m1 as (select *, last_value(file ignore nulls) over (partition by submission_id order by global_idx rows between unbounded preceding and 1 preceding) as file_before from m0),
 marks as (select submission_id, global_idx, (kind = 'paste')::int as paste, (kind = 'fs.external_change')::int as external,
-  coalesce((file <> file_before)::int, 0) as file_switch, coalesce((before <> session_id)::int, 0) as seam from m1)"""
+  coalesce((file <> file_before)::int, 0) as file_switch, coalesce((before <> session_id)::int, 0) as seam, (k % 13 = 0)::int as flagged from m1)"""
 AFTER = "over (partition by submission_id order by global_idx rows between 1 following and unbounded following)"
 
 
 @query("b12_next_marks", f"{MARKS} select submission_id, global_idx, " + ", ".join(f"min(case when {m} = 1 then global_idx end) {AFTER} as next_{m}" for m in op.MARKS) + " from marks")
 def b12(t):
-    return op.next_marks(t.events())
+    return op.next_marks(t.events(), t.events().where("k % 13 = 0"))
 
 
 @query("b13_remaining_marks", f"{MARKS} select submission_id, global_idx, " + ", ".join(f"coalesce(sum({m}) {AFTER}, 0)::bigint as left_{m}" for m in op.MARKS) + " from marks")
 def b13(t):
-    return op.remaining_marks(t.events())
+    return op.remaining_marks(t.events(), t.events().where("k % 13 = 0"))
 
 
 @query(
@@ -156,10 +156,10 @@ def b17(t):
 
 RUNS = f"""{EV}, r0 as (select submission_id, global_idx, ms, k % 3 as contributor, ms - lag(ms) over w as gap, lag(k % 3) over w as before from ev window w as (partition by submission_id order by global_idx)),
 r1 as (select *, sum((before is null or before <> contributor or gap > 120000)::int) over (partition by submission_id order by global_idx) as run from r0),
-runs as (select submission_id, run::bigint as run, min(contributor) as contributor, min(ms) as start_ms, max(ms) as stop_ms, count(*) as events, coalesce(arg_min(gap, global_idx), 0) as gap_before_ms from r1 group by 1, 2)"""
+runs as (select submission_id, run::bigint as run, min(contributor) as contributor, min(ms) as start_ms, max(ms) as stop_ms, count(*) as events, coalesce(arg_min(gap, global_idx), 0) as gap_before_ms, arg_min(ms, global_idx) as first_ms from r1 group by 1, 2)"""
 
 
-@query("b18_activity_runs", f"{RUNS} select submission_id, run, contributor, start_ms, stop_ms, events, case when run = 1 then 0 else gap_before_ms end as gap_before_ms from runs")
+@query("b18_activity_runs", f"{RUNS} select submission_id, run, contributor, start_ms, stop_ms, events, case when run = 1 then 0 else gap_before_ms end as gap_before_ms, false as idle from runs union all select submission_id, run, null, first_ms - gap_before_ms, first_ms, 0, 0, true from runs where run > 1 and gap_before_ms > 120000")
 def b18(t):
     return op.activity_runs(contributed(t))
 
