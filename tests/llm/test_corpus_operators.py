@@ -320,7 +320,7 @@ def test_toxicity_equals_brute_force():
     for i in range(60):
         bag = Counter(f for w in [r.choice(VOCABULARY) for _ in range(30)] + r.sample(rude, i % 3) + ["unknownword"] for f in toxicity.forms(w))
         terms, tf = (np.array(x) for x in zip(*sorted((e.term[t], c) for t, c in bag.items() if t in e.term), strict=True))
-        score, near = e.judge(terms, tf.astype(float))
+        score, near = e.judge([(terms, tf.astype(float))])[0]
         want, evidence = vote(vector(bag))
         assert abs(score - np.clip(np.interp(want, xs, ys), 0, 1)) < 1e-6 and near == evidence
 

@@ -6,8 +6,9 @@ is FLOOR, plus the correlation of the term with label 1 among the examples where
 out, and words that tell the label decide who is near. Similarity is the exact cosine.
 
 The examples stand in an inverted index with blocks of BLOCK of them: each term's postings, and the largest weight of each
-(term, block). A document's weights with these maxima bound every block; the FIRST most promising blocks are opened, then
-all that may still hold one of the K nearest, so that the K found are the K nearest. They vote with their similarity
+(term, block). Common terms' shares of the similarity are worked out for all examples at once; with these a document's
+weights and the maxima of its other terms bound every block. The FIRST most promising blocks are opened, then all that may
+still hold one of the K nearest, so that the K found are the K nearest. They vote with their similarity
 squared. A vote becomes a score by the share of toxic examples among those with a like vote when each example is left out
 of its own vote (pooled so that scores rise with votes).
 
@@ -43,6 +44,9 @@ STEMS = (4, 5, 6)
 STEM = "^"
 BLOCK = 64
 FIRST = 4
+#: A term in one of so many examples or more is common; and documents whose common terms are looked up together.
+COMMON = 64
+TOGETHER = 256
 K = 15
 BINS = 24
 WORDS_HELD = 400_000
@@ -129,31 +133,53 @@ class Examples:
         self.entries = np.searchsorted(term[new], np.arange(len(self.term) + 1))
         self.lists = self.postings[self.entries]
         self.blocks = -(-len(vectors) // BLOCK)
-
-    def nearest(self, terms: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Similarities and places of the k nearest examples, in falling order; ties go to the earlier place."""
+        self.block_of = np.arange(len(vectors)) // BLOCK
+        self.common = np.flatnonzero(np.diff(self.lists) * COMMON >= len(vectors))
+        self.slot = np.full(len(self.term), -1)
+        self.slot[self.common] = np.arange(len(self.common))
+
+    def opened(self) -> Examples:
+        """With rows of all examples for common terms; they are made anew in each task, not sent there."""
+        self.dense = np.zeros((len(self.common), len(self.label)))
+        for i, t in enumerate(self.common.tolist()):
+            own = slice(self.lists[t], self.lists[t + 1])
+            self.dense[i, self.example[own]] = self.weight[own]
+        return self
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "dense"}
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector similarities and places of the k nearest examples, in falling order; ties go to the earlier place.
+        The shares of common terms are exact for all examples; the other terms' postings are read where the bounds ask."""
+        out = []
+        for i in range(0, len(vectors), TOGETHER):
+            part = vectors[i : i + TOGETHER]
+            q = np.zeros((len(part), len(self.common)))
+            slots = [self.slot[terms] for terms, _ in part]
+            for r, ((_, weight), slot) in enumerate(zip(part, slots, strict=True)):
+                q[r, slot[slot >= 0]] = weight[slot >= 0]
+            known = q @ self.dense
+            out += [self.closest(known[r], terms[slot < 0], weight[slot < 0], k) for r, ((terms, weight), slot) in enumerate(zip(part, slots, strict=True))]
+        return out
+
+    def closest(self, known: np.ndarray, terms: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         row, entry = spread(self.entries, terms)
         share = weight[row]
-        bound = np.bincount(self.block[entry], share * self.most[entry], self.blocks)
+        bound = np.maximum.reduceat(known, np.arange(self.blocks) * BLOCK) + np.bincount(self.block[entry], share * self.most[entry], self.blocks)
         similar = np.full(len(self.label), -1.0)
-        opened = np.zeros(self.blocks, bool)
+        done = np.zeros(self.blocks, bool)
         for wanted in (np.argsort(-bound, kind="stable")[:FIRST], None):
             if wanted is None:
                 least = np.partition(similar, -k)[-k]
-                wanted = np.flatnonzero(~opened & (bound >= least - 1e-9))
+                wanted = np.flatnonzero(~done & (bound >= least - 1e-9))
             now = np.zeros(self.blocks, bool)
             now[wanted] = True
-            opened |= now
+            done |= now
             mine = now[self.block[entry]]
-            if 2 * np.count_nonzero(mine) > len(mine):  # whole lists are read faster than parts of most
-                first, last = self.lists[terms], self.lists[terms + 1]
-                lists = [slice(a, b) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                example, own = np.concatenate([self.example[x] for x in lists]), np.concatenate([self.weight[x] for x in lists])
-                found = np.bincount(example, np.repeat(weight, last - first) * own, len(self.label))
-            else:
-                which, at = spread(self.postings, entry[mine])
-                found = np.bincount(self.example[at], share[mine][which] * self.weight[at], len(self.label))
-            inside = now[np.arange(len(self.label)) // BLOCK]
+            which, at = spread(self.postings, entry[mine])
+            found = known + np.bincount(self.example[at], share[mine][which] * self.weight[at], len(self.label))
+            inside = now[self.block_of]
             similar[inside] = np.round(found[inside], 12)
         least = np.partition(similar, -k)[-k]
         place = np.flatnonzero(similar >= least)
@@ -167,8 +193,7 @@ class Examples:
     def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Shares by vote, made to rise: neighbouring bins that fall are pooled."""
         votes = []
-        for i, (terms, weight) in enumerate(vectors):
-            similar, place = self.nearest(terms, weight, min(K + 1, len(vectors)))
+        for i, (similar, place) in enumerate(self.opened().nearest(vectors, min(K + 1, len(vectors)))):
             others = place != i
             votes.append(self.vote(similar[others][:K], place[others][:K]))
         vote = np.array(votes)
@@ -183,12 +208,13 @@ class Examples:
                 merged[-1] = [a + b for a, b in zip(merged[-1], last, strict=True)]
         self.curve = np.array([m[0] / m[3] for m in merged]), np.array([m[1] / m[2] for m in merged])
 
-    def judge(self, terms: np.ndarray, tf: np.ndarray) -> tuple[float, list[int]]:
-        """Score, and the nearest examples' ids as evidence, of a document's counted terms."""
-        if not len(terms) or not len(self.label):
-            return self.base, []
-        similar, place = self.nearest(*self.vector(terms, tf), min(K, len(self.label)))
-        return float(np.clip(np.interp(self.vote(similar, place), *self.curve), 0, 1)), self.ids[place[:3]].tolist()
+    def judge(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
+        """Score, and the nearest examples' ids as evidence, of each document's counted terms."""
+        some = [i for i, (terms, _) in enumerate(counted) if len(terms) and len(self.label)]
+        out: list[tuple[float, list[int]]] = [(self.base, [])] * len(counted)
+        for i, (similar, place) in zip(some, self.nearest([self.vector(*counted[i]) for i in some], min(K, len(self.label))), strict=True):
+            out[i] = float(np.clip(np.interp(self.vote(similar, place), *self.curve), 0, 1)), self.ids[place[:3]].tolist()
+        return out
 
 
 class WordTerms(dict):
@@ -228,15 +254,13 @@ def scored(docs: DataFrame, examples: Examples, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordTerms(examples.term)
+        opened = examples.opened() if len(examples.label) else examples
         for batch in batches:
             for part in slices(batch):
                 if len(known) > WORDS_HELD:
                     known.clear()
-                score, evidence = [], []
-                for text in part.column("text").to_pylist():
-                    terms, tf = np.unique(known.of(text), return_counts=True)
-                    one, near = examples.judge(terms, tf.astype(float))
-                    score.append(one), evidence.append(near)
+                counted = [np.unique(known.of(text), return_counts=True) for text in part.column("text").to_pylist()]
+                score, evidence = zip(*opened.judge([(terms, tf.astype(float)) for terms, tf in counted]), strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, evidence array<long>")
