@@ -361,3 +361,22 @@ def test_pipeline(spark, tmp_path):
     left = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert 1000 in left and 1001 not in left and 1002 not in left
     assert not any(i % 3 == 0 for i in left if i is not None and i < 200) and sum(i % 3 != 0 for i in left if i is not None and i < 200) > 125
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null, empty and repeated texts, an id on two texts, clashing extra columns; and tables without rows."""
+    import corpus_pipeline
+
+    good = lambda i: ". ".join(prose(9, 7000 + 20 * i + k).capitalize() for k in range(8)) + "."
+    rows = [(i, good(i)) for i in range(40)] + [(3, good(3)), (50, None), (51, ""), (None, None), (52, good(60)), (52, good(61)), (53, good(61)), (54, prose(60_000, 9).capitalize() + ".")]
+    extra = "'en' as lang, 's' as source, cast(length(text) as bigint) as n_chars, 'x' as family, 1 as score, 'y' as told, 2 as item_id, 'z' as node, 'k' as key"
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *extra.split(", "))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, prose(30, 903))], "item_id long, text string")
+    for name, table in (("documents", docs), ("labels", labels), ("benchmark", items)):
+        table.write.parquet(f"{tmp_path}/some/{name}.parquet")
+        table.limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    assert Counter(r["doc_id"] for r in got) == Counter([*range(40), 3, 50, 51, None, 52, 52, 54])
+    assert {r["doc_id"]: r["n_tokens"] for r in got}[51] == 0
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
