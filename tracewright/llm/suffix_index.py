@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ._jobs import delete, discard, new_path, staged, texts
 from .bpe import slices
@@ -322,9 +323,14 @@ def repeated_spans(docs: DataFrame, one: DataFrame, n_bytes: int, slot_bytes: in
     known = staged(entries.where("batch = -1").select("text_key", "start", stop), "suffix-known")
     delete(spark, path)
 
-    kinds = shared.groupBy("digest").agg(F.count(F.lit(1)).alias("c"), F.first("suffix").alias("suffix"), F.min(F.struct("text_key", "start", "n")).alias("first"))
-    kinds = staged(kinds.select("digest", "c", F.xxhash64("suffix").alias("key"), "first.*"), "suffix-kinds")
-    whole = shared.join(kinds.where("c > 1").select("digest").hint("merge"), "digest", "left_semi").select("text_key", "start", stop)
+    # Every place with how often its stretch stands, in one shuffle; tasks left one entry of what they saw again.
+    same = W.partitionBy("digest")
+    placed = shared.select("digest", F.xxhash64("suffix").alias("key"), "text_key", "start", "n")
+    placed = placed.withColumn("c", F.count(F.lit(1)).over(same)).withColumn("nth", F.row_number().over(same.orderBy("text_key", "start")))
+    placed = staged(placed.drop("digest"), "suffix-placed")
+    discard(shared)
+    kinds = placed.where("nth = 1")
+    whole = placed.where("c > 1").select("text_key", "start", stop)
     open_ = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("c").alias("least"), F.sum(F.col("n") + LENGTH - 1).alias("bytes")).where("kinds > 1 and least = 1").select("key", "bytes")
     wanted = staged(kinds.join(open_.hint("merge"), "key").select("key", "bytes", (F.col("c") == 1).alias("alone"), "text_key", "start", "n"), "suffix-wanted")
     small, large = wanted.where(F.col("bytes") <= group_bytes), wanted.where(F.col("bytes") > group_bytes)
