@@ -183,9 +183,13 @@ class Family:
     def add(self, rows: DataFrame) -> None:
         """Scans a batch's array against itself and all of the family, then merges full levels."""
         new = SuffixArray(rows, self.buckets, "suffix_batch")
-        hits = new.rows().groupBy("suffix").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("suffix")
-        for array in self.arrays():
-            hits = hits.unionAll(array.rows().select("suffix").join(new.rows().select("suffix").hint("merge"), "suffix", "left_semi").distinct())
+        left = new.rows().groupBy("suffix").agg(F.count(F.lit(1)).alias("c"))
+        hits = left.where("c > 1").select("suffix")
+        left = left.where("c = 1").select("suffix")
+        for array in self.arrays():  # a suffix is reported once, and not looked for again
+            theirs = array.rows().select("suffix").hint("merge")
+            hits = hits.unionAll(left.join(theirs, "suffix", "left_semi"))
+            left = left.join(theirs, "suffix", "left_anti")
         self.shared.append(staged(hits, "suffix-shared"))
         self.levels[0].append(new)
         at = 0
@@ -315,13 +319,13 @@ def repeated_spans(docs: DataFrame, one: DataFrame, n_bytes: int, slot_bytes: in
     path = new_path(spark, "suffix-entries")
     suffixes(docs).select("*", batch).write.partitionBy("batch").parquet(path)
     entries = spark.read.schema(f"{ENTRIES}, batch int").parquet(path)
+    stop = (F.col("start") + F.col("n") + LENGTH - 1).alias("stop")
+    known = staged(entries.where("batch = -1").select("text_key", "start", stop), "suffix-known")
     family = Family(int(spark.conf.get("spark.sql.shuffle.partitions")))
     for i in range(batches):
         family.add(entries.where(F.col("batch") == i).drop("batch"))
-    shared = family.candidates()
-    stop = (F.col("start") + F.col("n") + LENGTH - 1).alias("stop")
-    known = staged(entries.where("batch = -1").select("text_key", "start", stop), "suffix-known")
     delete(spark, path)
+    shared = family.candidates()
 
     # Every place with how often its stretch stands, in one shuffle; tasks left one entry of what they saw again.
     same = W.partitionBy("digest")
@@ -330,9 +334,10 @@ def repeated_spans(docs: DataFrame, one: DataFrame, n_bytes: int, slot_bytes: in
     placed = staged(placed.drop("digest"), "suffix-placed")
     discard(shared)
     kinds = placed.where("nth = 1")
-    whole = placed.where("c > 1").select("text_key", "start", stop)
+    whole = staged(placed.where("c > 1").select("text_key", "start", stop), "suffix-whole")
     open_ = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("c").alias("least"), F.sum(F.col("n") + LENGTH - 1).alias("bytes")).where("kinds > 1 and least = 1").select("key", "bytes")
     wanted = staged(kinds.join(open_.hint("merge"), "key").select("key", "bytes", (F.col("c") == 1).alias("alone"), "text_key", "start", "n"), "suffix-wanted")
+    discard(placed)
     small, large = wanted.where(F.col("bytes") <= group_bytes), wanted.where(F.col("bytes") > group_bytes)
     spans = bytes_of(small, docs, one).repartition("key").sortWithinPartitions("key").mapInArrow(compared, SPANS).unionAll(whole).unionAll(known)
     if not large.isEmpty():
