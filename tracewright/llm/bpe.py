@@ -32,7 +32,7 @@ PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Units of each generation that a worker remembers, and pairs; a full table of pairs is emptied. Bounds memory only.
-REMEMBERED = 150_000
+REMEMBERED = 80_000
 CACHED_PAIRS = 250_000
 NEVER = 1 << 60
 
@@ -265,7 +265,7 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 2 << 20):
                 ids = coder.encode_all(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([coder.decode(x) for x in ids], pa.string())],

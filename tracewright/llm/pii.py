@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -259,33 +259,47 @@ def pair_slot(entity: int, word: int) -> int:
     return (entity * 31 + word) % SLOTS
 
 
-def told_rows(rows: DataFrame, pairs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows, with TOLD: the disclosing pairs among the text's own mentions, null if there are none.
+def told_rows(rows: DataFrame, pairs: DataFrame, finish: Callable[[pa.RecordBatch], pa.RecordBatch], schema: StructType | str) -> DataFrame:
+    """``finish`` of the rows with TOLD: the disclosing pairs among the text's own mentions, null if there are none.
 
     A bitmap of SLOTS bits of the pairs goes to every task. Only texts with a mention that it holds move, keyed by text, and
-    what those mentions are; all others stay where they are. So it is with any number of pairs.
+    what those mentions are; all others are finished where they are. So it is with any number of pairs. No stage has two
+    Python steps, which would double the workers that an executor keeps.
     """
     entity, word = F.col("entity").cast("decimal(38,0)"), F.col("word").cast("decimal(38,0)")
     held = np.zeros(SLOTS, bool)
     held[[r["slot"] for r in pairs.select(F.pmod(entity * 31 + word, F.lit(SLOTS)).cast("int").alias("slot")).distinct().collect()]] = True  # SLOTS rows at most
 
-    def mentioned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (part for batch in batches for part in slices(batch, column=text_col)):
-            out: list[list[dict] | None] = []
-            for text in part.column(text_col).to_pylist():
-                spans = found(text) if text else []
-                own = {(e, hashed(bare(w))) for e, _, words in contexts(text, spans) for *_, w in words} if spans else ()
-                own = sorted(p for p in own if held[pair_slot(*p)])
-                out.append([{"entity": e, "word": w} for e, w in own] or None)
-            yield part.append_column("__told", pa.array(out, TOLD_ARROW))
-
-    own = rows.mapInArrow(mentioned, StructType([*rows.schema.fields, StructField("__told", TOLD)]))
-    key = F.xxhash64(text_col).alias("__key")
-    moved = own.where("__told is not null").select("*", key)
+    def mentioned(part: pa.RecordBatch) -> list[list[dict] | None]:
+        out: list[list[dict] | None] = []
+        for text in part.column("text").to_pylist():
+            spans = found(text) if text else []
+            own = {(e, hashed(bare(w))) for e, _, words in contexts(text, spans) for *_, w in words} if spans else ()
+            own = sorted(p for p in own if held[pair_slot(*p)])
+            out.append([{"entity": e, "word": w} for e, w in own] or None)
+        return out
+
+    def stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for batch in batches for part in slices(batch)):
+            told = mentioned(part)
+            left = part.filter(pa.array([t is None for t in told], pa.bool_()))
+            yield finish(left.append_column("__told", pa.nulls(left.num_rows, TOLD_ARROW)))
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for batch in batches for part in slices(batch)):
+            told = mentioned(part)
+            yield part.append_column("__told", pa.array(told, TOLD_ARROW)).filter(pa.array([t is not None for t in told], pa.bool_()))
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for batch in batches for part in slices(batch)):
+            yield finish(part)
+
+    moved = rows.mapInArrow(move, StructType([*rows.schema.fields, StructField("__told", TOLD)])).select("*", F.xxhash64("text").alias("__key"))
     asked = moved.select("__key", F.explode("__told").alias("m")).select("__key", "m.entity", "m.word").distinct()
     told = asked.join(pairs.select("entity", "word"), ["entity", "word"]).groupBy("__key").agg(F.collect_set(F.struct("entity", "word")).alias("__answer"))  # bounded by the text's own mentions
-    answered = moved.join(told, "__key", "left").select(*rows.columns, F.col("__answer").alias("__told"))
-    return own.where("__told is null").unionAll(answered)
+    # A merge join at every size: the last step is then in a stage of its own.
+    answered = moved.join(told.hint("merge"), "__key", "left").select(*rows.columns, F.col("__answer").alias("__told"))
+    return rows.mapInArrow(stay, schema).unionAll(answered.mapInArrow(last, schema))
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosures: DataFrame | None = None) -> DataFrame:
@@ -298,30 +312,27 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     def kinds(spans: list[Span]) -> list[dict]:
         return [{"start": a, "stop": b, "kind": k} for a, b, k in spans]
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (part for batch in batches for part in slices(batch)):
-            out = []
-            for doc_id, text, known in zip(*[part.column(c).to_pylist() for c in ("doc_id", "text", "__told")], strict=True):
-                text = text or ""
-                spans = every_span(text, known)
-                out.append({"doc_id": doc_id, "text": text, "base": kinds([s for s in spans if s[2] in KINDS]), "spans": kinds(spans), "clean_text": generalised(text, spans)})
-            yield pa.RecordBatch.from_pylist(out, schema=ARROW)
+    def finish(part: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for doc_id, text, known in zip(*[part.column(c).to_pylist() for c in ("doc_id", "text", "__told")], strict=True):
+            text = text or ""
+            spans = every_span(text, known)
+            out.append({"doc_id": doc_id, "text": text, "base": kinds([s for s in spans if s[2] in KINDS]), "spans": kinds(spans), "clean_text": generalised(text, spans)})
+        return pa.RecordBatch.from_pylist(out, schema=ARROW)
 
-    return told_rows(own, pairs).mapInArrow(finish, schema)
+    return told_rows(own, pairs, finish, schema)
 
 
 def rewritten(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all their columns, with doc_id and text of its clean_text; null text stays null."""
     pairs = staged(disclosing(texts(docs)), "pii-pairs")
+    names = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (part for batch in batches for part in slices(batch)):
-            clean = [generalised(t, every_span(t, known)) if t else t for t, known in zip(part.column("text").to_pylist(), part.column("__told").to_pylist(), strict=True)]
-            columns = [pa.array(clean, pa.string()) if f == "text" else part.column(f) for f in names]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+    def finish(part: pa.RecordBatch) -> pa.RecordBatch:
+        clean = [generalised(t, every_span(t, known)) if t else t for t, known in zip(part.column("text").to_pylist(), part.column("__told").to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(clean, pa.string()) if f == "text" else part.column(f) for f in names], names=names)
 
-    names = docs.columns
-    return told_rows(docs, pairs).mapInArrow(run, docs.schema)
+    return told_rows(docs, pairs, finish, docs.schema)
 
 
 TOLD_ARROW = pa.list_(pa.struct([("entity", pa.int64()), ("word", pa.int64())]))
