@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, huffman, near_dup, pii, quality_model, quality_rules, secrets, suffix_index, toxicity
+from . import bpe, decontamination, filter_audit, huffman, near_dup, pii, quality_model, quality_rules, secrets, suffix_index, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -78,7 +78,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-OPERATORS = (op1_quality_model, op2_quality_rules, op3_near_duplicates, op4_pii, op5_bpe, op6_secrets, op7_token_files, op8_suffix_index, op9_toxicity, op10_decontamination)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OPERATORS = (
+    op1_quality_model, op2_quality_rules, op3_near_duplicates, op4_pii, op5_bpe, op6_secrets, op7_token_files, op8_suffix_index, op9_toxicity,
+    op10_decontamination, op11_filter_audit,
+)
 
 
 def queries() -> dict[str, Query]:
@@ -88,4 +95,4 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from . import sql
 
-    return {"op2_quality_rules": sql.quality_rules()}
+    return {"op2_quality_rules": sql.quality_rules(), "op11_filter_audit": sql.filter_audit()}

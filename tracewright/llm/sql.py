@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import filter_audit as a
 from . import quality_rules as q
 
 
@@ -51,3 +52,35 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars,
   not base_failed and kept_share >= {q.KEPT_SHARE} as kept
 from shares
 """
+
+
+def filter_audit() -> str:
+    letters = ", ".join(f"('{x}', {1 << i})" for i, x in enumerate(a.FILTERS))
+    return f"""
+with t as (select doc_id, coalesce(text, '') as text, coalesce(lang, '') as part from documents),
+w as (select *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as words, min(doc_id) over (partition by text) as first from t),
+l as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+d as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+    case when len(words) < {a.MIN_WORDS} then 1 else 0 end
+    + case when 100 * len(list_distinct(words)) < {a.DISTINCT_PERCENT} * len(words) then 2 else 0 end
+    + case when 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > {a.CAPITAL_PERCENT} * length(text) then 4 else 0 end
+    + case when regexp_matches(text, '[{a.SYMBOLS.decode()}]') then 8 else 0 end
+    + case when doc_id > first then 16 else 0 end as fails
+  from w left join l using (doc_id)),
+c as (select part, fails, count(*) as n, count_if(good) as good, count_if(toxic) as toxic from d group by part, fails),
+f(x, b) as (values {letters}),
+orders as (
+  select p.x || q.x || r.x || s.x || u.x as filter_order, [p.b, q.b, r.b, s.b, u.b] as bits
+  from f p, f q, f r, f s, f u where p.b + q.b + r.b + s.b + u.b = 31 and p.b | q.b | r.b | s.b | u.b = 31),
+steps as (
+  select filter_order, i::int as step, bits[i] as own, coalesce(list_sum(bits[1:i - 1]), 0)::int as before from orders, range(1, 6) as g(i)),
+rows as (
+  select part, filter_order, step, own, fails, n, good, toxic, fails & own > 0 as hit, fails & before > 0 as gone from c, steps)
+select part, filter_order, step,
+  coalesce(sum(n) filter (not hit and not gone), 0)::bigint as kept, coalesce(sum(n) filter (hit and not gone), 0)::bigint as removed,
+  coalesce(sum(n) filter (hit and gone), 0)::bigint as redundant, coalesce(sum(n) filter (fails = own), 0)::bigint as unique_fails,
+  coalesce(sum(good) filter (hit and not gone), 0)::bigint as good_lost, coalesce(sum(toxic) filter (hit and not gone), 0)::bigint as toxic_lost,
+  coalesce(sum(n * 120 // greatest(bit_count(fails), 1)) filter (hit), 0)::bigint as shapley
+from rows group by part, filter_order, step
+"""
