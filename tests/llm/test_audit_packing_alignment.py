@@ -12,7 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from tracewright.llm import filter_audit
+from tracewright.llm import filter_audit, packing
 from tracewright.llm import queries as llm
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -116,3 +116,98 @@ def test_filter_audit_equals_sql(spark):
     got = llm.queries()["op11_filter_audit"](spark, SF)
     want = con.sql(llm.oracle_sql()["op11_filter_audit"]).select(*got.columns).fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def best_sum(capacity, counts):
+    """The largest reachable sum, by plain dynamic programming over single pieces, the longest one included."""
+    items = [n for n, many in counts.items() for _ in range(min(many, capacity // n if n <= capacity else 0))]
+    if not items:
+        return 0
+    items.remove(max(items))
+    first = max(n for n in counts if counts[n] and n <= capacity)
+    reached = {0}
+    for n in items:
+        reached |= {s + n for s in reached if s + n <= capacity - first}
+    return first + max(reached)
+
+
+def test_closest_sum():
+    r = random.Random(7)
+    for _ in range(300):
+        capacity = r.choice([8, 31, 64])
+        counts = {r.randint(1, 40): r.choice([0, 1, 2, 5, 100]) for _ in range(r.randint(1, 6))}
+        total, chosen = packing.closest(capacity, counts)
+        assert total == best_sum(capacity, counts) == sum(n * k for n, k in chosen.items()) and all(k <= counts[n] for n, k in chosen.items())
+
+
+@pytest.mark.parametrize("window", [8, 64, 2048])
+def test_plans_fill_every_sequence(window):
+    r = random.Random(window)
+    for case in range(30):
+        many = r.choice([1, 3, 40, 3000])
+        lengths = [r.randint(1, window) for _ in range(r.choice([1, 2, 30]))]
+        histogram = {n: r.randint(1, many) for n in lengths} if case else {window * 3 // 4: 100_000}
+        length = np.repeat(np.array(list(histogram)), list(histogram.values()))
+        rank = np.concatenate([np.arange(n) for n in histogram.values()])
+        plan = packing.planned(histogram, window)
+        assert len(plan.key) < 60 * len(histogram) + 200
+        which, before, part, sequence, offset = packing.placed(length, rank, plan.arrays())
+        tokens = np.zeros(len(length), np.int64)
+        np.add.at(tokens, which, part)
+        assert (tokens == length).all()
+        order = np.lexsort((before, which))
+        same = which[order][1:] == which[order][:-1]
+        assert ((before[order] + part[order])[:-1][same] == before[order][1:][same]).all() and (before[order][1:][~same] == 0).all()
+        order = np.lexsort((offset, sequence))
+        same = sequence[order][1:] == sequence[order][:-1]
+        ends = (offset + part)[order]
+        assert (ends[:-1][same] == offset[order][1:][same]).all() and (offset[order][1:][~same] == 0).all()
+        full = ends[np.r_[~same, True]]
+        assert (full[:-1] <= window).all() and (full != window).sum() == bin(int(length.sum()) % window).count("1")
+        assert all(n & (n - 1) == 0 for n in full[full != window].tolist())
+
+
+def test_packing(spark, docs, rows):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATH)
+    packed = packing.packed(docs, PATH).cache()
+    got = packed.collect()
+    want = Counter((d, np.array(library.encode(t or "", add_special_tokens=False).ids + [1], "<u4").tobytes()) for d, t, _ in rows)
+    by_doc = defaultdict(list)
+    for r in got:
+        assert len(r["ids"]) == 4 * r["length"] > 0
+        by_doc[r["doc_id"], r["doc_tokens"]].append((r["start"], r["ids"]))
+    # Rows with one id and length lie side by side; every start is there as often as the document.
+    for (d, n), cut in by_doc.items():
+        texts = [x for (i, x), k in want.items() for _ in range(k) if (i, len(x)) == (d, 4 * n)]
+        for x in set(texts):
+            assert all(any(y[4 * s : 4 * s + len(ids)] == ids for y in texts) for s, ids in cut)
+        assert sum(len(ids) for _, ids in cut) == sum(map(len, texts))
+    assert sum(r["length"] for r in got) == sum(len(x) // 4 * k for (_, x), k in want.items())
+    whole = packing.sequences(packed).collect()
+    assert sorted(r["sequence_id"] for r in whole) == list(range(len(whole)))
+    total = sum(r["length"] for r in got)
+    assert Counter(r["n_tokens"] for r in whole)[2048] == total // 2048 and all(r["n_tokens"] & (r["n_tokens"] - 1) == 0 for r in whole)
+    for r in whole:
+        assert len(r["ids"]) == 4 * r["n_tokens"] and [p["offset"] for p in r["pieces"]] == np.r_[0, np.cumsum([p["length"] for p in r["pieces"]])[:-1]].tolist()
+    assert packing.packed(docs.limit(0), PATH).count() == 0
+
+
+def test_packing_query(spark):
+    """Every id of every document lies in one piece: crc32 of each piece against the library."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATH)
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    found = defaultdict(list)
+    for r in llm.queries()["op13_packing"](spark, SF).collect():
+        found[r["doc_id"]].append(r)
+    assert set(found) == set(docs)
+    for d, cut in found.items():
+        ids = np.array(library.encode(docs[d] or "", add_special_tokens=False).ids + [1], "<u4")
+        at = 0
+        for r in sorted(cut, key=lambda r: r["start"]):
+            assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids[at : at + r["length"]].tobytes()))
+            at += r["length"]
+        assert at == len(ids)
