@@ -11,11 +11,12 @@ from itertools import permutations
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
-from tracewright.llm import filter_audit, packing
+from tracewright.llm import alignment, filter_audit, packing
 from tracewright.llm import queries as llm
 
-PATH = public_tokenizers.path("byte_bpe_50k.json")
+PATH, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 RNG = random.Random(11)
 WORDS = ["".join(RNG.choice("abcdeé日") for _ in range(RNG.randint(1, 30))) for _ in range(300)]
 
@@ -211,3 +212,108 @@ def test_packing_query(spark):
             assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids[at : at + r["length"]].tobytes()))
             at += r["length"]
         assert at == len(ids)
+
+
+def brute_alignment(texts):
+    """Whole texts through both libraries; every pair of tokens compared by its byte ranges."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from tracewright.llm.bpe import byte_characters
+
+    a, b = Tokenizer.from_file(PATH), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    a.encode_special_tokens = True
+    of = {c: n for n, c in byte_characters().items()}
+    out, documents = [], Counter()
+    for t in texts:
+        whole = b" " + t.encode() if t else b""
+        ids = [a.encode(" " + t, add_special_tokens=False).ids, b.encode(t)] if t else [[], []]
+        parts = [[bytes(of[c] for c in a.id_to_token(i)) for i in ids[0]], [bytes([int(p[3:-1], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids[1], map(b.id_to_piece, ids[1]), strict=True)]]
+        if not t or any(b"".join(p) != whole for p in parts):
+            out.append(None)
+            continue
+        spans = []
+        for own in parts:
+            ends = np.cumsum([len(x) for x in own]).tolist()
+            spans.append(list(zip([0, *ends], ends, strict=False)))
+        common = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
+        group_of = {e: i for i, e in enumerate(common)}
+        sides = []
+        for own, span in zip(ids, spans, strict=True):
+            side, at = [[]], 0
+            for i, (_, e) in zip(own, span, strict=True):
+                side[-1].append(str(i))
+                if group_of.get(e) == at:
+                    side.append([])
+                    at += 1
+            sides.append([",".join(x) for x in side[:-1]])
+        groups = ["|".join(x) for x in zip(*sides, strict=True)]
+        links, j = Counter(), 0
+        for x, (s, e) in zip(ids[0], spans[0], strict=True):
+            while spans[1][j][1] <= s:
+                j += 1
+            k = j
+            while k < len(spans[1]) and spans[1][k][0] < e:
+                links[x, ids[1][k]] += 1
+                k += 1
+        documents.update(set(links))
+        out.append((len(ids[0]), len(ids[1]), groups, links))
+    highest = {}
+    for (x, _), n in documents.items():
+        highest[x] = max(highest.get(x, 0), n)
+    rows = []
+    for found in out:
+        if found is None:
+            rows.append((0, 0, 0, 0, 0, 0, ""))
+        else:
+            n_a, n_b, groups, links = found
+            best = sum(k for p, k in links.items() if documents[p] == highest[p[0]])
+            rows.append((n_a, n_b, len(groups), sum(links.values()), best, sum(k * documents[p] for p, k in links.items()), hashlib.sha256(";".join(groups).encode()).hexdigest()))
+    return rows, documents, highest
+
+
+FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def test_alignment(spark, docs, rows):
+    extra = [(100, "tail <|endoftext|> with  two <s> blanks\n\n end ", "en"), (101, "a▁b", "en"), (102, "ｆｕｌｌ ﬁ é x\x00y \r\n\t z 😀😀", "en"), (103, "   ", "en"), (104, "a" * 3000 + " b", "en"), (105, "\n\nx\n y.\nZ", "en")]
+    wide = docs.select("doc_id", "text", "lang", F.lit(1).alias("block"), F.lit("x").alias("a")).unionByName(spark.createDataFrame([(*r, 1, "x") for r in extra], "doc_id long, text string, lang string, block int, a string"))
+    want, documents, highest = brute_alignment([t for _, t, _ in rows + extra])
+    got = alignment.aligned(wide.repartition(5), PATH, PIECES).collect()
+    assert Counter((r["doc_id"], *(r[c] for c in FIGURES)) for r in got) == Counter((d, *w) for (d, _, _), w in zip(rows + extra, want, strict=True))
+    table = {(r["a"], r["b"]): (r["documents"], r["best"]) for r in alignment.links(wide, PATH, PIECES).collect()}
+    assert table == {p: (n, n == highest[p[0]]) for p, n in documents.items()}
+    assert alignment.aligned(wide.limit(0), PATH, PIECES).count() == 0
+    assert [tuple(r[c] for c in FIGURES) for r in alignment.aligned(wide.where("text is null or text = ''"), PATH, PIECES).collect()] == [(0,) * 6 + ("",)] * 2
+
+
+def test_alignment_units_random():
+    r = random.Random(4)
+    parts = [*"  \n\tabcdeio.,'!?-09", "the", "ing", " of", "é", "日本", "😀", "\xa0", "　", "'re", "<s>", "<|endoftext|>", "▁"]
+    both = alignment.aligner(PATH, PIECES)
+    for _ in range(60):
+        texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(6)]
+        found = both.block(texts)
+        want, documents, _ = brute_alignment(texts)
+        sha = [hashlib.sha256(g.encode()).hexdigest() if g is not None else "" for g in found["groups"]]
+        assert list(zip(*(x.tolist() for x in found["figures"]), sha, strict=True)) == [(*w[:4], w[6]) for w in want], texts
+        assert dict(zip(zip((found["keys"] >> 32).tolist(), (found["keys"] & alignment.LOW).tolist(), strict=True), found["docs"].tolist(), strict=True)) == documents
+
+
+def test_galloping():
+    r = random.Random(3)
+    for _ in range(200):
+        few, many = (sorted(r.sample(range(1, 60), r.randint(0, k))) + [60] for k in (8, 40))
+        few, many = sorted((few, many), key=len)
+        common, ranges = alignment.intersected(few, many)
+        assert common == [(i, many.index(e)) for i, e in enumerate(few) if e in many]
+        for i, (lo, hi) in enumerate(ranges):
+            s, e = few[i - 1] if i else 0, few[i]
+            assert list(range(lo, hi + 1)) == [k for k in range(len(many)) if (many[k - 1] if k else 0) < e and many[k] > s]
+
+
+def test_alignment_query(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    want = brute_alignment([r["text"] for r in docs])[0]
+    got = llm.queries()["op12_alignment"](spark, SF).collect()
+    assert Counter((r["doc_id"], *(r[c] for c in FIGURES)) for r in got) == Counter((d["doc_id"], *w) for d, w in zip(docs, want, strict=True))

@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, filter_audit, huffman, near_dup, packing, pii, quality_model, quality_rules, secrets, suffix_index, toxicity
+from . import alignment, bpe, decontamination, filter_audit, huffman, near_dup, packing, pii, quality_model, quality_rules, secrets, suffix_index, toxicity
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 END_ID, PIECE_END_ID = 2, 1
 QUALITY_THRESHOLD, TOXIC_THRESHOLD = 0.3, 0.5
 
@@ -82,6 +82,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), PIECE_END_ID)
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -89,7 +93,7 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = (
     op1_quality_model, op2_quality_rules, op3_near_duplicates, op4_pii, op5_bpe, op6_secrets, op7_token_files, op8_suffix_index, op9_toxicity,
-    op10_decontamination, op11_filter_audit, op13_packing,
+    op10_decontamination, op11_filter_audit, op12_alignment, op13_packing,
 )
 
 
