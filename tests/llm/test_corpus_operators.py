@@ -369,7 +369,7 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
 
     good = lambda i: ". ".join(prose(9, 7000 + 20 * i + k).capitalize() for k in range(8)) + "."
     rows = [(i, good(i)) for i in range(40)] + [(3, good(3)), (50, None), (51, ""), (None, None), (52, good(60)), (52, good(61)), (53, good(61)), (54, prose(60_000, 9).capitalize() + ".")]
-    extra = "'en' as lang, 's' as source, cast(length(text) as bigint) as n_chars, 'x' as family, 1 as score, 'y' as told, 2 as item_id, 'z' as node, 'k' as key"
+    extra = "'en' as lang, 's' as source, cast(length(text) as bigint) as n_chars, 'x' as family, 1 as score, 'y' as told, 2 as item_id, 'z' as node, 'k' as key, 1 as __id, 2 as __tail, 3 as __key, 4 as __told, 5 as __answer"
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *extra.split(", "))
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([(1, prose(30, 903))], "item_id long, text string")

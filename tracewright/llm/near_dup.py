@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ._jobs import discard, staged, texts
+from ._jobs import discard, plain_names, staged, texts
 from .bpe import slices
 
 SHINGLE = 5
@@ -300,4 +300,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stand for their group of texts; rows repeated with id and text stay together."""
     kept = grouped(docs).where("stands").select(F.col("doc_id").alias("__id"), F.col("tail").alias("__tail")).distinct().hint("merge")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__tail"))
-    return docs.join(kept, same, "left_semi")
+    return plain_names(docs).join(kept, same, "left_semi").toDF(*docs.columns)

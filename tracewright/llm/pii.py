@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from ._jobs import discard, staged, texts
+from ._jobs import plain_names, staged, texts
 from .bpe import slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -326,13 +326,14 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
 def rewritten(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all their columns, with doc_id and text of its clean_text; null text stays null."""
     pairs = staged(disclosing(texts(docs)), "pii-pairs")
-    names = docs.columns
+    rows = plain_names(docs)
+    names = rows.columns
 
     def finish(part: pa.RecordBatch) -> pa.RecordBatch:
         clean = [generalised(t, every_span(t, known)) if t else t for t, known in zip(part.column("text").to_pylist(), part.column("__told").to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(clean, pa.string()) if f == "text" else part.column(f) for f in names], names=names)
 
-    return told_rows(docs, pairs, finish, docs.schema)
+    return told_rows(rows, pairs, finish, rows.schema).toDF(*docs.columns)
 
 
 TOLD_ARROW = pa.list_(pa.struct([("entity", pa.int64()), ("word", pa.int64())]))
