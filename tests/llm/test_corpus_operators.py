@@ -325,6 +325,14 @@ def test_toxicity_equals_brute_force():
         assert abs(score - np.clip(np.interp(want, xs, ys), 0, 1)) < 1e-6 and near == evidence
 
 
+def test_examples_with_a_common_footer_are_no_copies():
+    footer = " " + prose(12, 5)
+    rows = [{"doc_id": i, "text": prose(20, 3000 + i) + footer, "label": i % 2} for i in range(200)]
+    assert toxicity.without_copies(rows) == rows
+    copies = [{"doc_id": 900 + i, "text": edited(rows[1]["text"] + " " + prose(300, 8), 400, i), "label": 1} for i in range(3)]
+    assert toxicity.without_copies(copies + rows + [dict(copies[0], label=0)]) == copies[:1] + rows + [dict(copies[0], label=0)]
+
+
 def test_scores_of_odd_tables(spark):
     """Repeated rows and ids, ties, clashing columns, null, empty and very long texts, and no rows at all."""
     docs, labels = labelled(spark, 120, lambda i: prose(20, i) + " zorplin grubber! " + prose(12, i + 1))

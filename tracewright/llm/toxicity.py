@@ -50,6 +50,8 @@ TOGETHER = 256
 K = 15
 BINS = 24
 WORDS_HELD = 400_000
+#: Similarity of the shingle sets of near copies.
+COPY = 0.8
 
 EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
@@ -64,17 +66,23 @@ def forms(word: str) -> list[str]:
     return [word, *(STEM + word[:k] for k in STEMS if k < len(word))] if word else []
 
 
-def sketch(words: list[str]) -> int:
-    """Smallest hash of five neighbouring words: most near copies share it."""
-    return min((xxhash.xxh3_64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), default=0)
+def shingles(words: list[str]) -> frozenset[int]:
+    """Hashes of five neighbouring words; a shorter text is one."""
+    return frozenset(xxhash.xxh3_64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4)))
 
 
 def without_copies(rows: list) -> list:
-    """The first of the rows that share a sketch and a label, so that words of a much copied text count once."""
-    first: dict[tuple[int, int], object] = {}
+    """The first of the rows that are near copies of each other with one label, so that words of a much copied text count
+    once. Rows that share their smallest shingle are compared on whole sets; a common footer alone makes no copy."""
+    kept: list = []
+    near: dict[tuple[int, int], list[frozenset[int]]] = {}
     for r in rows:
-        first.setdefault((sketch((r["text"] or "").split()), r["label"]), r)
-    return list(first.values())
+        own = shingles((r["text"] or "").split())
+        others = near.setdefault((min(own), r["label"]), [])
+        if not any(len(own & o) >= COPY * (len(own) + len(o) - len(own & o)) for o in others):
+            others.append(own)
+            kept.append(r)
+    return kept
 
 
 class Examples:
