@@ -14,38 +14,6 @@ from .lineage import session_overlaps
 from .rules import flag
 
 
-def git_ends(events: DataFrame) -> DataFrame:
-    """Events with the commit observed last before them (entry) and first after them (exit) in their session, if any."""
-    w = W.partitionBy(*SESSION).orderBy("seq")
-    seen = F.when(F.col("kind") == "git.event", F.col("sha"))
-    return events.withColumn("entry", F.last(seen, True).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("exit", F.first(seen, True).over(w.rowsBetween(0, W.unboundedFollowing)))
-
-
-def happens_before(pairs: DataFrame, events: DataFrame, commits: DataFrame, sessions: DataFrame) -> DataFrame:
-    """verdict of event pairs (submission_id, a, b by global_idx): same, before, after, concurrent or unknown.
-
-    An event is before another of its session by seq; of another session if its session precedes that one (sessions: a
-    closure submission_id, session_id, later), or if the commit seen after it is the commit seen before the other, or
-    one of its ancestors (commits: a closure node, ancestor). Unknown where one of the two never saw a commit.
-    """
-    e = git_ends(events).select("submission_id", "session_id", "global_idx", "seq", "entry", "exit")
-    x = e.select("submission_id", F.col("global_idx").alias("a"), F.col("session_id").alias("sa"), F.col("seq").alias("qa"), F.col("entry").alias("na"), F.col("exit").alias("xa"))
-    y = e.select("submission_id", F.col("global_idx").alias("b"), F.col("session_id").alias("sb"), F.col("seq").alias("qb"), F.col("entry").alias("nb"), F.col("exit").alias("xb"))
-    j = pairs.join(x, ["submission_id", "a"]).join(y, ["submission_id", "b"])
-    for name, first, then, s, t in (("ab", "xa", "nb", "sa", "sb"), ("ba", "xb", "na", "sb", "sa")):
-        c = commits.select(F.col("node").alias(then), F.col("ancestor").alias(first), F.lit(True).alias(f"{name}_git"))
-        link = sessions.select("submission_id", F.col("session_id").alias(s), F.col("later").alias(t), F.lit(True).alias(f"{name}_link"))
-        j = j.join(c, [first, then], "left").join(link, ["submission_id", s, t], "left")
-        j = j.withColumn(name, F.coalesce(f"{name}_git", F.lit(False)) | F.coalesce(f"{name}_link", F.lit(False)) | F.coalesce(F.col(first) == F.col(then), F.lit(False)))
-    blind = F.coalesce("na", "xa").isNull() | F.coalesce("nb", "xb").isNull()
-    verdict = (
-        F.when(F.col("a") == F.col("b"), "same")
-        .when(F.col("sa") == F.col("sb"), F.when(F.col("qa") < F.col("qb"), "before").otherwise("after"))
-        .when(F.col("ab"), "before").when(F.col("ba"), "after").when(blind, "unknown").otherwise("concurrent")
-    )
-    return j.select("submission_id", "a", "b", verdict.alias("verdict"))
-
-
 def seal_coverage(seals: DataFrame, logs: DataFrame) -> DataFrame:
     """Per session what its seals (bytes, sha256) prove of its log: exact, partial (with the bytes), or no match."""
     j = logs.join(seals, list(SESSION), "left").withColumn("size", F.octet_length("log"))
@@ -124,43 +92,6 @@ def internal_moves(pastes: DataFrame, own: DataFrame, share: float = 0.95) -> Da
     return g.select("submission_id", "place", F.when(F.col("live"), "copy").otherwise("cut").alias("move"), "run")
 
 
-def segments(events: DataFrame) -> DataFrame:
-    """Stretches of a file's edits in one session between observed commits: entry and exit commit, first and last seq."""
-    w = W.partitionBy(*SESSION).orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    e = git_ends(events).withColumn("segment", F.sum((F.col("kind") == "git.event").cast("int")).over(w))
-    edits = e.where("path is not null and kind <> 'git.event'")
-    return edits.groupBy(*SESSION, "path", "segment").agg(F.min("entry").alias("entry"), F.min("exit").alias("exit"), F.min("seq").alias("first"), F.max("seq").alias("last"))
-
-
-def segment_order(segs: DataFrame, commits: DataFrame) -> DataFrame:
-    """Pairs (submission_id, path, before, after) of a file's segments, by session or by the commits between them."""
-    name = F.struct("session_id", "segment")
-    a = segs.select("submission_id", "path", name.alias("before"), F.col("exit").alias("x"))
-    b = segs.select("submission_id", "path", name.alias("after"), F.col("entry").alias("n"))
-    j = a.join(b, ["submission_id", "path"]).where("before <> after")
-    j = j.join(commits.select(F.col("node").alias("n"), F.col("ancestor").alias("x"), F.lit(True).alias("linked")), ["n", "x"], "left")
-    same = F.col("before.session_id") == F.col("after.session_id")
-    return j.where((same & (F.col("before.segment") < F.col("after.segment"))) | (~same & (F.coalesce("linked", F.lit(False)) | F.coalesce(F.col("x") == F.col("n"), F.lit(False))))).select("submission_id", "path", "before", "after")
-
-
-def segmented_state(events: DataFrame, commits: DataFrame) -> DataFrame:
-    """Per file: determinate if one segment follows all others, concurrent with its branches if several have no
-    successor and all saw commits, else unknown; and each segment's place for a replay in that order."""
-    segs = segments(events)
-    order = segment_order(segs, commits)
-    named = segs.withColumn("name", F.struct("session_id", "segment"))
-    ahead = order.groupBy("submission_id", "path", F.col("after").alias("name")).agg(F.count(F.lit(1)).alias("before"))
-    behind = order.select("submission_id", "path", F.col("before").alias("name"), F.lit(True).alias("followed")).distinct()
-    j = named.join(ahead, ["submission_id", "path", "name"], "left").join(behind, ["submission_id", "path", "name"], "left")
-    w = W.partitionBy("submission_id", "path")
-    j = j.withColumn("branches", F.count_if(F.col("followed").isNull()).over(w)).withColumn("segments", F.count(F.lit(1)).over(w))
-    blind = F.max((F.coalesce("entry", "exit").isNull() & F.col("followed").isNull()).cast("int")).over(w)
-    most = F.max(F.coalesce("before", F.lit(0))).over(w)
-    state = F.when((F.col("branches") == 1) & (most == F.col("segments") - 1), "determinate").when(blind == 1, "unknown").otherwise("concurrent")
-    place = F.row_number().over(w.orderBy(F.coalesce("before", F.lit(0)), "session_id", "segment"))
-    return j.select("submission_id", "path", "session_id", "segment", state.alias("state"), F.col("branches").alias("branches"), place.cast("long").alias("place"))
-
-
 def seal_problems(seals: DataFrame) -> DataFrame:
     """problem of single seals (session_id, manifest text, signature), the first that applies."""
     id_ = F.get_json_object("manifest", "$.session_id")

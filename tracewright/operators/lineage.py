@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..plans.staging import discard, staged
+from .reachability import on_loops
 
 
 def graph_nodes(observed: DataFrame) -> DataFrame:
@@ -39,20 +40,9 @@ def cycles(closure: DataFrame) -> DataFrame:
     return back.groupBy("node").agg(F.min("ancestor").alias("cycle"))
 
 
-def compared(pairs: DataFrame, closure: DataFrame, known: DataFrame) -> DataFrame:
-    """verdict of (a, b): same, before, after, unordered, or unknown if one isn't a known node."""
-    c = closure.select(F.col("node").alias("b"), F.col("ancestor").alias("a"), F.lit(True).alias("ab"))
-    d = closure.select(F.col("node").alias("a"), F.col("ancestor").alias("b"), F.lit(True).alias("ba"))
-    k = known.select(F.col("node").alias("a"), F.lit(True).alias("ka")), known.select(F.col("node").alias("b"), F.lit(True).alias("kb"))
-    j = pairs.join(c, ["a", "b"], "left").join(d, ["a", "b"], "left").join(k[0], "a", "left").join(k[1], "b", "left")
-    verdict = F.when(F.col("ka").isNull() | F.col("kb").isNull(), "unknown").when(F.col("a") == F.col("b"), "same").when(F.col("ab"), "before").when(F.col("ba"), "after").otherwise("unordered")
-    return j.select("a", "b", verdict.alias("verdict"))
-
-
-def presentation_order(nodes: DataFrame, closure: DataFrame) -> DataFrame:
-    """place by number of ancestors, then node: ancestors come first."""
-    n = closure.groupBy("node").agg(F.count(F.lit(1)).alias("ancestors"))
-    j = nodes.join(n, "node", "left").withColumn("ancestors", F.coalesce("ancestors", F.lit(0)))
+def presentation_order(nodes: DataFrame, counts: DataFrame) -> DataFrame:
+    """place by number of ancestors (counts: node, ancestors), then node: ancestors come first."""
+    j = nodes.join(counts.select("node", "ancestors"), "node", "left").withColumn("ancestors", F.coalesce("ancestors", F.lit(0)))
     return j.withColumn("place", F.row_number().over(W.partitionBy("submission_id").orderBy("ancestors", "node")).cast("long"))
 
 
@@ -60,10 +50,9 @@ def ordering_defects(sessions: DataFrame) -> DataFrame:
     """Links to a previous session that is another submission's (foreign), nobody's (dangling), or leads back over any number of sessions (cyclic)."""
     own = sessions.select("submission_id", F.col("session_id").alias("prev_session_id"), F.lit(True).alias("own"))
     any_ = sessions.groupBy(F.col("session_id").alias("prev_session_id")).agg(F.lit(True).alias("known"))
-    node = lambda c: F.struct("submission_id", F.col(c).alias("session_id"))
     links = sessions.where("prev_session_id is not null").join(own, ["submission_id", "prev_session_id"], "left").join(any_, "prev_session_id", "left")
-    loops = ancestors(links.where("own").select(node("session_id").alias("node"), node("prev_session_id").alias("parent"))).where("node = ancestor")
-    j = links.join(loops.select("node.*", F.lit(True).alias("looped")), ["submission_id", "session_id"], "left")
+    loops = on_loops(links.where("own").select(F.col("submission_id").alias("repository"), F.col("session_id").alias("node"), F.col("prev_session_id").alias("prev")))
+    j = links.join(loops.select(F.col("repository").alias("submission_id"), F.col("node").alias("session_id"), F.lit(True).alias("looped")), ["submission_id", "session_id"], "left")
     defect = F.when(F.col("looped"), "cyclic").when(F.col("known").isNull(), "dangling").when(F.col("own").isNull(), "foreign")
     return j.select("submission_id", "session_id", defect.alias("defect")).where("defect is not null")
 

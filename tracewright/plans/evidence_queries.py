@@ -8,33 +8,11 @@ from pyspark.sql.window import Window as W
 from ..operators import evidence as op
 from ..operators import lineage
 from ..sources.adapters import EVENTS
-from .lineage_queries import CLOSURE, closure
 from .registry import query
 
 EV = f"with {EVENTS}"
 
 
-@query(
-    "f04_happens_before",
-    f"""{CLOSURE}, {EVENTS}, g as (select *, case when kind = 'git.event' then size % 400 + 1 end as sha from ev),
-    x as (select submission_id, session_id, global_idx, seq, last_value(sha ignore nulls) over (partition by session_id order by seq rows between unbounded preceding and current row) as entry,
-      first_value(sha ignore nulls) over (partition by session_id order by seq rows between current row and unbounded following) as exit from g),
-    p as (select submission_id, global_idx as a, (global_idx * 5 + 2) % 40 as b from ev where global_idx < 40),
-    j as (select p.*, x.session_id as sa, y.session_id as sb, x.seq as qa, y.seq as qb, x.entry as na, x.exit as xa, y.entry as nb, y.exit as xb from p join x on x.submission_id = p.submission_id and x.global_idx = a join x y on y.submission_id = p.submission_id and y.global_idx = b)
-    select submission_id, a, b, case when a = b then 'same' when sa = sb then case when qa < qb then 'before' else 'after' end
-      when coalesce(xa = nb, false) or exists (select 1 from closure c where c.node = nb and c.ancestor = xa) or (right(sa, 1)::int + 3 <= right(sb, 1)::int) then 'before'
-      when coalesce(xb = na, false) or exists (select 1 from closure c where c.node = na and c.ancestor = xb) or (right(sb, 1)::int + 3 <= right(sa, 1)::int) then 'after'
-      when coalesce(na, xa) is null or coalesce(nb, xb) is null then 'unknown' else 'concurrent' end as verdict from j""",
-)
-def f04(t):
-    e = t.events().withColumn("sha", F.when(F.col("kind") == "git.event", F.col("size") % 400 + 1))
-    pairs = e.where("global_idx < 40").select("submission_id", F.col("global_idx").alias("a"), ((F.col("global_idx") * 5 + 2) % 40).alias("b"))
-    week = lambda c: F.substring(c, -1, 1).cast("int")
-    s = e.select("submission_id", "session_id").distinct()
-    later = s.join(s.withColumnRenamed("session_id", "later"), "submission_id").where(week(F.col("session_id")) + 3 <= week(F.col("later")))
-    return op.happens_before(pairs, e, closure(t), later)
-
-
 @query(
     "d11_seal_coverage",
     f"""{EV}, l as (select submission_id, session_id, string_agg(kind, '' order by seq) as log, count(*) as n from ev group by 1, 2),
@@ -81,12 +59,6 @@ def e20(t):
     return op.internal_moves(p, p.withColumn("live", F.col("place") % 2 == 0))
 
 
-@query("c16_segmented_replay")
-def c16(t):
-    e = t.events().withColumn("submission_id", F.floor(F.col("submission_id") / 5)).withColumn("sha", F.when(F.col("kind") == "git.event", F.col("size") % 60 + 1))
-    return op.segmented_state(e, closure(t))
-
-
 @query(
     "d18_seal_lint",
     f"""{EV}, s as (select distinct submission_id, session_id from ev), p as (select *, case when submission_id % 7 = 0 then 'missing_manifest' when submission_id % 7 = 1 then 'bad_json' when submission_id % 7 = 2 then 'bad_shape' when submission_id % 7 = 3 then 'id_mismatch' when submission_id % 7 = 4 then 'missing_signature' end as problem from s) select * from p where problem is not null""",

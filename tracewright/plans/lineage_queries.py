@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import event_index, rules
 from ..operators import lineage as op
+from ..operators.reachability import Index
 from ..sources.adapters import COMMITS, EVENTS
 from .registry import query
 
@@ -17,6 +18,11 @@ def closure(t):
     return op.ancestors(t.commits())
 
 
+def index(t):
+    """All commits are of one repository."""
+    return Index(t.commits().withColumn("repository", F.lit(0)))
+
+
 @query(
     "f01_graph_nodes",
     f"""with {COMMITS}, o as (select node % 3 as repository, node as sha, list_sort(list(parent)) as parents from commits group by 1, 2),
@@ -55,15 +61,15 @@ PAIRS = "pairs as (select distinct p_partkey as a, (p_partkey * 7 + 3) % 2100 as
 )
 def f03_compare(t):
     pairs = t.raw("part").select(F.col("p_partkey").alias("a"), ((F.col("p_partkey") * 7 + 3) % 2100).alias("b")).distinct()
-    known = t.commits().select("node").union(t.commits().select("parent")).distinct()
-    return op.compared(pairs, closure(t), known)
+    return index(t).compared(pairs.withColumn("repository", F.lit(0))).drop("repository")
 
 
 RANKED = f"{CLOSURE}, n as (select node, count(*) as ancestors from (select distinct node, ancestor from closure) group by 1), r as (select p_partkey % 40 as submission_id, p_partkey as node, coalesce(ancestors, 0) as ancestors, row_number() over (partition by p_partkey % 40 order by coalesce(ancestors, 0), p_partkey) as place from part left join n on n.node = p_partkey)"
 
 
 def ranked(t):
-    return op.presentation_order(t.raw("part").select((F.col("p_partkey") % 40).alias("submission_id"), F.col("p_partkey").alias("node")), closure(t))
+    nodes = t.raw("part").select((F.col("p_partkey") % 40).alias("submission_id"), F.col("p_partkey").alias("node"))
+    return op.presentation_order(nodes, index(t).ancestor_counts(nodes.select(F.lit(0).alias("repository"), "node").distinct()))
 
 
 @query("b23_presentation_order", f"{RANKED} select * from r")
@@ -76,8 +82,7 @@ def b24(t):
     from pyspark.sql.window import Window as W
 
     r = ranked(t).withColumn("before", F.lag("node").over(W.partitionBy("submission_id").orderBy("place"))).where("before is not null")
-    known = t.raw("part").select(F.col("p_partkey").alias("node"))
-    v = op.compared(r.select(F.col("before").alias("a"), F.col("node").alias("b")), closure(t), known)
+    v = index(t).compared(r.select(F.lit(0).alias("repository"), F.col("before").alias("a"), F.col("node").alias("b")).distinct())
     j = r.join(v, (v["a"] == r["before"]) & (v["b"] == r["node"]))
     return event_index.order_breaks(j).select("submission_id", "place", "before", "node")
 
