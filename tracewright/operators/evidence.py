@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 from pyspark.sql.window import Window as W
 
 from ..functions.lines import shared_lines
@@ -57,41 +55,6 @@ def mass_replacements(changes: DataFrame, most: float = 0.2) -> DataFrame:
     return flag(c.where(F.col("overlap") < most), "mass_external_replacement", F.lit("high"), F.lit(0.75), "place")
 
 
-@F.pandas_udf(IntegerType())
-def _longest_run(a: pd.Series, b: pd.Series) -> pd.Series:
-    def longest(x: list[str], y: list[str]) -> int:
-        best, before = 0, {}
-        places: dict[str, list[int]] = {}
-        for j, line in enumerate(y):
-            places.setdefault(line, []).append(j)
-        for line in x:
-            now = {j: before.get(j - 1, 0) + 1 for j in places.get(line, ())}
-            best, before = max(best, *now.values()) if now else best, now
-        return best
-
-    return pd.Series([longest(list(x), list(y)) for x, y in zip(a, b, strict=True)])
-
-
-def internal_moves(pastes: DataFrame, own: DataFrame, share: float = 0.95) -> DataFrame:
-    """Pastes (submission_id, place, content) whose lines stand, nearly all in one run, in earlier own text
-    (submission_id, place, content, live): copy if that text is still there, else cut.
-
-    Blanks don't count. Candidates share the hash of their longest line, an equal key within the submission.
-    """
-    lines = F.filter(F.transform(F.split("content", "\n"), lambda x: F.regexp_replace(x, r"\s+", "")), lambda x: x != "")
-    p = pastes.select("submission_id", "place", lines.alias("lines")).where(F.size("lines") > 0)
-    # A run of the share covers the longest line or one of the few it may lack; each of those is a key.
-    by_length = F.array_sort("lines", lambda a, b: F.length(b) - F.length(a))
-    lack = F.floor(F.size("lines") * (1 - share)).cast("int")
-    keys = p.withColumn("key", F.explode(F.array_distinct(F.slice(by_length, F.lit(1), lack + 1))))
-    o = own.select("submission_id", F.col("place").alias("own_place"), "live", lines.alias("own_lines"))
-    found = keys.select("submission_id", "place", "key").join(o.withColumn("key", F.explode(F.array_distinct("own_lines"))).select("submission_id", "own_place", "key"), ["submission_id", "key"]).where("own_place < place").select("submission_id", "place", "own_place").distinct()
-    j = found.join(p, ["submission_id", "place"]).join(o, ["submission_id", "own_place"])
-    j = j.withColumn("run", _longest_run("lines", "own_lines")).where(F.col("run") >= share * F.size("lines"))
-    g = j.groupBy("submission_id", "place").agg(F.bool_or("live").alias("live"), F.max("run").alias("run"))
-    return g.select("submission_id", "place", F.when(F.col("live"), "copy").otherwise("cut").alias("move"), "run")
-
-
 def seal_problems(seals: DataFrame) -> DataFrame:
     """problem of single seals (session_id, manifest text, signature), the first that applies."""
     id_ = F.get_json_object("manifest", "$.session_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import contents as op
-from ..operators import evidence, rules, similarity
+from ..operators import moves, rules, similarity
 from ..sources.adapters import EVENTS, FLAGS, PASTES, SUBMISSIONS, TURNS
 from .registry import query
 
@@ -252,11 +252,31 @@ def g12(t):
     return similarity.cross_order(cross(t)[0].withColumn("assignment_id", F.col("flag_id") % 12)).select("flag_id", "assignment_id", "place")
 
 
+def together(pastes):
+    """All sources are one submission."""
+    return pastes.withColumn("submission_id", F.lit(0).cast("long"))
+
+
+@query(
+    "e20_anchored_runs",
+    f"""with {PASTES}, l as (select 0::bigint as submission_id, global_idx as place, list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(11) || chr(12) || chr(13) || chr(160))), lambda x: x <> '') as lines from pastes),
+    n as (select *, ceil(len(lines) * {moves.MATCH})::int as required from l where len(lines) > 0),
+    h as (select submission_id, place as source_place, lines as hay, unnest(range(1, len(lines) + 1)) as i from l where len(lines) > 0),
+    m as (select n.submission_id, n.place, h.source_place, n.lines, h.hay from n join h on h.submission_id = n.submission_id and h.hay[h.i] = n.lines[1] and h.source_place < n.place and h.hay[h.i:h.i + required - 1] = n.lines[1:required]),
+    f as (select submission_id, place, min(source_place) as source_place, any_value(len(lines)) as lines from m group by 1, 2)
+    select * from f""",
+)
+def e20_runs(t):
+    own = together(t.pastes().withColumn("place", F.col("global_idx")))
+    return moves.anchored(own.withColumn("ord", F.lit(0)), own).select("submission_id", "place", "source_place", F.col("lines").cast("long").alias("lines"))
+
+
 @query("e05_paste_is_solution")
 def e05(t):
-    """Documents against the next document of their source, as pastes against final contents."""
-    from pyspark.sql.window import Window as W
-
-    p = t.pastes().withColumn("place", F.col("global_idx")).withColumn("final", F.lead("content").over(W.partitionBy("submission_id").orderBy("sha256", "global_idx"))).where("final is not null")
-    own = t.pastes().select("submission_id", F.col("global_idx").alias("place"), "content", F.lit(True).alias("live"))
-    return rules.pastes_of_solution(p, evidence.internal_moves(own.drop("live"), own))
+    """Documents as pastes into files that end as the document with a line more, or with as many lines again."""
+    p = t.pastes().withColumn("place", F.col("global_idx"))
+    more = F.when(F.col("place") % 2 == 0, F.lit("\nend")).otherwise(F.regexp_replace("content", "[^\n]+", "other"))
+    final = p.withColumn("final", F.concat("content", more))
+    own = together(p)
+    found = moves.anchored(own.withColumn("ord", F.lit(0)), own).select("place")
+    return rules.pastes_of_solution(final, found.join(p.select("place", "submission_id"), "place"))

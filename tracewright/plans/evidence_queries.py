@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..operators import evidence as op
-from ..operators import lineage
+from ..operators import lineage, moves
 from ..sources.adapters import EVENTS
 from .registry import query
 
@@ -55,8 +55,21 @@ def e06(t):
 
 @query("e20_internal_moves")
 def e20(t):
-    p = t.pastes().select("submission_id", F.col("global_idx").alias("place"), "content")
-    return op.internal_moves(p, p.withColumn("live", F.col("place") % 2 == 0))
+    """Each conversation writes three files by turns; from the fourth turn on, every third one is a paste of an earlier turn's
+    text, and every seventh takes the first lines away."""
+    turn = F.col("turn")
+    e = t.raw("conversations").select(F.col("conv_id").cast("long").alias("submission_id"), "turn", F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("text"))
+    before = F.lag("text", 3).over(W.partitionBy("submission_id").orderBy("turn"))
+    e = e.withColumn("moved", F.when((turn >= 3) & (turn % 3 == 0), before))
+    gone = turn % 7 == 5
+    null = lambda kind, c: F.when(gone, F.lit(c)).cast("int").alias(kind)
+    events = e.select(
+        "submission_id", F.concat(F.lit("f"), (turn % 2).cast("string")).alias("path"), F.lit("s").alias("session_id"), turn.cast("long").alias("seq"), turn.cast("long").alias("global_idx"),
+        F.when(F.col("moved").isNotNull(), "paste").otherwise("doc.change").alias("kind"), F.when(gone, "").otherwise(F.coalesce("moved", "text")).alias("content"),
+        null("start_line", 0), null("start_char", 0), null("end_line", 40), null("end_char", 0),
+    )
+    pastes = events.where("kind = 'paste'").select("submission_id", F.col("global_idx").alias("place"), F.lit(0).alias("ord"), "content")
+    return moves.internal_moves(events, pastes)
 
 
 @query(
