@@ -31,15 +31,22 @@ def contains(column: Column, text: str) -> Column:
 
 
 def page(rows: DataFrame, order: list[tuple[str, bool]], after: list | None, limit: int) -> DataFrame:
-    """A page in order of (column, descending) after the key of the last row seen, plus one row that tells there is more."""
+    """A page in order of (column, descending) after the key of the last row seen, plus one row that tells there is more.
+
+    Null is the smallest value: first in ascending order, last in descending order, and a key may hold it.
+    """
     if after is not None:
         later = F.lit(False)
         same = F.lit(True)
         for (column, desc), value in zip(order, after, strict=True):
-            later = later | (same & (F.col(column) < value if desc else F.col(column) > value))
-            same = same & (F.col(column) == value)
+            if value is None:
+                beyond = F.lit(False) if desc else F.col(column).isNotNull()
+            else:
+                beyond = (F.col(column) < value) | F.col(column).isNull() if desc else F.col(column) > value
+            later = later | (same & F.coalesce(beyond, F.lit(False)))
+            same = same & F.col(column).eqNullSafe(F.lit(value))
         rows = rows.where(later)
-    return rows.orderBy(*[F.desc(c) if d else F.asc(c) for c, d in order]).limit(limit + 1)
+    return rows.orderBy(*[F.desc_nulls_last(c) if d else F.asc_nulls_first(c) for c, d in order]).limit(limit + 1)
 
 
 def enriched(subs: DataFrame, assignments: DataFrame, roster: DataFrame, contributors: DataFrame) -> DataFrame:

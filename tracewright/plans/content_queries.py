@@ -190,16 +190,51 @@ def g04(t):
     return similarity.shared_paste_flags(groups(t))
 
 
-@query("g05_lineages")
+#: Customers as submissions; neighbouring orders share a sha, in one of two repositories or in none that is named.
+HELD = """with recursive c as (select distinct o_custkey as submission_id, case o_orderkey % 3 when 1 then 'r1' when 2 then 'r2' end as repository, 'c' || (o_orderkey // 2)::varchar as sha from orders where o_orderkey % 16 < 2),
+s as (select distinct o_custkey as submission_id, case when o_orderkey % 5 = 4 then 'all' else 's' || (o_orderkey // 3)::varchar end as key from orders where o_orderkey % 24 < 3 or o_orderkey % 5 = 4),
+pool as (select c_custkey as submission_id from customer),
+one as (select sha, max(repository) as real from c group by 1 having count(distinct repository) = 1 and count(*) filter (repository is null) > 0),
+every as (select 'commit' as kind, coalesce(repository, '?') || ' ' || sha as key, submission_id from c union select 'bridge', real || ' ' || sha, submission_id from c join one using (sha) union select 'session', key, submission_id from s),
+proof as (select kind, key from every group by 1, 2 having count(*) > 1 and (kind <> 'session' or (select count(*) from pool) < 5 or 2 * count(*) < (select count(*) from pool))),
+k as (select every.* from every join proof using (kind, key)),
+e as (select distinct a.submission_id as x, b.submission_id as y from k a join k b using (kind, key) where a.submission_id <> b.submission_id),
+r(x, y) as (select x, y from e union select r.x, e.y from r join e on e.x = r.y),
+lines as (select submission_id, least(submission_id, coalesce(min(y), submission_id)) as lineage from pool left join r on x = submission_id group by 1),
+own as (select distinct lineage, case when kind = 'bridge' then 'commit' else kind end as kind, unnest(case when kind = 'bridge' then [key, '? ' || split_part(key, ' ', 2)] else [key] end) as key from k join lines using (submission_id))"""
+
+
+def held(t):
+    o = t.raw("orders")
+    n = F.col("o_orderkey")
+    commits = o.where(n % 16 < 2).select(F.col("o_custkey").alias("submission_id"), F.when(n % 3 == 1, "r1").when(n % 3 == 2, "r2").alias("repository"), F.concat(F.lit("c"), F.floor(n / 2).cast("string")).alias("sha"))
+    sessions = o.where((n % 24 < 3) | (n % 5 == 4)).select(F.col("o_custkey").alias("submission_id"), F.when(n % 5 == 4, "all").otherwise(F.concat(F.lit("s"), F.floor(n / 3).cast("string"))).alias("key"))
+    return commits, sessions, t.raw("customer").select(F.col("c_custkey").alias("submission_id"))
+
+
+@query("g05_lineages", f"{HELD} select * from lines")
 def g05(t):
-    k = t.raw("lineitem").select(F.col("l_orderkey").alias("submission_id"), F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("key"))
-    return similarity.lineages(k, k.select("submission_id").distinct())
+    return similarity.lineages(*held(t))
 
 
-@query("g06_lineage_exclusions")
+@query(
+    "g06_lineage_exclusions",
+    f"{HELD}, g as (select lineage, count(*) as members from lines group by 1 having count(*) > 1), n as (select lineage, count(*) filter (kind = 'commit') as commits, count(*) filter (kind = 'session') as sessions from own group by 1) select lineage, case when commits > 0 then 'same_repository_lineage' else 'shared_recording_scope' end as reason, members, members * (members - 1) // 2 as pairs, commits, sessions from g join n using (lineage)",
+)
 def g06(t):
-    k = t.raw("events").select(F.col("user_id").alias("submission_id"), F.concat("event_type", "value").alias("key"))
-    return similarity.lineage_exclusions(similarity.lineages(k))
+    h = held(t)
+    return similarity.lineage_exclusions(similarity.lineages(*h), similarity.lineage_keys(*h))
+
+
+@query("g06_exclusion_keys", f"{HELD} select * from own")
+def g06_keys(t):
+    h = held(t)
+    return similarity.exclusion_keys(similarity.lineages(*h), similarity.lineage_keys(*h))
+
+
+@query("g06_exclusion_members", f"{HELD} select lineage, row_number() over (partition by lineage order by c_name, submission_id) as place, submission_id, c_name as source_filename from lines join customer on c_custkey = submission_id where lineage in (select lineage from lines group by 1 having count(*) > 1)")
+def g06_members(t):
+    return similarity.exclusion_members(similarity.lineages(*held(t)), t.raw("customer").select(F.col("c_custkey").alias("submission_id"), F.col("c_name").alias("source_filename")))
 
 
 @query(
