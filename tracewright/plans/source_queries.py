@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..sources import logs as op
 from ..sources.adapters import EVENTS, FLAGS, ROSTER, SUBMISSIONS
+from ..sources.keyed import KeyedTable
 from .registry import query
 from .scoring_queries import SCORED, scored
+from .staging import new_path
 
 EV = f"with {EVENTS}"
 ZERO = "0" * 64
@@ -141,13 +143,20 @@ def a13(t):
     f = t.flags().select("submission_id", "line", "part", "severity")
     keyed = f.where("submission_id % 10 = 0 and line = 1").withColumn("severity", F.lit("info"))
     gone = f.where("submission_id % 10 = 0").select("submission_id").distinct()
-    return op.replaced(f.join(gone.join(keyed, "submission_id", "left_anti"), "submission_id", "left_anti"), keyed, ["submission_id"])
+    table = KeyedTable(t.spark, new_path(t.spark, "flags"), f.schema, ["submission_id"])
+    table.replace(f)
+    table.replace(keyed, gone)
+    return table.read()
 
 
 @query("a14_upserted_stats", f"{EV}, o as (select submission_id, path, sum(size)::bigint as chars, max(k) as digest from ev where k < 60 group by 1, 2), n as (select submission_id, path, sum(size)::bigint as chars, case when submission_id % 2 = 0 then max(k) end as digest from ev where k >= 50 group by 1, 2) select coalesce(o.submission_id, n.submission_id) as submission_id, coalesce(o.path, n.path) as path, coalesce(n.chars, o.chars) as chars, coalesce(n.digest, o.digest) as digest from o full join n on o.submission_id = n.submission_id and o.path = n.path")
 def a14(t):
     e = t.events()
     g = lambda df: df.groupBy("submission_id", "path").agg(F.sum("size").alias("chars"), F.max("k").alias("digest"))
-    return op.upserted(g(e.where("k < 60")), g(e.where("k >= 50")).withColumn("digest", F.when(F.col("submission_id") % 2 == 0, F.col("digest"))), ["submission_id", "path"])
+    old = g(e.where("k < 60"))
+    table = KeyedTable(t.spark, new_path(t.spark, "stats"), old.schema, ["submission_id"])
+    table.replace(old)
+    table.upsert(g(e.where("k >= 50")).withColumn("digest", F.when(F.col("submission_id") % 2 == 0, F.col("digest"))), ["submission_id", "path"])
+    return table.read()
 
 

@@ -155,12 +155,6 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return j.select(*keys, *[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in values])
 
 
-def write_by_submission(rows: DataFrame, path: str, buckets: int = 64) -> None:
-    """Files by a hash of the submission, so that replacing a submission rewrites its bucket only."""
-    b = rows.withColumn("bucket", F.pmod(F.xxhash64("submission_id"), F.lit(buckets)))
-    b.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
 def round_trip(lines: DataFrame) -> DataFrame:
     """Writes lines (one column ``line``) as text files and scans them as one log per file."""
     spark = lines.sparkSession

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import scoring
+from ..plans.staging import delete, staged
+from ..sources.keyed import KeyedTable, names_in
 
 LATE = "10 minutes"
 EVENT = "submission_id long, session_id string, seq long, t long, ms long, kind string, k int, path string, size long, wall_ts timestamp"
@@ -183,13 +185,36 @@ def write_flags(batch: DataFrame, path: str, config: DataFrame, batch_id: int) -
     scoring.scored_flags(batch, config).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def live_flags(spark: SparkSession, path: str) -> DataFrame:
-    """Every live flag once, as its latest micro-batch has it."""
-    rows = spark.read.parquet(path)
-    values = [c for c in rows.columns if c not in (*LIVE_KEY, "batch")]
+def flag_table(spark: SparkSession, path: str, rows: DataFrame) -> KeyedTable:
+    return KeyedTable(spark, f"{path}-compacted", rows.schema, ["submission_id"])
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    values = [c for c in rows.columns if c not in LIVE_KEY]
     return rows.groupBy(*LIVE_KEY).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*LIVE_KEY, "v.*")
 
 
+def compact_flags(spark: SparkSession, path: str, before: int) -> None:
+    """Takes the micro-batches with a number under ``before`` into a table by submission and deletes their folders. Doing so
+    again after a failure changes nothing, since each flag keeps the number of its batch."""
+    rows = spark.read.parquet(path).withColumn("batch", F.col("batch").cast("long"))
+    old = staged(_latest(rows.where(F.col("batch") < before)), "live-old")
+    table = flag_table(spark, path, rows)
+    mine = table.read().join(old.select("submission_id").distinct(), "submission_id", "left_semi")
+    table.replace(staged(_latest(mine.unionByName(old)), "live-new"))
+    for n in [r["batch"] for r in rows.select("batch").where(F.col("batch") < before).distinct().collect()]:
+        delete(spark, f"{path}/batch={n}")
+    table.vacuum()
+
+
+def live_flags(spark: SparkSession, path: str) -> DataFrame:
+    """Every live flag once, as its latest micro-batch has it: of the micro-batches that are left and what was compacted."""
+    left = any(n.startswith("batch=") for n in names_in(spark, path))
+    rows = spark.read.parquet(path if left else f"{path}-compacted/data").withColumn("batch", F.col("batch").cast("long")).drop("bucket")
+    kept = flag_table(spark, path, rows).read()
+    return _latest(rows.unionByName(kept) if left else kept).drop("batch")
+
+
 def drained(stream: DataFrame, checkpoint: str, name: str, mode: str = "append") -> DataFrame:
     """What a stream gives for all input that is there now, as a table in the checkpoint's folder."""
     out = f"{checkpoint}/{name}-out"
