@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -76,13 +76,39 @@ def session_ranges(events: DataFrame) -> DataFrame:
     return g.select("submission_id", "session_id", "start_ms", F.greatest("start_ms", F.coalesce("end_ms", "last_ms")).alias("stop_ms"), F.col("end_ms").isNull().alias("open_ended"))
 
 
+#: Bits of a time in milliseconds.
+TIME_BITS = 43
+
+
+def _covered(start: Column, stop: Column) -> Column:
+    """The fewest aligned stretches (level, nr: from nr * 2 ** level on, 2 ** level long) that make up [start, stop)."""
+
+    def level(n: Column) -> Column:
+        # From below: an odd first stretch and an odd end stand alone, the rest is whole stretches of the next level.
+        size = F.pow(F.lit(2), n).cast("long")
+        first, end = F.floor((start + size - 1) / size), F.floor(stop / size)
+        at = lambda test, nr: F.when((first < end) & test, F.struct(n.alias("level"), nr.cast("long").alias("nr")))
+        return F.array(at(F.pmod(first, F.lit(2)) == 1, first), at(F.pmod(end, F.lit(2)) == 1, end - 1))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(TIME_BITS)), level)))
+
+
 def session_overlaps(ranges: DataFrame) -> DataFrame:
-    """Pairs of a submission's sessions (contributor, machine) that strictly overlap, judged, with their overlap."""
-    a = ranges.select("submission_id", F.col("session_id").alias("session_a"), F.col("start_ms").alias("s1"), F.col("stop_ms").alias("e1"), F.col("contributor").alias("c1"), F.col("machine").alias("m1"))
-    b = ranges.select("submission_id", F.col("session_id").alias("session_b"), F.col("start_ms").alias("s2"), F.col("stop_ms").alias("e2"), F.col("contributor").alias("c2"), F.col("machine").alias("m2"))
-    j = a.join(b, "submission_id").where("session_a < session_b and s1 < e2 and s2 < e1")
+    """Pairs of a submission's sessions (contributor, machine) that strictly overlap, judged, with their overlap.
+
+    Of two sessions that overlap, one begins while the other runs. A session's time is put together from aligned stretches,
+    some ten to forty; the beginning of another lies in one stretch of each length. So both meet in exactly one stretch, and
+    the work follows sessions and overlaps, not pairs.
+    """
+    r = ranges.where("start_ms is not null and stop_ms is not null").select("submission_id", "session_id", F.col("start_ms").cast("long").alias("s"), F.col("stop_ms").cast("long").alias("e"), F.col("contributor").alias("c"), F.col("machine").alias("m"))
+    side = lambda n: [F.col(c).alias(f"{c}{n}") for c in ("session_id", "s", "e", "c", "m")]
+    runs = r.select("submission_id", *side(1), F.explode(_covered(F.col("s"), F.col("e"))).alias("at")).select("*", "at.level", "at.nr").drop("at")
+    levels = runs.groupBy("submission_id").agg(F.collect_set("level").alias("levels"))  # TIME_BITS levels at most
+    begins = r.join(levels, "submission_id").select("submission_id", *side(2), F.explode("levels").alias("level"))
+    begins = begins.withColumn("nr", F.floor(F.col("s2") / F.pow(F.lit(2), F.col("level")).cast("long")).cast("long"))
+    j = runs.join(begins, ["submission_id", "level", "nr"]).where("s1 < e2 and s2 < e1 and (s1 < s2 or session_id1 < session_id2) and session_id1 <> session_id2")
     judgement = F.when(F.col("m1").isNotNull() & (F.col("m1") == F.col("m2")), "same_machine").when(F.col("c1").isNull() | F.col("c2").isNull(), "unknown").when(F.col("c1") != F.col("c2"), "collaboration").otherwise("multi_machine")
-    return j.select("submission_id", "session_a", "session_b", judgement.alias("judgement"), (F.least("e1", "e2") - F.greatest("s1", "s2")).alias("overlap_ms"))
+    return j.select("submission_id", F.least("session_id1", "session_id2").alias("session_a"), F.greatest("session_id1", "session_id2").alias("session_b"), judgement.alias("judgement"), (F.least("e1", "e2") - F.greatest("s1", "s2")).alias("overlap_ms"))
 
 
 def reconciled_witnesses(seen: DataFrame, lines: DataFrame) -> DataFrame:

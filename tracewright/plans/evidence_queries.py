@@ -15,16 +15,24 @@ EV = f"with {EVENTS}"
 
 @query(
     "d11_seal_coverage",
-    f"""{EV}, l as (select submission_id, session_id, string_agg(kind, '' order by seq) as log, count(*) as n from ev group by 1, 2),
-    s as (select submission_id, session_id, case when submission_id % 4 = 0 then strlen(log) when submission_id % 4 = 1 then 5 else strlen(log) + 9 end as bytes, log from l where submission_id % 5 <> 0)
-    select l.submission_id, l.session_id, case when s.bytes = strlen(l.log) then 'exact' when s.bytes = 5 then 'partial' else 'no_match' end as verdict, case when s.bytes <= strlen(l.log) then s.bytes else 0 end as sealed, strlen(l.log) as size from l left join s using (submission_id, session_id)""",
+    f"""{EV}, n as (select *, row_number() over (partition by submission_id, session_id order by seq) as nr from ev),
+    l as (select submission_id, session_id, count(*) as n, string_agg(kind || chr(10), '' order by seq) as log, string_agg(kind || chr(10), '' order by seq) filter (nr <= 2) as two,
+      '{{"checkpoints":[' || string_agg('{{"seq":' || seq::varchar || '}}', ',' order by seq) || '],"v":1}}' as meta from n group by 1, 2),
+    s as (select l.*, seal, case seal when 0 then two when 1 then log else 'other' end as text, submission_id % 3 = seal as final from l, range(3) as r(seal))
+    select submission_id, session_id, seal, final, case when text = log then 'exact' when seal = 0 and not final then 'partial' else 'no_match' end as log, case when text = log or seal = 0 and not final then strlen(text) end as sealed, strlen(log) as total, false as translated,
+      case when seal = 2 then 'unavailable' when seal = 1 or n = 1 then 'exact' when final then 'no_match' else 'partial' end as meta, case when seal = 2 then null when seal = 1 or n = 1 then n when not final then 1 end as meta_sealed, n as meta_total from s""",
 )
 def d11(t):
-    g = t.events().groupBy("submission_id", "session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "kind"))), lambda x: x["kind"]), "").alias("log"))
-    s = F.col("submission_id")
-    n = F.octet_length("log")
-    seals = g.where(s % 5 != 0).withColumn("bytes", F.when(s % 4 == 0, n).when(s % 4 == 1, 5).otherwise(n + 9)).withColumn("sha256", F.sha2(F.substring(F.encode("log", "UTF-8"), F.lit(1), F.col("bytes")), 256))
-    return op.seal_coverage(seals.select("submission_id", "session_id", "bytes", "sha256"), g)
+    line = lambda x: F.concat(x["kind"], F.lit("\n"))
+    g = t.events().groupBy("submission_id", "session_id").agg(F.sort_array(F.collect_list(F.struct("seq", "kind"))).alias("rows"))
+    meta = lambda rows: F.concat(F.lit('{"checkpoints":['), F.array_join(F.transform(rows, lambda x: F.concat(F.lit('{"seq":'), x["seq"].cast("string"), F.lit("}"))), ","), F.lit('],"v":1}'))
+    text = lambda rows: F.array_join(F.transform(rows, line), "")
+    logs = g.select("submission_id", "session_id", "rows", text(F.col("rows")).alias("log"), meta(F.col("rows")).alias("meta"))
+    s = logs.withColumn("seal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+    slog = F.when(F.col("seal") == 0, text(F.slice("rows", 1, 2))).when(F.col("seal") == 1, F.col("log")).otherwise("other")
+    digest = F.when(F.col("seal") == 0, F.sha2(meta(F.slice("rows", 1, 1)), 256)).when(F.col("seal") == 1, F.sha2("meta", 256)).otherwise("none")
+    seals = s.select("submission_id", "session_id", "seal", F.sha2(slog, 256).alias("slog_sha256"), digest.alias("meta_sha256"), (F.col("submission_id") % 3 == F.col("seal")).alias("final"))
+    return op.seal_coverage(seals, logs)
 
 
 @query("f15_watched_files", f"{EV} select submission_id, path, case when bool_and(k % 10 <> 0) then 'all' when bool_or(k % 10 <> 0) then 'some' else 'none' end as watched from ev group by 1, 2")
