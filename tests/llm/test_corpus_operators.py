@@ -95,6 +95,28 @@ def test_an_id_on_two_texts(spark, family):
         assert left == Counter([(1, a), (2, b), (4, ""), (4, None), (5, "same"), (5, "same"), (None, b)])
 
 
+def test_a_family_is_walked_without_all_pairs():
+    """Links as by all pairs; and a large family in which many tokens are common and nothing links takes seconds."""
+    r = random.Random(8)
+    for _ in range(60):
+        base = [r.sample(range(400), r.choice([3, 20, 60])) for _ in range(3)]
+        sets = sorted({frozenset([*r.sample(b, max(1, len(b) - r.randint(0, 3))), *r.sample(range(400), r.randint(0, 3))]) for b in base for _ in range(12)}, key=sorted)
+        nodes = [b"%04d" % i for i in range(len(sets))]
+        parent = list(range(len(sets)))
+        for _ in sets:
+            for i, x in enumerate(sets):
+                for j, y in enumerate(sets):
+                    if 100 * len(x & y) >= near_dup.PERCENT * len(x | y):
+                        parent[i] = parent[j] = min(parent[i], parent[j])
+        assert near_dup.walked(nodes, [np.array(sorted(x), near_dup.U) for x in sets]) == [nodes[p] for p in parent]
+    import time
+
+    rng, common = np.random.default_rng(1), np.arange(30)
+    family = [np.unique(np.r_[common, rng.integers(100, 1 << 40, 20)]).astype(near_dup.U) for _ in range(20_000)]
+    began = time.time()
+    assert len(set(near_dup.walked([b"%06d" % i for i in range(20_000)], family))) == 20_000 and time.time() - began < 60
+
+
 def test_signatures_estimate_similarity():
     """Without bias, and for small sets with less spread than independent hashes would have."""
     rng = np.random.default_rng(1)

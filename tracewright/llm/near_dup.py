@@ -178,28 +178,67 @@ def alike_in_size(n: str, m: str) -> F.Column:
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
+class Postings:
+    """Of some sets (by number), which hold a token among the rarest that a similar set would have to share.
+
+    Similar sets of n tokens share PERCENT of n at least, so of the n - PERCENT of n + 1 rarest tokens of each, one is shared.
+    """
+
+    def __init__(self, own: list[np.ndarray], sizes: np.ndarray, rarity: np.ndarray, which: np.ndarray):
+        self.of = len(which)
+        flat, _ = laid_out(own, sizes, which)
+        n = sizes[which]
+        owner = np.repeat(np.arange(len(which)), n)
+        order = np.lexsort((flat, rarity[flat], owner))
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+        few = place < np.repeat(n - -(-PERCENT * n // 100) + 1, n)
+        self.rare, self.ends = flat[order][few], np.cumsum(np.bincount(owner[few], minlength=len(which)))
+        self.at = {int(i): k for k, i in enumerate(which.tolist())}
+        by_token = np.argsort(self.rare, kind="stable")
+        self.token, self.holder = self.rare[by_token], which[owner[few][by_token]]
+
+    def sharing(self, tokens: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(self.token, tokens, "left"), np.searchsorted(self.token, tokens, "right")
+        many = hi - lo
+        return np.unique(self.holder[np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())])
+
+    def rarest(self, i: int) -> np.ndarray:
+        k = self.at[i]
+        return self.rare[self.ends[k - 1] if k else 0 : self.ends[k]]
+
+
 def walked(nodes: list[bytes], sets: list[np.ndarray]) -> list[bytes]:
-    """The smallest node that links lead to, for each node of a family."""
+    """The smallest node that links lead to, for each node of a family. A node is compared with those only that share one of
+    its rarest tokens and are of its size; the postings shrink with what is left."""
     token = np.unique(np.concatenate(sets), return_inverse=True)[1]
     sizes = np.array([len(x) for x in sets])
     own = np.split(token, np.cumsum(sizes)[:-1])
+    rarity = np.bincount(token)
     component = np.arange(len(nodes))
-    mark = np.zeros(int(token.max()) + 1, bool)
-    open_ = np.arange(len(nodes))  # in order of node, so that each walk starts at its smallest
-    while len(open_):
-        queue, root, open_ = [int(open_[0])], int(open_[0]), open_[1:]
-        flat, starts = laid_out(own, sizes, open_)
-        while queue and len(open_):
+    mark, open_ = np.zeros(len(rarity), bool), np.ones(len(nodes), bool)
+    postings = Postings(own, sizes, rarity, np.arange(len(nodes)))
+    rarest = {i: postings.rarest(i) for i in range(len(nodes))}
+    left = len(nodes)
+    for root in range(len(nodes)):  # in order of node, so that each walk starts at its smallest
+        if not open_[root]:
+            continue
+        open_[root], left, queue = False, left - 1, [root]
+        while queue and left:
+            if 2 * left < postings.of:
+                postings = Postings(own, sizes, rarity, np.flatnonzero(open_))
             at = queue.pop()
+            near = postings.sharing(rarest[at])
+            n = sizes[near]
+            near = near[open_[near] & (100 * np.minimum(n, sizes[at]) >= PERCENT * np.maximum(n, sizes[at]))]
+            if not len(near):
+                continue
+            flat, starts = laid_out(own, sizes, near)
             mark[own[at]] = True
             common = np.add.reduceat(mark[flat].astype(np.int64), starts)
             mark[own[at]] = False
-            linked = 100 * common >= PERCENT * (sizes[at] + sizes[open_] - common)
-            if linked.any():
-                component[open_[linked]] = root
-                queue += open_[linked].tolist()
-                open_ = open_[~linked]
-                flat, starts = laid_out(own, sizes, open_)
+            near = near[100 * common >= PERCENT * (sizes[at] + sizes[near] - common)]
+            component[near], open_[near], left = root, False, left - len(near)
+            queue += near.tolist()
     return [nodes[i] for i in component]
 
 
