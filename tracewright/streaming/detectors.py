@@ -5,7 +5,9 @@ Rows later than the watermark are dropped by the engine; with input in order the
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,22 +55,51 @@ def flag_counters(flags: DataFrame, window: str = "10 minutes", slide: str = "5
 
 class PerKey(StatefulProcessor):
     """One value per key, a struct of ``state_schema``; rows of a batch are taken in order of seq. A key without rows for
-    kept_ms of processing time is forgotten, so that state doesn't grow with all sessions there ever were."""
+    kept_ms of processing time is forgotten, so that state doesn't grow with all sessions there ever were.
 
-    state_schema, kept_ms = "", None
+    With ``waits``, rows are kept in a list until the watermark has passed them and then taken in order, whichever
+    micro-batch brought them: what comes late, but within the watermark, changes nothing. A key waits by one timer, at its
+    earliest row.
+    """
+
+    state_schema, kept_ms, waits = "", None, False
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("state", self.state_schema, self.kept_ms) if self.kept_ms else handle.getValueState("state", self.state_schema)
+        if self.waits:
+            self.waiting = handle.getListState("waiting", "at long, row string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def taken(self, key, rows: list) -> pd.DataFrame:
         state = self.state.get() if self.state.exists() else None
         out = []
-        for r in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
+        for r in sorted(rows, key=lambda r: r.seq):
             state, found = self.step(key, state, r)
             out += found
         if state is not None:
             self.state.update(state)
-        yield pd.DataFrame(out, columns=self.columns)
+        return pd.DataFrame(out, columns=self.columns)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if not self.waits:
+            yield self.taken(key, [r for pdf in rows for r in pdf.itertuples(index=False)])
+            return
+        for pdf in rows:
+            plain = pdf.drop(columns=["wall_ts"], errors="ignore")
+            new = [(int(r["at_ms"]), json.dumps(r)) for r in plain.astype(object).where(plain.notna(), None).to_dict("records")]
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(at for at, _ in new) + 1)
+        yield pd.DataFrame([], columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = [(int(at), row) for at, row in self.waiting.get()] if self.waiting.exists() else []
+        left = [x for x in held if x[0] >= now]
+        self.waiting.clear()
+        if left:
+            self.waiting.put(left)
+            self.handle.registerTimer(min(at for at, _ in left) + 1)
+        yield self.taken(key, [SimpleNamespace(**json.loads(row)) for at, row in held if at < now])
 
     def close(self) -> None:
         pass
@@ -167,12 +198,14 @@ class FileObservation(PerKey):
         return now, [(key[0], key[1], int(r.seq), change)]
 
 
-def stateful(events: DataFrame, processor: PerKey, schema: str, *keys: str, kept_ms: int | None = None) -> DataFrame:
-    """A stream that goes on gives kept_ms; one that ends with its input can't, since forgetting needs a clock that goes on."""
+def stateful(events: DataFrame, processor: PerKey, schema: str, *keys: str, kept_ms: int | None = None, waits: bool = False) -> DataFrame:
+    """A stream that goes on gives kept_ms; one that ends with its input can't, since forgetting needs a clock that goes on. With
+    ``waits``, rows are taken once the watermark has passed them, late ones in their place; kept_ms is then left out."""
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    processor.kept_ms = kept_ms
-    return events.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "processingTime" if kept_ms else "none")
+    processor.kept_ms, processor.waits = None if waits else kept_ms, waits
+    rows = events.withColumn("at_ms", F.unix_millis("wall_ts")) if waits else events
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "eventTime" if waits else "processingTime" if kept_ms else "none")
 
 
 #: What makes a live flag one: a later micro-batch's row of the same key is the one that counts.
