@@ -159,7 +159,7 @@ class SuffixArray:
         self.spark, self.name, self.path = rows.sparkSession, f"{label}_{uuid.uuid4().hex}", new_path(rows.sparkSession, label)
         order = [c for c in ("suffix", "digest") if c in rows.columns]
         dealt = rows.repartition(buckets, "suffix").distinct()  # copies of a text meet here
-        dealt.write.bucketBy(buckets, "suffix").sortBy(*order).option("path", self.path).saveAsTable(self.name)
+        dealt.write.option("compression", "zstd").bucketBy(buckets, "suffix").sortBy(*order).option("path", self.path).saveAsTable(self.name)
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -317,7 +317,7 @@ def repeated_spans(docs: DataFrame, one: DataFrame, n_bytes: int, slot_bytes: in
     batches = batches_of(n_bytes, spark, slot_bytes)
     batch = F.when(F.col("suffix").isNotNull(), F.pmod(F.xxhash64("text_key"), F.lit(batches))).otherwise(-1).cast("int").alias("batch")
     path = new_path(spark, "suffix-entries")
-    suffixes(docs).select("*", batch).write.partitionBy("batch").parquet(path)
+    suffixes(docs).select("*", batch).write.option("compression", "zstd").partitionBy("batch").parquet(path)
     entries = spark.read.schema(f"{ENTRIES}, batch int").parquet(path)
     stop = (F.col("start") + F.col("n") + LENGTH - 1).alias("stop")
     known = staged(entries.where("batch = -1").select("text_key", "start", stop), "suffix-known")
