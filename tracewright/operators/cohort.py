@@ -63,6 +63,23 @@ def student_rollup(live: DataFrame, chosen: DataFrame, flags: DataFrame) -> Data
     return s.join(f, "student_id", "left").select("student_id", "submissions", "score_sum", "score_max", "worst", F.coalesce("flags", F.lit(0)).alias("flags"))
 
 
+#: Recompute states from the best to the worst.
+RECOMPUTE = ("fresh", "stale", "recomputing", "error")
+#: Sort orders of the student list: (column, descending), each with the student as its last key.
+STUDENT_ORDERS = {"score_sum_desc": [("score_sum", True), ("student_id", False)], "score_max_desc": [("score_max", True), ("student_id", False)], "student_asc": [("display_name", False), ("student_id", False)]}
+
+
+def student_page(rollup: DataFrame, chosen: DataFrame, roster: DataFrame, order: str, after: list | None, limit: int) -> DataFrame:
+    """A page of the student rollup in one of STUDENT_ORDERS, with the student's name and the worst recompute state of the chosen
+    submissions (``recompute_status``); a state that isn't known counts as the best."""
+    place = F.greatest(F.array_position(F.array(*map(F.lit, RECOMPUTE)), F.coalesce("recompute_status", F.lit(RECOMPUTE[0]))), F.lit(1))
+    worst = chosen.groupBy("student_id").agg(F.max(place).cast("int").alias("nr"))
+    status = F.element_at(F.array(*map(F.lit, RECOMPUTE)), F.col("nr")).alias("recompute_status")
+    names = roster.select(F.col("id").alias("student_id"), "display_name")
+    rows = rollup.join(worst, "student_id").join(names, "student_id", "left").select(*rollup.columns, "display_name", status)
+    return page(rows, STUDENT_ORDERS[order], after, limit)
+
+
 def facets(subs: DataFrame, chosen: dict[str, list]) -> DataFrame:
     """facet, value, n: each column's counts under the other columns' choices, in one pass over the submissions."""
     match = {c: F.col(c).isin(v) if v else F.lit(True) for c, v in chosen.items()}

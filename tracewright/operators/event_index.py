@@ -42,11 +42,45 @@ def path_aliases(seen: DataFrame, manifest: DataFrame) -> DataFrame:
     return pairs.groupBy("submission_id", F.col("path").alias("alias")).agg(F.min("canon").alias("path"))
 
 
-def event_page(events: DataFrame, kinds: list[str], t_from: int, t_to: int, after: tuple[int, int], limit: int) -> DataFrame:
-    """A page of matching events after a key, at most PAGE rows. A top-k, never a full sort."""
-    e = events.where(F.col("kind").isin(kinds) & F.col("t").between(t_from, t_to))
-    e = e.where((F.col("submission_id") > after[0]) | ((F.col("submission_id") == after[0]) & (F.col("global_idx") > after[1])))
-    return e.orderBy("submission_id", "global_idx").limit(min(limit, PAGE))
+def _range(name: str, low: int | None, high: int | None) -> None:
+    if any(x is not None and x < 0 for x in (low, high)) or (low is not None and high is not None and low > high):
+        raise ValueError(f"{name}: {low} to {high} is no range")
+
+
+def matching_events(
+    events: DataFrame, kinds: list[str] | None = None, seq: tuple[int | None, int | None] = (None, None), t: tuple[int | None, int | None] = (None, None),
+    ms: tuple[int | None, int | None] = (None, None), path: str | None = None, session_id: str | None = None,
+) -> DataFrame:
+    """Events of the kinds, of the ranges of seq, t and wall time (inclusive; None leaves an end open), of a file and a session.
+    No kinds means all. A negative or reversed range is an error."""
+    for column, (low, high) in (("seq", seq), ("t", t), ("ms", ms)):
+        _range(column, low, high)
+        if low is not None:
+            events = events.where(F.col(column) >= low)
+        if high is not None:
+            events = events.where(F.col(column) <= high)
+    if kinds:
+        events = events.where(F.col("kind").isin(kinds))
+    if path is not None:
+        events = events.where(F.col("path") == path)
+    return events if session_id is None else events.where(F.col("session_id") == session_id)
+
+
+def event_page(events: DataFrame, after: tuple[int, int] | None = None, descending: bool = False, limit: int = PAGE) -> DataFrame:
+    """A page of events by (submission_id, global_idx) after a key, at most PAGE rows. A top-k, never a full sort."""
+    if limit > PAGE:
+        raise ValueError(f"at most {PAGE} events at once")
+    if after is not None:
+        own, place = F.col("submission_id"), F.col("global_idx")
+        beyond = (own < after[0]) | ((own == after[0]) & (place < after[1])) if descending else (own > after[0]) | ((own == after[0]) & (place > after[1]))
+        events = events.where(beyond)
+    order = (F.desc, F.desc) if descending else (F.asc, F.asc)
+    return events.orderBy(order[0]("submission_id"), order[1]("global_idx")).limit(limit)
+
+
+def event_totals(events: DataFrame) -> DataFrame:
+    """(submission_id, total) of matching events, whatever page is looked at."""
+    return events.groupBy("submission_id").agg(F.count(F.lit(1)).alias("total"))
 
 
 def timeline(events: DataFrame, kinds: set[str], files: set[str], sessions: set[str], t: tuple[int, int] | None) -> DataFrame:

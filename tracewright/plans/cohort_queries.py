@@ -73,6 +73,29 @@ def i05(t):
     return op.student_rollup(t.submissions(), r.where("validation_status = 'fail'"), t.flags())
 
 
+STUDENTS = f"""{ROWS}, c as (select *, case when id % 11 = 0 then 4 when id % 7 = 0 then 3 when id % 3 = 0 then 2 else 1 end as nr from rows where validation_status = 'fail'),
+s as (select c.student_id, count(distinct c.id) as submissions, round(sum(score_total), 6) as score_sum, max(score_total) as score_max, max(nr) as nr from c group by 1),
+l as (select student_id, submissions, score_sum, score_max, display_name, ['fresh', 'stale', 'recomputing', 'error'][nr] as recompute_status from s left join roster r on r.id = student_id)"""
+
+
+def students(t, order, after, limit):
+    r = rows(t).where("validation_status = 'fail'")
+    i = F.col("id")
+    chosen_ = r.withColumn("recompute_status", F.when(i % 11 == 0, "error").when(i % 7 == 0, "recomputing").when(i % 3 == 0, "stale").otherwise("fresh"))
+    rollup = op.student_rollup(t.submissions(), r, t.flags()).drop("worst", "flags")
+    return op.student_page(rollup, chosen_, t.roster(), order, after, limit)
+
+
+@query("i05_students_by_sum", f"{STUDENTS} select * from l order by score_sum desc, student_id limit 101")
+def i05_sum(t):
+    return students(t, "score_sum_desc", None, 100)
+
+
+@query("i05_students_by_name", f"{STUDENTS} select * from l where display_name > 'Customer#000000040' or (display_name = 'Customer#000000040' and student_id > 40) order by display_name, student_id limit 101")
+def i05_name(t):
+    return students(t, "student_asc", ["Customer#000000040", 40], 100)
+
+
 FACETS = {"score_max_severity": ["high", "medium"], "validation_status": ["fail"], "assignment_id": [1, 2, 3]}
 _ALL = {"score_max_severity": "score_max_severity in ('high', 'medium')", "validation_status": "validation_status = 'fail'", "assignment_id": "assignment_id in (1, 2, 3)"}
 

@@ -270,10 +270,18 @@ def cross(t):
     return g.withColumn("severity", severity_of(F.col("rk"))).drop("rk"), t.flags().select(F.col("part").alias("flag_id"), "submission_id").distinct()
 
 
-@query("g10_cross_flag_page", f"{CROSS} select c.flag_id, severity, created, (select list(submission_id order by submission_id) from p where p.flag_id = c.flag_id) as participants from c where rk >= 2 and flag_id in (select flag_id from p where submission_id = 7) order by created desc, flag_id desc limit 10")
+@query("g10_cross_flag_page", f"{CROSS} select c.flag_id, severity, created, (select list(submission_id order by submission_id) from p where p.flag_id = c.flag_id) as participants from c where rk >= 2 and flag_id in (select flag_id from p where submission_id = 7) order by created desc, flag_id desc limit 11")
 def g10(t):
     f, p = cross(t)
-    return similarity.cross_flag_page(f, p, "medium", 7, 10).select("flag_id", "severity", "created", "participants")
+    return similarity.cross_flag_page(f, p, 10, "medium", 7).select("flag_id", "severity", "created", "participants")
+
+
+@query("g10_next_flags_of_a_rule", f"{CROSS}, r as (select *, 'h' || (flag_id % 3)::varchar as heuristic_id from c) select flag_id, created, heuristic_id, (select list(submission_id order by submission_id) from p where p.flag_id = r.flag_id) as participants from r where heuristic_id = 'h1' and (created < (select max(created) // 2 from c) or (created = (select max(created) // 2 from c) and flag_id < 50)) order by created desc, flag_id desc limit 41")
+def g10_next(t):
+    f, p = cross(t)
+    f = f.withColumn("heuristic_id", F.concat(F.lit("h"), (F.col("flag_id") % 3).cast("string")))
+    half = f.agg(F.max("created")).head()[0] // 2
+    return similarity.cross_flag_page(f, p, 40, rule="h1", after=(half, 50)).select("flag_id", "created", "heuristic_id", "participants")
 
 
 @query("g11_exclusion_page", "with x as (select l_suppkey as lineage, list(distinct l_orderkey % 500 order by l_orderkey % 500) as members, max(l_partkey) as created from lineitem group by 1) select lineage, created from x where list_contains(members, 7) order by created desc, lineage desc limit 500")

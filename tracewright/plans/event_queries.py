@@ -53,7 +53,24 @@ def b04(t):
 
 @query("b05_event_page", f"{EV} select submission_id, global_idx, kind, t from ev where kind in ('paste', 'doc.change') and t between 1000 and 500000000 and (submission_id > 5 or (submission_id = 5 and global_idx > 3)) order by submission_id, global_idx limit 500")
 def b05(t):
-    return op.event_page(t.events(), ["paste", "doc.change"], 1000, 500000000, (5, 3), 500).select("submission_id", "global_idx", "kind", "t")
+    return op.event_page(op.matching_events(t.events(), ["paste", "doc.change"], t=(1000, 500000000)), (5, 3), limit=500).select("submission_id", "global_idx", "kind", "t")
+
+
+WANTED = f"{EV}, m as (select * from ev where path = 'f2.py' and seq between 1 and 40 and ms >= 1704500000000 and kind in ('paste', 'doc.change', 'doc.open'))"
+
+
+def wanted(t):
+    return op.matching_events(t.events(), ["paste", "doc.change", "doc.open"], seq=(1, 40), ms=(1704500000000, None), path="f2.py")
+
+
+@query("b05_event_page_back", f"{WANTED} select submission_id, global_idx, kind, seq from m where submission_id < 12 or (submission_id = 12 and global_idx < 40) order by submission_id desc, global_idx desc limit 300")
+def b05_back(t):
+    return op.event_page(wanted(t), (12, 40), descending=True, limit=300).select("submission_id", "global_idx", "kind", "seq")
+
+
+@query("b05_event_totals", f"{WANTED} select submission_id, count(*) as total from m group by 1")
+def b05_totals(t):
+    return op.event_totals(wanted(t))
 
 
 @query("b06_point_lookup", f"{EV} select submission_id, session_id, seq, kind from ev where global_idx = 7")
