@@ -172,7 +172,7 @@ def packed(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, id
     earlier = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranked = (
         narrow.withColumn("i", F.row_number().over(W.partitionBy("task", "length").orderBy("piece")) - 1)
-        .join(by_task.select("task", "length", earlier.alias("earlier")), ["task", "length"])
+        .join(by_task.select("task", "length", earlier.alias("earlier")).hint("merge"), ["task", "length"])  # it grows with the tasks
         .select("piece", "length", (F.col("earlier") + F.col("i")).alias("rank"))
     )
 
