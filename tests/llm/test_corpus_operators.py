@@ -410,3 +410,11 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
     assert Counter(r["doc_id"] for r in got) == Counter([*range(40), 3, 50, 51, None, 52, 52, 54])
     assert {r["doc_id"]: r["n_tokens"] for r in got}[51] == 0
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_contaminated_without_documents_or_items(spark):
+    docs = spark.createDataFrame([(1, prose(40, 3)), (2, None), (3, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, prose(30, 4))], "item_id long, text string")
+    for d, i in ((docs.limit(0), items), (docs, items.limit(0)), (docs, spark.createDataFrame([(1, None), (2, "")], "item_id long, text string"))):
+        assert decontamination.contaminated(d, i).count() == 0
+        assert decontamination.decontaminated(d, i).count() == d.count()

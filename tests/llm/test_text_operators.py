@@ -362,3 +362,19 @@ def test_empty_tables(spark):
 def test_hash_of_nothing(docs):
     r = secrets.scanned(docs.where("doc_id = 1")).select(F.sha2(pii.digest(F.col("base")), 256).alias("h")).head()
     assert r["h"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_very_long_texts(spark):
+    """Texts of megabytes: each operator takes them whole."""
+    line = "Plain words of a long document stand here and end with a mark, number {}.\n"
+    text = "".join(line.format(i) for i in range(20_000))
+    secret = "password = hunter2hunter2"
+    docs = spark.createDataFrame([(1, text + secret), (2, "x" * 1_500_000), (3, None)], "doc_id long, text string")
+    rules = {r["doc_id"]: r for r in quality_rules.cleaned(docs).collect()}
+    assert rules[1]["n_words"] == 20_000 * 15 + 3 and rules[1]["n_lines"] == 20_001 and not rules[2]["kept"]
+    found = {r["doc_id"]: r for r in secrets.scanned(docs).collect()}
+    assert [(s["start"], s["stop"], s["kind"]) for s in found[1]["base"]] == [(len(text), len(text) + len(secret), "assign")] and found[2]["base"] == []
+    library = Tokenizer.from_file(PATH)
+    for r in huffman.round_trip(docs, PATH).collect():
+        want = library.encode({1: text + secret, 2: "x" * 1_500_000, 3: ""}[r["doc_id"]], add_special_tokens=False).ids + [2]
+        assert r["ids"] == np.array(want, "<u4").tobytes()

@@ -13,7 +13,8 @@ padded to bytes; documents go to ranges of doc_id, are sorted there and joined t
 Blocks don't depend on each other. Reading goes through all runs between checkpoints of a block at once: a table with
 2**LIMIT entries gives the token and the length of the code that starts at a bit.
 
-Null text counts as empty: such a document holds the end id only. Rows without a doc_id come first; rows that share a
+Null text counts as empty: such a document holds the end id only. A very long text is a block of its own; no rows give files
+without blocks, which read back as no rows. Rows without a doc_id come first; rows that share a
 doc_id are ordered by their text's hash, and every one is written.
 """
 

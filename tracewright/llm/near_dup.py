@@ -185,7 +185,6 @@ class Postings:
     """
 
     def __init__(self, own: list[np.ndarray], sizes: np.ndarray, rarity: np.ndarray, which: np.ndarray):
-        self.of = len(which)
         flat, _ = laid_out(own, sizes, which)
         n = sizes[which]
         owner = np.repeat(np.arange(len(which)), n)
@@ -197,10 +196,16 @@ class Postings:
         by_token = np.argsort(self.rare, kind="stable")
         self.token, self.holder = self.rare[by_token], which[owner[few][by_token]]
 
-    def sharing(self, tokens: np.ndarray) -> np.ndarray:
+    def sharing(self, tokens: np.ndarray, sets: int) -> np.ndarray:
+        """Which of so many sets hold one of the tokens."""
         lo, hi = np.searchsorted(self.token, tokens, "left"), np.searchsorted(self.token, tokens, "right")
-        many = hi - lo
-        return np.unique(self.holder[np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())])
+        lists = [self.holder[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True) if a < b]
+        if 8 * int((hi - lo).sum()) < sets:
+            return np.unique(np.concatenate(lists)) if lists else lo[:0]
+        hit = np.zeros(sets, bool)
+        for x in lists:
+            hit[x] = True
+        return np.flatnonzero(hit)
 
     def rarest(self, i: int) -> np.ndarray:
         k = self.at[i]
@@ -216,25 +221,30 @@ def walked(nodes: list[bytes], sets: list[np.ndarray]) -> list[bytes]:
     rarity = np.bincount(token)
     component = np.arange(len(nodes))
     mark, open_ = np.zeros(len(rarity), bool), np.ones(len(nodes), bool)
-    postings = Postings(own, sizes, rarity, np.arange(len(nodes)))
-    rarest = {i: postings.rarest(i) for i in range(len(nodes))}
+    which = np.arange(len(nodes))
+    postings, (flat, starts) = Postings(own, sizes, rarity, which), laid_out(own, sizes, which)
+    rarest = [postings.rarest(i) for i in range(len(nodes))]
     left = len(nodes)
     for root in range(len(nodes)):  # in order of node, so that each walk starts at its smallest
         if not open_[root]:
             continue
         open_[root], left, queue = False, left - 1, [root]
         while queue and left:
-            if 2 * left < postings.of:
-                postings = Postings(own, sizes, rarity, np.flatnonzero(open_))
+            if 2 * left < len(which):
+                which = np.flatnonzero(open_)
+                postings, (flat, starts) = Postings(own, sizes, rarity, which), laid_out(own, sizes, which)
             at = queue.pop()
-            near = postings.sharing(rarest[at])
+            near = postings.sharing(rarest[at], len(nodes))
             n = sizes[near]
             near = near[open_[near] & (100 * np.minimum(n, sizes[at]) >= PERCENT * np.maximum(n, sizes[at]))]
             if not len(near):
                 continue
-            flat, starts = laid_out(own, sizes, near)
             mark[own[at]] = True
-            common = np.add.reduceat(mark[flat].astype(np.int64), starts)
+            if 4 * len(near) > len(which):  # nearly all: their layout is there already
+                common = np.add.reduceat(mark[flat].astype(np.int64), starts)[np.searchsorted(which, near)]
+            else:
+                some, begin = laid_out(own, sizes, near)
+                common = np.add.reduceat(mark[some].astype(np.int64), begin)
             mark[own[at]] = False
             near = near[100 * common >= PERCENT * (sizes[at] + sizes[near] - common)]
             component[near], open_[near], left = root, False, left - len(near)

@@ -14,6 +14,7 @@ of a document. Labels, lang, source and doc_id are no inputs.
 Null and empty texts are a bag of one empty passage and get the score the model gives it. Without both kinds of labels
 to learn from every score is the share of label 1, or 0.5. Every input row gives a row, repeated ids too; of several texts
 under one labelled id the least one is learned from. A very long text is one bag: a task holds its passages, 2 KB each.
+Rows with equal texts get equal scores; where documents tie for the sample, the smaller id goes first. No rows give no rows.
 """
 
 from __future__ import annotations

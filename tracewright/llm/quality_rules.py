@@ -4,7 +4,8 @@ Each line with a word is judged on its own: too many symbols, menu separators, b
 over and over, an earlier line said again, or a few words without an end mark. Failed lines go; a document goes if less
 than KEPT_SHARE of its word characters is left, or if it fails the base rules.
 
-A text without words, empty or null, has counts of 0 and is not kept. Every input row gives a row, repeated ones too.
+A text without words, empty or null, has counts of 0 and is not kept. Every input row gives a row, repeated ones too; no rows
+give no rows. Of equal lines the first stays. A very long text is an array of its lines in one row, and is judged whole.
 No step moves rows between tasks.
 """
 

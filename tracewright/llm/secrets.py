@@ -12,7 +12,9 @@ reported only if what they hold parses:
 A der or openssh key without BEGIN and END may be wrapped: lines are joined as far as the length it states, which has to
 fall on the end of a line.
 
-Null text counts as empty and gives no spans. Every input row gives a row; extra columns are not read.
+Null text counts as empty and gives no spans. Every input row gives a row, repeated ones too; extra columns are not read, and no
+rows give no rows. Of spans that begin at one place the kinds come in the order of KINDS; where structures overlap each is
+reported. A very long text is searched as a whole, in a slice of its own.
 """
 
 from __future__ import annotations
