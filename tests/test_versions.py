@@ -167,7 +167,7 @@ def test_many_cuts_of_a_large_file(spark):
 def test_lines(spark, events, cases):
     kinds = events.select("submission_id", "global_idx", "kind")
     kind_of = {(seed, r[4]): r[5] for seed, (rows, _) in enumerate(cases) for r in rows}
-    got = {(r["submission_id"], r["path"], r["line"]): r for r in versions.line_provenance(versions.file_states(events), kinds).collect()}
+    got = {(r["submission_id"], r["path"], r["line"]): r for r in versions.line_kinds(versions.file_states(events), kinds).collect()}
     n = 0
     for seed, (_, out) in enumerate(cases):
         for path, (text, origins, _) in out["states"].items():

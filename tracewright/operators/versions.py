@@ -217,7 +217,7 @@ def changes_at(events: DataFrame, cuts: DataFrame) -> DataFrame:
     return folded(rows.withColumn("seq", F.col("seq").cast("long")).unionByName(asked).withColumn("later", ~F.col("cut")), FILE, ("global_idx", "later"), Cuts, CHANGES)
 
 
-def line_provenance(states: DataFrame, kinds: DataFrame) -> DataFrame:
+def line_kinds(states: DataFrame, kinds: DataFrame) -> DataFrame:
     """(submission_id, path, line, length, last_event, kind, of_kind) of every line: its length with its newline, the latest event in it, the kind
     that most of its characters come from (of ties the first by name) and how many they are.
 

@@ -69,7 +69,7 @@ def c04_changes(t):
 
 
 @query(
-    "c09_line_provenance",
+    "c09_line_kinds",
     f"""{EDITS}, e as (select *, sum(case when kind in ('doc.open', 'fs.external_change') and content is not null then 1 else 0 end) over (partition by submission_id, path order by global_idx) as epoch,
       max(case when kind in ('doc.open', 'fs.external_change') and content is not null then global_idx end) over (partition by submission_id, path order by global_idx) as start from c0 where kind <> 'fs.external_change'),
     l as (select submission_id, path, max(epoch) as epoch from e group by 1, 2),
@@ -79,7 +79,7 @@ def c04_changes(t):
 )
 def c09_lines(t):
     e = edits(t).where("kind <> 'fs.external_change'")
-    return versions.line_provenance(versions.file_states(e), e.select("submission_id", "global_idx", "kind"))
+    return versions.line_kinds(versions.file_states(e), e.select("submission_id", "global_idx", "kind"))
 
 
 @query(
