@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracewright.llm import decontamination, near_dup, quality_model, suffix_index, toxicity
 
@@ -173,6 +174,39 @@ def test_ranks_are_the_order_of_bytes():
     assert rank.tolist() == [order[s] for s in whole]
 
 
+def test_repeated_strings_are_compared_by_bytes(monkeypatch):
+    """Strings of a hash are compared, also where the hash tells none or only some apart; most stretches need no ranks."""
+    r = random.Random(9)
+    own, n = [bytes(r.choice(b"abcd") for _ in range(900)) for _ in range(3)], suffix_index.LENGTH
+    pieces = [own[0], own[1][:100] + own[0][100:700], own[2], own[2][:n] + b"!" + own[2][n:], b"ab" * 300]
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    strings = np.concatenate([at + np.arange(len(p) - n + 1) for at, p in zip(np.cumsum([0, *map(len, pieces)]), pieces, strict=False)])
+    count = Counter(data[i : i + n].tobytes() for i in strings)
+    want = [count[data[i : i + n].tobytes()] > 1 for i in strings]
+    ranked, ranks = [], suffix_index.ranks
+    monkeypatch.setattr(suffix_index, "ranks", lambda *x: ranked.append(1) or ranks(*x))
+    assert suffix_index.repeated(data, strings).tolist() == want and True in want and False in want and not ranked
+    for weak in (lambda d: np.zeros(len(d) - n + 1, np.uint64), lambda d: d[: len(d) - n + 1].astype(np.uint64)):
+        monkeypatch.setattr(suffix_index, "hashes", weak)
+        assert suffix_index.repeated(data, strings).tolist() == want
+    assert len(ranked) == 2
+
+
+def test_large_and_small_groups_read_texts_once(spark):
+    """Stretches compared in tasks and string by string come from one join with the texts."""
+    common = prose(70, 51)
+    rows = [(i, prose(60, 60 + i) + common + prose(60, 90 + i)) for i in range(8)] + [(20, prose(200, 52)), (21, edited(prose(200, 52), 90, 3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_key", F.unhex(F.md5("text")))
+    one = docs.select("text_key", F.col("doc_id").alias("one"))
+    want = repeats(rows)
+    for group_bytes in (3000, suffix_index.GROUP_BYTES):
+        spans = suffix_index.repeated_spans(docs, one, 20_000, group_bytes=group_bytes)
+        plan = spans._jdf.queryExecution().analyzed().toString()
+        assert plan.count("Join") == 2 and plan.count("MapInArrow") == 2  # the texts with what is asked of them, read and compared
+        got = suffix_index.without_repeats(docs.select("doc_id", "text"), group_bytes=group_bytes).collect()
+        assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == want
+
+
 def test_family_levels_are_geometric(spark):
     keyed = spark.createDataFrame([(bytes([i] * 16), prose(120, i)) for i in range(12)], "text_key binary, text string")
     entries = suffix_index.suffixes(keyed)

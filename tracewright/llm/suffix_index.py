@@ -11,9 +11,10 @@ suffixes that more than one place has (sort-merge joins of tables with the same
 written again at most log(batches) times, to the base FAN.
 
 Stretches of one suffix are then looked at byte by byte: those that are equal as a whole are repeated, known by a 128-bit
-digest; the others' bytes go to one task, which sorts all their strings of LENGTH bytes by doubling ranks, a suffix array
-in which equal neighbours (a common prefix of LENGTH) are repeated. A suffix whose stretches hold more than GROUP_BYTES
-is split: its strings become rows, counted by digest, so that no task has to hold them.
+digest; the others' bytes go to one task. There a hash of LENGTH bytes nominates pairs of strings whose bytes are compared;
+where a pair differs, all strings are sorted by doubling ranks, a suffix array in which equal neighbours (a common prefix of
+LENGTH) are repeated. A suffix whose stretches hold more than GROUP_BYTES is split: its strings become rows, counted by
+digest, so that no task has to hold them. Both kinds are read from the texts in one pass and dealt in one shuffle.
 
     null or short text    nothing to remove
     texts that stand more than once   all their bytes are repeated; their other strings take part once
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +44,7 @@ from .near_dup import GOLDEN, U, mixed
 LENGTH = 400
 GRAM = 32
 #: Bytes of text of a batch for each task slot of the session.
-SLOT_BYTES = 32 << 20
+SLOT_BYTES = 128 << 20
 #: Arrays of a level that are merged.
 FAN = 4
 #: Bytes of one suffix's different stretches that a task compares.
@@ -211,29 +213,60 @@ class Family:
         return out
 
 
-WANTED = "key long, text_key binary, start int, alone boolean, bytes binary"
+WANTED = "key long, string binary, text_key binary, start int, alone boolean, bytes binary, stop int"
+WANTED_KINDS = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.bool_(), pa.binary(), pa.int32())
+
+
+def wanted_rows(columns: list[list]) -> pa.RecordBatch:
+    names = [c.split()[0] for c in WANTED.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, WANTED_KINDS, strict=True)], names=names)
+
+
+def strings_and_spans(rows: list[tuple]) -> pa.RecordBatch:
+    """WANTED of stretches (key, text_key, start, alone, bytes) string by string. Of a string that stands more than once
+    among them one row is enough, and spans (rows with a stop) for its places."""
+    digests = [[xxhash.xxh3_128_digest(data[i : i + LENGTH]) for i in range(len(data) - LENGTH + 1)] for *_, data in rows]
+    count = Counter(d for own in digests for d in own)
+    out, given = [], set()
+    for (key, text_key, start, alone, _), own in zip(rows, digests, strict=True):
+        again = np.array([count[d] > 1 for d in own])
+        if alone:
+            out += [(key, text_key, text_key, start + int(a), True, None, start + int(b) + LENGTH - 1) for a, b in zip(*runs(again), strict=True)]
+        for i, d in enumerate(own):
+            if count[d] == 1:
+                out.append((key, d, text_key, start + i, alone, None, None))
+            elif d not in given:
+                given.add(d)
+                out.append((key, d, text_key, start + i, False, None, None))
+    return wanted_rows(list(zip(*out, strict=True)))
 
 
 def bytes_of(wanted: DataFrame, docs: DataFrame, one: DataFrame) -> DataFrame:
-    """WANTED: the bytes of stretches (key, alone, text_key, start, n), read from one row of each text."""
-    lists = wanted.groupBy("text_key").agg(F.collect_list(F.struct("key", "start", "n", "alone")).alias("wanted"))  # at most the text's own stretches
+    """WANTED of stretches (key, alone, large, text_key, start, n), read from one row of each text: a row with its bytes for
+    each, and where it is large a row with the digest of each of its strings."""
+    lists = wanted.groupBy("text_key").agg(F.collect_list(F.struct("key", "start", "n", "alone", "large")).alias("wanted"))  # at most the text's own stretches
     lists = lists.join(one, "text_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, CHUNK):
-                out, key = [], []
-                own = part.column("wanted").flatten()
-                columns = [own.field(f) for f in ("key", "start", "alone")]
-                sizes = np.diff(part.column("wanted").offsets.to_numpy())
-                starts, stops = own.field("start").to_numpy(), own.field("start").to_numpy() + own.field("n").to_numpy() + LENGTH - 1
-                at = 0
-                for text_key, text, k in zip(part.column("text_key").to_pylist(), part.column("text").to_pylist(), sizes.tolist(), strict=True):
+                small, large = [], []
+                for text_key, text, wanted in zip(*[part.column(c).to_pylist() for c in ("text_key", "text", "wanted")], strict=True):
                     data = text.encode()
-                    out += [data[a:b] for a, b in zip(starts[at : at + k].tolist(), stops[at : at + k].tolist(), strict=True)]
-                    key += [text_key] * k
-                    at += k
-                yield pa.RecordBatch.from_arrays([columns[0], pa.array(key, pa.binary()), columns[1], columns[2], pa.array(out, pa.binary())], names=[c.split()[0] for c in WANTED.split(", ")])
+                    for w in wanted:
+                        own = data[w["start"] : w["start"] + w["n"] + LENGTH - 1]
+                        if w["large"]:
+                            large.append((w["key"], text_key, w["start"], w["alone"], own))
+                        else:
+                            small.append((w["key"], None, text_key, w["start"], w["alone"], own, None))
+                if small:
+                    yield wanted_rows(list(zip(*small, strict=True)))
+                at = size = 0
+                for i, row in enumerate(large):
+                    size += len(row[4])
+                    if size > HELD or i + 1 == len(large):
+                        yield strings_and_spans(large[at : i + 1])
+                        at, size = i + 1, 0
 
     joined = docs.join(lists, (docs["text_key"] == lists["text_key"]) & docs["doc_id"].eqNullSafe(lists["one"]))
     return joined.select(docs["text_key"], "text", "wanted").mapInArrow(run, WANTED)
@@ -268,24 +301,87 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+def hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of LENGTH bytes from every place on, put together from those of 1, 2, 4, ... bytes."""
+    have, factor, size = byte_values()[data], U(0xD1342543DE82EF95), 1
+    total, done = None, 0
+    with np.errstate(over="ignore"):
+        while True:
+            if LENGTH & size:
+                total = have if total is None else have[: len(data) - done - size + 1] * power + total[size:]  # the longer part goes first
+                done += size
+                power = factor if done == size else power * factor
+            if 2 * size > LENGTH:
+                return total
+            have = have[:-size] * factor + have[size:]
+            factor, size = factor * factor, 2 * size
+
+
+def repeated(data: np.ndarray, strings: np.ndarray) -> np.ndarray:
+    """Which strings of LENGTH bytes (by where they start, ascending) equal another one of them. Strings of one hash are
+    compared with the one before: all bytes, or the last one where the strings one byte before were compared as well."""
+    hashed = mixed(hashes(data)[strings])
+    order = np.argsort(hashed, kind="stable")
+    hashed = hashed[order]
+    same = np.flatnonzero(hashed[1:] == hashed[:-1])
+    found = np.zeros(len(strings), bool)
+    if not len(same):
+        return found
+    before = np.full(len(strings), -1)
+    before[order[same + 1]] = strings[order[same]]
+    which = np.flatnonzero(before >= 0)
+    ours, theirs = strings[which], before[which]
+    first = np.r_[True, (ours[1:] != ours[:-1] + 1) | (theirs[1:] != theirs[:-1] + 1)]
+    equal = (data[ours + LENGTH - 1] == data[theirs + LENGTH - 1]).all()
+    ours, theirs = ours[first], theirs[first]
+    word = data.astype(U)
+    for k in (1, 2, 4):
+        word = (word[:-k] << U(8 * k)) | word[k:]
+    for at in range(0, LENGTH - 7, 8):
+        equal = equal and (word[ours + at] == word[theirs + at]).all()
+    if not equal:
+        rank = ranks(data, strings)
+        return np.bincount(rank)[rank] > 1
+    found[order[same]] = found[order[same + 1]] = True
+    return found
+
+
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """SPANS of repeated strings among stretches in order of key; a key's stretches are looked at together."""
+    """SPANS of repeated strings among WANTED in order of (key, string); a key's stretches are looked at together."""
+
+    def spans(columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["text_key", "start", "stop"])
 
     def look(rows: list[tuple]) -> pa.RecordBatch:
         sizes = np.array([len(r[4]) for r in rows])
         n = sizes - LENGTH + 1
         first = np.cumsum(n) - n
         strings = np.arange(n.sum()) + np.repeat(np.cumsum(sizes) - sizes - first, n)
-        rank = ranks(np.frombuffer(b"".join(r[4] for r in rows), np.uint8), strings)
-        repeated = np.bincount(rank)[rank] > 1
-        out = [(r[1], r[2] + int(a), r[2] + int(b) + LENGTH - 1) for r, at, k in zip(rows, first.tolist(), n.tolist(), strict=True) if r[3] for a, b in zip(*runs(repeated[at : at + k]), strict=True)]
-        columns = list(zip(*out, strict=True)) if out else [[]] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["text_key", "start", "stop"])
+        again = repeated(np.frombuffer(b"".join(r[4] for r in rows), np.uint8), strings)
+        again &= np.repeat(np.array([r[3] for r in rows]), n)
+        begins, ends = runs(np.insert(again, first[1:], False))  # a gap before each stretch but the first
+        row = np.searchsorted(first + np.arange(len(rows)), begins, "right") - 1
+        base = np.array([r[2] for r in rows]) - first - np.arange(len(rows))
+        return spans([[rows[i][1] for i in row.tolist()], (begins + base[row]).astype(np.int32), (ends + base[row] + LENGTH - 1).astype(np.int32)])
 
     held: list[tuple] = []
-    size = 0
+    size, last, open_ = 0, None, None
     for batch in batches:
-        for part in slices(batch, HELD, "bytes"):
+        known = batch.filter(pa.compute.is_valid(batch.column("stop")))
+        if known.num_rows:
+            yield known.select(["text_key", "start", "stop"])
+        single = batch.filter(pa.compute.and_(pa.compute.is_valid(batch.column("string")), pa.compute.is_null(batch.column("stop"))))
+        out = []
+        for string, text_key, start, alone in zip(*[single.column(c).to_pylist() for c in ("string", "text_key", "start", "alone")], strict=True):
+            here = (text_key, start, start + LENGTH) if alone else None
+            if string != last:
+                last, open_ = string, here
+                continue
+            out += [x for x in (open_, here) if x]
+            open_ = None
+        if out:
+            yield spans(list(zip(*out, strict=True)))
+        for part in slices(batch.filter(pa.compute.is_valid(batch.column("bytes"))), HELD, "bytes"):
             for row in zip(*[part.column(c).to_pylist() for c in ("key", "text_key", "start", "alone", "bytes")], strict=True):
                 if size > HELD and row[0] != held[-1][0]:
                     yield look(held)
@@ -296,16 +392,6 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield look(held)
 
 
-def string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each string of a stretch."""
-    for batch in batches:
-        for part in slices(batch, HELD >> 5, "bytes"):
-            names = ("text_key", "start", "alone", "bytes")
-            rows = [(xxhash.xxh3_128_digest(data[i : i + LENGTH]), key, start + i, alone) for key, start, alone, data in zip(*[part.column(c).to_pylist() for c in names], strict=True) for i in range(len(data) - LENGTH + 1)]
-            kinds = (pa.binary(), pa.binary(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["string", "text_key", "start", "alone"])
-
-
 def batches_of(n_bytes: int, spark: SparkSession, slot_bytes: int) -> int:
     """Batches of as much text as all task slots take at once."""
     return max(1, -(-n_bytes // (slot_bytes * spark.sparkContext.defaultParallelism)))
@@ -336,16 +422,10 @@ def repeated_spans(docs: DataFrame, one: DataFrame, n_bytes: int, slot_bytes: in
     kinds = placed.where("nth = 1")
     whole = staged(placed.where("c > 1").select("text_key", "start", stop), "suffix-whole")
     open_ = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("c").alias("least"), F.sum(F.col("n") + LENGTH - 1).alias("bytes")).where("kinds > 1 and least = 1").select("key", "bytes")
-    wanted = staged(kinds.join(open_.hint("merge"), "key").select("key", "bytes", (F.col("c") == 1).alias("alone"), "text_key", "start", "n"), "suffix-wanted")
+    large = (F.col("bytes") > group_bytes).alias("large")
+    wanted = staged(kinds.join(open_.hint("merge"), "key").select("key", large, (F.col("c") == 1).alias("alone"), "text_key", "start", "n"), "suffix-wanted")
     discard(placed)
-    small, large = wanted.where(F.col("bytes") <= group_bytes), wanted.where(F.col("bytes") > group_bytes)
-    spans = bytes_of(small, docs, one).repartition("key").sortWithinPartitions("key").mapInArrow(compared, SPANS).unionAll(whole).unionAll(known)
-    if not large.isEmpty():
-        strings = staged(bytes_of(large, docs, one).mapInArrow(string_rows, "string binary, text_key binary, start int, alone boolean"), "suffix-strings")
-        often = strings.groupBy("string").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("string")
-        found = strings.where("alone").join(often.hint("merge"), "string", "left_semi")
-        spans = spans.unionAll(found.select("text_key", "start", (F.col("start") + LENGTH).alias("stop")))
-    return spans
+    return bytes_of(wanted, docs, one).repartition("key", "string").sortWithinPartitions("key", "string").mapInArrow(compared, SPANS).unionAll(whole).unionAll(known)
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
