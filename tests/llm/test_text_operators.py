@@ -281,6 +281,17 @@ def test_token_files(docs):
         at += r["n_tokens"]
 
 
+def test_counts_of_ids_come_with_the_ids(docs):
+    """The ids are not read again to be counted: counting takes the tasks' own rows, without Python."""
+    made = huffman.staged(huffman.tokenised(docs, PATH, 2), "test-ids")
+    counts = huffman.counted(made)
+    assert "MapInArrow" not in counts._jdf.queryExecution().analyzed().toString()
+    rows = [r for r in made.collect() if r["counts"] is None]
+    assert len(rows) == docs.count()
+    want = Counter(i for r in rows for i in np.frombuffer(r["ids"], "<u4" if r["wide"] else "<u2").tolist())
+    assert {r["id"]: r["n"] for r in counts.collect()} == want
+
+
 def test_token_files_empty(spark):
     assert huffman.round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 

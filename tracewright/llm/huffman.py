@@ -1,6 +1,6 @@
 """Token ids in files of canonical length-limited Huffman codes.
 
-The texts are encoded once and their ids staged. Global counts of the ids give code lengths by package-merge, at most
+The texts are encoded once and their ids staged, with each task's counts of them. Global counts of the ids give code lengths by package-merge, at most
 LIMIT bits, and canonical codes, so that the codebook is one length for each id. Each document's ids become a run of bits,
 padded to bytes; documents go to ranges of doc_id, are sorted there and joined to blocks. A block is one row of the file:
 
@@ -38,7 +38,7 @@ from .bpe import SPACES, Remembered, by_units, slices
 LIMIT = 20
 STEP = 128
 #: Tokens of a block at least, but for a part's last; a block ends with a document.
-BLOCK = 1 << 17
+BLOCK = 1 << 18
 #: Tokens of a part, about.
 PART = 1 << 22
 
@@ -48,6 +48,11 @@ AT_ONCE = 20_000
 #: First bytes of white space, of one byte and of more.
 BLANK, LEADS = ({c.encode()[0] for c in SPACES if (len(c.encode()) > 1) == more} for more in (False, True))
 
+TOKENS = "doc_id long, tail long, ids binary, wide boolean, counts array<struct<id: long, n: long>>"
+COUNTS = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))
+#: Bytes of ids whose codes are put together at once.
+PACKED = 1 << 18
+
 BLOCK_SCHEMA = "part int, block int, first_token long, doc_ids array<long>, n_tokens array<long>, tails array<long>, checkpoints array<long>, payload binary"
 
 
@@ -82,9 +87,9 @@ class LibraryEncoder:
 
     def made(self, asked: list[bytes]) -> list[bytes]:
         """Ids of units: simple ones together, since a newline between two is a piece of its own."""
-        together = {i for i, unit in enumerate(asked) if self.simple(unit)} if len(self.newline) == 1 else set()
-        out = [b"" if i in together else self.whole(unit.decode()).tobytes() for i, unit in enumerate(asked)]
-        order = sorted(together)
+        together = list(map(self.simple, asked)) if len(self.newline) == 1 else [False] * len(asked)
+        out = [b"" if ours else self.whole(unit.decode()).tobytes() for unit, ours in zip(asked, together, strict=True)]
+        order = [i for i, ours in enumerate(together) if ours]
         for at in range(0, len(order), AT_ONCE):
             mine = order[at : at + AT_ONCE]
             ids = np.array(self.library.encode_batch_fast([b"\n".join([asked[i] for i in mine]).decode()], add_special_tokens=False)[0].ids, self.kind)
@@ -106,36 +111,35 @@ def library_encoder(path: str) -> LibraryEncoder:
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, tail (hash of the text), ids: 16-bit where the vocabulary allows, each document's end id included."""
+    """TOKENS: doc_id, tail (hash of the text), ids: 16-bit where the vocabulary allows, each document's end id included. A
+    task's last row has counts only: how often each id stands in what the task gave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = library_encoder(path)
         end = np.array([end_id], coder.kind).tobytes()
+        total = np.zeros(0, np.int64)
+
+        def rows(columns: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "tail", "ids", "wide", "counts"])
+
         for batch in batches:
             for part in slices(batch):
                 ids = [x.tobytes() + end for x in coder.encode_all(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tail"), pa.array(ids, pa.binary()), pa.array([coder.kind == "<u4"] * len(ids))], names=["doc_id", "tail", "ids", "wide"])
+                n = np.bincount(np.frombuffer(b"".join(ids), coder.kind), minlength=len(total))
+                n[: len(total)] += total
+                total = n
+                yield rows([part.column("doc_id"), part.column("tail"), pa.array(ids, pa.binary()), pa.array([coder.kind == "<u4"] * len(ids)), pa.nulls(len(ids), COUNTS)])
+        found = np.flatnonzero(total)
+        if len(found):
+            pairs = pa.StructArray.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["id", "n"])
+            yield rows([pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.binary(), pa.bool_())] + [pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pairs)])
 
-    return texts(docs).select("doc_id", F.xxhash64("text").alias("tail"), "text").mapInArrow(run, "doc_id long, tail long, ids binary, wide boolean")
+    return texts(docs).select("doc_id", F.xxhash64("text").alias("tail"), "text").mapInArrow(run, TOKENS)
 
 
 def counted(tokens: DataFrame) -> DataFrame:
-    """id, n over all documents; a task adds up its own ids first, so at most one row for each id and task moves."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for ids, wide in zip(batch.column("ids"), batch.column("wide").to_pylist(), strict=True):
-                n = np.bincount(np.frombuffer(ids.as_buffer(), "<u4" if wide else "<u2"))
-                if len(n) > len(total):
-                    n[: len(total)] += total
-                    total = n
-                else:
-                    total[: len(n)] += n
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["id", "n"])
-
-    return tokens.select("ids", "wide").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    """id, n over all documents, from the tasks' counts: at most one row for each id and task."""
+    return tokens.where("counts is not null").select(F.inline("counts")).groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(counts: dict[int, int], limit: int = LIMIT) -> dict[int, int]:
@@ -166,16 +170,20 @@ def code_lengths(counts: dict[int, int], limit: int = LIMIT) -> dict[int, int]:
 
 def canonical(lengths: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Codes and lengths by id: codes count up in order of (length, id)."""
-    size = max(lengths, default=0) + 1
-    code, length = np.zeros(size, np.uint64), np.zeros(size, np.int64)
-    value = before = 0
-    for symbol, n in sorted(lengths.items(), key=lambda x: (x[1], x[0])):
-        value <<= n - before
-        code[symbol], length[symbol], before = value, n, n
-        value += 1
+    ids, n = in_order(lengths)
+    code, length = np.zeros(max(lengths, default=0) + 1, np.uint64), np.zeros(max(lengths, default=0) + 1, np.int64)
+    room = max(lengths.values(), default=0) - n
+    code[ids], length[ids] = np.cumsum(1 << room) - (1 << room) >> room, n
     return code, length
 
 
+def in_order(lengths: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and lengths in order of (length, id)."""
+    ids, n = (np.fromiter(x, np.int64, len(lengths)) for x in (lengths.keys(), lengths.values()))
+    order = np.lexsort((ids, n))
+    return ids[order], n[order]
+
+
 def pack(ids: np.ndarray, counts: np.ndarray, code: np.ndarray, length: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
     """Bits of the codes of documents of so many ids each, highest first, each document padded to bytes; the byte at
     which each starts, with the end; and every id's bit offset within its document."""
@@ -207,7 +215,7 @@ def unpack(payload: bytes, checkpoints: np.ndarray, runs: np.ndarray, table: np.
     to = (ends - runs)[order]
     raw = np.frombuffer(payload + bytes(8), np.uint8).astype(np.uint32)
     wide = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, "<u4")
     falling = -left
     for step in range(int(left[0]) if len(left) else 0):
         live = int(np.searchsorted(falling, -step, "left"))
@@ -219,12 +227,11 @@ def unpack(payload: bytes, checkpoints: np.ndarray, runs: np.ndarray, table: np.
 
 
 def decoding_table(lengths: dict[int, int]) -> np.ndarray:
-    """2**LIMIT entries id << 5 | length."""
-    code, length = canonical(lengths)
+    """2**LIMIT entries id << 5 | length: canonical codes take them up from the first on, in order of (length, id)."""
+    ids, n = in_order(lengths)
     table = np.zeros(1 << LIMIT, np.uint32)
-    for symbol, n in lengths.items():
-        first = int(code[symbol]) << LIMIT - n
-        table[first : first + (1 << LIMIT - n)] = symbol << 5 | n
+    entries = np.repeat((ids << 5 | n).astype(np.uint32), 1 << LIMIT - n)
+    table[: len(entries)] = entries
     return table
 
 
@@ -235,8 +242,9 @@ def write(docs: DataFrame, tokenizer_path: str, to: str, end_id: int = 2) -> Non
     the bounds of the parts.
     """
     spark = docs.sparkSession
-    tokens = staged(tokenised(docs, tokenizer_path, end_id), "huffman-ids")
-    counts = {r["id"]: r["n"] for r in counted(tokens).collect()}
+    made = staged(tokenised(docs, tokenizer_path, end_id), "huffman-ids")
+    counts = {r["id"]: r["n"] for r in counted(made).collect()}
+    tokens = made.where("counts is null").drop("counts")
     lengths = code_lengths(counts)
     spark.createDataFrame(sorted(lengths.items()), "id long, length int").coalesce(1).write.parquet(f"{to}/codebook")
     parts = max(1, -(-sum(counts.values()) // PART))
@@ -245,7 +253,7 @@ def write(docs: DataFrame, tokenizer_path: str, to: str, end_id: int = 2) -> Non
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, length = canonical(lengths)
         for batch in batches:
-            for part in slices(batch, 4 << 20, "ids"):
+            for part in slices(batch, PACKED, "ids"):
                 docs = [np.frombuffer(x.as_buffer(), "<u4" if wide else "<u2") for x, wide in zip(part.column("ids"), part.column("wide").to_pylist(), strict=True)]
                 counts = np.array([len(d) for d in docs])
                 payload, at, offset = pack(np.concatenate(docs), counts, code, length)
@@ -266,7 +274,7 @@ def write(docs: DataFrame, tokenizer_path: str, to: str, end_id: int = 2) -> Non
         .mapInArrow(blocks, BLOCK_SCHEMA)
         .write.parquet(f"{to}/blocks")
     )
-    discard(tokens)
+    discard(made)
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,8 +324,9 @@ def read(spark: SparkSession, at: str) -> DataFrame:
                 ids = unpack(batch.column("payload")[i].as_py(), batch.column("checkpoints")[i].values.to_numpy(), runs, table)
                 ends = np.cumsum(n)
                 start = base[batch.column("part")[i].as_py()] + batch.column("first_token")[i].as_py() + ends - n
-                out = [ids[e - k : e].astype("<u4").tobytes() for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(batch.column("doc_ids")[i].as_py(), pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                offsets = pa.array(np.r_[0, ends] * 4).cast(pa.int32())  # an error beyond 2 GB, which no row holds either
+                out = pa.Array.from_buffers(pa.binary(), len(n), [None, offsets.buffers()[1], pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column("doc_ids")[i].as_py(), pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), out], names=["doc_id", "start", "n_tokens", "ids"])
 
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
