@@ -164,6 +164,57 @@ def test_repeated_strings_in_a_very_long_text(spark):
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == repeats(rows)
 
 
+def sharing(rows, n=51):
+    """Which rows have n words in a row that another row has."""
+    holders = defaultdict(set)
+    for i, (_, t) in enumerate(rows):
+        w = (t or "").encode().split()
+        for j in range(len(w) - n + 1):
+            holders[tuple(w[j : j + n])].add(i)
+    found = set().union(*[h for h in holders.values() if len(h) > 1])
+    return Counter((d, i in found) for i, (d, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize(("slot_bytes", "group_bytes"), [(suffix_index.SLOT_BYTES, suffix_index.GROUP_BYTES), (1 << 11, suffix_index.GROUP_BYTES), (suffix_index.SLOT_BYTES, 0)])
+def test_passages_of_over_50_words(spark, docs, rows, slot_bytes, group_bytes):
+    """Also those below 400 bytes, with other white space or in texts below 400 bytes; not what only one text has, nor 50 words."""
+    def short(n, seed):
+        return " ".join(w[:3] for w in prose(n, seed).split(" "))
+
+    passage, other, own = short(51, 70), short(58, 71), short(60, 72)
+    assert max(len(passage), len(other), len(own)) < 400
+    made = [prose(80, 71) + " " + passage + " " + prose(30, 72), "\t" + passage.replace(" ", " \n"), "x" + passage, passage + "x", passage.rsplit(" ", 1)[0]]
+    made += [own + " " + prose(9, 73) + " " + own, prose(200, 74), short(55, 75), short(55, 75), short(50, 76), short(50, 76), "\x85".join(["a"] * 60)]
+    made += [prose(20 + 7 * i, 80 + i) + "\x0b" + " ".join(other.split(" ")[i % 8 :]) + " " + prose(60, 120 + i) for i in range(14)]
+    made += [prose(5, 160 + i) + " " + " ".join(other.split(" ")[: 50 + i]) for i in range(3)]
+    made = [(1000 + i, t) for i, t in enumerate(made)]
+    for table, plain in ((spark.createDataFrame(made, "doc_id long, text string"), made), (docs, rows)):
+        got = suffix_index.without_repeats(table, slot_bytes=slot_bytes, group_bytes=group_bytes).collect()
+        assert Counter((r["doc_id"], r["shares_passage"]) for r in got) == sharing(plain)
+        assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == repeats(plain)
+
+
+def test_passages_and_strings_of_the_same_bytes(spark):
+    """Texts of 51 words and 400 bytes: one stretch of words and of bytes each, of one anchor where only the last byte differs."""
+    made = []
+    for seed in range(12):
+        words = [w[:5].ljust(5, "k") for w in prose(51, 300 + seed).split(" ")]
+        text = " ".join(words) + "q" * (400 - len(" ".join(words)))
+        assert len(text) == suffix_index.LENGTH and len(text.split()) == suffix_index.WORDS
+        made += [(2 * seed, text), (2 * seed + 1, text[:-1] + "z")]
+    got = suffix_index.without_repeats(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert {(r["n_removed"], r["shares_passage"]) for r in got} == {(0, False)} and len(got) == len(made)
+
+
+def test_passages_of_a_very_long_text(spark):
+    """A passage across the pieces that its words come in."""
+    own = prose(suffix_index.CHUNK_WORDS + 3000, 44).split(" ")
+    at = suffix_index.CHUNK_WORDS - 20
+    rows = [(1, " ".join(own)), (2, prose(40, 45) + " " + " ".join(own[at : at + 51])), (3, " ".join(own[at + 100 : at + 150]) + " " + prose(40, 46)), (4, " ".join(own[-51:]))]
+    got = suffix_index.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["shares_passage"] for r in got} == {1: True, 2: True, 3: False, 4: True}
+
+
 def test_ranks_are_the_order_of_bytes():
     r = random.Random(8)
     data = bytes(r.choice(b"ab") for _ in range(700)) * 2

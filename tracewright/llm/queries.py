@@ -66,7 +66,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = suffix_index.without_repeats(table(spark, sf_dir, "documents"))
-    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "shares_passage")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
