@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.lines import shared_lines
+from ..functions.lines import shared_hashes, shared_lines
+from ..plans.staging import staged
 from .checks import SESSION
 from .scoring import rank
 
@@ -134,40 +135,66 @@ def known_sources(pastes: DataFrame, corpus: DataFrame, ratio: float = 0.7) -> D
     """Pastes (submission_id, place, sha256, content) that are an entry of the corpus (name, sha256), or share at least
     ``ratio`` of their lines with a block (block: text) of an entry that they are not; one flag for each entry.
 
-    Exact ones are an equal join. Blocks that can reach the ratio share one of their rarest lines with the paste: if b
-    lines of the longer of the two are shared, one of any (1 - ratio) * size + 1 lines of either is among them.
+    Exact ones are an equal join. Texts are keyed by a digest, and only the hashes of their lines move between tasks.
     """
-    exact = pastes.select("submission_id", "place", "sha256").join(corpus.select("name", "sha256").distinct(), "sha256")
-    p = pastes.select("submission_id", "place", "content", "sha256").where("content is not null and content <> ''")
-    blocks = corpus.where("block is not null and block <> ''").select("name", "block").distinct()
-    texts = p.select(F.col("content").alias("text")).distinct()  # a text pasted many times is compared once
-    near = line_matches(texts, blocks.select(F.col("block").alias("other")).distinct(), ratio)
-    found = near.join(blocks, near["other"] == blocks["block"]).select("text", "name").distinct()
-    fuzzy = p.join(found, p["content"] == found["text"]).select("submission_id", "place", "name").distinct()
+    p = staged(pastes.select("submission_id", "place", "sha256", F.when(F.col("content") != "", _digest("content")).alias("key")), "paste-keys")
+    exact = p.join(corpus.select("name", "sha256").distinct(), "sha256")
+    texts = pastes.where("content <> ''").select(_digest("content").alias("key"), F.col("content").alias("text"))
+    blocks = corpus.where("block is not null and block <> ''").withColumn("key", _digest("block"))
+    found = line_matches(texts, blocks.select("name", "key", F.col("block").alias("text")), ratio)
+    fuzzy = p.select("submission_id", "place", "key").join(found, "key").select("submission_id", "place", "name").distinct()
     fuzzy = fuzzy.join(exact.select("submission_id", "place", "name"), ["submission_id", "place", "name"], "left_anti")
     rule = "paste_matches_known_source"
     return flag(exact, rule, F.lit("high"), F.lit(0.95), "place", "name").unionAll(flag(fuzzy, rule, F.lit("medium"), F.lit(0.8), "place", "name"))
 
 
-def line_matches(texts: DataFrame, others: DataFrame, ratio: float) -> DataFrame:
-    """Pairs (text, other) whose common lines in order are at least ``ratio`` of the longer one's."""
-
-    def numbered(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select(F.col(name), F.split(name, "\n").alias("lines"))
-
-    a, b = numbered(texts, "text"), numbered(others, "other")
-    line = b.select("other", F.explode("lines").alias("line"))
-    rare = line.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy("other").orderBy("n", "line")
-    size = F.count(F.lit(1)).over(W.partitionBy("other"))
-    # The lines of a block that a text of the ratio can't all lack, rarest first.
-    key = line.join(rare, "line").withColumn("rank", F.row_number().over(w)).withColumn("size", size).where(F.col("rank") <= F.floor((1 - ratio) * F.col("size") + 1e-9) + 1)
-    own = a.select("text", F.explode(F.array_distinct("lines")).alias("line"))
-    met = own.join(key.select("other", "line").distinct(), "line").select("text", "other").distinct()
-    both = met.join(a.withColumnRenamed("lines", "x"), "text").join(b.withColumnRenamed("lines", "y"), "other")
-    longer = F.greatest(F.size("x"), F.size("y"))
-    both = both.where(F.least(F.size("x"), F.size("y")) >= ratio * longer)
-    return both.where(shared_lines("text", "other") / longer >= ratio).select("text", "other")
+def _digest(text: str) -> Column:
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
+def line_matches(texts: DataFrame, blocks: DataFrame, ratio: float) -> DataFrame:
+    """(key, name): texts (key, text) whose common lines in order with a block (name, key, text) of that name are at least
+    ``ratio`` of the longer one's. Lines keep their newline.
+
+    A line is two hashes of different seeds. Of two texts that match, each lacks ``spare`` of its lines at most, so they share
+    one of the spare + 1 rarest of both. A text is compared with one block for each such line and name first, and with the
+    others of a name only if that one doesn't match: copies of a block don't meet pair by pair.
+    """
+
+    def lined(rows: DataFrame, a: bool) -> DataFrame:
+        lines = F.transform(F.filter(F.split("text", "(?<=\n)"), lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(7), x).alias("g")))
+        return rows.select("key", F.size(F.split("text", "\n")).alias("size"), lines.alias("lines"), F.lit(a).alias("a"), F.lit(not a).alias("b"))
+
+    every = lined(texts, True).unionAll(lined(blocks, False)).groupBy("key").agg(F.first("size").alias("size"), F.first("lines").alias("lines"), F.max("a").alias("a"), F.max("b").alias("b"))
+    every = staged(every.select("key", "size", "lines.h", "lines.g", "a", "b"), "lines")
+    names = staged(blocks.select("key", "name").distinct(), "names")
+    same = every.where("a and b").where(F.size("h") / F.col("size") >= ratio).select("key").join(names, "key")
+
+    df = every.select(F.explode(F.array_distinct("h")).alias("line")).groupBy("line").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    met = every.select("key", "size", F.size("h").alias("n"), "a", "b", F.explode("h").alias("line")).join(df, "line")
+    own = W.partitionBy("key")
+    # Lines that stand in one text only are the rarest, and never shared.
+    spare = F.col("n") - F.ceil(ratio * F.col("size") - 1e-9)
+    alone = F.col("n") - F.count(F.lit(1)).over(own)
+    rare = met.withColumn("rank", alone + F.row_number().over(own.orderBy("df", "line"))).where(F.col("rank") <= spare + 1)
+    rare = staged(rare.select("key", "size", "line", "a", "b").distinct(), "rare-lines")
+
+    like = (F.col("key") != F.col("other")) & (F.least("size", "osize") >= ratio * F.greatest("size", "osize"))
+    held = rare.where("b").join(names, "key").select("line", "name", F.col("key").alias("other"), F.col("size").alias("osize"))
+    one = held.groupBy("line", "name").agg(F.min(F.struct("other", "osize")).alias("o"), (F.count(F.lit(1)) > 1).alias("more")).select("line", "name", "o.*", "more")
+    first = staged(rare.where("a").select("key", "size", "line").join(one, "line"), "first-blocks")
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        pairs = staged(pairs.where(like).select("key", "name", "other").distinct(), "line-pairs")
+        side = lambda key, x: every.select(F.col("key").alias(key), F.col("size").alias(f"s{x}"), F.col("h").alias(f"h{x}"), F.col("g").alias(f"g{x}"))
+        both = pairs.select("key", "other").distinct().join(side("key", "a").hint("merge"), "key").join(side("other", "b").hint("merge"), "other")
+        hits = both.where(shared_hashes("ha", "ga", "hb", "gb") / F.greatest("sa", "sb") >= ratio).select("key", "other")
+        return pairs.join(hits, ["key", "other"]).select("key", "name").distinct()
+
+    hits = staged(same.unionAll(judged(first)).distinct(), "line-hits")
+    open_ = first.where("more").select("key", "size", "line", "name").join(hits.select(F.col("key").alias("of"), F.col("name").alias("hit")), (F.col("key") == F.col("of")) & F.col("name").eqNullSafe(F.col("hit")), "left_anti")
+    rest = open_.join(held.select(F.col("line").alias("at"), F.col("name").alias("entry"), "other", "osize"), (F.col("line") == F.col("at")) & F.col("name").eqNullSafe(F.col("entry")))
+    return hits.unionAll(judged(rest))
 
 
 def pastes_of_solution(pastes: DataFrame, moves: DataFrame | None = None, coverage: float = 0.8, lines: int = 10) -> DataFrame:
