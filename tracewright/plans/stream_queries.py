@@ -5,36 +5,51 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.adapters import EVENTS
+from ..sources.keyed import names_in
 from ..streaming import detectors as op
 from .registry import query
-from .staging import new_path
+from .staging import discard, new_path, staged
 
 EV = f"with {EVENTS}"
 
 
 FILES = 4
+#: Rows of a quarter from which it is written by several tasks, and how many files it has then.
+LARGE, SPREAD = 100_000, 8
 
 
 def fed(t, again=False, **extra):
-    """A stream of the events, a file and micro-batch for each quarter of their time; with ``again`` some come twice."""
-    e = t.events().withColumn("wall_ts", F.timestamp_millis("ms"))
+    """A stream of the events, a micro-batch for each quarter of their time; with ``again`` some come twice."""
+    e = t.plain_events().withColumn("wall_ts", F.timestamp_millis("ms"))
     for c, v in extra.items():
         e = e.withColumn(c, v)
     e = e.select(*[c.split()[0] for c in op.EVENT.split(", ")]).withColumn("k", F.col("k").cast("int")).withColumn("sent", F.col("ms"))
     if again:
         e = e.unionAll(e.where("k % 10 = 0").withColumn("sent", F.col("sent") + 300_000))
+    e = staged(e, "events")
     first, last = e.agg(F.min("sent"), F.max("sent")).head()
     quarter = F.least(F.floor((F.col("sent") - F.lit(first)) * FILES / F.lit(max(1, (last or 0) - (first or 0)))), F.lit(FILES - 1))
+    sizes = {r["q"]: r["count"] for r in e.groupBy(quarter.alias("q")).count().collect()}
+    files = SPREAD if min(sizes.get(i, 0) for i in range(FILES)) >= LARGE else 1
     folder = new_path(t.spark, "stream")
     for i in range(FILES):  # one after another: a stream takes files by age
-        e.where(quarter == i).drop("sent").coalesce(1).sortWithinPartitions("wall_ts").write.mode("append").parquet(folder)
-    return op.event_stream(t.spark, folder, 1)
+        part = e.where(quarter == i).drop("sent")
+        part = part.coalesce(1) if files == 1 else part.repartition(files)
+        part.sortWithinPartitions("wall_ts").write.mode("append").parquet(folder)
+        if len([n for n in names_in(t.spark, folder) if n.endswith(".parquet")]) != files * (i + 1):
+            raise RuntimeError("a quarter of the events has another number of files than a micro-batch takes")
+    discard(e)
+    return op.event_stream(t.spark, folder, files)
 
 
 def drained(t, stream, mode="append"):
     return op.drained(stream, new_path(t.spark, "drained"), "q", mode)
 
 
+def detected(t, stream, processor, schema, *keys):
+    return op.detected(stream, processor, schema, *keys, checkpoint=new_path(t.spark, "detected"))
+
+
 @query("k01_deduplicated_stream", f"{EV} select session_id, seq, kind from ev")
 def k01(t):
     return drained(t, fed(t, again=True).select("session_id", "seq", "kind"))
@@ -66,7 +81,7 @@ def k04(t):
 
 @query("k05_resume_gaps", f"{EV}, h as (select session_id, seq, t - lag(t) over (partition by session_id order by seq) as gap_ms from ev where kind = 'session.heartbeat') select * from h where gap_ms >= 60000")
 def k05(t):
-    return drained(t, op.stateful(fed(t).where("kind = 'session.heartbeat'"), op.ResumeGap(), "session_id string, seq long, gap_ms long", "session_id"))
+    return detected(t, fed(t).where("kind = 'session.heartbeat'"), op.ResumeGap(), "session_id string, seq long, gap_ms long", "session_id")
 
 
 @query(
@@ -118,7 +133,7 @@ def k12(t):
 @query("k13_file_observation")
 def k13(t):
     s = fed(t, kind=F.when(F.col("k") % 9 == 0, "gone").otherwise("seen"), k=F.col("k") % 4)
-    return drained(t, op.stateful(s, op.FileObservation(), "session_id string, path string, seq long, change string", "session_id", "path"))
+    return detected(t, s, op.FileObservation(), "session_id string, path string, seq long, change string", "session_id", "path")
 
 
 @query("k11_live_flags", f"{EV} select submission_id, heuristic_id, severity, round(flag_score, 6) as flag_score from (select submission_id, 'h' || (k % 28)::varchar as heuristic_id, case when size > 100 then 'high' else 'low' end as severity, case when size > 100 then 8 else 1 end * 0.5::double * (1 + (k % 28 % 3) * 0.5::double) as flag_score, k from ev where kind = 'paste') where k % 28 % 9 <> 0")
