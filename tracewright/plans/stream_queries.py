@@ -107,7 +107,7 @@ def k07(t):
 )
 def k08(t):
     s = fed(t, kind=F.when(F.col("kind") == "session.heartbeat", "doc.save").otherwise(F.col("kind")))
-    return drained(t, op.stateful(s, op.ExternalChange(), "session_id string, path string, seq long, diff_size long", "session_id", "path"))
+    return detected(t, s, op.ExternalChange(), "session_id string, path string, seq long, diff_size long", "session_id", "path")
 
 
 @query("k09_chain_continuity", f"{EV}, h as (select session_id, seq, lag(k::varchar) over (partition by session_id order by seq) as expected, (k // 2)::varchar as prev_hash from ev) select session_id, seq, expected from h where expected is not null and expected <> prev_hash")
