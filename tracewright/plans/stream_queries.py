@@ -120,7 +120,7 @@ def k09(t):
 def k10(t):
     p = op.Throttle()
     p.window_ms = 86_400_000
-    return drained(t, op.stateful(fed(t), p, "session_id string, seq long, suppressed long", "session_id"))
+    return detected(t, fed(t), p, "session_id string, seq long, suppressed long", "session_id")
 
 
 @query("k12_flag_counters", f"{EV}, w as (select *, unnest([0, 1]) as o from ev where kind = 'paste') select (ms // 43200000 - o) * 43200000000 as start_us, submission_id % 12 as assignment_id, case when size > 100 then 'high' else 'low' end as severity, count(*) as n from w group by 1, 2, 3")
