@@ -76,7 +76,7 @@ def k03(t):
 @query("k04_clock_skew")
 def k04(t):
     s = fed(t, ms=F.col("ms") + F.when(F.col("k") % 10 == 0, 700).otherwise(0))
-    return drained(t, op.stateful(s, op.ClockSkew(), "session_id string, seq long, delta_ms long", "session_id"))
+    return detected(t, s, op.ClockSkew(), "session_id string, seq long, delta_ms long", "session_id")
 
 
 @query("k05_resume_gaps", f"{EV}, h as (select session_id, seq, t - lag(t) over (partition by session_id order by seq) as gap_ms from ev where kind = 'session.heartbeat') select * from h where gap_ms >= 60000")
