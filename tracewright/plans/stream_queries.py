@@ -113,7 +113,7 @@ def k08(t):
 @query("k09_chain_continuity", f"{EV}, h as (select session_id, seq, lag(k::varchar) over (partition by session_id order by seq) as expected, (k // 2)::varchar as prev_hash from ev) select session_id, seq, expected from h where expected is not null and expected <> prev_hash")
 def k09(t):
     s = fed(t).withColumn("hash", F.col("k").cast("string")).withColumn("prev_hash", F.floor(F.col("k") / 2).cast("string"))
-    return drained(t, op.stateful(s, op.ChainContinuity(), "session_id string, seq long, expected string", "session_id"))
+    return detected(t, s, op.ChainContinuity(), "session_id string, seq long, expected string", "session_id")
 
 
 @query("k10_throttle")
