@@ -98,7 +98,7 @@ def k06(t):
 def k07(t):
     p = op.ExplanationTags()
     p.within_ms = 86_400_000
-    return drained(t, op.stateful(fed(t), p, "session_id string, seq long, path string, tag string", "session_id"))
+    return detected(t, fed(t), p, "session_id string, seq long, path string, tag string", "session_id")
 
 
 @query(
