@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..plans.staging import discard, staged
+from .components import components
 from .reachability import on_loops
 
 
@@ -20,18 +21,35 @@ def graph_nodes(observed: DataFrame) -> DataFrame:
     return j.select("repository", "sha", F.coalesce("observations", F.lit(0)).alias("observations"), state.alias("parents"), F.coalesce("children", F.lit(0)).alias("children"))
 
 
+def _linked(paths: DataFrame, further: DataFrame) -> DataFrame:
+    """(node, ancestor) of a path and a further one from its end."""
+    return paths.join(further.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("beyond")), "ancestor").select("node", F.col("beyond").alias("ancestor"))
+
+
 def ancestors(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, ancestor) closure of (node, parent): each round joins paths with paths, so depth d takes log2(d) rounds."""
+    """(node, ancestor) closure of (node, parent), or what is reached in 2 ** rounds steps.
+
+    A round goes on from all paths of up to 2 ** k steps by those of exactly 2 ** k: depth d takes log2(d) rounds, and a pair is
+    found by few ways. Paths joined with all paths would find it once for each node between.
+    """
+    return reached(edges, rounds)[0]
+
+
+def reached(edges: DataFrame, rounds: int) -> tuple[DataFrame, bool]:
+    """``ancestors``, and whether that is all."""
     paths = staged(edges.select("node", F.col("parent").alias("ancestor")).distinct(), "closure")
-    count = paths.count()
-    for _ in range(rounds):
-        longer = paths.join(paths.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("further")), "ancestor").select("node", F.col("further").alias("ancestor"))
-        new = staged(paths.unionAll(longer).distinct(), "closure")
-        discard(paths)
-        paths, before, count = new, count, new.count()
-        if before == count:
+    steps, count, whole = paths, paths.count(), False
+    for k in range(rounds):
+        new = staged(paths.unionAll(_linked(paths, steps)).distinct(), "closure")
+        before, count = count, new.count()
+        whole = before == count
+        last = whole or k + 1 == rounds
+        twice = None if last else staged(_linked(steps, steps).distinct(), "closure-steps")
+        discard(*([paths] if paths is steps else [paths, steps]))
+        paths, steps = new, twice
+        if last:
             break
-    return paths
+    return paths, whole
 
 
 def cycles(closure: DataFrame) -> DataFrame:
@@ -40,6 +58,43 @@ def cycles(closure: DataFrame) -> DataFrame:
     return back.groupBy("node").agg(F.min("ancestor").alias("cycle"))
 
 
+def cyclic_nodes(edges: DataFrame, least: float = 0.05) -> DataFrame:
+    """``cycles`` of (node, parent) without its closure.
+
+    Edges from where nothing comes or to where nothing goes on are on no cycle and are taken off, as long as that is a share
+    ``least`` of all. Nodes that reach each other in a few steps become one node, so that what only lay between short cycles can
+    be taken off as well. The steps double until nothing is left, or all paths of the rest are known.
+    """
+    every = staged(edges.select("node", "parent").where("node is not null and parent is not null").distinct(), "cycle-edges")
+    found = staged(every.where("node = parent").select("node", F.col("node").alias("cycle")), "cycles")
+    left = every.where("node <> parent")
+    for rounds in range(2, 64):
+        left, size = staged(left, "cycle-rest"), None
+        while size is None or (0 < count <= (1 - least) * size):
+            size = count = left.count() if size is None else count
+            on = left.join(left.select(F.col("parent").alias("node")).distinct(), "node", "left_semi")
+            fewer = staged(on.join(left.select(F.col("node").alias("parent")).distinct(), "parent", "left_semi").select("node", "parent"), "cycle-rest")
+            discard(left)
+            left, count = fewer, fewer.count()
+        if not count:
+            break
+        paths, whole = reached(left, rounds)
+        back = paths.where("node < ancestor").select(F.col("ancestor").alias("node"), F.col("node").alias("ancestor"))
+        one = staged(components(paths.where("node > ancestor").join(back, ["node", "ancestor"], "left_semi").select(F.col("node").alias("src"), F.col("ancestor").alias("dst")), "cycle-nodes"), "cycle-nodes")
+        now = one.select(F.col("node").alias("cycle"), F.col("component").alias("whole"))
+        known = found.join(now, "cycle", "left").select("node", F.coalesce("whole", "cycle").alias("cycle"))
+        more = one.join(found.select("node"), "node", "left_anti").select("node", F.col("component").alias("cycle"))
+        new = staged(known.unionAll(more), "cycles")
+        discard(found, paths)
+        found = new
+        if whole:
+            break
+        for end in ("node", "parent"):
+            left = left.join(one.select(F.col("node").alias(end), "component"), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+        left = left.select("node", "parent").where("node <> parent").distinct()
+    return found
+
+
 def presentation_order(nodes: DataFrame, counts: DataFrame) -> DataFrame:
     """place by number of ancestors (counts: node, ancestors), then node: ancestors come first."""
     j = nodes.join(counts.select("node", "ancestors"), "node", "left").withColumn("ancestors", F.coalesce("ancestors", F.lit(0)))
