@@ -44,7 +44,7 @@ BACK = "select node, parent from commits union all select node // 8, node from c
 def f02(t):
     c = t.commits()
     back = c.where("node % 40 = 8").select(F.floor(F.col("node") / 8).alias("node"), F.col("node").alias("parent"))
-    return op.cycles(op.ancestors(c.unionAll(back)))
+    return op.cyclic_nodes(c.unionAll(back))
 
 
 @query("f03_ancestors", f"{CLOSURE} select distinct node, ancestor from closure")
